@@ -11,6 +11,7 @@ def local_session(cores: str = "8", memory: str = "12g") -> SparkSession:
         .appName("cartograph")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()

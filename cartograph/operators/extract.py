@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cartograph.functions.lexis import is_name, is_string, lex
+from cartograph.functions.lexis import is_string, lex
 from cartograph.operators.tokens import AHEAD, ALL_LANGUAGES, before_row, in_order, prepare, significant
 from cartograph.schema import RAW_EDGES, SYMBOLS
 from cartograph.session import stage
@@ -74,173 +74,258 @@ def _last(condition: Column, value: Column, over: WindowSpec) -> Column:
     return F.last(F.when(condition, value), ignorenulls=True).over(over)
 
 
+def _by_language(languages: tuple[str, ...], cases: dict[str, Column], default: Column) -> Column:
+    """The case of the row's language; languages that are not asked for leave no trace in the plan."""
+    if len(languages) == 1:
+        return cases.get(languages[0], default)
+    out = default
+    for name in languages:
+        if name in cases:
+            out = F.when(_c("lang") == name, cases[name]).otherwise(out)
+    return out
+
+
 # ------------------------------------------------------------------ marks and heads
 
 
-def _marks(rows: DataFrame) -> DataFrame:
+def _marks(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """The latest keyword that decides how later tokens read, and the logical lines around."""
-    lang, tok, p1 = _c("lang"), _c("tok"), _c("p1")
-    marked = (
-        F.when(
-            lang == "python",
-            _c("fresh")
+    tok, p1 = _c("tok"), _c("p1")
+    marked = _by_language(
+        languages,
+        {
+            "python": _c("fresh")
             | (_is(p1, ";") & (_c("depth") == 0))
             | (_is(p1, ":") & tok.isin("import", "from")),
+            "typescript": (tok.isin("import", "export") & ~_is(p1, "."))
+            | (_is(_c("n1"), "<") & _c("named")),
+            "rust": _is(p1, "fn") & _is(_c("n1"), "<"),
+            "go": tok.isin("func", "type", "var", "const", "import"),
+        },
+        F.lit(False),
+    )
+    further = ["n1", "n2", "n3_named", "n4"] if "go" in languages else []
+    so_far = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mark = F.struct("pos", "line", "tok", "depth", "angle", *further)
+    columns = {"mark": _last(marked, mark, so_far)}
+    if "python" in languages:
+        line_start = F.struct("tok", _c("margin").alias("indent"))
+        columns |= {
+            "cur": _last(_c("fresh"), line_start, so_far),
+            "prev": _last(_c("fresh"), line_start, before_row()),
+            "next_indent": F.expr(
+                "lead(if(fresh, margin, null), 1) IGNORE NULLS OVER (PARTITION BY path ORDER BY pos)"
+            ),
+        }
+    return rows.select("*", *[c.alias(n) for n, c in columns.items()])
+
+
+def _head(languages: tuple[str, ...]) -> Column:
+    """The sort of declaration that starts at a token."""
+    tok, p1, p2, n1, n2 = (_c(x) for x in ("tok", "p1", "p2", "n1", "n2"))
+    mark, depth, named = _c("mark"), _c("depth"), _c("n1_named")
+    cases: dict[str, Column] = {}
+    if "python" in languages:
+        cases["python"] = F.when(
+            _c("fresh")
+            & (((tok == "def") & named & _in(n2, "([")) | ((tok == "async") & _is(n1, "def"))),
+            "py_def",
+        ).when(_c("fresh") & (tok == "class") & named, "py_class")
+    if "typescript" in languages:
+        before = F.when(_is(p1, "async"), p2).otherwise(p1)
+        statement = ~_in(before, OPERAND_FOLLOWS)
+        first_on_line = F.coalesce(_c("line") > _c("p1_end_line"), F.lit(False))
+        cases["typescript"] = (
+            F.when((tok == "function") & named & statement, "ts_func")
+            .when(
+                (tok == "class")
+                & named
+                & ~_in(n1, ("extends", "implements"))
+                & statement
+                & ~_is(p1, "abstract"),
+                "ts_class",
+            )
+            .when(
+                _in(n1, "(<")
+                & _c("named")
+                & (_in(p1, BEFORE_METHOD) | (first_on_line & ~_in(p1, OPERAND_FOLLOWS))),
+                "ts_method",
+            )
         )
-        .when(
-            lang == "typescript",
-            (tok.isin("import", "export") & ~_is(p1, ".")) | (_is(_c("n1"), "<") & is_name(tok)),
+    if "rust" in languages:
+        cases["rust"] = F.when((tok == "fn") & named, "rs_fn").when(
+            (tok == "struct") & named, "rs_struct"
         )
-        .when(lang == "rust", _is(p1, "fn") & _is(_c("n1"), "<"))
-        .otherwise(tok.isin("func", "type", "var", "const", "import"))
-    )
-    so_far = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mark = F.struct("pos", "line", "tok", "n1", "n2", "n3", "n4", "depth", "angle")
-    line_start = F.struct("tok", _c("margin").alias("indent"))
-    return rows.select(
-        "*",
-        _last(marked, mark, so_far).alias("mark"),
-        _last(_c("fresh"), line_start, so_far).alias("cur"),
-        _last(_c("fresh"), line_start, before_row()).alias("prev"),
-        F.expr(
-            "lead(if(fresh, margin, null), 1) IGNORE NULLS OVER (PARTITION BY path ORDER BY pos)"
-        ).alias("next_indent"),
-    )
-
-
-def _heads(rows: DataFrame) -> DataFrame:
-    """``head`` names the sort of declaration that starts at a token; ``name`` its name."""
-    lang, tok, p1, p2, n1, n2 = (_c(x) for x in ("lang", "tok", "p1", "p2", "n1", "n2"))
-    mark, depth = _c("mark"), _c("depth")
-    named = is_name(n1)
-    first_on_line = F.coalesce(_c("line") > _c("p1_end_line"), F.lit(False))
-
-    python = F.when(
-        _c("fresh") & (((tok == "def") & named & _in(n2, "([")) | ((tok == "async") & _is(n1, "def"))),
-        "py_def",
-    ).when(_c("fresh") & (tok == "class") & named, "py_class")
-
-    before = F.when(_is(p1, "async"), p2).otherwise(p1)
-    statement = ~_in(before, OPERAND_FOLLOWS)
-    typescript = (
-        F.when((tok == "function") & named & statement, "ts_func")
-        .when(
-            (tok == "class") & named & ~_in(n1, ("extends", "implements")) & statement & ~_is(p1, "abstract"),
-            "ts_class",
+    if "go" in languages:
+        generic_type = (
+            _is(p1, "]")
+            & (mark["depth"] == depth)
+            & _is(mark["n2"], "[")
+            & mark["n3_named"]
+            & ~_is(mark["n4"], "]")
         )
-        .when(
-            _in(n1, "(<")
-            & is_name(tok)
-            & ~tok.startswith("#")
-            & (_in(p1, BEFORE_METHOD) | (first_on_line & ~_in(p1, OPERAND_FOLLOWS))),
-            "ts_method",
+        grouped_type = (
+            _is(mark["n1"], "(")
+            & (depth == mark["depth"] + 1)
+            & _c("p1_named")
+            & (_c("p1_breaks") | _in(p2, "(;"))
         )
-    )
+        typed = (
+            _is(n1, "{") & _is(mark["tok"], "type") & (_is(p2, "type") | generic_type | grouped_type)
+        )
+        cases["go"] = (
+            F.when((tok == "func") & named, "go_func")
+            .when(
+                _c("named")
+                & _is(n1, "(")
+                & _is(p1, ")")
+                & (_c("line") == _c("p1_end_line"))
+                & _is(mark["tok"], "func")
+                & _is(mark["n1"], "(")
+                & (mark["depth"] == depth),
+                "go_method",
+            )
+            .when((tok == "struct") & typed, "go_struct")
+            .when((tok == "interface") & typed, "go_iface")
+        )
+    return _by_language(languages, cases, F.lit(None).cast("string"))
+
 
-    rust = F.when((tok == "fn") & named, "rs_fn").when((tok == "struct") & named, "rs_struct")
-
-    plain_type = _is(p2, "type")
-    generic_type = (
-        _is(p1, "]")
-        & (mark["depth"] == depth)
-        & _is(mark["n2"], "[")
-        & is_name(mark["n3"])
-        & ~_is(mark["n4"], "]")
-    )
-    grouped_type = (
-        _is(mark["n1"], "(")
-        & (depth == mark["depth"] + 1)
-        & is_name(p1)
-        & (_c("p1_breaks") | _in(p2, "(;"))
-    )
-    typed = _is(n1, "{") & _is(mark["tok"], "type") & (plain_type | generic_type | grouped_type)
-    go = (
-        F.when((tok == "func") & named, "go_func")
-        .when(
-            is_name(tok)
-            & _is(n1, "(")
-            & _is(p1, ")")
-            & (_c("line") == _c("p1_end_line"))
-            & _is(mark["tok"], "func")
-            & _is(mark["n1"], "(")
-            & (mark["depth"] == depth),
-            "go_method",
+def _name_and_line(languages: tuple[str, ...]) -> tuple[Column, Column]:
+    """Name and first line of the declaration that starts here, if one does."""
+    tok, p1, n1 = _c("tok"), _c("p1"), _c("n1")
+    names, lines = {}, {}
+    if "python" in languages:
+        names["python"] = F.when(tok == "async", _c("n2")).otherwise(n1)
+        lines["python"] = _c("line")
+    if "typescript" in languages:
+        names["typescript"] = F.when(tok.isin("function", "class") & _c("n1_named"), n1).otherwise(tok)
+        lines["typescript"] = F.when(_is(p1, "async"), _c("p1_line")).otherwise(_c("line"))
+    if "rust" in languages:
+        names["rust"], lines["rust"] = n1, _c("line")
+    if "go" in languages:
+        mark, bracket = _c("mark"), _is(p1, "]")
+        grouped = _is(mark["n1"], "(")
+        names["go"] = (
+            F.when(tok == "func", n1)
+            .when(tok.isin("struct", "interface"), F.when(bracket, mark["n1"]).otherwise(p1))
+            .otherwise(tok)
         )
-        .when(typed & (tok == "struct"), "go_struct")
-        .when(typed & (tok == "interface"), "go_iface")
-    )
-    head = (
-        F.when(lang == "python", python)
-        .when(lang == "typescript", typescript)
-        .when(lang == "rust", rust)
-        .otherwise(go)
-    )
-    head_col = _c("head")
-    name = (
-        F.when(head_col.isin("ts_method", "go_method"), tok)
-        .when((head_col == "py_def") & (tok == "async"), n2)
-        .when(head_col.isin("go_struct", "go_iface"), F.when(_is(p1, "]"), mark["n1"]).otherwise(p1))
-        .otherwise(n1)
-    )
-    start_line = (
-        F.when(head_col == "go_method", mark["line"])
-        .when(head_col == "go_struct", F.when(_is(mark["n1"], "("), F.lit(None)).otherwise(mark["line"]))
-        .when(head_col == "go_iface", F.when(_is(p1, "]"), mark["line"]).otherwise(_c("p1_line")))
-        .when(_is(p1, "async"), _c("p1_line"))
-        .otherwise(_c("line"))
-    )
-    return rows.withColumn("head", head).withColumns({"name": name, "start_line": start_line})
-
-
-def _calls(rows: DataFrame) -> DataFrame:
-    """``call``: a plain name that is called. ``imported``: a token of an import."""
-    lang, tok, p1, p2, n1 = (_c(x) for x in ("lang", "tok", "p1", "p2", "n1"))
-    called = is_name(tok) & _is(n1, "(")
-    word = F.lit(False)
-    for name, words in KEYWORDS.items():
-        word = word | ((lang == name) & tok.isin(*words))
-    call = (
-        F.when(lang == "python", called & ~_in(p1, (".", "def", "class")) & ~_c("n1_fresh"))
-        .when(
-            lang == "typescript",
-            (called | _c("generic") | (is_name(tok) & _is(n1, "?.") & _is(_c("n2"), "(")))
-            & ~tok.startswith("#")
+        # A struct in a type group takes the group's lines, which are known later.
+        lines["go"] = (
+            F.when((tok == "struct") & grouped, F.lit(None).cast("int"))
+            .when((tok == "interface") & ~bracket, _c("p1_line"))
+            .otherwise(mark["line"])
+        )
+    none = F.lit(None)
+    return (
+        _by_language(languages, names, none.cast("string")),
+        _by_language(languages, lines, none.cast("int")),
+    )
+
+
+def _call_and_import(languages: tuple[str, ...]) -> tuple[Column, Column]:
+    """Whether a token is a plain name that is called, and whether it is part of an import."""
+    tok, p1, p2, n1 = (_c(x) for x in ("tok", "p1", "p2", "n1"))
+    called = _is(n1, "(") & _c("named")
+    free = {name: ~tok.isin(*words) for name, words in KEYWORDS.items()}
+    calls, imports = {}, {}
+    if "python" in languages:
+        calls["python"] = called & ~_in(p1, (".", "def", "class")) & ~_c("n1_fresh") & free["python"]
+        imports["python"] = _in(_c("mark.tok"), ("import", "from"))
+    if "typescript" in languages:
+        calls["typescript"] = (
+            (called | _c("generic") | (_c("named") & _is(n1, "?.") & _is(_c("n2"), "(")))
             & ~_in(p1, (".", "?.", "new", "function"))
-            & ~(_is(p1, "*") & _is(p2, "function")),
+            & ~(_is(p1, "*") & _is(p2, "function"))
+            & free["typescript"]
         )
-        .when(lang == "rust", called & ~_in(p1, (".", "::", "fn", "!")))
-        .otherwise(called & ~_in(p1, (".", "func")) & (_c("n1_line") == _c("end_line")))
-    )
-    text = is_string(tok)
-    imported = (
-        F.when(lang == "python", _in(_c("mark.tok"), ("import", "from")))
-        .when(
-            lang == "typescript",
-            text & ((_is(p1, "from") & _is(_c("mark.tok"), "import")) | _is(p1, "import")),
+        imports["typescript"] = ~_c("named") & (
+            (_is(p1, "from") & _is(_c("mark.tok"), "import")) | _is(p1, "import")
+        ) & is_string(tok)
+    if "rust" in languages:
+        calls["rust"] = called & ~_in(p1, (".", "::", "fn", "!")) & free["rust"]
+    if "go" in languages:
+        calls["go"] = (
+            called & ~_in(p1, (".", "func")) & (_c("n1_line") == _c("end_line")) & free["go"]
         )
-        .when(lang == "go", tok.startswith('"') & (_is(p1, "import") | (_is(p2, "import") & ~_is(p1, "("))))
-        .otherwise(F.lit(False))
-    )
-    return rows.withColumns(
-        {
-            "call": F.coalesce(call & ~word, F.lit(False)),
-            "imported": F.coalesce(imported, F.lit(False)),
-        }
+        imports["go"] = (
+            _is(p1, "import") | (_is(p2, "import") & ~_is(p1, "("))
+        ) & tok.startswith('"')
+    no = F.lit(False)
+    return (
+        F.coalesce(_by_language(languages, calls, no), no),
+        F.coalesce(_by_language(languages, imports, no), no),
     )
 
 
-def _structural(rows: DataFrame) -> DataFrame:
-    """Only rows that blocks, calls, imports or docstrings are made of."""
-    lang, tok = _c("lang"), _c("tok")
-    return rows.where(
-        tok.isin("(", ")", "[", "]", "{", "}", ";")
-        | _c("head").isNotNull()
-        | _c("call")
-        | _c("imported")
-        | _c("fresh")
-        | ((lang == "python") & _c("n1").isNull())
-        | ((lang == "rust") & tok.isin("let", "for", "in", "="))
-    )
+def _classified(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """The rows that blocks, calls, imports and docstrings are made of, neighbours reduced to flags."""
+    tok, p1, p2, n1 = (_c(x) for x in ("tok", "p1", "p2", "n1"))
+    no = F.lit(False)
+    # A cheap test on the token itself; the exact conditions are evaluated for these rows only.
+    words = _by_language(
+        languages,
+        {
+            "python": _c("fresh") | n1.isNull() | _in(_c("mark.tok"), ("import", "from")),
+            "typescript": tok.isin("function", "class") | _is(n1, "<") | _is(n1, "?.")
+            | _in(p1, ("from", "import")),
+            "rust": tok.isin("fn", "struct", "let", "for", "in", "="),
+            "go": tok.isin("func", "struct", "interface") | _is(p1, "import") | _is(p2, "import"),
+        },
+        no,
+    )
+    rows = rows.where(tok.isin("(", ")", "[", "]", "{", "}", ";") | _is(n1, "(") | words)
+    name, start_line = _name_and_line(languages)
+    call, imported = _call_and_import(languages)
+    type_brace = _by_language(
+        languages,
+        {"typescript": _in(p1, BEFORE_TYPE_BRACE), "go": _in(p1, ("interface", "struct"))},
+        no,
+    )
+    in_generics = F.coalesce(
+        (_c("mark.depth") == _c("depth")) & (_c("angle") > _c("mark.angle")), no
+    )
+    macro = (
+        (_is(p1, "!") & _c("p2_named") & ~_in(p2, KEYWORDS["rust"]))
+        | (_is(p2, "!") & _is(_c("p3"), "macro_rules"))
+        | ((tok == "[") & (_is(p1, "#") | (_is(p1, "!") & _is(p2, "#"))))
+        if "rust" in languages
+        else no
+    )
+    columns = {
+        "head": _head(languages),
+        "name": name,
+        "start_line": start_line,
+        "call": call,
+        "imported": imported,
+        "body": (tok == "{") & ~type_brace,
+        "list": (tok == "(")
+        & ~_by_language(languages, {"typescript": in_generics, "rust": in_generics}, no),
+        "then": F.when(tok == ")", n1),
+        "macro": _by_language(languages, {"rust": tok.isin("(", "[", "{") & macro}, no),
+        "arm": _by_language(languages, {"rust": _in(p1, ",{}|")}, no),
+        "group_line": _by_language(
+            languages,
+            {"go": F.when((tok == "(") & _is(p1, "type"), _c("p1_line"))},
+            F.lit(None).cast("int"),
+        ),
+        "stmt": _c("mark.pos"),
+    }
+    if "python" in languages:
+        ends = n1.isNull() | _c("n1_fresh")
+        columns |= {
+            "last_token": (_c("lang") == "python") & n1.isNull(),
+            "lone_string": _c("fresh") & (ends | _in(n1, ";,")) & is_string(tok),
+            "top": (_c("margin") == 0)
+            | F.coalesce((_c("prev.tok") == "@") & (_c("prev.indent") == _c("margin")), no),
+        }
+        extra = ["margin", "fresh", "cur", "prev", "next_indent", "p1_end_line"]
+    else:
+        columns |= {"top": F.lit(True)}
+        extra = []
+    kept = ["path", "lang", "pos", "tok", "line", "end_line", "depth", "ahead", *extra]
+    return rows.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
 # ------------------------------------------------------------------ blocks
@@ -255,87 +340,86 @@ def _following(*keys: str) -> WindowSpec:
     )
 
 
-def _brackets(rows: DataFrame) -> DataFrame:
+def _brackets(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """Parameter lists and bodies by bracket depth.
 
-    All windows share one partitioning and order, so they cost one sort. A bracket's pair is the
-    nearest closing one after it at its depth.
+    Both windows share one partitioning and order, so they cost one sort. A bracket's pair is the
+    nearest closing one after it at its depth. ``stop`` is the nearest body, ``;`` or declaration.
     """
-    lang, tok, head = _c("lang"), _c("tok"), _c("head")
+    tok, head = _c("tok"), _c("head")
     after = _following("depth", "pos")
-    type_brace = ((lang == "typescript") & _in(_c("p1"), BEFORE_TYPE_BRACE)) | (
-        (lang == "go") & _in(_c("p1"), ("interface", "struct"))
-    )
-    body = (tok == "{") & ~type_brace
-    inside_generics = (
-        lang.isin("typescript", "rust")
-        & F.coalesce((_c("mark.depth") == _c("depth")) & (_c("angle") > _c("mark.angle")), F.lit(False))
-    )
-    paired = rows.select(
-        "*",
-        _last(tok.isin(")", "]", "}"), F.struct("pos", _c("end_line").alias("line")), after).alias("pair"),
-        _last((lang == "rust") & tok.isin("=", ";"), F.struct("pos", "tok"), after).alias("let_end"),
-        _last((lang == "rust") & tok.isin("in", ";", "{"), F.struct("pos", "tok"), after).alias("for_end"),
-    )
+    pair = F.struct("pos", _c("end_line").alias("line"), "then")
+    columns = {"pair": _last(tok.isin(")", "]", "}"), pair, after)}
+    if "rust" in languages:
+        end = F.struct("pos", "tok")
+        columns |= {
+            "let_end": _last((_c("lang") == "rust") & tok.isin("=", ";"), end, after),
+            "for_end": _last((_c("lang") == "rust") & tok.isin("in", ";", "{"), end, after),
+        }
+    paired = rows.select("*", *[c.alias(n) for n, c in columns.items()])
     stop = F.struct(
         F.when(head.isNotNull(), "head").otherwise(tok).alias("what"),
         "pos",
         F.when(tok == "{", _c("pair.pos")).otherwise(_c("pos")).alias("end_pos"),
         F.when(tok == "{", _c("pair.line")).otherwise(_c("end_line")).alias("end_line"),
     )
-    stopped = paired.withColumn("stop", _last(body | (tok == ";") | head.isNotNull(), stop, after))
-    closed = stopped.withColumn(
-        "closing", _last(tok == ")", F.struct("pos", _c("n1").alias("then"), "stop"), after)
+    return paired.select(
+        "*",
+        _last(_c("body") | (tok == ";") | head.isNotNull(), stop, after).alias("stop"),
+        _last(_c("list"), F.struct("pos", "pair"), after).alias("params"),
     )
-    opening = F.struct("pos", "closing")
-    return closed.withColumn("params", _last((tok == "(") & ~inside_generics, opening, after))
 
 
-def _brace_ranges(rows: DataFrame) -> DataFrame:
-    """Range and last line of declarations in brace languages; invalid heads lose their mark."""
-    head, params, stop, pair = _c("head"), _c("params"), _c("stop"), _c("pair")
-    body, then = params["closing"]["stop"], params["closing"]["then"]
-    has_body = _is(body["what"], "{")
+def _brace_ranges(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """Range and last line of declarations in brace languages; invalid heads lose their mark.
+
+    Brackets and separators have served their purpose here and are left out.
+    """
+    tok, head, params, stop, pair = (_c(x) for x in ("tok", "head", "params", "stop", "pair"))
+    then = params["pair"]["then"]
+    has_body = _is(stop["what"], "{")
+    brace_function = head.isin("ts_func", "ts_method", "rs_fn", "go_func", "go_method")
     valid = (
-        F.when(head.isin("ts_func", "rs_fn", "go_func", "go_method"), has_body)
-        .when(head == "ts_method", _is(then, "{") | (_is(then, ":") & has_body))
-        .when(head == "ts_class", _is(stop["what"], "{"))
+        F.when(head == "ts_method", (_is(then, "{") | _is(then, ":")) & has_body)
+        .when(brace_function | (head == "ts_class"), has_body)
         .when(head == "rs_struct", _in(stop["what"], "{;"))
-        .when(head.isin("go_struct", "go_iface"), pair.isNotNull())
-        .otherwise(F.lit(True))
-    )
-    brace_function = head.isin("ts_func", "ts_method", "rs_fn", "go_func", "go_method")
-    end_pos = (
-        F.when(brace_function, body["end_pos"])
-        .when(head.isin("ts_class", "rs_struct"), stop["end_pos"])
-        .when(head.isin("go_struct", "go_iface"), pair["pos"])
-    )
-    end_line = (
-        F.when(brace_function, body["end_line"])
-        .when(head.isin("ts_class", "rs_struct"), stop["end_line"])
-        .when(head == "go_struct", pair["line"])
-        .when(head == "go_iface", _c("start_line"))
-    )
-    start_pos = (
-        F.when(head.isin(*_FUNCTIONS), params["closing"]["pos"])
-        .when(head == "ts_class", stop["pos"])
-        .otherwise(_c("pos"))
+        .otherwise(head.isNotNull())
     )
+    own_pair = head.isin("go_struct", "go_iface")
     # A name with ``(...) :`` where a method may stand is a signature without a body: no call.
-    signature = (head == "ts_method") & _is(then, ":") & ~has_body
-    method_call = (head == "ts_method") & ~valid & ~signature
-    ranged = rows.withColumns(
-        {
-            "valid": head.isNotNull() & valid,
-            "call": _c("call") & (head.isNull() | ~head.isin("ts_method", "go_method") | method_call),
-            "end_pos": end_pos,
-            "end_line_of": end_line,
-            "start_pos": start_pos,
-            "open_pos": params["pos"],
-            "close_pos": params["closing"]["pos"],
-        }
-    )
-    return ranged.withColumn("head", F.when(_c("valid"), head)).drop("valid")
+    no_call = F.when(head == "ts_method", valid | _is(then, ":")).otherwise(head == "go_method")
+    columns = {
+        "head": F.when(valid, head),
+        "call": _c("call") & ~F.coalesce(no_call, F.lit(False)),
+        "end_pos": F.when(own_pair, pair["pos"]).when(head.isNotNull(), stop["end_pos"]),
+        "end_line_of": F.when(head == "go_iface", _c("start_line"))
+        .when(own_pair, pair["line"])
+        .when(head.isNotNull(), stop["end_line"]),
+        "start_pos": F.when(head.isin(*_FUNCTIONS), params["pair"]["pos"])
+        .when(head == "ts_class", stop["pos"])
+        .otherwise(_c("pos")),
+        "open_pos": params["pos"],
+        "close_pos": params["pair"]["pos"],
+        "opaque": F.lit(None).cast("int"),
+        "group": F.when(_c("group_line").isNotNull(), F.struct(_c("group_line").alias("line"), pair["line"].alias("end_line"))),
+    }
+    if "rust" in languages:
+        pattern = (_c("arm") & _c("call") & _in(then, ("=>", "if")))
+        columns["opaque"] = (
+            F.when(_c("macro"), pair["pos"])
+            .when((tok == "let") & _is(_c("let_end.tok"), "="), _c("let_end.pos"))
+            .when((tok == "for") & _is(_c("for_end.tok"), "in"), _c("for_end.pos"))
+            .when(pattern, params["pair"]["pos"])
+        )
+        columns["call"] = columns["call"] & ~F.coalesce(pattern, F.lit(False))
+    serves = head.isNotNull() | _c("call") | _c("imported") | _c("macro") | _c("group_line").isNotNull()
+    serves = serves | _by_language(languages, {"rust": tok.isin("let", "for")}, F.lit(False))
+    kept = ["path", "lang", "pos", "tok", "line", "end_line", "depth", "ahead", "name", "start_line",
+            "imported", "stmt", "top"]
+    if "python" in languages:
+        serves = serves | _c("fresh") | _c("last_token")
+        kept += ["margin", "fresh", "cur", "prev", "next_indent", "p1_end_line", "last_token", "lone_string"]
+    return rows.where(serves).select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
 def _indents(rows: DataFrame) -> DataFrame:
@@ -344,29 +428,27 @@ def _indents(rows: DataFrame) -> DataFrame:
     A logical line closes every level from its own indent up to the one before; it adds one row
     per level, and a declaration's block ends at the nearest such row of its level.
     """
-    lang, head, margin, prev = _c("lang"), _c("head"), _c("margin"), _c("prev")
+    head, margin, prev = _c("head"), _c("margin"), _c("prev")
     closer = lambda lvl, line, pos: F.struct(
-        lvl.cast("int").alias("lvl"), line.alias("line"), pos.cast("int").alias("pos")
+        lvl.cast("int").alias("lvl"), line.cast("int").alias("line"), pos.cast("int").alias("pos")
     )
-    none = F.array().cast("array<struct<lvl:int,line:bigint,pos:int>>")
-    python_head = head.isin("py_def", "py_class")
+    none = F.array().cast("array<struct<lvl:int,line:int,pos:int>>")
+    python_head = _in(head, ("py_def", "py_class"))
     top = F.when(prev["tok"].isin("def", "class", "async"), prev["indent"]).otherwise(prev["indent"] - 1)
     by_line = F.when(
         _c("fresh") & (top >= margin),
         F.transform(F.sequence(margin, top), lambda lvl: closer(lvl, _c("p1_end_line"), _c("pos"))),
     )
     by_end = F.when(
-        (lang == "python") & _c("n1").isNull(),
+        _c("last_token"),
         F.transform(
             F.sequence(F.lit(0), _c("cur.indent")),
             lambda lvl: closer(lvl, _c("end_line"), _c("pos") + 1),
         ),
     )
-    own = F.array(
-        closer(F.when(python_head, margin), F.lit(None).cast("bigint"), F.lit(None).cast("int"))
-    )
+    own = F.array(closer(F.when(python_head, margin), F.lit(None), F.lit(None)))
     spread = rows.withColumn(
-        "lvl_row", F.explode(F.concat(own, F.coalesce(by_line, none), F.coalesce(by_end, none)))
+        "lvl_row", F.explode_outer(F.concat(own, F.coalesce(by_line, none), F.coalesce(by_end, none)))
     ).select(
         "*",
         _c("lvl_row.lvl").alias("lvl"),
@@ -376,27 +458,18 @@ def _indents(rows: DataFrame) -> DataFrame:
     ended = spread.withColumn(
         "ended", _last(is_closer, _c("lvl_row"), _following("lvl", "ord"))
     ).where(~is_closer)
-    ended = ended.withColumns(
+    block = F.when(python_head & (_c("next_indent") > margin), _c("next_indent")).when(
+        _c("lone_string"), margin
+    )
+    documented = ended.withColumns(
         {
             "end_pos": F.when(python_head, _c("ended.pos") - 1).otherwise(_c("end_pos")),
             "end_line_of": F.when(python_head, _c("ended.line")).otherwise(_c("end_line_of")),
+            "block": block,
         }
-    )
-    lone_string = (
-        _c("fresh")
-        & is_string(_c("tok"))
-        & (_c("n1").isNull() | _c("n1_fresh") | _in(_c("n1"), ";,"))
-    )
-    block = F.when(python_head & (_c("next_indent") > margin), _c("next_indent")).when(lone_string, margin)
-    documented = ended.withColumn("block", block).withColumn(
-        "doc", _last(lone_string, F.struct("pos", "tok"), _following("block", "pos"))
-    )
-    return documented.withColumn(
-        "doc",
-        F.when(
-            python_head & _c("block").isNotNull() & (_c("doc.pos") <= _c("end_pos")), _c("doc.tok")
-        ),
-    )
+    ).withColumn("doc", _last(_c("lone_string"), F.struct("pos", "tok"), _following("block", "pos")))
+    inside = python_head & _c("block").isNotNull() & (_c("doc.pos") <= _c("end_pos"))
+    return documented.withColumn("doc", F.when(inside, _c("doc.tok")))
 
 
 def _enclosed(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
@@ -405,96 +478,60 @@ def _enclosed(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     A position lies in one of several ranges that start before it exactly when the largest end of
     those ranges reaches it, so a running maximum is enough.
     """
-    lang, tok, head, p1, p2 = (_c(x) for x in ("lang", "tok", "head", "p1", "p2"))
-    before = before_row()
-    pair = _c("pair.pos")
-    words = KEYWORDS["rust"]
-    arm = (
-        (lang == "rust")
-        & _c("call")
-        & _in(p1, ",{}|")
-        & _in(_c("params.closing.then"), ("=>", "if"))
-    )
-    opaque = F.when(
-        lang == "rust",
-        F.when(
-            tok.isin("(", "[", "{")
-            & (
-                (_is(p1, "!") & is_name(p2) & ~_in(p2, words))
-                | (_is(p2, "!") & _is(_c("p3"), "macro_rules"))
-                | ((tok == "[") & (_is(p1, "#") | (_is(p1, "!") & _is(p2, "#"))))
-            ),
-            pair,
-        )
-        .when((tok == "let") & _is(_c("let_end.tok"), "="), _c("let_end.pos"))
-        .when((tok == "for") & _is(_c("for_end.tok"), "in"), _c("for_end.pos"))
-        .when(arm, _c("params.closing.pos")),
-    )
+    head, tok, before, no = _c("head"), _c("tok"), before_row(), F.lit(False)
     is_class = _in(head, _CLASSES)
-    group = F.struct(_c("p1_line").alias("line"), _c("pair.line").alias("end_line"))
-    out = rows.withColumns({"opaque": opaque, "arm": F.coalesce(arm, F.lit(False))}).select(
+    out = rows.select(
         "*",
         F.max(F.when(is_class, _c("end_pos"))).over(before).alias("class_end"),
         _last(is_class, F.struct("depth", "end_pos"), before).alias("near_class"),
         F.max("opaque").over(before).alias("opaque_end"),
-        _last((lang == "go") & (tok == "(") & _is(p1, "type"), group, before).alias("group"),
+        F.last("group", ignorenulls=True).over(before).alias("in_group"),
     )
-    hidden = F.coalesce(_c("opaque_end") >= _c("pos"), F.lit(False)) | _c("arm")
-    in_class = F.coalesce(_c("class_end") >= _c("pos"), F.lit(False))
+    hidden = F.coalesce(_c("opaque_end") >= _c("pos"), no)
+    in_class = F.coalesce(_c("class_end") >= _c("pos"), no)
     direct = F.coalesce(
-        (_c("near_class.end_pos") >= _c("pos")) & (_c("near_class.depth") + 1 == _c("depth")), F.lit(False)
-    )
-    grouped = (head == "go_struct") & _c("start_line").isNull()
-    kept_head = F.when(
-        ~hidden & ((head != "ts_method") | (in_class & (direct | ~_in(tok, _CONTROL)))), head
+        (_c("near_class.end_pos") >= _c("pos")) & (_c("near_class.depth") + 1 == _c("depth")), no
     )
-    return out.withColumns(
-        {
-            "in_class": in_class,
-            "call": _c("call") & ~hidden,
-            "head": kept_head,
-            "end_line_of": F.when(grouped, _c("group.end_line")).otherwise(_c("end_line_of")),
-            "start_line": F.when(grouped, _c("group.line")).otherwise(_c("start_line")),
-        }
-    )
-
-
-def facts(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES) -> DataFrame:
-    """One row per declaration, call and import token."""
-    rows = _structural(_calls(_heads(_marks(significant(sources, languages)))))
-    rows = _brace_ranges(_brackets(rows))
-    if "python" in languages:
-        rows = _indents(rows)
-    else:
-        rows = rows.withColumn("doc", F.lit(None).cast("string"))
-    rows = _enclosed(rows, languages)
-    return rows.where(_c("head").isNotNull() | _c("call") | _c("imported")).select(
+    grouped = _is(head, "go_struct") & _c("start_line").isNull()
+    member = in_class & (direct | ~_in(tok, _CONTROL))
+    return out.select(
         "path",
         "lang",
         "pos",
         "tok",
-        "head",
+        F.when(~hidden & (~_is(head, "ts_method") | member), head).alias("head"),
         "name",
-        "call",
+        (_c("call") & ~hidden).alias("call"),
         "imported",
-        _c("mark.pos").alias("stmt"),
+        "stmt",
         "line",
-        "start_line",
-        F.coalesce("end_line_of", "end_line").alias("end_line"),
+        F.when(grouped, _c("in_group.line")).otherwise(_c("start_line")).alias("start_line"),
+        F.coalesce(
+            F.when(grouped, _c("in_group.end_line")), _c("end_line_of"), _c("end_line")
+        ).alias("end_line"),
         "start_pos",
         F.coalesce("end_pos", F.lit(2**31 - 1)).alias("end_pos"),
         "open_pos",
         "close_pos",
         "ahead",
         "doc",
-        "in_class",
-        (
-            (_c("margin") == 0)
-            | F.coalesce((_c("prev.tok") == "@") & (_c("prev.indent") == _c("margin")), F.lit(False))
-        ).alias("top"),
+        in_class.alias("in_class"),
+        "top",
     )
 
 
+def facts(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES) -> DataFrame:
+    """One row per declaration, call and import token."""
+    rows = _classified(_marks(significant(sources, languages), languages), languages)
+    rows = _brace_ranges(_brackets(rows, languages), languages)
+    if "python" in languages:
+        rows = _indents(rows)
+    else:
+        rows = rows.withColumn("doc", F.lit(None).cast("string"))
+    rows = _enclosed(rows, languages)
+    return rows.where(_c("head").isNotNull() | _c("call") | _c("imported"))
+
+
 # ------------------------------------------------------------------ symbols
 
 

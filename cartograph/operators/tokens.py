@@ -42,8 +42,19 @@ def prepare(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES) -> D
 
 def tokens(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES) -> DataFrame:
     """(path, lang, pos, tok): every token, trivia included."""
-    return prepare(sources, languages).select(
-        "path", "lang", F.posexplode("toks").alias("pos", "tok")
+    return _exploded(sources, languages).drop("toks")
+
+
+def _exploded(sources: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """(path, lang, toks, pos, tok).
+
+    The outer form keeps the optimizer from inferring ``size(lex(content)) > 0``, a filter it would
+    push below the shuffle, where the text would be split once more.
+    """
+    return (
+        prepare(sources, languages)
+        .select("path", "lang", "toks", F.posexplode_outer("toks").alias("pos", "tok"))
+        .where(F.col("tok").isNotNull())
     )
 
 
@@ -84,12 +95,14 @@ def significant(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES)
     """The tokens that carry meaning, each with its place and its neighbours.
 
     Added columns: ``line`` and ``end_line``; ``depth`` (brackets open around the token; a bracket
-    has the depth of its pair); ``angle`` (running ``<`` minus ``>``); ``p1..p3 n1..n4`` the
-    neighbours; ``gap`` a line break before; ``fresh`` and ``indent`` for tokens that start a
-    logical line; ``ahead`` the raw text that follows a possible declaration.
+    has the depth of its pair); ``angle`` (running ``<`` minus ``>``); ``named`` (identifier or
+    keyword); ``p1 p2`` and ``n1 n2`` the neighbours (further ones where a language needs them);
+    ``breaks`` a line break before; ``fresh`` and ``margin`` for tokens that start a logical line;
+    ``ahead`` the raw text that follows a possible declaration.
     """
     lang, tok = F.col("lang"), F.col("tok")
-    rows = prepare(sources, languages).select("path", "lang", "toks", F.posexplode("toks").alias("pos", "tok"))
+    python, go, rust = (name in languages for name in ("python", "go", "rust"))
+    rows = _exploded(sources, languages)
     generic = _generic_call(lang, tok) if "typescript" in languages else F.lit(False)
     rows = rows.select(
         "path",
@@ -101,24 +114,27 @@ def significant(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES)
             F.array_join(F.slice("toks", F.col("pos") + 1, AHEAD), ""),
         ).alias("ahead"),
         generic.alias("generic"),
-        newlines(tok).alias("nl"),
-        (is_blank(tok) | is_comment(tok, lang) | tok.rlike(r"^\\\r?\n")).alias("trivia"),
+        F.when(tok.contains("\n"), newlines(tok)).otherwise(0).alias("nl"),
+        is_name(tok).alias("named"),
+        (is_blank(tok) | is_comment(tok, lang) | ((lang == "python") & tok.rlike(r"^\\\r?\n"))).alias("trivia"),
     ).where(~F.col("trivia") | (F.col("nl") > 0))
     opens, closes = tok.isin("(", "[", "{"), tok.isin(")", "]", "}")
     here, earlier = in_order(), before_row()
+
+    def running(value: Column) -> Column:
+        return F.coalesce(F.sum(value).over(earlier), F.lit(0)).cast("int")
+
     placed = rows.select(
         "*",
-        F.coalesce(F.sum("nl").over(earlier), F.lit(0)).alias("lines_before"),
-        F.coalesce(
-            F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(earlier), F.lit(0)
-        ).alias("open_before"),
-        F.coalesce(
-            F.sum(F.when(tok == "<", 1).when(tok == ">", -1).otherwise(0)).over(earlier), F.lit(0)
-        ).alias("angle"),
+        running(F.col("nl")).alias("lines_before"),
+        running(F.when(opens, 1).when(closes, -1).otherwise(0)).alias("open_before"),
+        running(F.when(tok == "<", 1).when(tok == ">", -1).otherwise(0)).alias("angle"),
         F.lag("tok").over(here).alias("raw_before"),
     ).where(~F.col("trivia"))
     raw = F.col("raw_before")
     margin = F.substring_index(raw, "\n", -1)
+    width = F.length(margin) + 7 * (F.length(margin) - F.length(F.translate(margin, "\t", "")))
+    breaks = raw.isNull() | (raw.contains("\n") & is_blank(raw))
     placed = placed.select(
         "path",
         "lang",
@@ -126,26 +142,39 @@ def significant(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES)
         "tok",
         "ahead",
         "generic",
+        "named",
         (F.col("lines_before") + 1).alias("line"),
         (F.col("lines_before") + 1 + F.col("nl")).alias("end_line"),
-        (F.col("open_before") - closes.cast("int")).cast("int").alias("depth"),
-        F.col("angle").cast("int").alias("angle"),
-        (raw.isNull() | (is_blank(raw) & raw.contains("\n"))).alias("breaks"),
-        F.when(raw.isNull(), 0)
-        .otherwise(F.length(margin) + 7 * (F.length(margin) - F.length(F.translate(margin, "\t", ""))))
-        .alias("margin"),
-    )
-    placed = placed.withColumn(
-        "fresh", (F.col("lang") == "python") & F.col("breaks") & (F.col("depth") == 0) & ~closes
-    )
-    near = {f"p{k}": F.lag("tok", k).over(here) for k in (1, 2, 3)}
-    near |= {f"n{k}": F.lead("tok", k).over(here) for k in (1, 2, 3, 4)}
-    return placed.select(
-        "*",
-        *[c.alias(n) for n, c in near.items()],
-        F.lag("line").over(here).alias("p1_line"),
-        F.lag("end_line").over(here).alias("p1_end_line"),
-        F.lag("breaks").over(here).alias("p1_breaks"),
-        F.lead("fresh").over(here).alias("n1_fresh"),
-        F.lead("line").over(here).alias("n1_line"),
+        (F.col("open_before") - closes.cast("int")).alias("depth"),
+        "angle",
+        breaks.alias("breaks"),
+        (F.when(raw.isNull(), 0).otherwise(width) if python else F.lit(0)).alias("margin"),
+        (
+            (lang == "python") & (F.col("open_before") == 0) & breaks & ~closes
+            if python
+            else F.lit(False)
+        ).alias("fresh"),
     )
+    near = {
+        "p1": F.lag("tok", 1),
+        "p2": F.lag("tok", 2),
+        "n1": F.lead("tok", 1),
+        "n2": F.lead("tok", 2),
+        "p1_named": F.lag("named", 1),
+        "n1_named": F.lead("named", 1),
+        "p1_line": F.lag("line", 1),
+        "p1_end_line": F.lag("end_line", 1),
+        "n1_line": F.lead("line", 1),
+    }
+    if python:
+        near |= {"n1_fresh": F.lead("fresh", 1)}
+    if rust:
+        near |= {"p2_named": F.lag("named", 2), "p3": F.lag("tok", 3)}
+    if go:
+        near |= {
+            "n3": F.lead("tok", 3),
+            "n3_named": F.lead("named", 3),
+            "n4": F.lead("tok", 4),
+            "p1_breaks": F.lag("breaks", 1),
+        }
+    return placed.select("*", *[c.over(here).alias(n) for n, c in near.items()])
