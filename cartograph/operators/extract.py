@@ -62,12 +62,17 @@ _CLASSES = ("py_class", "ts_class")
 _c = F.col
 
 
-def _in(col: Column, values) -> Column:
+def _in(col: str | Column, values) -> Column:
+    """Membership that is false for null. A column name makes one SQL expression of it."""
+    if isinstance(col, str):
+        listed = ", ".join(f"'{v}'" for v in values)
+        return F.expr(f"coalesce({col} IN ({listed}), false)")
     return F.coalesce(col.isin(*values), F.lit(False))
 
 
-def _is(col: Column, value) -> Column:
-    return F.coalesce(col == F.lit(value), F.lit(False))
+def _is(col: str, value: str) -> Column:
+    """Equality that is false for null."""
+    return F.expr(f"{col} <=> '{value}'")
 
 
 def _last(condition: Column, value: Column, over: WindowSpec) -> Column:
@@ -95,12 +100,12 @@ def _marks(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         languages,
         {
             "python": _c("fresh")
-            | (_is(p1, ";") & (_c("depth") == 0))
-            | (_is(p1, ":") & tok.isin("import", "from")),
-            "typescript": (tok.isin("import", "export") & ~_is(p1, "."))
-            | (_is(_c("n1"), "<") & _c("named")),
-            "rust": _is(p1, "fn") & _is(_c("n1"), "<"),
-            "go": tok.isin("func", "type", "var", "const", "import"),
+            | (_is("p1", ";") & (_c("depth") == 0))
+            | (_is("p1", ":") & _in("tok", ("import", "from"))),
+            "typescript": (_in("tok", ("import", "export")) & ~_is("p1", "."))
+            | (_is("n1", "<") & _c("named")),
+            "rust": _is("p1", "fn") & _is("n1", "<"),
+            "go": _in("tok", ("func", "type", "var", "const", "import")),
         },
         F.lit(False),
     )
@@ -128,11 +133,11 @@ def _head(languages: tuple[str, ...]) -> Column:
     if "python" in languages:
         cases["python"] = F.when(
             _c("fresh")
-            & (((tok == "def") & named & _in(n2, "([")) | ((tok == "async") & _is(n1, "def"))),
+            & (((tok == "def") & named & _in("n2", "([")) | ((tok == "async") & _is("n1", "def"))),
             "py_def",
         ).when(_c("fresh") & (tok == "class") & named, "py_class")
     if "typescript" in languages:
-        before = F.when(_is(p1, "async"), p2).otherwise(p1)
+        before = F.when(_is("p1", "async"), p2).otherwise(p1)
         statement = ~_in(before, OPERAND_FOLLOWS)
         first_on_line = F.coalesce(_c("line") > _c("p1_end_line"), F.lit(False))
         cases["typescript"] = (
@@ -140,15 +145,15 @@ def _head(languages: tuple[str, ...]) -> Column:
             .when(
                 (tok == "class")
                 & named
-                & ~_in(n1, ("extends", "implements"))
+                & ~_in("n1", ("extends", "implements"))
                 & statement
-                & ~_is(p1, "abstract"),
+                & ~_is("p1", "abstract"),
                 "ts_class",
             )
             .when(
-                _in(n1, "(<")
+                _in("n1", "(<")
                 & _c("named")
-                & (_in(p1, BEFORE_METHOD) | (first_on_line & ~_in(p1, OPERAND_FOLLOWS))),
+                & (_in("p1", BEFORE_METHOD) | (first_on_line & ~_in("p1", OPERAND_FOLLOWS))),
                 "ts_method",
             )
         )
@@ -158,30 +163,30 @@ def _head(languages: tuple[str, ...]) -> Column:
         )
     if "go" in languages:
         generic_type = (
-            _is(p1, "]")
+            _is("p1", "]")
             & (mark["depth"] == depth)
-            & _is(mark["n2"], "[")
+            & _is("mark.n2", "[")
             & mark["n3_named"]
-            & ~_is(mark["n4"], "]")
+            & ~_is("mark.n4", "]")
         )
         grouped_type = (
-            _is(mark["n1"], "(")
+            _is("mark.n1", "(")
             & (depth == mark["depth"] + 1)
             & _c("p1_named")
-            & (_c("p1_breaks") | _in(p2, "(;"))
+            & (_c("p1_breaks") | _in("p2", "(;"))
         )
         typed = (
-            _is(n1, "{") & _is(mark["tok"], "type") & (_is(p2, "type") | generic_type | grouped_type)
+            _is("n1", "{") & _is("mark.tok", "type") & (_is("p2", "type") | generic_type | grouped_type)
         )
         cases["go"] = (
             F.when((tok == "func") & named, "go_func")
             .when(
                 _c("named")
-                & _is(n1, "(")
-                & _is(p1, ")")
+                & _is("n1", "(")
+                & _is("p1", ")")
                 & (_c("line") == _c("p1_end_line"))
-                & _is(mark["tok"], "func")
-                & _is(mark["n1"], "(")
+                & _is("mark.tok", "func")
+                & _is("mark.n1", "(")
                 & (mark["depth"] == depth),
                 "go_method",
             )
@@ -199,16 +204,16 @@ def _name_and_line(languages: tuple[str, ...]) -> tuple[Column, Column]:
         names["python"] = F.when(tok == "async", _c("n2")).otherwise(n1)
         lines["python"] = _c("line")
     if "typescript" in languages:
-        names["typescript"] = F.when(tok.isin("function", "class") & _c("n1_named"), n1).otherwise(tok)
-        lines["typescript"] = F.when(_is(p1, "async"), _c("p1_line")).otherwise(_c("line"))
+        names["typescript"] = F.when(_in("tok", ("function", "class")) & _c("n1_named"), n1).otherwise(tok)
+        lines["typescript"] = F.when(_is("p1", "async"), _c("p1_line")).otherwise(_c("line"))
     if "rust" in languages:
         names["rust"], lines["rust"] = n1, _c("line")
     if "go" in languages:
-        mark, bracket = _c("mark"), _is(p1, "]")
-        grouped = _is(mark["n1"], "(")
+        mark, bracket = _c("mark"), _is("p1", "]")
+        grouped = _is("mark.n1", "(")
         names["go"] = (
             F.when(tok == "func", n1)
-            .when(tok.isin("struct", "interface"), F.when(bracket, mark["n1"]).otherwise(p1))
+            .when(_in("tok", ("struct", "interface")), F.when(bracket, mark["n1"]).otherwise(p1))
             .otherwise(tok)
         )
         # A struct in a type group takes the group's lines, which are known later.
@@ -227,30 +232,30 @@ def _name_and_line(languages: tuple[str, ...]) -> tuple[Column, Column]:
 def _call_and_import(languages: tuple[str, ...]) -> tuple[Column, Column]:
     """Whether a token is a plain name that is called, and whether it is part of an import."""
     tok, p1, p2, n1 = (_c(x) for x in ("tok", "p1", "p2", "n1"))
-    called = _is(n1, "(") & _c("named")
-    free = {name: ~tok.isin(*words) for name, words in KEYWORDS.items()}
+    called = _is("n1", "(") & _c("named")
+    free = {name: ~_in("tok", words) for name, words in KEYWORDS.items()}
     calls, imports = {}, {}
     if "python" in languages:
-        calls["python"] = called & ~_in(p1, (".", "def", "class")) & ~_c("n1_fresh") & free["python"]
-        imports["python"] = _in(_c("mark.tok"), ("import", "from"))
+        calls["python"] = called & ~_in("p1", (".", "def", "class")) & ~_c("n1_fresh") & free["python"]
+        imports["python"] = _in("mark.tok", ("import", "from"))
     if "typescript" in languages:
         calls["typescript"] = (
-            (called | _c("generic") | (_c("named") & _is(n1, "?.") & _is(_c("n2"), "(")))
-            & ~_in(p1, (".", "?.", "new", "function"))
-            & ~(_is(p1, "*") & _is(p2, "function"))
+            (called | _c("generic") | (_c("named") & _is("n1", "?.") & _is("n2", "(")))
+            & ~_in("p1", (".", "?.", "new", "function"))
+            & ~(_is("p1", "*") & _is("p2", "function"))
             & free["typescript"]
         )
         imports["typescript"] = ~_c("named") & (
-            (_is(p1, "from") & _is(_c("mark.tok"), "import")) | _is(p1, "import")
+            (_is("p1", "from") & _is("mark.tok", "import")) | _is("p1", "import")
         ) & is_string(tok)
     if "rust" in languages:
-        calls["rust"] = called & ~_in(p1, (".", "::", "fn", "!")) & free["rust"]
+        calls["rust"] = called & ~_in("p1", (".", "::", "fn", "!")) & free["rust"]
     if "go" in languages:
         calls["go"] = (
-            called & ~_in(p1, (".", "func")) & (_c("n1_line") == _c("end_line")) & free["go"]
+            called & ~_in("p1", (".", "func")) & (_c("n1_line") == _c("end_line")) & free["go"]
         )
         imports["go"] = (
-            _is(p1, "import") | (_is(p2, "import") & ~_is(p1, "("))
+            _is("p1", "import") | (_is("p2", "import") & ~_is("p1", "("))
         ) & tok.startswith('"')
     no = F.lit(False)
     return (
@@ -267,29 +272,29 @@ def _classified(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     words = _by_language(
         languages,
         {
-            "python": _c("fresh") | n1.isNull() | _in(_c("mark.tok"), ("import", "from")),
-            "typescript": tok.isin("function", "class") | _is(n1, "<") | _is(n1, "?.")
-            | _in(p1, ("from", "import")),
-            "rust": tok.isin("fn", "struct", "let", "for", "in", "="),
-            "go": tok.isin("func", "struct", "interface") | _is(p1, "import") | _is(p2, "import"),
+            "python": _c("fresh") | n1.isNull() | _in("mark.tok", ("import", "from")),
+            "typescript": _in("tok", ("function", "class")) | _is("n1", "<") | _is("n1", "?.")
+            | _in("p1", ("from", "import")),
+            "rust": _in("tok", ("fn", "struct", "let", "for", "in", "=")),
+            "go": _in("tok", ("func", "struct", "interface")) | _is("p1", "import") | _is("p2", "import"),
         },
         no,
     )
-    rows = rows.where(tok.isin("(", ")", "[", "]", "{", "}", ";") | _is(n1, "(") | words)
+    rows = rows.where(_in("tok", ("(", ")", "[", "]", "{", "}", ";")) | _is("n1", "(") | words)
     name, start_line = _name_and_line(languages)
     call, imported = _call_and_import(languages)
     type_brace = _by_language(
         languages,
-        {"typescript": _in(p1, BEFORE_TYPE_BRACE), "go": _in(p1, ("interface", "struct"))},
+        {"typescript": _in("p1", BEFORE_TYPE_BRACE), "go": _in("p1", ("interface", "struct"))},
         no,
     )
     in_generics = F.coalesce(
         (_c("mark.depth") == _c("depth")) & (_c("angle") > _c("mark.angle")), no
     )
     macro = (
-        (_is(p1, "!") & _c("p2_named") & ~_in(p2, KEYWORDS["rust"]))
-        | (_is(p2, "!") & _is(_c("p3"), "macro_rules"))
-        | ((tok == "[") & (_is(p1, "#") | (_is(p1, "!") & _is(p2, "#"))))
+        (_is("p1", "!") & _c("p2_named") & ~_in("p2", KEYWORDS["rust"]))
+        | (_is("p2", "!") & _is("p3", "macro_rules"))
+        | ((tok == "[") & (_is("p1", "#") | (_is("p1", "!") & _is("p2", "#"))))
         if "rust" in languages
         else no
     )
@@ -303,11 +308,11 @@ def _classified(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         "list": (tok == "(")
         & ~_by_language(languages, {"typescript": in_generics, "rust": in_generics}, no),
         "then": F.when(tok == ")", n1),
-        "macro": _by_language(languages, {"rust": tok.isin("(", "[", "{") & macro}, no),
-        "arm": _by_language(languages, {"rust": _in(p1, ",{}|")}, no),
+        "macro": _by_language(languages, {"rust": _in("tok", ("(", "[", "{")) & macro}, no),
+        "arm": _by_language(languages, {"rust": _in("p1", ",{}|")}, no),
         "group_line": _by_language(
             languages,
-            {"go": F.when((tok == "(") & _is(p1, "type"), _c("p1_line"))},
+            {"go": F.when((tok == "(") & _is("p1", "type"), _c("p1_line"))},
             F.lit(None).cast("int"),
         ),
         "stmt": _c("mark.pos"),
@@ -316,7 +321,7 @@ def _classified(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         ends = n1.isNull() | _c("n1_fresh")
         columns |= {
             "last_token": (_c("lang") == "python") & n1.isNull(),
-            "lone_string": _c("fresh") & (ends | _in(n1, ";,")) & is_string(tok),
+            "lone_string": _c("fresh") & (ends | _in("n1", ";,")) & is_string(tok),
             "top": (_c("margin") == 0)
             | F.coalesce((_c("prev.tok") == "@") & (_c("prev.indent") == _c("margin")), no),
         }
@@ -349,12 +354,12 @@ def _brackets(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     tok, head = _c("tok"), _c("head")
     after = _following("depth", "pos")
     pair = F.struct("pos", _c("end_line").alias("line"), "then")
-    columns = {"pair": _last(tok.isin(")", "]", "}"), pair, after)}
+    columns = {"pair": _last(_in("tok", (")", "]", "}")), pair, after)}
     if "rust" in languages:
         end = F.struct("pos", "tok")
         columns |= {
-            "let_end": _last((_c("lang") == "rust") & tok.isin("=", ";"), end, after),
-            "for_end": _last((_c("lang") == "rust") & tok.isin("in", ";", "{"), end, after),
+            "let_end": _last((_c("lang") == "rust") & _in("tok", ("=", ";")), end, after),
+            "for_end": _last((_c("lang") == "rust") & _in("tok", ("in", ";", "{")), end, after),
         }
     paired = rows.select("*", *[c.alias(n) for n, c in columns.items()])
     stop = F.struct(
@@ -377,17 +382,17 @@ def _brace_ranges(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """
     tok, head, params, stop, pair = (_c(x) for x in ("tok", "head", "params", "stop", "pair"))
     then = params["pair"]["then"]
-    has_body = _is(stop["what"], "{")
-    brace_function = head.isin("ts_func", "ts_method", "rs_fn", "go_func", "go_method")
+    has_body = _is("stop.what", "{")
+    brace_function = _in("head", ("ts_func", "ts_method", "rs_fn", "go_func", "go_method"))
     valid = (
-        F.when(head == "ts_method", (_is(then, "{") | _is(then, ":")) & has_body)
+        F.when(head == "ts_method", (_is("params.pair.then", "{") | _is("params.pair.then", ":")) & has_body)
         .when(brace_function | (head == "ts_class"), has_body)
-        .when(head == "rs_struct", _in(stop["what"], "{;"))
+        .when(head == "rs_struct", _in("stop.what", "{;"))
         .otherwise(head.isNotNull())
     )
-    own_pair = head.isin("go_struct", "go_iface")
+    own_pair = _in("head", ("go_struct", "go_iface"))
     # A name with ``(...) :`` where a method may stand is a signature without a body: no call.
-    no_call = F.when(head == "ts_method", valid | _is(then, ":")).otherwise(head == "go_method")
+    no_call = F.when(head == "ts_method", valid | _is("params.pair.then", ":")).otherwise(head == "go_method")
     columns = {
         "head": F.when(valid, head),
         "call": _c("call") & ~F.coalesce(no_call, F.lit(False)),
@@ -395,7 +400,7 @@ def _brace_ranges(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         "end_line_of": F.when(head == "go_iface", _c("start_line"))
         .when(own_pair, pair["line"])
         .when(head.isNotNull(), stop["end_line"]),
-        "start_pos": F.when(head.isin(*_FUNCTIONS), params["pair"]["pos"])
+        "start_pos": F.when(_in("head", _FUNCTIONS), params["pair"]["pos"])
         .when(head == "ts_class", stop["pos"])
         .otherwise(_c("pos")),
         "open_pos": params["pos"],
@@ -404,16 +409,16 @@ def _brace_ranges(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         "group": F.when(_c("group_line").isNotNull(), F.struct(_c("group_line").alias("line"), pair["line"].alias("end_line"))),
     }
     if "rust" in languages:
-        pattern = (_c("arm") & _c("call") & _in(then, ("=>", "if")))
+        pattern = (_c("arm") & _c("call") & _in("params.pair.then", ("=>", "if")))
         columns["opaque"] = (
             F.when(_c("macro"), pair["pos"])
-            .when((tok == "let") & _is(_c("let_end.tok"), "="), _c("let_end.pos"))
-            .when((tok == "for") & _is(_c("for_end.tok"), "in"), _c("for_end.pos"))
+            .when((tok == "let") & _is("let_end.tok", "="), _c("let_end.pos"))
+            .when((tok == "for") & _is("for_end.tok", "in"), _c("for_end.pos"))
             .when(pattern, params["pair"]["pos"])
         )
         columns["call"] = columns["call"] & ~F.coalesce(pattern, F.lit(False))
     serves = head.isNotNull() | _c("call") | _c("imported") | _c("macro") | _c("group_line").isNotNull()
-    serves = serves | _by_language(languages, {"rust": tok.isin("let", "for")}, F.lit(False))
+    serves = serves | _by_language(languages, {"rust": _in("tok", ("let", "for"))}, F.lit(False))
     kept = ["path", "lang", "pos", "tok", "line", "end_line", "depth", "ahead", "name", "start_line",
             "imported", "stmt", "top"]
     if "python" in languages:
@@ -433,7 +438,7 @@ def _indents(rows: DataFrame) -> DataFrame:
         lvl.cast("int").alias("lvl"), line.cast("int").alias("line"), pos.cast("int").alias("pos")
     )
     none = F.array().cast("array<struct<lvl:int,line:int,pos:int>>")
-    python_head = _in(head, ("py_def", "py_class"))
+    python_head = _in("head", ("py_def", "py_class"))
     top = F.when(prev["tok"].isin("def", "class", "async"), prev["indent"]).otherwise(prev["indent"] - 1)
     by_line = F.when(
         _c("fresh") & (top >= margin),
@@ -479,7 +484,7 @@ def _enclosed(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     those ranges reaches it, so a running maximum is enough.
     """
     head, tok, before, no = _c("head"), _c("tok"), before_row(), F.lit(False)
-    is_class = _in(head, _CLASSES)
+    is_class = _in("head", _CLASSES)
     out = rows.select(
         "*",
         F.max(F.when(is_class, _c("end_pos"))).over(before).alias("class_end"),
@@ -492,14 +497,14 @@ def _enclosed(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     direct = F.coalesce(
         (_c("near_class.end_pos") >= _c("pos")) & (_c("near_class.depth") + 1 == _c("depth")), no
     )
-    grouped = _is(head, "go_struct") & _c("start_line").isNull()
-    member = in_class & (direct | ~_in(tok, _CONTROL))
+    grouped = _is("head", "go_struct") & _c("start_line").isNull()
+    member = in_class & (direct | ~_in("tok", _CONTROL))
     return out.select(
         "path",
         "lang",
         "pos",
         "tok",
-        F.when(~hidden & (~_is(head, "ts_method") | member), head).alias("head"),
+        F.when(~hidden & (~_is("head", "ts_method") | member), head).alias("head"),
         "name",
         (_c("call") & ~hidden).alias("call"),
         "imported",
@@ -621,8 +626,8 @@ def _symbols(
     clean_signature: bool,
 ) -> DataFrame:
     head = _c("head")
-    with_params = _parameters(heads.where(head.isin(*_FUNCTIONS)), sources, languages, uncovered)
-    plain = heads.where(~head.isin(*_FUNCTIONS)).withColumn("params", F.lit(None).cast("string"))
+    with_params = _parameters(heads.where(_in("head", _FUNCTIONS)), sources, languages, uncovered)
+    plain = heads.where(~_in("head", _FUNCTIONS)).withColumn("params", F.lit(None).cast("string"))
     rows = with_params.unionByName(plain)
     prefix = F.lit(None).cast("string")
     for sort, text in SIGNATURES.items():
@@ -674,14 +679,14 @@ def _raw_edges(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(raw edges, call sites with their line)."""
     head = _c("head")
     is_method = ((head == "py_def") & _c("in_class")) | (head == "ts_method")
-    emitted = head.isin(*_FUNCTIONS) & ((head != "py_def") | _c("top") | _c("in_class"))
+    emitted = _in("head", _FUNCTIONS) & ((head != "py_def") | _c("top") | _c("in_class"))
     ends = found.groupBy("path").agg(F.max("pos").alias("last_pos"))
-    bounded = found.where(_in(head, _FUNCTIONS + _CLASSES)).join(ends, "path").withColumn(
+    bounded = found.where(_in("head", _FUNCTIONS + _CLASSES)).join(ends, "path").withColumn(
         "end_pos", F.least("end_pos", "last_pos")
     )
-    ranges = bounded.where(emitted | _in(head, _CLASSES)).where(_c("end_pos") >= _c("start_pos")).select(
+    ranges = bounded.where(emitted | _in("head", _CLASSES)).where(_c("end_pos") >= _c("start_pos")).select(
         "path",
-        F.when(_in(head, _CLASSES), "defines").otherwise("calls").alias("role"),
+        F.when(_in("head", _CLASSES), "defines").otherwise("calls").alias("role"),
         "start_pos",
         "end_pos",
         _symbol_id().alias("source"),
@@ -744,7 +749,7 @@ def extract(
 
     Symbols are as declared, before ids are made unique (see ``resolve.dedup_nodes``).
     """
-    far = F.sum(F.when(_in(_c("head"), _FUNCTIONS) & ~_covered(), 1).otherwise(0))
+    far = F.sum(F.when(_in("head", _FUNCTIONS) & ~_covered(), 1).otherwise(0))
     found = stage(facts(sources, languages), "facts", far=far)
     heads = found.df.where(_c("head").isNotNull())
     symbols = _symbols(

@@ -45,3 +45,152 @@ def not_hidden(path: Column) -> Column:
 
 def with_language(files: DataFrame) -> DataFrame:
     return files.withColumn("lang", language_of(F.col("path")))
+
+
+def discover(
+    spark: SparkSession,
+    root: str,
+    scope: str | None = None,
+    suffixes: tuple[str, ...] = tuple(LANGUAGES),
+    skip_dirs: bool = True,
+    hidden: bool = False,
+) -> DataFrame:
+    """(path, full_path, length, modified) of the source files below ``root``.
+
+    ``path`` is relative to ``root``. The listing selects no contents, so none are read.
+    """
+    base = root.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
+    full = F.col("full_path")
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(root)
+        .select(
+            F.col("path").alias("full_path"), "length", F.col("modificationTime").alias("modified")
+        )
+        .withColumn("path", F.substr(full, F.instr(full, base) + len(base)))
+    )
+    path = F.col("path")
+    files = files.where(last_suffix(path).isin(*suffixes))
+    if scope:
+        files = files.where(in_scope(path, scope.removeprefix(base)))
+    if skip_dirs:
+        files = files.where(outside_skip_dirs(path))
+    if not hidden:
+        files = files.where(not_hidden(path))
+    return files.select("path", "full_path", "length", "modified")
+
+
+def split_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``files(path, content BINARY)`` to (sources, quarantine); only valid UTF-8 becomes text."""
+    text = files.withColumn("text", F.col("content").cast("string")).withColumn(
+        "valid", F.is_valid_utf8("text")
+    )
+    good = text.where("valid").select("path", F.col("text").alias("content"))
+    bad = text.where("NOT valid").select(
+        "path", F.octet_length("text").cast("long").alias("length"), F.lit("not UTF-8").alias("reason")
+    )
+    return good, bad
+
+
+def read_sources(spark: SparkSession, root: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contents of the discovered ``files``: (sources, quarantine)."""
+    contents = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(root)
+        .select(F.col("path").alias("full_path"), "content")
+    )
+    return split_text(files.join(contents, "full_path").select("path", "content"))
+
+
+# ---------------------------------------------------------------- ignore rules
+
+
+def parse_ignore_rules(lines: DataFrame) -> DataFrame:
+    """``lines(dir, line_no, line)`` of ignore files to rules (dir, regex, negated, only_dirs, ord).
+
+    ``dir`` is the folder of the ignore file relative to the root, empty for the root. Deeper files
+    and later lines come later in ``ord`` and win.
+    """
+    raw = F.rtrim("line")
+    rows = lines.where((raw != "") & ~raw.startswith("#")).select(
+        "dir",
+        "line_no",
+        raw.startswith("!").alias("negated"),
+        F.regexp_replace(raw, r"^!|^\\(?=[#!])", "").alias("glob"),
+    )
+    glob = F.col("glob")
+    body = F.regexp_replace(glob, r"^/|/$", "")
+    anchored = F.regexp_replace(glob, r"/$", "").contains("/")
+    quoted = F.regexp_replace(body, r"([.+^$(){}|\\])", r"\\$1")
+    # ``**`` is set aside first, so that the single star keeps to one component.
+    step = F.regexp_replace(quoted, r"^\*\*/", "\u0001")
+    step = F.regexp_replace(step, r"/\*\*/", "\u0002")
+    step = F.regexp_replace(step, r"/\*\*$", "\u0003")
+    step = F.regexp_replace(step, r"\*+", "[^/]*")
+    step = F.regexp_replace(step, r"\?", "[^/]")
+    step = F.regexp_replace(step, "\u0001", "(?:.*/)?")
+    step = F.regexp_replace(step, "\u0002", "/(?:.*/)?")
+    step = F.regexp_replace(step, "\u0003", "/.+")
+    start = F.when(anchored, F.lit("^")).otherwise(F.lit("^(?:.*/)?"))
+    depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
+    return rows.select(
+        "dir",
+        F.concat(start, step, F.lit("$")).alias("regex"),
+        "negated",
+        glob.endswith("/").alias("only_dirs"),
+        F.struct(depth.alias("depth"), "line_no").alias("ord"),
+    )
+
+
+def read_ignore_files(spark: SparkSession, root: str, name: str = ".gitignore") -> DataFrame:
+    """Rules of all ignore files below ``root``."""
+    base = root.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
+    files = (
+        spark.read.option("wholetext", True)
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", name)
+        .text(root)
+        .select(F.col("_metadata.file_path").alias("full"), "value")
+    )
+    rel = F.substr(F.col("full"), F.instr(F.col("full"), base) + len(base))
+    lines = files.select(
+        F.regexp_replace(rel, r"/?[^/]*$", "").alias("dir"),
+        F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"),
+    )
+    return parse_ignore_rules(lines)
+
+
+def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Files that no rule excludes, by the last matching rule for the file and each folder above.
+
+    Files meet rules by equality on the folder of the ignore file: every folder above an entry is
+    one join key. A file below an excluded folder stays excluded whatever later rules say.
+    """
+    parts = F.split("path", "/")
+    prefix = lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
+    entries = files.select(
+        "path", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("n"), F.size(parts).alias("total")
+    ).select("path", prefix(F.col("n")).alias("entry"), (F.col("n") < F.col("total")).alias("is_dir"))
+    above = F.split("entry", "/")
+    keyed = entries.withColumn("up", F.explode(F.sequence(F.lit(0), F.size(above) - 1))).select(
+        "path",
+        "entry",
+        "is_dir",
+        F.array_join(F.slice(above, F.lit(1), F.col("up")), "/").alias("dir"),
+    )
+    inner = F.when(F.col("dir") == "", F.col("entry")).otherwise(
+        F.substr(F.col("entry"), F.length("dir") + 2)
+    )
+    matched = keyed.join(rules, "dir").where(
+        F.rlike(inner, F.col("regex")) & (~F.col("only_dirs") | F.col("is_dir"))
+    )
+    excluded = (
+        matched.groupBy("path", "entry")
+        .agg(F.max_by("negated", "ord").alias("negated"))
+        .where("NOT negated")
+        .select("path")
+        .distinct()
+    )
+    return files.join(excluded, "path", "left_anti")
