@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cartograph.functions.text import language_of
 from cartograph.operators import lookup
 from cartograph.operators.extract import Extraction, extract
-from cartograph.operators.tokens import significant, tokens
+from cartograph.operators.tokens import tokens
 from cartograph.plans import corpora, derived, index
 from cartograph.plans.catalog import query
 from cartograph.plans.derived import LISTING_FOLDERS, LISTING_SUFFIXES, Tables
@@ -101,20 +101,14 @@ def utf8_quarantine(spark, sf):
 
 # ---------------------------------------------------------------- corpora
 
-_found: dict[tuple[str, str, str], Extraction] = {}
-_CORPORA = {
-    "python": corpora.c_py,
-    "typescript": corpora.c_ts,
-    "rust": corpora.c_rs,
-    "go": corpora.c_go,
-}
+_found: dict[tuple[str, str], Extraction] = {}
 
 
-def corpus(spark: SparkSession, sf: str, lang: str) -> Extraction:
-    """Extraction of one corpus, staged once per application and scale, as an index would be."""
-    key = (spark.sparkContext.applicationId, sf, lang)
+def corpus(spark: SparkSession, sf: str) -> Extraction:
+    """Extraction of all corpora in one pass, staged once per application and scale, as an index is."""
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _found:
-        found = extract(_CORPORA[lang](Tables(spark, sf)), (lang,))
+        found = extract(corpora.everything(Tables(spark, sf)))
         _found[key] = found._replace(
             symbols=stage(found.symbols, "symbols").df,
             raw_edges=stage(found.raw_edges, "raw").df,
@@ -127,14 +121,16 @@ _COLUMNS = ("id", "name", "kind", "file_path", "line_start", "line_end", "signat
 
 def _kind(lang: str, kind: str):
     def run(spark, sf):
-        return corpus(spark, sf, lang).symbols.where(F.col("kind") == kind).select(*_COLUMNS)
+        own = language_of(F.col("file_path")) == lang
+        return corpus(spark, sf).symbols.where(own & (F.col("kind") == kind)).select(*_COLUMNS)
 
     return run
 
 
 def _edges(lang: str, kind: str):
     def run(spark, sf):
-        return corpus(spark, sf, lang).raw_edges.where(F.col("kind") == kind)
+        own = language_of(store.path_of_id(F.col("source"))) == lang
+        return corpus(spark, sf).raw_edges.where(own & (F.col("kind") == kind))
 
     return run
 
@@ -243,10 +239,7 @@ for _name, _sql, _fn in (
 
 @query("py_docstrings", f"SELECT {_PY_F} || '::part_' || p_partkey AS id, '\"\"\"' || p_name || '\"\"\"' AS docstring FROM part")
 def py_docstrings(spark, sf):
-    return corpus(spark, sf, "python").symbols.where("docstring IS NOT NULL").select("id", "docstring")
-
-
-_BOTH = "SELECT * FROM ({}) UNION ALL SELECT * FROM ({})"
+    return corpus(spark, sf).symbols.where("docstring IS NOT NULL").select("id", "docstring")
 
 
 @query("call_sites", f"""
@@ -256,7 +249,8 @@ UNION ALL SELECT {_PY_C} || '::ping_' || s_suppkey, 'part_0', {_PY_C}, CAST(1 +
 FROM supplier""")
 def call_sites(spark, sf):
     """Every call with its line: the detail behind the call edges."""
-    return corpus(spark, sf, "python").call_sites.select("source", "target", "file_path", "line")
+    sites = corpus(spark, sf).call_sites.where(language_of(F.col("file_path")) == "python")
+    return sites.select("source", "target", "file_path", "line")
 
 
 @query("token_stats", f"""
@@ -304,14 +298,7 @@ _SUMMARY = " UNION ALL ".join(
 
 @query("extract_summary", _SUMMARY)
 def extract_summary(spark, sf):
-    t = Tables(spark, sf)
-    parts = [
-        index.extract_summary(_CORPORA[lang](t), corpus(spark, sf, lang)) for lang in _CORPORA
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return index.extract_summary(corpora.everything(Tables(spark, sf)), corpus(spark, sf))
 
 
 @query("find_definition", f"""
@@ -324,13 +311,12 @@ FROM part WHERE p_partkey = 57""")
 def find_definition(spark, sf):
     sources = corpora.c_py(Tables(spark, sf))
     return lookup.find_definition(
-        corpus(spark, sf, "python").symbols, sources, "src/py/parts/m1.py::part_57"
+        corpus(spark, sf).symbols, sources, "src/py/parts/m1.py::part_57"
     )
 
 
-@query("discover_files", f"""
-SELECT 'm=' || (c_custkey // 40) AS folder, CAST(count(*) AS BIGINT) AS chars_at_least, 1 AS files
-FROM customer GROUP BY ALL""".replace("CAST(count(*) AS BIGINT) AS chars_at_least, 1 AS files", "CAST(1 AS BIGINT) AS files"))
+@query("discover_files", """
+SELECT 'm=' || (c_custkey // 40) AS folder, CAST(1 AS BIGINT) AS files FROM customer GROUP BY ALL""")
 def discover_files(spark, sf):
     """The Go corpus written as a directory tree of text files, then listed without reading them."""
     root = new_path(spark, "tree")
