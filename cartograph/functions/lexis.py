@@ -74,13 +74,9 @@ LEXIS: dict[str, str] = {
 }
 
 
-def lex(text: Column, lang: Column, languages: tuple[str, ...]) -> Column:
+def lex(text: Column, lang: str) -> Column:
     """Array of the tokens of ``text``."""
-    cases = None
-    for name in languages:
-        tokens = F.regexp_extract_all(text, F.lit(LEXIS[name]), F.lit(0))
-        cases = F.when(lang == name, tokens) if cases is None else cases.when(lang == name, tokens)
-    return cases
+    return F.regexp_extract_all(text, F.lit(LEXIS[lang]), F.lit(0))
 
 
 def newlines(tok: Column) -> Column:
@@ -91,10 +87,10 @@ def is_blank(tok: Column) -> Column:
     return F.translate(tok, " \t\r\n\f﻿", "") == ""
 
 
-def is_comment(tok: Column, lang: Column) -> Column:
-    return F.when(lang == "python", tok.startswith("#")).otherwise(
-        tok.startswith("//") | tok.startswith("/*")
-    )
+def is_comment(tok: Column, lang: str) -> Column:
+    if lang == "python":
+        return tok.startswith("#")
+    return tok.startswith("//") | tok.startswith("/*")
 
 
 def is_name(tok: Column) -> Column:

@@ -7,13 +7,22 @@ facts are staged once; symbols and edges are cheap selections and one containmen
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cartograph.functions.lexis import is_string, lex
-from cartograph.operators.tokens import AHEAD, ALL_LANGUAGES, before_row, in_order, prepare, significant
+from cartograph.operators.tokens import (
+    AHEAD,
+    ALL_LANGUAGES,
+    before_row,
+    by_language,
+    in_order,
+    prepare,
+    significant,
+)
 from cartograph.schema import RAW_EDGES, SYMBOLS
 from cartograph.session import stage
 
@@ -75,29 +84,22 @@ def _is(col: str, value: str) -> Column:
     return F.expr(f"{col} <=> '{value}'")
 
 
-def _last(condition: Column, value: Column, over: WindowSpec) -> Column:
-    return F.last(F.when(condition, value), ignorenulls=True).over(over)
+def _pick(lang: str, cases: dict[str, Column], default: Column) -> Column:
+    return cases.get(lang, default)
 
 
-def _by_language(languages: tuple[str, ...], cases: dict[str, Column], default: Column) -> Column:
-    """The case of the row's language; languages that are not asked for leave no trace in the plan."""
-    if len(languages) == 1:
-        return cases.get(languages[0], default)
-    out = default
-    for name in languages:
-        if name in cases:
-            out = F.when(_c("lang") == name, cases[name]).otherwise(out)
-    return out
+def _last(condition: Column, value: Column, over: WindowSpec) -> Column:
+    return F.last(F.when(condition, value), ignorenulls=True).over(over)
 
 
 # ------------------------------------------------------------------ marks and heads
 
 
-def _marks(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+def _marks(rows: DataFrame, lang: str) -> DataFrame:
     """The latest keyword that decides how later tokens read, and the logical lines around."""
     tok, p1 = _c("tok"), _c("p1")
-    marked = _by_language(
-        languages,
+    marked = _pick(
+        lang,
         {
             "python": _c("fresh")
             | (_is("p1", ";") & (_c("depth") == 0))
@@ -109,11 +111,11 @@ def _marks(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         },
         F.lit(False),
     )
-    further = ["n1", "n2", "n3_named", "n4"] if "go" in languages else []
+    further = ["n1", "n2", "n3_named", "n4"] if lang == "go" else []
     so_far = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mark = F.struct("pos", "line", "tok", "depth", "angle", *further)
     columns = {"mark": _last(marked, mark, so_far)}
-    if "python" in languages:
+    if lang == "python":
         line_start = F.struct("tok", _c("margin").alias("indent"))
         columns |= {
             "cur": _last(_c("fresh"), line_start, so_far),
@@ -125,18 +127,18 @@ def _marks(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     return rows.select("*", *[c.alias(n) for n, c in columns.items()])
 
 
-def _head(languages: tuple[str, ...]) -> Column:
+def _head(lang: str) -> Column:
     """The sort of declaration that starts at a token."""
     tok, p1, p2, n1, n2 = (_c(x) for x in ("tok", "p1", "p2", "n1", "n2"))
     mark, depth, named = _c("mark"), _c("depth"), _c("n1_named")
     cases: dict[str, Column] = {}
-    if "python" in languages:
+    if lang == "python":
         cases["python"] = F.when(
             _c("fresh")
             & (((tok == "def") & named & _in("n2", "([")) | ((tok == "async") & _is("n1", "def"))),
             "py_def",
         ).when(_c("fresh") & (tok == "class") & named, "py_class")
-    if "typescript" in languages:
+    if lang == "typescript":
         before = F.when(_is("p1", "async"), p2).otherwise(p1)
         statement = ~_in(before, OPERAND_FOLLOWS)
         first_on_line = F.coalesce(_c("line") > _c("p1_end_line"), F.lit(False))
@@ -157,11 +159,11 @@ def _head(languages: tuple[str, ...]) -> Column:
                 "ts_method",
             )
         )
-    if "rust" in languages:
+    if lang == "rust":
         cases["rust"] = F.when((tok == "fn") & named, "rs_fn").when(
             (tok == "struct") & named, "rs_struct"
         )
-    if "go" in languages:
+    if lang == "go":
         generic_type = (
             _is("p1", "]")
             & (mark["depth"] == depth)
@@ -193,22 +195,22 @@ def _head(languages: tuple[str, ...]) -> Column:
             .when((tok == "struct") & typed, "go_struct")
             .when((tok == "interface") & typed, "go_iface")
         )
-    return _by_language(languages, cases, F.lit(None).cast("string"))
+    return _pick(lang, cases, F.lit(None).cast("string"))
 
 
-def _name_and_line(languages: tuple[str, ...]) -> tuple[Column, Column]:
+def _name_and_line(lang: str) -> tuple[Column, Column]:
     """Name and first line of the declaration that starts here, if one does."""
     tok, p1, n1 = _c("tok"), _c("p1"), _c("n1")
     names, lines = {}, {}
-    if "python" in languages:
+    if lang == "python":
         names["python"] = F.when(tok == "async", _c("n2")).otherwise(n1)
         lines["python"] = _c("line")
-    if "typescript" in languages:
+    if lang == "typescript":
         names["typescript"] = F.when(_in("tok", ("function", "class")) & _c("n1_named"), n1).otherwise(tok)
         lines["typescript"] = F.when(_is("p1", "async"), _c("p1_line")).otherwise(_c("line"))
-    if "rust" in languages:
+    if lang == "rust":
         names["rust"], lines["rust"] = n1, _c("line")
-    if "go" in languages:
+    if lang == "go":
         mark, bracket = _c("mark"), _is("p1", "]")
         grouped = _is("mark.n1", "(")
         names["go"] = (
@@ -224,21 +226,21 @@ def _name_and_line(languages: tuple[str, ...]) -> tuple[Column, Column]:
         )
     none = F.lit(None)
     return (
-        _by_language(languages, names, none.cast("string")),
-        _by_language(languages, lines, none.cast("int")),
+        _pick(lang, names, none.cast("string")),
+        _pick(lang, lines, none.cast("int")),
     )
 
 
-def _call_and_import(languages: tuple[str, ...]) -> tuple[Column, Column]:
+def _call_and_import(lang: str) -> tuple[Column, Column]:
     """Whether a token is a plain name that is called, and whether it is part of an import."""
     tok, p1, p2, n1 = (_c(x) for x in ("tok", "p1", "p2", "n1"))
     called = _is("n1", "(") & _c("named")
     free = {name: ~_in("tok", words) for name, words in KEYWORDS.items()}
     calls, imports = {}, {}
-    if "python" in languages:
+    if lang == "python":
         calls["python"] = called & ~_in("p1", (".", "def", "class")) & ~_c("n1_fresh") & free["python"]
         imports["python"] = _in("mark.tok", ("import", "from"))
-    if "typescript" in languages:
+    if lang == "typescript":
         calls["typescript"] = (
             (called | _c("generic") | (_c("named") & _is("n1", "?.") & _is("n2", "(")))
             & ~_in("p1", (".", "?.", "new", "function"))
@@ -248,9 +250,9 @@ def _call_and_import(languages: tuple[str, ...]) -> tuple[Column, Column]:
         imports["typescript"] = ~_c("named") & (
             (_is("p1", "from") & _is("mark.tok", "import")) | _is("p1", "import")
         ) & is_string(tok)
-    if "rust" in languages:
+    if lang == "rust":
         calls["rust"] = called & ~_in("p1", (".", "::", "fn", "!")) & free["rust"]
-    if "go" in languages:
+    if lang == "go":
         calls["go"] = (
             called & ~_in("p1", (".", "func")) & (_c("n1_line") == _c("end_line")) & free["go"]
         )
@@ -259,18 +261,18 @@ def _call_and_import(languages: tuple[str, ...]) -> tuple[Column, Column]:
         ) & tok.startswith('"')
     no = F.lit(False)
     return (
-        F.coalesce(_by_language(languages, calls, no), no),
-        F.coalesce(_by_language(languages, imports, no), no),
+        F.coalesce(_pick(lang, calls, no), no),
+        F.coalesce(_pick(lang, imports, no), no),
     )
 
 
-def _classified(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+def _classified(rows: DataFrame, lang: str) -> DataFrame:
     """The rows that blocks, calls, imports and docstrings are made of, neighbours reduced to flags."""
     tok, p1, p2, n1 = (_c(x) for x in ("tok", "p1", "p2", "n1"))
     no = F.lit(False)
     # A cheap test on the token itself; the exact conditions are evaluated for these rows only.
-    words = _by_language(
-        languages,
+    words = _pick(
+        lang,
         {
             "python": _c("fresh") | n1.isNull() | _in("mark.tok", ("import", "from")),
             "typescript": _in("tok", ("function", "class")) | _is("n1", "<") | _is("n1", "?.")
@@ -281,10 +283,10 @@ def _classified(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         no,
     )
     rows = rows.where(_in("tok", ("(", ")", "[", "]", "{", "}", ";")) | _is("n1", "(") | words)
-    name, start_line = _name_and_line(languages)
-    call, imported = _call_and_import(languages)
-    type_brace = _by_language(
-        languages,
+    name, start_line = _name_and_line(lang)
+    call, imported = _call_and_import(lang)
+    type_brace = _pick(
+        lang,
         {"typescript": _in("p1", BEFORE_TYPE_BRACE), "go": _in("p1", ("interface", "struct"))},
         no,
     )
@@ -295,32 +297,32 @@ def _classified(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         (_is("p1", "!") & _c("p2_named") & ~_in("p2", KEYWORDS["rust"]))
         | (_is("p2", "!") & _is("p3", "macro_rules"))
         | ((tok == "[") & (_is("p1", "#") | (_is("p1", "!") & _is("p2", "#"))))
-        if "rust" in languages
+        if lang == "rust"
         else no
     )
     columns = {
-        "head": _head(languages),
+        "head": _head(lang),
         "name": name,
         "start_line": start_line,
         "call": call,
         "imported": imported,
         "body": (tok == "{") & ~type_brace,
         "list": (tok == "(")
-        & ~_by_language(languages, {"typescript": in_generics, "rust": in_generics}, no),
+        & ~_pick(lang, {"typescript": in_generics, "rust": in_generics}, no),
         "then": F.when(tok == ")", n1),
-        "macro": _by_language(languages, {"rust": _in("tok", ("(", "[", "{")) & macro}, no),
-        "arm": _by_language(languages, {"rust": _in("p1", ",{}|")}, no),
-        "group_line": _by_language(
-            languages,
+        "macro": _pick(lang, {"rust": _in("tok", ("(", "[", "{")) & macro}, no),
+        "arm": _pick(lang, {"rust": _in("p1", ",{}|")}, no),
+        "group_line": _pick(
+            lang,
             {"go": F.when((tok == "(") & _is("p1", "type"), _c("p1_line"))},
             F.lit(None).cast("int"),
         ),
         "stmt": _c("mark.pos"),
     }
-    if "python" in languages:
+    if lang == "python":
         ends = n1.isNull() | _c("n1_fresh")
         columns |= {
-            "last_token": (_c("lang") == "python") & n1.isNull(),
+            "last_token": n1.isNull(),
             "lone_string": _c("fresh") & (ends | _in("n1", ";,")) & is_string(tok),
             "top": (_c("margin") == 0)
             | F.coalesce((_c("prev.tok") == "@") & (_c("prev.indent") == _c("margin")), no),
@@ -329,7 +331,7 @@ def _classified(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     else:
         columns |= {"top": F.lit(True)}
         extra = []
-    kept = ["path", "lang", "pos", "tok", "line", "end_line", "depth", "ahead", *extra]
+    kept = ["path", "pos", "tok", "line", "end_line", "depth", "ahead", *extra]
     return rows.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
@@ -345,7 +347,7 @@ def _following(*keys: str) -> WindowSpec:
     )
 
 
-def _brackets(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+def _brackets(rows: DataFrame, lang: str) -> DataFrame:
     """Parameter lists and bodies by bracket depth.
 
     Both windows share one partitioning and order, so they cost one sort. A bracket's pair is the
@@ -355,11 +357,11 @@ def _brackets(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     after = _following("depth", "pos")
     pair = F.struct("pos", _c("end_line").alias("line"), "then")
     columns = {"pair": _last(_in("tok", (")", "]", "}")), pair, after)}
-    if "rust" in languages:
+    if lang == "rust":
         end = F.struct("pos", "tok")
         columns |= {
-            "let_end": _last((_c("lang") == "rust") & _in("tok", ("=", ";")), end, after),
-            "for_end": _last((_c("lang") == "rust") & _in("tok", ("in", ";", "{")), end, after),
+            "let_end": _last(_in("tok", ("=", ";")), end, after),
+            "for_end": _last(_in("tok", ("in", ";", "{")), end, after),
         }
     paired = rows.select("*", *[c.alias(n) for n, c in columns.items()])
     stop = F.struct(
@@ -375,7 +377,7 @@ def _brackets(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     )
 
 
-def _brace_ranges(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+def _brace_ranges(rows: DataFrame, lang: str) -> DataFrame:
     """Range and last line of declarations in brace languages; invalid heads lose their mark.
 
     Brackets and separators have served their purpose here and are left out.
@@ -408,7 +410,7 @@ def _brace_ranges(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         "opaque": F.lit(None).cast("int"),
         "group": F.when(_c("group_line").isNotNull(), F.struct(_c("group_line").alias("line"), pair["line"].alias("end_line"))),
     }
-    if "rust" in languages:
+    if lang == "rust":
         pattern = (_c("arm") & _c("call") & _in("params.pair.then", ("=>", "if")))
         columns["opaque"] = (
             F.when(_c("macro"), pair["pos"])
@@ -418,10 +420,10 @@ def _brace_ranges(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         )
         columns["call"] = columns["call"] & ~F.coalesce(pattern, F.lit(False))
     serves = head.isNotNull() | _c("call") | _c("imported") | _c("macro") | _c("group_line").isNotNull()
-    serves = serves | _by_language(languages, {"rust": _in("tok", ("let", "for"))}, F.lit(False))
-    kept = ["path", "lang", "pos", "tok", "line", "end_line", "depth", "ahead", "name", "start_line",
+    serves = serves | _pick(lang, {"rust": _in("tok", ("let", "for"))}, F.lit(False))
+    kept = ["path", "pos", "tok", "line", "end_line", "depth", "ahead", "name", "start_line",
             "imported", "stmt", "top"]
-    if "python" in languages:
+    if lang == "python":
         serves = serves | _c("fresh") | _c("last_token")
         kept += ["margin", "fresh", "cur", "prev", "next_indent", "p1_end_line", "last_token", "lone_string"]
     return rows.where(serves).select(*kept, *[c.alias(n) for n, c in columns.items()])
@@ -477,7 +479,7 @@ def _indents(rows: DataFrame) -> DataFrame:
     return documented.withColumn("doc", F.when(inside, _c("doc.tok")))
 
 
-def _enclosed(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+def _enclosed(rows: DataFrame, lang: str) -> DataFrame:
     """What encloses a row: a class, a macro or pattern (whose calls are not calls), a type group.
 
     A position lies in one of several ranges that start before it exactly when the largest end of
@@ -501,7 +503,7 @@ def _enclosed(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     member = in_class & (direct | ~_in("tok", _CONTROL))
     return out.select(
         "path",
-        "lang",
+        F.lit(lang).alias("lang"),
         "pos",
         "tok",
         F.when(~hidden & (~_is("head", "ts_method") | member), head).alias("head"),
@@ -525,15 +527,15 @@ def _enclosed(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     )
 
 
-def facts(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES) -> DataFrame:
-    """One row per declaration, call and import token."""
-    rows = _classified(_marks(significant(sources, languages), languages), languages)
-    rows = _brace_ranges(_brackets(rows, languages), languages)
-    if "python" in languages:
+def facts(sources: DataFrame, lang: str) -> DataFrame:
+    """One row per declaration, call and import token of the files of one language."""
+    rows = _classified(_marks(significant(sources, lang), lang), lang)
+    rows = _brace_ranges(_brackets(rows, lang), lang)
+    if lang == "python":
         rows = _indents(rows)
     else:
         rows = rows.withColumn("doc", F.lit(None).cast("string"))
-    rows = _enclosed(rows, languages)
+    rows = _enclosed(rows, lang)
     return rows.where(_c("head").isNotNull() | _c("call") | _c("imported"))
 
 
@@ -558,22 +560,24 @@ def _parameters(
     Nearly all lists end within the text kept next to the head. The others are cut from the file,
     which is joined only when there are such heads.
     """
+    near_text = F.lit(None).cast("array<string>")
+    for lang in languages:
+        near_text = F.when(_c("lang") == lang, lex(_c("ahead"), lang)).otherwise(near_text)
     near = heads.where(_covered()).withColumn(
         "params",
-        _cut(
-            lex(_c("ahead"), _c("lang"), languages),
-            _c("open_pos") - _c("pos") + 1,
-            _c("close_pos") - _c("pos") + 1,
-        ),
+        _cut(near_text, _c("open_pos") - _c("pos") + 1, _c("close_pos") - _c("pos") + 1),
     )
     if not uncovered:
         return near
     far = heads.where(~_covered())
-    files = prepare(sources, languages).select("path", "toks")
-    cut = far.join(files, "path").withColumn(
-        "params", _cut(_c("toks"), _c("open_pos") + 1, _c("close_pos") + 1)
-    )
-    return near.unionByName(cut.drop("toks"))
+    for lang in languages:
+        cut = far.where(_c("lang") == lang).join(prepare(sources, lang), "path")
+        near = near.unionByName(
+            cut.withColumn(
+                "params", _cut(_c("toks"), _c("open_pos") + 1, _c("close_pos") + 1)
+            ).drop("toks")
+        )
+    return near
 
 
 def _symbol_id() -> Column:
@@ -749,8 +753,11 @@ def extract(
 
     Symbols are as declared, before ids are made unique (see ``resolve.dedup_nodes``).
     """
+    if len(languages) > 1:
+        sources = by_language(sources, languages)
+    parts = [facts(sources, lang) for lang in languages]
     far = F.sum(F.when(_in("head", _FUNCTIONS) & ~_covered(), 1).otherwise(0))
-    found = stage(facts(sources, languages), "facts", far=far)
+    found = stage(reduce(DataFrame.unionByName, parts), "facts", far=far)
     heads = found.df.where(_c("head").isNotNull())
     symbols = _symbols(
         heads, sources, languages, found.metrics["far"] or 0, class_docstrings, clean_signature

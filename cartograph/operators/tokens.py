@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cartograph.functions.lexis import is_blank, is_comment, is_name, lex, newlines
 from cartograph.functions.text import LANGUAGES, language_of
+from cartograph.session import new_path
 
 ALL_LANGUAGES = tuple(dict.fromkeys(LANGUAGES.values()))
 
@@ -28,32 +29,50 @@ def before_row() -> WindowSpec:
     return in_order().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def prepare(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES) -> DataFrame:
-    """(path, lang, toks): one row per supported file, hash partitioned by path."""
-    spark = sources.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        sources.select("path", "content", language_of(F.col("path")).alias("lang"))
+def by_language(sources: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """The supported files, staged once in one folder per language.
+
+    Each language is then read and lexed by a plan of its own: small generated code, and no file
+    is read for a language it is not written in.
+    """
+    path = new_path(sources.sparkSession, "texts")
+    lang = language_of(F.col("path"))
+    (
+        sources.select("path", "content", lang.alias("lang"))
         .where(F.col("lang").isin(*languages))
+        .write.partitionBy("lang")
+        .parquet(path)
+    )
+    schema = "path string, content string, lang string"
+    return sources.sparkSession.read.schema(schema).parquet(path)
+
+
+def prepare(sources: DataFrame, lang: str) -> DataFrame:
+    """(path, toks): one row per file of the language, hash partitioned by path."""
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.col("lang") if "lang" in sources.columns else language_of(F.col("path"))
+    return (
+        sources.where(own == lang)
+        .select("path", "content")
         .repartition(parts, "path")
-        .select("path", "lang", lex(F.col("content"), F.col("lang"), languages).alias("toks"))
+        .select("path", lex(F.col("content"), lang).alias("toks"))
     )
 
 
-def tokens(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES) -> DataFrame:
-    """(path, lang, pos, tok): every token, trivia included."""
-    return _exploded(sources, languages).drop("toks")
+def tokens(sources: DataFrame, lang: str) -> DataFrame:
+    """(path, pos, tok): every token of the files of one language, trivia included."""
+    return _exploded(sources, lang).drop("toks")
 
 
-def _exploded(sources: DataFrame, languages: tuple[str, ...]) -> DataFrame:
-    """(path, lang, toks, pos, tok).
+def _exploded(sources: DataFrame, lang: str) -> DataFrame:
+    """(path, toks, pos, tok).
 
     The outer form keeps the optimizer from inferring ``size(lex(content)) > 0``, a filter it would
     push below the shuffle, where the text would be split once more.
     """
     return (
-        prepare(sources, languages)
-        .select("path", "lang", "toks", F.posexplode_outer("toks").alias("pos", "tok"))
+        prepare(sources, lang)
+        .select("path", "toks", F.posexplode_outer("toks").alias("pos", "tok"))
         .where(F.col("tok").isNotNull())
     )
 
@@ -62,37 +81,32 @@ def _at(offset: int) -> Column:
     return F.get(F.col("toks"), F.col("pos") + offset)
 
 
-def _may_declare(lang: Column, tok: Column) -> Column:
+# The words a parameter list may follow, per language.
+_DECLARING = {"python": ("def", "async"), "rust": ("fn",), "go": ("func",), "typescript": ("function",)}
+
+
+def _may_declare(lang: str, tok: Column) -> Column:
     """Tokens a parameter list may follow; only decides which rows carry their ``ahead`` text."""
-    keyword = (
-        ((lang == "python") & tok.isin("def", "async"))
-        | ((lang == "rust") & (tok == "fn"))
-        | ((lang == "go") & (tok == "func"))
-        | ((lang == "typescript") & (tok == "function"))
-    )
-    opens = _at(1).isin("(", "<") | (_at(2) == "(")
-    method = ((lang == "typescript") & (_at(-1) != ".") & opens) | (
-        (lang == "go") & (_at(1) == "(") & ((_at(-1) == ")") | (_at(-2) == ")"))
-    )
-    return keyword | (method & is_name(tok))
+    keyword = tok.isin(*_DECLARING[lang])
+    if lang == "typescript":
+        opens = _at(1).isin("(", "<") | (_at(2) == "(")
+        return keyword | ((_at(-1) != ".") & opens & is_name(tok))
+    if lang == "go":
+        return keyword | ((_at(1) == "(") & ((_at(-1) == ")") | (_at(-2) == ")")) & is_name(tok))
+    return keyword
 
 
-def _generic_call(lang: Column, tok: Column) -> Column:
+def _generic_call(tok: Column) -> Column:
     """``name<Types>(`` with type arguments nested up to three deep."""
     nest = r"[^<>();=]"
     for _ in range(2):
         nest = rf"(?:[^<>();=]|<(?:{nest}){{0,80}}+>)"
     text = F.array_join(F.slice("toks", F.col("pos") + 2, 256), "")
-    return (
-        (lang == "typescript")
-        & (_at(1) == "<")
-        & is_name(tok)
-        & text.rlike(rf"^<(?:{nest}){{1,200}}+>\s*+\(")
-    )
+    return (_at(1) == "<") & is_name(tok) & text.rlike(rf"^<(?:{nest}){{1,200}}+>\s*+\(")
 
 
-def significant(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES) -> DataFrame:
-    """The tokens that carry meaning, each with its place and its neighbours.
+def significant(sources: DataFrame, lang: str) -> DataFrame:
+    """The tokens of one language that carry meaning, each with its place and its neighbours.
 
     Added columns: ``line`` and ``end_line``; ``depth`` (brackets open around the token; a bracket
     has the depth of its pair); ``angle`` (running ``<`` minus ``>``); ``named`` (identifier or
@@ -100,23 +114,22 @@ def significant(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES)
     ``breaks`` a line break before; ``fresh`` and ``margin`` for tokens that start a logical line;
     ``ahead`` the raw text that follows a possible declaration.
     """
-    lang, tok = F.col("lang"), F.col("tok")
-    python, go, rust = (name in languages for name in ("python", "go", "rust"))
-    rows = _exploded(sources, languages)
-    generic = _generic_call(lang, tok) if "typescript" in languages else F.lit(False)
-    rows = rows.select(
+    tok, python = F.col("tok"), lang == "python"
+    trivia = is_blank(tok) | is_comment(tok, lang)
+    if python:
+        trivia = trivia | tok.rlike(r"^\\\r?\n")
+    rows = _exploded(sources, lang).select(
         "path",
-        "lang",
         "pos",
         "tok",
         F.when(
             _may_declare(lang, tok),
             F.array_join(F.slice("toks", F.col("pos") + 1, AHEAD), ""),
         ).alias("ahead"),
-        generic.alias("generic"),
+        (_generic_call(tok) if lang == "typescript" else F.lit(False)).alias("generic"),
         F.when(tok.contains("\n"), newlines(tok)).otherwise(0).alias("nl"),
         is_name(tok).alias("named"),
-        (is_blank(tok) | is_comment(tok, lang) | ((lang == "python") & tok.rlike(r"^\\\r?\n"))).alias("trivia"),
+        trivia.alias("trivia"),
     ).where(~F.col("trivia") | (F.col("nl") > 0))
     opens, closes = tok.isin("(", "[", "{"), tok.isin(")", "]", "}")
     here, earlier = in_order(), before_row()
@@ -137,7 +150,6 @@ def significant(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES)
     breaks = raw.isNull() | (raw.contains("\n") & is_blank(raw))
     placed = placed.select(
         "path",
-        "lang",
         "pos",
         "tok",
         "ahead",
@@ -150,9 +162,7 @@ def significant(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES)
         breaks.alias("breaks"),
         (F.when(raw.isNull(), 0).otherwise(width) if python else F.lit(0)).alias("margin"),
         (
-            (lang == "python") & (F.col("open_before") == 0) & breaks & ~closes
-            if python
-            else F.lit(False)
+            (F.col("open_before") == 0) & breaks & ~closes if python else F.lit(False)
         ).alias("fresh"),
     )
     near = {
@@ -168,9 +178,9 @@ def significant(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES)
     }
     if python:
         near |= {"n1_fresh": F.lead("fresh", 1)}
-    if rust:
+    if lang == "rust":
         near |= {"p2_named": F.lag("named", 2), "p3": F.lag("tok", 3)}
-    if go:
+    if lang == "go":
         near |= {
             "n3": F.lead("tok", 3),
             "n3_named": F.lead("named", 3),

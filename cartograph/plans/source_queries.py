@@ -268,7 +268,7 @@ def token_stats(spark, sf):
     tok = F.col("tok")
     blank = F.trim(F.translate(tok, "\n\t\r", "")) == ""
     return (
-        tokens(corpora.python_functions(Tables(spark, sf)), ("python",))
+        tokens(corpora.python_functions(Tables(spark, sf)), "python")
         .groupBy("path")
         .agg(
             F.count(F.when(~blank & ~tok.startswith("#"), 1)).alias("significant_tokens"),

@@ -275,8 +275,9 @@ def test_tokens_join_to_the_text(spark):
     rows = [(path, text) for files in CASES.values() for path, text in files.items()]
     sources = spark.createDataFrame(rows, "path string, content string")
     joined: dict[str, list] = {}
-    for row in tokens(sources).collect():
-        joined.setdefault(row.path, []).append((row.pos, row.tok))
+    for lang in CASES:
+        for row in tokens(sources, lang).collect():
+            joined.setdefault(row.path, []).append((row.pos, row.tok))
     for path, text in rows:
         assert "".join(t for _, t in sorted(joined.get(path, []))) == text, path
 
