@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartograph.session import Staged, stage
+from cartograph.session import Staged, Visited, stage
 
 
 def simple_digraph(edges: DataFrame) -> DataFrame:
@@ -33,17 +33,18 @@ def _bfs(
     )
     is_goal = F.max(F.when(F.col("id") == F.lit(goal), 1).otherwise(0))
     levels = [stage(first, "bfs", goal=is_goal)]
+    visited = Visited()
     depth = 0
     while levels[-1].rows and not levels[-1].metrics["goal"] and depth != max_depth:
         depth += 1
-        visited = _union([level.df for level in levels]).select("id")
+        visited.add(levels[-1].df.select("id"))
         fresh = (
             levels[-1]
             .df.select(F.col("id").alias("prev"))
             .join(hops, "prev")
             .groupBy("id")
             .agg(F.min("prev").alias("prev"))
-            .join(visited, "id", "left_anti")
+            .join(visited.all(), "id", "left_anti")
             .select("id", F.lit(depth).cast("long").alias("depth"), "prev")
         )
         levels.append(stage(fresh, "bfs", goal=is_goal))
@@ -158,20 +159,26 @@ def find_cycles(
 
 def _spread_max(labels: DataFrame, graph: DataFrame) -> DataFrame:
     """Every node takes the largest label that reaches it along ``graph`` (source_id, target_id)."""
-    current = stage(labels, "labels")
+    current = stage(labels, "labels").df
     while True:
-        pushed = current.df.withColumnRenamed("id", "source_id").join(graph, "source_id").select(
-            F.col("target_id").alias("id"), F.lit(None).cast("string").alias("own"), "label"
-        )
-        kept = current.df.select("id", F.col("label").alias("own"), "label")
-        merged = kept.unionByName(pushed).groupBy("id").agg(
-            F.max("own").alias("own"), F.max("label").alias("label")
-        )
+        spread = current.select("id", F.col("label").alias("own"), "label")
+        # Two steps to a job: half the jobs, and the plan stays short.
+        for _ in range(2):
+            pushed = spread.select(F.col("id").alias("source_id"), "label").join(graph, "source_id")
+            spread = (
+                spread.unionByName(
+                    pushed.select(
+                        F.col("target_id").alias("id"), F.lit(None).cast("string").alias("own"), "label"
+                    )
+                )
+                .groupBy("id")
+                .agg(F.max("own").alias("own"), F.max("label").alias("label"))
+            )
         moved = F.sum(F.when(F.col("label") > F.col("own"), 1).otherwise(0))
-        current = stage(merged, "labels", moved=moved)
-        current = current._replace(df=current.df.select("id", "label"))
-        if not current.metrics["moved"]:
-            return current.df
+        step = stage(spread, "labels", moved=moved)
+        current = step.df.select("id", "label")
+        if not step.metrics["moved"]:
+            return current
 
 
 def _reach_back(graph: DataFrame, colours: DataFrame) -> DataFrame:
@@ -183,19 +190,19 @@ def _reach_back(graph: DataFrame, colours: DataFrame) -> DataFrame:
         .select("source_id", "target_id")
     )
     inner = stage(same, "colour").df
-    levels = [stage(colours.where(F.col("id") == F.col("label")).select("id", "label"), "back")]
-    while levels[-1].rows:
-        visited = _union([level.df for level in levels]).select("id")
+    level = stage(colours.where(F.col("id") == F.col("label")).select("id", "label"), "back")
+    visited = Visited()
+    while level.rows:
+        visited.add(level.df)
         fresh = (
-            levels[-1]
-            .df.withColumnRenamed("id", "target_id")
+            level.df.withColumnRenamed("id", "target_id")
             .join(inner, "target_id")
             .select(F.col("source_id").alias("id"), "label")
             .distinct()
-            .join(visited, "id", "left_anti")
+            .join(visited.all().select("id"), "id", "left_anti")
         )
-        levels.append(stage(fresh, "back"))
-    return _union([level.df for level in levels])
+        level = stage(fresh, "back")
+    return visited.all()
 
 
 def cyclic_symbols(edges: DataFrame) -> DataFrame:

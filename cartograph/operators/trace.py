@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartograph.operators.lookup import symbol_rows
-from cartograph.session import stage
+from cartograph.session import Visited, stage
 
 CALLERS, CALLEES = "callers", "callees"
 
@@ -56,16 +56,18 @@ def walk_levels(
             .select("seed_id", F.col("next").alias("id"))
         )
     levels: list[DataFrame] = []
+    visited = Visited()
     reached = start
     for k in range(1, max(depth, 1) + 1):
         fresh = reached.distinct()
         if first_visit_only and levels:
-            visited = reduce(DataFrame.unionByName, levels).select("seed_id", "id")
-            fresh = fresh.join(visited, ["seed_id", "id"], "left_anti")
+            fresh = fresh.join(visited.all(), ["seed_id", "id"], "left_anti")
         level = stage(fresh.withColumn("depth", F.lit(k).cast("long")), "level")
         levels.append(level.df)
         if level.rows == 0:
             break
+        if first_visit_only:
+            visited.add(level.df.select("seed_id", "id"))
         reached = level.df.join(hops, "id").select("seed_id", F.col("next").alias("id"))
     return reduce(DataFrame.unionByName, levels)
 

@@ -76,12 +76,12 @@ def index_directory(
     spark: SparkSession, root: str, out: str, scope: str | None = None, use_ignore_files: bool = True
 ) -> tuple[store.Index, DataFrame]:
     """Discover, read and index the files below ``root``; returns the index and the quarantine."""
-    files = discovery.discover(spark, root, scope)
+    walked = discovery.walk(spark, root)
+    files = discovery.select_files(walked, root, scope)
     if use_ignore_files:
-        files = discovery.drop_ignored(files, discovery.read_ignore_files(spark, root))
+        files = discovery.drop_ignored(files, discovery.read_ignore_files(root, walked))
     files = stage(files, "files")
-    good, bad = discovery.read_sources(spark, root, files.df)
-    good, bad = stage(good, "sources").df, stage(bad, "quarantine").df
+    good, bad = discovery.read_sources(root, files.df)
     return index_sources(good, out, root, files.rows), bad
 
 

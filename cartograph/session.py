@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -53,3 +54,24 @@ def stage(df: DataFrame, label: str = "stage", **metrics: Column) -> Staged:
     df.observe(seen, *aggregates).write.parquet(path)
     found = seen.get
     return Staged(spark.read.schema(df.schema).parquet(path), found["rows"], found)
+
+
+class Visited:
+    """What a level loop has reached so far.
+
+    Levels stay as they were staged; every eighth one folds the lot into one table, so that an
+    anti-join reads a few folders however long the loop runs, and rows are rewritten rarely.
+    """
+
+    FOLD = 8
+
+    def __init__(self) -> None:
+        self._frames: list[DataFrame] = []
+
+    def add(self, frame: DataFrame) -> None:
+        self._frames.append(frame)
+        if len(self._frames) > self.FOLD:
+            self._frames = [stage(self.all(), "visited").df]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self._frames)

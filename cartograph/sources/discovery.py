@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+from functools import reduce
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartograph.functions.text import LANGUAGES, language_of, last_suffix
+from cartograph.session import stage
 
 # Directories that are never indexed.
 SKIP_DIRS = (
@@ -47,6 +53,64 @@ def with_language(files: DataFrame) -> DataFrame:
     return files.withColumn("lang", language_of(F.col("path")))
 
 
+_LISTED = "full_path string, is_dir boolean, length long, modified timestamp"
+
+
+def _list_folders(root: str):
+    """Task that lists folders. A link to a folder is not followed."""
+
+    def run(batches):
+        filesystem, _ = fs.FileSystem.from_uri(root)
+        local = isinstance(filesystem, fs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch["full_path"]:
+                entries = [
+                    (e.path, e.type == fs.FileType.Directory, e.size, e.mtime)
+                    for e in filesystem.get_file_info(fs.FileSelector(folder))
+                    if not (local and e.type == fs.FileType.Directory and os.path.islink(e.path))
+                ]
+                frame = pd.DataFrame(entries, columns=["full_path", "is_dir", "length", "modified"])
+                frame["length"] = frame["length"].astype("Int64")
+                frame["modified"] = pd.to_datetime(frame["modified"], utc=True)
+                yield frame
+
+    return run
+
+
+def walk(
+    spark: SparkSession, root: str, skip_dirs: bool = True, hidden_dirs: bool = False
+) -> DataFrame:
+    """(path, full_path, length, modified) of every file below ``root``.
+
+    Spark's own file sources leave out names that start with ``_`` (such as ``__init__.py``) or a
+    dot, so folders are listed by tasks, one level of the tree per job. Skipped and hidden folders
+    are not entered.
+    """
+    _, base = fs.FileSystem.from_uri(root)
+    base = base.rstrip("/")
+    level = spark.createDataFrame([(base,)], "full_path string")
+    path = F.col("path")
+    files: list[DataFrame] = []
+    while True:
+        listed = level.mapInPandas(_list_folders(root), _LISTED).select(
+            F.substr(F.col("full_path"), F.lit(len(base) + 2)).alias("path"),
+            "full_path",
+            "is_dir",
+            "length",
+            "modified",
+        )
+        folder = F.concat(path, F.lit("/x"))
+        if skip_dirs:
+            listed = listed.where(~F.col("is_dir") | outside_skip_dirs(folder))
+        if not hidden_dirs:
+            listed = listed.where(~F.col("is_dir") | not_hidden(folder))
+        found = stage(listed, "listing", dirs=F.sum(F.col("is_dir").cast("int")))
+        files.append(found.df.where("NOT is_dir").drop("is_dir"))
+        if not found.metrics["dirs"]:
+            return reduce(DataFrame.unionByName, files)
+        level = found.df.where("is_dir").select("full_path").repartition("full_path")
+
+
 def discover(
     spark: SparkSession,
     root: str,
@@ -55,30 +119,48 @@ def discover(
     skip_dirs: bool = True,
     hidden: bool = False,
 ) -> DataFrame:
-    """(path, full_path, length, modified) of the source files below ``root``.
+    """The source files below ``root``, by suffix and scope; ``path`` is relative to ``root``.
 
-    ``path`` is relative to ``root``. The listing selects no contents, so none are read.
+    No contents are read.
     """
-    base = root.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
-    full = F.col("full_path")
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select(
-            F.col("path").alias("full_path"), "length", F.col("modificationTime").alias("modified")
-        )
-        .withColumn("path", F.substr(full, F.instr(full, base) + len(base)))
-    )
+    return select_files(walk(spark, root, skip_dirs, hidden), root, scope, suffixes, hidden)
+
+
+def select_files(
+    files: DataFrame,
+    root: str,
+    scope: str | None = None,
+    suffixes: tuple[str, ...] = tuple(LANGUAGES),
+    hidden: bool = False,
+) -> DataFrame:
     path = F.col("path")
-    files = files.where(last_suffix(path).isin(*suffixes))
+    kept = files.where(last_suffix(path).isin(*suffixes))
     if scope:
-        files = files.where(in_scope(path, scope.removeprefix(base)))
-    if skip_dirs:
-        files = files.where(outside_skip_dirs(path))
-    if not hidden:
-        files = files.where(not_hidden(path))
-    return files.select("path", "full_path", "length", "modified")
+        _, base = fs.FileSystem.from_uri(root)
+        kept = kept.where(in_scope(path, scope.removeprefix(base.rstrip("/") + "/")))
+    return kept if hidden else kept.where(not_hidden(path))
+
+
+def _read_files(root: str):
+    """Task that reads files one at a time; only the file at hand is in memory."""
+
+    def run(batches):
+        filesystem, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, full in zip(batch["path"], batch["full_path"]):
+                with filesystem.open_input_stream(full) as stream:
+                    yield pd.DataFrame({"path": [path], "content": [stream.read()]})
+
+    return run
+
+
+def read_bytes(root: str, files: DataFrame) -> DataFrame:
+    """(path, content BINARY) of the listed files."""
+    return (
+        files.select("path", "full_path")
+        .repartition("path")
+        .mapInPandas(_read_files(root), "path string, content binary")
+    )
 
 
 def split_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,15 +175,9 @@ def split_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def read_sources(spark: SparkSession, root: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Contents of the discovered ``files``: (sources, quarantine)."""
-    contents = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select(F.col("path").alias("full_path"), "content")
-    )
-    return split_text(files.join(contents, "full_path").select("path", "content"))
+def read_sources(root: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contents of the discovered ``files``: (sources, quarantine). Bytes are read and staged once."""
+    return split_text(stage(read_bytes(root, files), "contents").df)
 
 
 # ---------------------------------------------------------------- ignore rules
@@ -144,19 +220,12 @@ def parse_ignore_rules(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_ignore_files(spark: SparkSession, root: str, name: str = ".gitignore") -> DataFrame:
-    """Rules of all ignore files below ``root``."""
-    base = root.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", name)
-        .text(root)
-        .select(F.col("_metadata.file_path").alias("full"), "value")
-    )
-    rel = F.substr(F.col("full"), F.instr(F.col("full"), base) + len(base))
-    lines = files.select(
-        F.regexp_replace(rel, r"/?[^/]*$", "").alias("dir"),
+def read_ignore_files(root: str, files: DataFrame, name: str = ".gitignore") -> DataFrame:
+    """Rules of the ignore files among the walked ``files``."""
+    found = files.where((F.col("path") == name) | F.col("path").endswith("/" + name))
+    texts = read_bytes(root, found).withColumn("value", F.col("content").cast("string"))
+    lines = texts.where(F.is_valid_utf8("value")).select(
+        F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"),
         F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"),
     )
     return parse_ignore_rules(lines)
