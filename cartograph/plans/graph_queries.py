@@ -457,7 +457,7 @@ def chain_depth(spark, sf):
     return analytics.call_chain_depth(s.symbols, s.edges, "supplier::0", 10)
 
 
-# Part 0 to part 11: a pair that every scale of graph P connects.
+# The two ends of the path question on graph P.
 _FROM, _TO = "part::0", "part::11"
 
 _P_DIST = with_(P_EDGES, f"""g AS (SELECT DISTINCT source_id, target_id FROM pedge),
