@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartograph.operators.resolve import dedup_nodes, resolve_edges
 from cartograph.schema import EDGES, META, RAW_EDGES, SCHEMA_VERSION, SYMBOLS
+from cartograph.session import stage
 
 # Second keys split a frequent first key over several files.
 _LAYOUTS = {
@@ -65,6 +66,8 @@ def write_index(
 ) -> Index:
     """Write all tables. Edges are written twice, sorted by either end, so lookups prune both ways."""
     spark = symbols.sparkSession
+    # Range partitioning samples its input first; a staged one is not computed twice for that.
+    edges = stage(edges, "edges").df
     _write(symbols, path, "symbols")
     _write(raw_edges, path, "raw_edges")
     _write(edges, path, "edges_by_source")
