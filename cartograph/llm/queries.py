@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import quality
+from cartograph.llm import quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,3 +103,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         c["base_failed"].alias("base_failed"),
         c["kept"].alias("kept"),
     )
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
