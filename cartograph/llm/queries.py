@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import quality, simhash
+from cartograph.llm import quality, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,3 +110,40 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+SUBSTRING_SQL = r"""
+WITH words AS (
+    SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+),
+windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words)
+),
+later AS (
+    SELECT doc_id, i FROM (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM windows)
+    WHERE k > 1
+),
+gone AS (
+    SELECT DISTINCT doc_id, i + k AS i FROM later, (SELECT unnest(range(0, 20)) AS k)
+),
+each AS (
+    SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words
+),
+kept AS (
+    SELECT each.doc_id, string_agg(w[each.i], ' ' ORDER BY each.i) AS t, count(*) AS n
+    FROM each ANTI JOIN gone ON each.doc_id = gone.doc_id AND each.i = gone.i GROUP BY each.doc_id
+)
+SELECT words.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+    sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op9_substring_dedup", SUBSTRING_SQL)
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, those that go, and a digest of what stays."""
+    made, name = substring.deduplicate(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    r = F.col(name)
+    return made.select("doc_id", *(r[k].alias(k) for k in ("n_words", "n_removed", "kept_sha256")))
