@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import quality, simhash, substring
+from cartograph.llm import decontaminate, packing, quality, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -147,3 +147,16 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, name = substring.deduplicate(table(spark, sf_dir, "documents"), keep=["doc_id"])
     r = F.col(name)
     return made.select("doc_id", *(r[k].alias(k) for k in ("n_words", "n_removed", "kept_sha256")))
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every contaminated document with each item that contaminates it."""
+    docs, tests = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, tests)
+
+
+@query("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each part of every document goes."""
+    return packing.pack(table(spark, sf_dir, "documents"))
