@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import decontaminate, packing, quality, simhash, substring
+from cartograph.llm import decontaminate, html, packing, quality, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,3 +160,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each part of every document goes."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    made, name = html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return made.select("page_id", "url", F.col(name).alias("text"), F.length(name).cast("long").alias("n_chars"))
