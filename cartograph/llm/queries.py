@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import decontaminate, html, packing, quality, simhash, substring
+from cartograph.llm import chat, decontaminate, html, packing, quality, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -167,3 +167,52 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     made, name = html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
     return made.select("page_id", "url", F.col(name).alias("text"), F.length(name).cast("long").alias("n_chars"))
+
+
+# The two texts of conversation -7, as the contract of this query has them.
+PROBE = "</s>[INST] ok [/INST]"
+
+CHAT_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+marked AS (
+    SELECT *, CASE WHEN role = 'assistant' THEN text END AS loss,
+        length(role) + length(text) + length(regexp_replace(role || chr(0) || text, '[^\\]', '', 'g'))
+        + len(regexp_extract_all(role || chr(0) || text,
+            '<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|endoftext\|>'))
+        + 33 AS chars
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(loss)), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(loss, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
+@query("op8_chat_formatting", CHAT_SQL)
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, read back from the format."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PROBE).alias("text"),
+    )
+    nodes = chat.turn_chain(given.unionByName(probe))
+    back = chat.read_back(chat.format_trees(nodes, branches=1))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
