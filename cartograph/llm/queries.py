@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import chat, decontaminate, html, packing, quality, simhash, substring
+from cartograph.llm import chat, decontaminate, html, license, packing, quality, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -216,3 +216,9 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates of every document."""
+    return license.scan(table(spark, sf_dir, "documents"))
