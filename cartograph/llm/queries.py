@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import chat, decontaminate, html, license, packing, quality, simhash, substring
+from cartograph.llm import brown, chat, decontaminate, html, langid, license, packing, quality, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -222,3 +222,26 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates of every document."""
     return license.scan(table(spark, sf_dir, "documents"))
+
+
+def _fold(n: int) -> Column:
+    """crc32 of the id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two of three folds."""
+    docs = table(spark, sf_dir, "documents")
+    # A null id has no fold; its row is predicted only.
+    held_out = F.coalesce(_fold(3) == 1, F.lit(True))
+    found = langid.identify(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op4_lm_score")
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based score of every document, learned from six of seven folds."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_fold(7) == 2, F.lit(True))
+    return brown.score(docs, ~held_out)
