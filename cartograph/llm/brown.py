@@ -35,11 +35,11 @@ from pyspark.sql import types as T
 from cartograph.llm.words import SPACED_FOLDED, Words, map_slices, plain, slices, split_words
 from cartograph.session import Staged, stage
 
-CLUSTERED = 2048
+CLUSTERED = 1024
 CLASSES = 64
 TAIL_CLASSES = 32
 SWEEPS = 3
-TOP = 1 << 18
+TOP = 1 << 17
 WORD_BYTES = 64
 #: Added to each count of a class bigram, and of a word in its class.
 ADD_BIGRAM, ADD_WORD = 0.1, 0.5
@@ -87,9 +87,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         counts.where(F.octet_length("word") <= WORD_BYTES)
         .orderBy(F.desc("n"), "word")
         .limit(TOP)
-        .toPandas()
+        .toArrow()
+        .combine_chunks()
     )
-    return Vocabulary(pa.array(rows["word"].tolist(), pa.string()), rows["n"].to_numpy(np.int64))
+    return Vocabulary(plain(rows["word"]), rows["n"].to_numpy().astype(np.int64))
 
 
 def symbols(words: Words, known: Vocabulary) -> np.ndarray:
@@ -215,8 +216,8 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     clustered = min(CLUSTERED, len(known.words))
     matrix = np.zeros((END + 1, END + 1))
     if tokens:
-        pairs = bigram_counts(docs, known).toPandas()
-        matrix[pairs["a"], pairs["b"]] = pairs["n"]
+        pairs = bigram_counts(docs, known).toArrow()
+        matrix[pairs["a"].to_numpy(), pairs["b"].to_numpy()] = pairs["n"].to_numpy()
     # Without enough words the places up to ``CLUSTERED`` stay empty and never move.
     kind = exchange(matrix, CLUSTERED) if clustered else np.minimum(np.arange(END + 1), CLASSES)
     total = int(kind.max()) + 1
