@@ -1,9 +1,11 @@
 """One regular expression per language that splits a text into tokens.
 
 Each covers every character, so the tokens of a file joined together give the file again. Strings
-and comments are single tokens. No pattern repeats a group of alternatives without a bound, as the
-regex engine would recurse once per round; long runs are single character classes, and a string
-ends at the first closing quote that an even number of backslashes precedes.
+and comments are single tokens, but for strings with interpolations: the text up to an expression
+is one token (it ends with the opening brace), the expression is lexed as code, and the text from
+its closing brace on is the next one. Groups of alternatives repeat possessively, which the regex
+engine does in a loop; other forms would recurse once per round. A string ends at the first closing
+quote that an even number of backslashes precedes.
 """
 
 from __future__ import annotations
@@ -20,6 +22,17 @@ _ANY = r"[\s\S]"
 _SLASH_COMMENT = r"//[^\r\n]*+"
 _BLOCK_COMMENT = r"/\*[\s\S]*?(?:\*/|\z)"
 
+#: Depth to which block comments of Rust may hold each other.
+_COMMENT_DEPTH = 12
+
+
+def _nested_comment() -> str:
+    plain = r"[^*/]|\*(?!/)|/(?!\*)"
+    inner = rf"/\*(?:{plain})*+(?:\*/|\z)"
+    for _ in range(_COMMENT_DEPTH - 1):
+        inner = rf"/\*(?:{plain}|{inner})*+(?:\*/|\z)"
+    return inner
+
 
 def _one_line_string(quote: str) -> str:
     """Ends at its quote, or unclosed at the end of the line; a backslash continues the line."""
@@ -47,19 +60,19 @@ LEXIS: dict[str, str] = {
         [
             _one_line_string('"'), _one_line_string("'"), _long_string("`"),
             _SLASH_COMMENT, _BLOCK_COMMENT,
-            # A regular expression stands where an operand may start.
-            r"(?<=(?:[=(,:;!&|?\[{]|\breturn)[ \t]{0,16})"
-            r"/(?![/*])(?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n]){0,200}+\]){1,500}+/[a-z]{0,8}+",
+            # A regular expression stands where an operand may start; it takes the blanks before it.
+            r"(?<=[=(,:;!&|?\[{]|\breturn)[ \t\r\n]*+"
+            r"/(?![/*])(?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*+\])++/[a-z]*+",
             _BLANK, "#?" + _IDENT, _NUMBER, r"=>|\?\.(?!\d)|<=|>=|===?|!==?|&&|\|\||\?\?", _ANY,
         ]
     ),
     "rust": "|".join(
         [
-            r'(?:[bc]?r(#{0,16})"[\s\S]*?(?:"\1|\z))',
+            r'(?:[bc]?r(#{0,255})"[\s\S]*?(?:"\1|\z))',
             "[bc]?+" + _long_string('"'),
             r"b?'(?:[^'\\\r\n]|\\(?:u\{[0-9a-fA-F_]*+\}|x[0-9a-fA-F]{2}|[^ux\r\n]))'",
             r"'[\p{L}_]\w*+",
-            _SLASH_COMMENT, _BLOCK_COMMENT,
+            _SLASH_COMMENT, _nested_comment(),
             _BLANK, "(?:r#)?+" + _IDENT, _NUMBER, r"->|=>|::|<=|>=|==|!=|&&|\|\||\.\.", _ANY,
         ]
     ),
@@ -74,9 +87,46 @@ LEXIS: dict[str, str] = {
 }
 
 
+# How a string with interpolations starts, and how its text goes on behind one. In Python a brace
+# in the text is doubled, so a single one belongs to code; in a template string the text may hold
+# closing braces.
+_INTERPOLATED = {
+    "python": (
+        r"^(?:[fFtT][rR]?|[rR][fFtT])[\"'](?:[^{]|\{\{)*+\{(?!\{)",
+        r"\A[a-zA-Z]{1,2}[\"'](?:[^{]|\{\{)*+\{|\}(?:[^{}]|\{\{|\}\})*+(?:\{|\z)",
+    ),
+    "typescript": (
+        r"^`(?:[^$\\]|\\[\s\S]|\$(?!\{))*+\$\{",
+        r"\A`(?:[^$\\]|\\[\s\S]|\$(?!\{))*+\$\{|\}(?:[^$\\]|\\[\s\S]|\$(?!\{))*+(?:\$\{|\z)",
+    ),
+}
+
+
 def lex(text: Column, lang: str) -> Column:
     """Array of the tokens of ``text``."""
-    return F.regexp_extract_all(text, F.lit(LEXIS[lang]), F.lit(0))
+    toks = F.regexp_extract_all(text, F.lit(LEXIS[lang]), F.lit(0))
+    if lang not in _INTERPOLATED:
+        return toks
+    start, parts = _INTERPOLATED[lang]
+    inner = F.lit(f"{parts}|{LEXIS[lang]}")
+
+    def opened(tok: Column) -> Column:
+        held = tok.contains("{") & tok.rlike(start)
+        return F.when(held, F.regexp_extract_all(tok, inner, F.lit(0))).otherwise(F.array(tok))
+
+    return F.flatten(F.transform(toks, opened))
+
+
+def interpolation(tok: Column, lang: str) -> Column:
+    """1 for the text before a string's first expression, -1 for that behind its last, else 0."""
+    if lang not in _INTERPOLATED:
+        return F.lit(0)
+    closes = tok.startswith("}") & (F.length(tok) > 1)
+    if lang == "python":
+        opens = tok.endswith("{") & tok.rlike(r"^(?:[a-zA-Z]{1,2}[\"']|\}.)")
+    else:
+        opens = tok.endswith("${") & (tok.startswith("`") | closes)
+    return F.when(opens & ~closes, 1).when(closes & ~opens, -1).otherwise(0)
 
 
 def newlines(tok: Column) -> Column:

@@ -34,8 +34,8 @@ KEYWORDS = {
         "True False None"
     ).split(),
     "typescript": (
-        "if for while switch catch return typeof instanceof in of new delete void throw case do "
-        "else function class extends super import await yield async this with const let var"
+        "if for while switch catch return typeof instanceof in new delete void throw case do "
+        "else function class extends super import await yield this with const let var"
     ).split(),
     "rust": (
         "as break const continue crate else enum extern fn for if impl in let loop match mod move "
@@ -115,6 +115,13 @@ def _marks(rows: DataFrame, lang: str) -> DataFrame:
     so_far = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mark = F.struct("pos", "line", "tok", "depth", "angle", *further)
     columns = {"mark": _last(marked, mark, so_far)}
+    if lang == "typescript":
+        # The first decorator since the last statement or member ended, at the same depth.
+        level = Window.partitionBy("path", "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        bounds = _in("tok", ("@", ";", "{", "}", "class"))
+        rows = rows.withColumn("since", _last(bounds, tok, level))
+        first = _in("tok", (";", "{", "}", "class")) | ((tok == "@") & ~_is("since", "@"))
+        columns["decorator"] = _last(first, F.struct("tok", "line"), level)
     if lang == "python":
         line_start = F.struct("tok", _c("margin").alias("indent"))
         columns |= {
@@ -207,7 +214,12 @@ def _name_and_line(lang: str) -> tuple[Column, Column]:
         lines["python"] = _c("line")
     if lang == "typescript":
         names["typescript"] = F.when(_in("tok", ("function", "class")) & _c("n1_named"), n1).otherwise(tok)
-        lines["typescript"] = F.when(_is("p1", "async"), _c("p1_line")).otherwise(_c("line"))
+        decorated = (tok == "class") & _is("decorator.tok", "@") & (_is("p1", ")") | _c("p1_named"))
+        lines["typescript"] = (
+            F.when(_is("p1", "async"), _c("p1_line"))
+            .when(decorated & ~_in("p1", ("export", "default", "declare")), _c("decorator.line"))
+            .otherwise(_c("line"))
+        )
     if lang == "rust":
         names["rust"], lines["rust"] = n1, _c("line")
     if lang == "go":
@@ -245,6 +257,8 @@ def _call_and_import(lang: str) -> tuple[Column, Column]:
             (called | _c("generic") | (_c("named") & _is("n1", "?.") & _is("n2", "(")))
             & ~_in("p1", (".", "?.", "new", "function"))
             & ~(_is("p1", "*") & _is("p2", "function"))
+            # Between an operand and another ``of`` is a keyword.
+            & ~((tok == "of") & (F.coalesce(_c("p1_named"), F.lit(False)) | _in("p1", ("]", "}"))))
             & free["typescript"]
         )
         imports["typescript"] = ~_c("named") & (
@@ -253,8 +267,13 @@ def _call_and_import(lang: str) -> tuple[Column, Column]:
     if lang == "rust":
         calls["rust"] = called & ~_in("p1", (".", "::", "fn", "!")) & free["rust"]
     if lang == "go":
+        # With type arguments it depends on what follows their bracket, which is known later.
+        typed = _c("named") & _is("n1", "[") & (_c("n2").rlike(r"^[\p{L}_*\[]")) & ~_is("p1", "type")
         calls["go"] = (
-            called & ~_in("p1", (".", "func")) & (_c("n1_line") == _c("end_line")) & free["go"]
+            (called | typed)
+            & ~_in("p1", (".", "func"))
+            & (_c("n1_line") == _c("end_line"))
+            & free["go"]
         )
         imports["go"] = (
             _is("p1", "import") | (_is("p2", "import") & ~_is("p1", "("))
@@ -278,10 +297,13 @@ def _classified(rows: DataFrame, lang: str) -> DataFrame:
             "typescript": _in("tok", ("function", "class")) | _is("n1", "<") | _is("n1", "?.")
             | _in("p1", ("from", "import")),
             "rust": _in("tok", ("fn", "struct", "let", "for", "in", "=")),
-            "go": _in("tok", ("func", "struct", "interface")) | _is("p1", "import") | _is("p2", "import"),
+            "go": _in("tok", ("func", "struct", "interface")) | _is("p1", "import") | _is("p2", "import")
+            | (_is("n1", "[") & _c("named")),
         },
         no,
     )
+    if lang == "python":
+        words = words | (_is("p1", ":") & is_string(tok))
     rows = rows.where(_in("tok", ("(", ")", "[", "]", "{", "}", ";")) | _is("n1", "(") | words)
     name, start_line = _name_and_line(lang)
     call, imported = _call_and_import(lang)
@@ -309,7 +331,8 @@ def _classified(rows: DataFrame, lang: str) -> DataFrame:
         "body": (tok == "{") & ~type_brace,
         "list": (tok == "(")
         & ~_pick(lang, {"typescript": in_generics, "rust": in_generics}, no),
-        "then": F.when(tok == ")", n1),
+        "then": F.when(_in("tok", (")", "]")), n1),
+        "indexed": _is("n1", "["),
         "macro": _pick(lang, {"rust": _in("tok", ("(", "[", "{")) & macro}, no),
         "arm": _pick(lang, {"rust": _in("p1", ",{}|")}, no),
         "group_line": _pick(
@@ -323,7 +346,13 @@ def _classified(rows: DataFrame, lang: str) -> DataFrame:
         ends = n1.isNull() | _c("n1_fresh")
         columns |= {
             "last_token": n1.isNull(),
-            "lone_string": _c("fresh") & (ends | _in("n1", ";,")) & is_string(tok),
+            # Alone on its line, or behind the colon of a declaration.
+            "lone_string": (
+                _c("fresh")
+                | (_is("p1", ":") & (_c("depth") == 0) & _in("cur.tok", ("def", "class", "async")))
+            )
+            & (ends | _in("n1", ";,"))
+            & is_string(tok),
             "top": (_c("margin") == 0)
             | F.coalesce((_c("prev.tok") == "@") & (_c("prev.indent") == _c("margin")), no),
         }
@@ -370,8 +399,10 @@ def _brackets(rows: DataFrame, lang: str) -> DataFrame:
         F.when(tok == "{", _c("pair.pos")).otherwise(_c("pos")).alias("end_pos"),
         F.when(tok == "{", _c("pair.line")).otherwise(_c("end_line")).alias("end_line"),
     )
+    square = [_last(tok == "[", _c("pair"), after).alias("square")] if lang == "go" else []
     return paired.select(
         "*",
+        *square,
         _last(_c("body") | (tok == ";") | head.isNotNull(), stop, after).alias("stop"),
         _last(_c("list"), F.struct("pos", "pair"), after).alias("params"),
     )
@@ -395,6 +426,11 @@ def _brace_ranges(rows: DataFrame, lang: str) -> DataFrame:
     own_pair = _in("head", ("go_struct", "go_iface"))
     # A name with ``(...) :`` where a method may stand is a signature without a body: no call.
     no_call = F.when(head == "ts_method", valid | _is("params.pair.then", ":")).otherwise(head == "go_method")
+    if lang == "typescript":
+        # The parameters of an arrow function.
+        no_call = F.coalesce(no_call, F.lit(False)) | ((tok == "async") & _is("params.pair.then", "=>"))
+    if lang == "go":
+        no_call = F.coalesce(no_call, F.lit(False)) | (_c("indexed") & ~_is("square.then", "("))
     columns = {
         "head": F.when(valid, head),
         "call": _c("call") & ~F.coalesce(no_call, F.lit(False)),
@@ -424,7 +460,7 @@ def _brace_ranges(rows: DataFrame, lang: str) -> DataFrame:
     kept = ["path", "pos", "tok", "line", "end_line", "depth", "ahead", "name", "start_line",
             "imported", "stmt", "top"]
     if lang == "python":
-        serves = serves | _c("fresh") | _c("last_token")
+        serves = serves | _c("fresh") | _c("last_token") | _c("lone_string")
         kept += ["margin", "fresh", "cur", "prev", "next_indent", "p1_end_line", "last_token", "lone_string"]
     return rows.where(serves).select(*kept, *[c.alias(n) for n, c in columns.items()])
 
@@ -465,8 +501,13 @@ def _indents(rows: DataFrame) -> DataFrame:
     ended = spread.withColumn(
         "ended", _last(is_closer, _c("lvl_row"), _following("lvl", "ord"))
     ).where(~is_closer)
-    block = F.when(python_head & (_c("next_indent") > margin), _c("next_indent")).when(
-        _c("lone_string"), margin
+    # The body of a one-line declaration has no indent; it shares the statement's mark.
+    own_line = -1 - _c("stmt")
+    block = (
+        F.when(python_head & (_c("next_indent") > margin), _c("next_indent"))
+        .when(python_head, own_line)
+        .when(_c("lone_string") & ~_c("fresh"), own_line)
+        .when(_c("lone_string"), margin)
     )
     documented = ended.withColumns(
         {
@@ -489,6 +530,10 @@ def _enclosed(rows: DataFrame, lang: str) -> DataFrame:
     is_class = _in("head", _CLASSES)
     out = rows.select(
         "*",
+        # Where a range without a closing bracket ends: before the next declaration.
+        F.last(F.when(head.isNotNull(), F.struct("pos", "line")), ignorenulls=True)
+        .over(_following("pos"))
+        .alias("next_head"),
         F.max(F.when(is_class, _c("end_pos"))).over(before).alias("class_end"),
         _last(is_class, F.struct("depth", "end_pos"), before).alias("near_class"),
         F.max("opaque").over(before).alias("opaque_end"),
@@ -501,6 +546,7 @@ def _enclosed(rows: DataFrame, lang: str) -> DataFrame:
     )
     grouped = _is("head", "go_struct") & _c("start_line").isNull()
     member = in_class & (direct | ~_in("tok", _CONTROL))
+    unclosed = head.isNotNull() & _c("end_pos").isNull()
     return out.select(
         "path",
         F.lit(lang).alias("lang"),
@@ -514,10 +560,13 @@ def _enclosed(rows: DataFrame, lang: str) -> DataFrame:
         "line",
         F.when(grouped, _c("in_group.line")).otherwise(_c("start_line")).alias("start_line"),
         F.coalesce(
-            F.when(grouped, _c("in_group.end_line")), _c("end_line_of"), _c("end_line")
+            F.when(grouped, _c("in_group.end_line")),
+            _c("end_line_of"),
+            F.when(unclosed, F.greatest(_c("line"), _c("next_head.line") - 1)),
+            _c("end_line"),
         ).alias("end_line"),
         "start_pos",
-        F.coalesce("end_pos", F.lit(2**31 - 1)).alias("end_pos"),
+        F.coalesce("end_pos", _c("next_head.pos") - 1, F.lit(2**31 - 1)).alias("end_pos"),
         "open_pos",
         "close_pos",
         "ahead",
@@ -527,9 +576,9 @@ def _enclosed(rows: DataFrame, lang: str) -> DataFrame:
     )
 
 
-def facts(sources: DataFrame, lang: str) -> DataFrame:
+def facts(sources: DataFrame, lang: str, parts: int) -> DataFrame:
     """One row per declaration, call and import token of the files of one language."""
-    rows = _classified(_marks(significant(sources, lang), lang), lang)
+    rows = _classified(_marks(significant(sources, lang, parts), lang), lang)
     rows = _brace_ranges(_brackets(rows, lang), lang)
     if lang == "python":
         rows = _indents(rows)
@@ -553,7 +602,7 @@ def _cut(toks: Column, first: Column, last: Column) -> Column:
 
 
 def _parameters(
-    heads: DataFrame, sources: DataFrame, languages: tuple[str, ...], uncovered: int
+    heads: DataFrame, sources: DataFrame, languages: tuple[str, ...], uncovered: int, parts: int
 ) -> DataFrame:
     """Adds ``params``, the raw text of the parameter list.
 
@@ -571,7 +620,7 @@ def _parameters(
         return near
     far = heads.where(~_covered())
     for lang in languages:
-        cut = far.where(_c("lang") == lang).join(prepare(sources, lang), "path")
+        cut = far.where(_c("lang") == lang).join(prepare(sources, lang, parts), "path")
         near = near.unionByName(
             cut.withColumn(
                 "params", _cut(_c("toks"), _c("open_pos") + 1, _c("close_pos") + 1)
@@ -626,11 +675,14 @@ def _symbols(
     sources: DataFrame,
     languages: tuple[str, ...],
     uncovered: int,
+    parts: int,
     class_docstrings: bool,
     clean_signature: bool,
 ) -> DataFrame:
     head = _c("head")
-    with_params = _parameters(heads.where(_in("head", _FUNCTIONS)), sources, languages, uncovered)
+    with_params = _parameters(
+        heads.where(_in("head", _FUNCTIONS)), sources, languages, uncovered, parts
+    )
     plain = heads.where(~_in("head", _FUNCTIONS)).withColumn("params", F.lit(None).cast("string"))
     rows = with_params.unionByName(plain)
     prefix = F.lit(None).cast("string")
@@ -705,7 +757,7 @@ def _raw_edges(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     inside = _contained(points, ranges).select(
         "source", "target", _c("role").alias("kind"), "path", "line", "pos"
     )
-    edges = inside.select(*RAW_EDGES.names).unionByName(_imports(found))
+    edges = inside.withColumnRenamed("path", "file_path").select(*RAW_EDGES.names).unionByName(_imports(found))
     sites = inside.where(_c("kind") == "calls").select(
         "source", "target", _c("path").alias("file_path"), _c("line").cast("long").alias("line"), "pos"
     )
@@ -739,7 +791,7 @@ def _imports(found: DataFrame) -> DataFrame:
         .select("path", dotted.alias("target"))
     )
     return quoted.unionByName(python).select(
-        _c("path").alias("source"), "target", F.lit("imports").alias("kind")
+        _c("path").alias("source"), "target", F.lit("imports").alias("kind"), _c("path").alias("file_path")
     )
 
 
@@ -753,14 +805,13 @@ def extract(
 
     Symbols are as declared, before ids are made unique (see ``resolve.dedup_nodes``).
     """
-    if len(languages) > 1:
-        sources = by_language(sources, languages)
-    parts = [facts(sources, lang) for lang in languages]
+    sources, parts = by_language(sources, languages)
+    each = [facts(sources, lang, parts) for lang in languages]
     far = F.sum(F.when(_in("head", _FUNCTIONS) & ~_covered(), 1).otherwise(0))
-    found = stage(reduce(DataFrame.unionByName, parts), "facts", far=far)
+    found = stage(reduce(DataFrame.unionByName, each), "facts", far=far)
     heads = found.df.where(_c("head").isNotNull())
     symbols = _symbols(
-        heads, sources, languages, found.metrics["far"] or 0, class_docstrings, clean_signature
+        heads, sources, languages, found.metrics["far"] or 0, parts, class_docstrings, clean_signature
     )
     edges, sites = _raw_edges(found.df)
     return Extraction(found.df, symbols, edges, sites)

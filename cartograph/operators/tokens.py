@@ -7,10 +7,10 @@ is one cell of the source table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cartograph.functions.lexis import is_blank, is_comment, is_name, lex, newlines
+from cartograph.functions.lexis import interpolation, is_blank, is_comment, is_name, lex, newlines
 from cartograph.functions.text import LANGUAGES, language_of
 from cartograph.session import new_path
 
@@ -29,27 +29,37 @@ def before_row() -> WindowSpec:
     return in_order().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def by_language(sources: DataFrame, languages: tuple[str, ...]) -> DataFrame:
-    """The supported files, staged once in one folder per language.
+# Bytes of text to a partition of the token table, which takes about twenty times as much.
+PART_BYTES = 8 << 20
+
+
+def by_language(sources: DataFrame, languages: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """The supported files, staged once in one folder per language, and the partitions to lex in.
 
     Each language is then read and lexed by a plan of its own: small generated code, and no file
     is read for a language it is not written in.
     """
     path = new_path(sources.sparkSession, "texts")
-    lang = language_of(F.col("path"))
+    lang, seen = language_of(F.col("path")), Observation()
     (
         sources.select("path", "content", lang.alias("lang"))
         .where(F.col("lang").isin(*languages))
+        .observe(seen, F.sum(F.octet_length("content")).alias("bytes"))
         .write.partitionBy("lang")
         .parquet(path)
     )
     schema = "path string, content string, lang string"
-    return sources.sparkSession.read.schema(schema).parquet(path)
+    spark = sources.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.read.schema(schema).parquet(path), max(least, -(-(seen.get["bytes"] or 0) // PART_BYTES))
+
 
+def prepare(sources: DataFrame, lang: str, parts: int) -> DataFrame:
+    """(path, toks): one row per file of the language, hash partitioned by path.
 
-def prepare(sources: DataFrame, lang: str) -> DataFrame:
-    """(path, toks): one row per file of the language, hash partitioned by path."""
-    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    Tokens take far more room than text, so the partitions are set by the bytes of text, not left
+    to be merged by the size of this shuffle.
+    """
     own = F.col("lang") if "lang" in sources.columns else language_of(F.col("path"))
     return (
         sources.where(own == lang)
@@ -61,17 +71,18 @@ def prepare(sources: DataFrame, lang: str) -> DataFrame:
 
 def tokens(sources: DataFrame, lang: str) -> DataFrame:
     """(path, pos, tok): every token of the files of one language, trivia included."""
-    return _exploded(sources, lang).drop("toks")
+    staged, parts = by_language(sources, (lang,))
+    return _exploded(staged, lang, parts).drop("toks")
 
 
-def _exploded(sources: DataFrame, lang: str) -> DataFrame:
+def _exploded(sources: DataFrame, lang: str, parts: int) -> DataFrame:
     """(path, toks, pos, tok).
 
     The outer form keeps the optimizer from inferring ``size(lex(content)) > 0``, a filter it would
     push below the shuffle, where the text would be split once more.
     """
     return (
-        prepare(sources, lang)
+        prepare(sources, lang, parts)
         .select("path", "toks", F.posexplode_outer("toks").alias("pos", "tok"))
         .where(F.col("tok").isNotNull())
     )
@@ -96,16 +107,34 @@ def _may_declare(lang: str, tok: Column) -> Column:
     return keyword
 
 
-def _generic_call(tok: Column) -> Column:
-    """``name<Types>(`` with type arguments nested up to three deep."""
-    nest = r"[^<>();=]"
-    for _ in range(2):
-        nest = rf"(?:[^<>();=]|<(?:{nest}){{0,80}}+>)"
-    text = F.array_join(F.slice("toks", F.col("pos") + 2, 256), "")
-    return (_at(1) == "<") & is_name(tok) & text.rlike(rf"^<(?:{nest}){{1,200}}+>\s*+\(")
+def _generic_calls(rows: DataFrame) -> DataFrame:
+    """Adds ``generic``: a name before type arguments that a parenthesis follows, as in ``f<A<B>>(``.
+
+    The angle bracket behind the name is closed by the nearest ``>`` of its level, if no token that
+    can't stand in type arguments comes between; comparisons have one. No length or depth is set.
+    """
+    tok = F.col("tok")
+    barrier = tok.isin("(", ")", ";") | tok.contains("=")
+    levelled = rows.select(
+        "*",
+        F.sum(barrier.cast("int")).over(in_order().rowsBetween(Window.unboundedPreceding, -1)).alias("part"),
+        (F.col("angle") - (tok == ">").cast("int")).alias("level"),
+    )
+    behind = (
+        Window.partitionBy("path", "part", "level")
+        .orderBy(F.desc("pos"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    closed = F.last(F.when(tok == ">", F.col("n1")), ignorenulls=True).over(behind)
+    opened = F.when((tok == "<") & (F.col("n1") != ">"), F.coalesce(closed == "(", F.lit(False)))
+    found = levelled.select(*rows.columns, opened.alias("types"))
+    return found.select(
+        *rows.columns,
+        (F.col("named") & F.coalesce(F.lead("types").over(in_order()), F.lit(False))).alias("generic"),
+    )
 
 
-def significant(sources: DataFrame, lang: str) -> DataFrame:
+def significant(sources: DataFrame, lang: str, parts: int) -> DataFrame:
     """The tokens of one language that carry meaning, each with its place and its neighbours.
 
     Added columns: ``line`` and ``end_line``; ``depth`` (brackets open around the token; a bracket
@@ -118,7 +147,7 @@ def significant(sources: DataFrame, lang: str) -> DataFrame:
     trivia = is_blank(tok) | is_comment(tok, lang)
     if python:
         trivia = trivia | tok.rlike(r"^\\\r?\n")
-    rows = _exploded(sources, lang).select(
+    rows = _exploded(sources, lang, parts).select(
         "path",
         "pos",
         "tok",
@@ -126,7 +155,6 @@ def significant(sources: DataFrame, lang: str) -> DataFrame:
             _may_declare(lang, tok),
             F.array_join(F.slice("toks", F.col("pos") + 1, AHEAD), ""),
         ).alias("ahead"),
-        (_generic_call(tok) if lang == "typescript" else F.lit(False)).alias("generic"),
         F.when(tok.contains("\n"), newlines(tok)).otherwise(0).alias("nl"),
         is_name(tok).alias("named"),
         trivia.alias("trivia"),
@@ -140,7 +168,7 @@ def significant(sources: DataFrame, lang: str) -> DataFrame:
     placed = rows.select(
         "*",
         running(F.col("nl")).alias("lines_before"),
-        running(F.when(opens, 1).when(closes, -1).otherwise(0)).alias("open_before"),
+        running(F.when(opens, 1).when(closes, -1).otherwise(interpolation(tok, lang))).alias("open_before"),
         running(F.when(tok == "<", 1).when(tok == ">", -1).otherwise(0)).alias("angle"),
         F.lag("tok").over(here).alias("raw_before"),
     ).where(~F.col("trivia"))
@@ -153,7 +181,6 @@ def significant(sources: DataFrame, lang: str) -> DataFrame:
         "pos",
         "tok",
         "ahead",
-        "generic",
         "named",
         (F.col("lines_before") + 1).alias("line"),
         (F.col("lines_before") + 1 + F.col("nl")).alias("end_line"),
@@ -187,4 +214,5 @@ def significant(sources: DataFrame, lang: str) -> DataFrame:
             "n4": F.lead("tok", 4),
             "p1_breaks": F.lag("breaks", 1),
         }
-    return placed.select("*", *[c.over(here).alias(n) for n, c in near.items()])
+    rows = placed.select("*", *[c.over(here).alias(n) for n, c in near.items()])
+    return _generic_calls(rows) if lang == "typescript" else rows.withColumn("generic", F.lit(False))

@@ -25,7 +25,12 @@ SYMBOLS = _table(
     ("properties", _S, True),
 )
 
-RAW_EDGES = _table(("source", _S, False), ("target", _S, False), ("kind", _S, False))
+RAW_EDGES = _table(
+    ("source", _S, False), ("target", _S, False), ("kind", _S, False), ("file_path", _S, False)
+)
+
+# Every file that was indexed; a deleted one stays, so that a late older version is known as such.
+FILES = _table(("path", _S, False), ("modified", _L, True), ("deleted", T.BooleanType(), False))
 
 EDGES = _table(("source_id", _S, False), ("target_id", _S, False), ("kind", _S, False))
 

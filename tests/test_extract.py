@@ -357,7 +357,7 @@ def test_typescript_symbols(symbols):
 
 def test_typescript_edges(edges):
     assert targets(edges, "a.ts::load") == {
-        "fetchIt", "maybe", "useState", "call_div", "inside", "deep", "arrowCall",
+        "fetchIt", "maybe", "useState", "call_div", "inside", "hidden", "deep", "arrowCall",
     }
     assert targets(edges, "a.ts::nested") == {"deep"}
     assert targets(edges, "a.ts::overload") == {"impl"}
