@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartograph.schema import SYMBOLS
+from cartograph.session import stage
 
 
 def dedup_nodes(symbols: DataFrame) -> DataFrame:
@@ -40,27 +41,39 @@ def name_index(symbols: DataFrame) -> DataFrame:
     )
 
 
-def _resolved(raw_edges: DataFrame, symbols: DataFrame) -> DataFrame:
+_RAW = ("source", "target", "kind")
+
+
+def _lookup(symbols: DataFrame) -> DataFrame:
+    """(key, exact_id, named_id): what each id and each name stands for, one row per key; staged.
+
+    Spark splits a skewed join only between two plain shuffles. An aggregate on one side would be
+    reused for the join and rule that out, so it is written first.
+    """
+    none = F.lit(None).cast("string")
+    ids = symbols.select(F.col("id").alias("key"), F.col("id").alias("exact"), none.alias("named"))
+    names = name_index(symbols).select(F.col("name").alias("key"), none.alias("exact"), F.col("id").alias("named"))
+    keys = ids.unionByName(names).groupBy("key")
+    return stage(keys.agg(F.max("exact").alias("exact_id"), F.max("named").alias("named_id")), "lookup").df
+
+
+def _resolved(raw_edges: DataFrame, lookup: DataFrame) -> DataFrame:
     """Distinct raw edges with a known source, and their target id or null.
 
-    Both lookup sides have one row per key, so no join fans out. A popular target makes the edge
-    side skewed, which the adaptive skew join splits; it can, because the next step shuffles on
-    another key anyway.
+    The lookup has one row per key, so no join fans out. A popular target, or a source with very
+    many edges, makes the edge side skewed, which the adaptive skew join splits.
     """
-    ids = symbols.select("id").distinct()
-    names = name_index(symbols)
-    known = raw_edges.distinct().join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
-    by_id = ids.select(F.col("id").alias("target"), F.col("id").alias("exact_id"))
-    by_name = names.select(F.col("name").alias("target"), F.col("id").alias("named_id"))
-    return known.join(by_id, "target", "left").join(by_name, "target", "left").select(
-        "source", "target", "kind", F.coalesce("exact_id", "named_id").alias("target_id")
+    sources = lookup.where("exact_id IS NOT NULL").select(F.col("key").alias("source"))
+    known = raw_edges.select(*_RAW).distinct().join(sources, "source", "left_semi")
+    return known.join(lookup.withColumnRenamed("key", "target"), "target", "left").select(
+        *_RAW, F.coalesce("exact_id", "named_id").alias("target_id")
     )
 
 
 def resolve_edges(raw_edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges between known ids: exact id first, then name; unresolved ones are left out."""
     return (
-        _resolved(raw_edges, symbols)
+        _resolved(raw_edges, _lookup(symbols))
         .where(F.col("target_id").isNotNull())
         .select(F.col("source").alias("source_id"), "target_id", "kind")
         .distinct()
@@ -69,9 +82,10 @@ def resolve_edges(raw_edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def unresolved_edges(raw_edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Distinct raw edges that :func:`resolve_edges` drops, with the reason."""
-    ids = symbols.select(F.col("id").alias("source")).distinct()
-    orphans = raw_edges.distinct().join(ids, "source", "left_anti")
-    unknown = _resolved(raw_edges, symbols).where(F.col("target_id").isNull())
+    lookup = _lookup(symbols)
+    ids = lookup.where("exact_id IS NOT NULL").select(F.col("key").alias("source"))
+    orphans = raw_edges.select(*_RAW).distinct().join(ids, "source", "left_anti")
+    unknown = _resolved(raw_edges, lookup).where(F.col("target_id").isNull())
     return orphans.select("source", "target", "kind", F.lit("source").alias("missing")).unionByName(
         unknown.select("source", "target", "kind", F.lit("target").alias("missing"))
     )
@@ -112,7 +126,8 @@ def out_adjacency(edges: DataFrame) -> DataFrame:
     """Outgoing edges of every node in long form, with the node's degree.
 
     Long form on purpose: a hub's neighbours stay spread over rows instead of one huge array.
-    The degree table is joined back, not computed by a window over the hub.
+    The degree table is staged and joined back, not computed by a window over the hub, so that the
+    join is between two plain shuffles and a hub can be split.
     """
     return _adjacency(edges, "source_id", "target_id")
 
@@ -122,7 +137,7 @@ def in_adjacency(edges: DataFrame) -> DataFrame:
 
 
 def _adjacency(edges: DataFrame, node: str, neighbour: str) -> DataFrame:
-    degree = edges.groupBy(node).agg(F.count(F.lit(1)).alias("degree"))
+    degree = stage(edges.groupBy(node).agg(F.count(F.lit(1)).alias("degree")), "degree").df
     return edges.join(degree, node).select(
         F.col(node).alias("node_id"), F.col(neighbour).alias("neighbour_id"), "kind", "degree"
     )

@@ -53,7 +53,9 @@ def python_functions(t: Tables) -> DataFrame:
 def python_classes(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
     text = _fill(
-        'class Sup_{k}:\n    """doc"""\n    def ping_{k}(self, x):\n        part_0(x)\n', k=k
+        'class Sup_{k}:\n    """doc"""\n    def ping_{k}(self, x):\n'
+        "        f\"it's ⟦part_0(x)⟧\"\n",
+        k=k,
     )
     path = F.concat(F.lit("src/py/sup/m"), _module(k), F.lit(".py"))
     return _render(t.supplier, path, k, text, F.lit(""))
@@ -70,9 +72,10 @@ TS_SUFFIXES = ("ts", "tsx", "js", "jsx")
 def c_ts(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
     text = _fill(
-        "function make_{k}(x) ⟦\n  helper_{j}(x); new Box(x);\n⟧\n"
-        "class Sup_{k} ⟦\n  run_{k}(a, b) ⟦ make_{k}(a); ⟧\n⟧",
-        k=k, j=(k + 1) % t.rows("supplier"),
+        "function make_{k}(x) ⟦\n  `it's $⟦helper_{j}(x)⟧ ⟧ (`; new Box(x); const p = /{long}\\⟦/;\n⟧\n"
+        "class Sup_{k} ⟦\n  run_{k}(a, b) ⟦ make_{k}<A<B<C<D<E>>>>, {types}>(a); ⟧\n⟧",
+        k=k, j=(k + 1) % t.rows("supplier"), long=F.lit("a" * 600),
+        types=F.lit(", ".join(f"T{i}" for i in range(300))),
     )
     ext = F.element_at(F.array(*map(F.lit, TS_SUFFIXES)), (_module(k) % 4 + 1).cast("int"))
     path = F.concat(F.lit("src/ts/m"), _module(k), F.lit("."), ext)
@@ -84,7 +87,7 @@ def c_rs(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     text = _fill(
         "struct Ord_{k} ⟦ id: i64 ⟧\nfn load_{k}(id: i64) -> i64 ⟦\n"
-        '    check_{j}(id); std::mem::drop(id); println!("load_{k}(0)")\n⟧',
+        '    check_{j}(id); /* a /* b */ gone( */ std::mem::drop(id); println!("load_{k}(0)")\n⟧',
         k=k, j=k % 10,
     )
     path = F.concat(F.lit("src/rs/m"), _module(k), F.lit(".rs"))
@@ -95,7 +98,7 @@ def c_go(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     text = _fill(
         "type Cust_{k} struct ⟦ ID int ⟧\n"
-        "func (c Cust_{k}) Show_{k}(w int) ⟦ New_{k}(w) ⟧\n"
+        "func (c Cust_{k}) Show_{k}(w int) ⟦ New_{k}[int](w) ⟧\n"
         "func New_{k}(v int) ⟦ fmt.Println(v) ⟧\n"
         "type Shower_{k} interface ⟦ Show(w int) ⟧\n",
         k=k,

@@ -152,6 +152,22 @@ def graph_s_edges(t: Tables) -> DataFrame:
     )
 
 
+def ring_edges(t: Tables) -> DataFrame:
+    """Rings of five suppliers each, with two chords: a few cycles to each ring."""
+    k, m = F.col("s_suppkey"), t.rows("supplier")
+    following = F.when((k % 5 == 4) | (k + 1 == m), k - k % 5).otherwise(k + 1)
+    chord = F.when((k % 5 < 2) & (k + 2 < m), k + 2)
+    return (
+        t.supplier.select(k, F.explode(F.array_compact(F.array(following, chord))).alias("next"))
+        .select(
+            _tag("supplier", F.col("s_suppkey")).alias("source_id"),
+            _tag("supplier", F.col("next")).alias("target_id"),
+            F.lit("calls").alias("kind"),
+        )
+        .distinct()
+    )
+
+
 def graph_s_symbols(t: Tables) -> DataFrame:
     return graph_p_symbols(t).where(F.col("id").startswith("supplier::"))
 

@@ -28,7 +28,11 @@ def _index(spark: SparkSession, sf_dir: str, graph: str) -> store.Index:
         else:
             symbols, edges = derived.graph_s_symbols(t), derived.graph_s_edges(t)
         raw = edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "kind")
-        store.write_index(path, symbols, edges, raw, t.rows("part"), "/project")
+        raw = raw.join(
+            symbols.select(F.col("id").alias("source"), "file_path").distinct(), "source"
+        )
+        files = symbols.select(F.col("file_path").alias("path")).distinct()
+        store.write_index(path, symbols, edges, raw, files, "/project")
         _stored[key] = path
     return store.load_index(spark, _stored[key])
 
@@ -91,6 +95,13 @@ S_EDGES = """sedge AS (
         SELECT l_suppkey, max(l_orderkey * 1000000000 + l_partkey) FROM lineitem
         WHERE l_suppkey % 5 = 0 GROUP BY l_suppkey))"""
 
+RING_EDGES = """ring AS (
+  SELECT 'supplier::' || k AS source_id, 'supplier::' || t AS target_id, 'calls' AS kind FROM (
+    SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 4 OR s_suppkey + 1 = (SELECT count(*) FROM supplier)
+      THEN s_suppkey - s_suppkey % 5 ELSE s_suppkey + 1 END AS t FROM supplier
+    UNION SELECT s_suppkey, s_suppkey + 2 FROM supplier
+    WHERE s_suppkey % 5 < 2 AND s_suppkey + 2 < (SELECT count(*) FROM supplier)))"""
+
 COPIES = """copies AS (
   SELECT 'part::' || l_partkey AS id, 'f_' || l_partkey AS name,
     CASE WHEN l_linenumber % 3 = 0 THEN 'method' ELSE 'function' END AS kind,
@@ -207,41 +218,12 @@ def store_roundtrip(spark, sf):
 
 @query("meta_rows", with_(P_SYMBOLS) + """
 SELECT 'schema_version' AS key, '1' AS value UNION ALL SELECT 'project_root', '/project'
-UNION ALL SELECT 'file_count', CAST((SELECT count(*) FROM part) AS VARCHAR)
+UNION ALL SELECT 'file_count', CAST((SELECT count(DISTINCT file_path) FROM psym) AS VARCHAR)
 UNION ALL SELECT 'symbol_count', CAST((SELECT count(*) FROM psym) AS VARCHAR)""")
 def meta_rows(spark, sf):
     return graph_p(spark, sf).meta.where("key <> 'indexed_at'")
 
 
-_SCOPE = "src/part/Brand_7"
-
-
-@query("scoped_reindex", with_(P_SYMBOLS, R_RAW.replace("raw AS", "raw0 AS")) + f"""
-, sym AS (SELECT id, name, file_path, line_start FROM psym WHERE NOT starts_with(file_path, '{_SCOPE}/')
-  UNION ALL SELECT id, name || '_v2', file_path, line_start + 1 FROM psym
-  WHERE starts_with(file_path, '{_SCOPE}/') AND line_start % 20 = 1),
-raw AS (SELECT DISTINCT * FROM raw0),
-ni AS (SELECT name, id FROM (SELECT name, id,
-    row_number() OVER (PARTITION BY name ORDER BY file_path, line_start, id) AS rn FROM sym) WHERE rn = 1)
-SELECT DISTINCT r.source AS source_id, coalesce(x.id, ni.id) AS target_id, r.kind
-FROM raw r JOIN sym s ON s.id = r.source LEFT JOIN sym x ON x.id = r.target LEFT JOIN ni ON ni.name = r.target
-WHERE coalesce(x.id, ni.id) IS NOT NULL""")
-def scoped_reindex(spark, sf):
-    """One folder is indexed again: half of its symbols are gone, the others renamed and moved."""
-    from cartograph.sources.discovery import in_scope
-
-    p = graph_p(spark, sf)
-    index = p._replace(raw_edges=derived.raw_edges_r(Tables(spark, sf)))
-    inside = lambda path: in_scope(path, _SCOPE)
-    fresh = (
-        p.symbols.where(inside(F.col("file_path")) & (F.col("line_start") % 20 == 1))
-        .withColumn("name", F.concat("name", F.lit("_v2")))
-        .withColumn("line_start", F.col("line_start") + 1)
-    )
-    no_edges = index.raw_edges.where(F.lit(False))
-    return store.replace_files(index, inside, fresh, no_edges)[2]
-
-
 # ---------------------------------------------------------------- lookups
 
 
@@ -489,16 +471,16 @@ def shortest_path_steps(spark, sf):
     return analytics.shortest_call_path(p.symbols, p.edges, _FROM, _TO)
 
 
-@query("find_cycles", with_(S_EDGES, """p AS (
-  SELECT source_id AS root, target_id AS last, [source_id, target_id] AS path FROM sedge WHERE target_id > source_id
-  UNION ALL SELECT p.root, e.target_id, list_append(p.path, e.target_id) FROM p JOIN sedge e ON e.source_id = p.last
-  WHERE e.target_id > p.root AND NOT list_contains(p.path, e.target_id) AND len(p.path) < 12)""", recursive=True) + """
-SELECT CAST(1 AS BIGINT) AS length, source_id AS cycle FROM sedge WHERE source_id = target_id
+@query("find_cycles", with_(RING_EDGES, """p AS (
+  SELECT source_id AS root, target_id AS last, [source_id, target_id] AS path FROM ring WHERE target_id > source_id
+  UNION ALL SELECT p.root, e.target_id, list_append(p.path, e.target_id) FROM p JOIN ring e ON e.source_id = p.last
+  WHERE e.target_id > p.root AND NOT list_contains(p.path, e.target_id))""", recursive=True) + """
+SELECT CAST(1 AS BIGINT) AS length, source_id AS cycle FROM ring WHERE source_id = target_id
 UNION ALL SELECT CAST(len(path) AS BIGINT), array_to_string(path, '>')
-FROM p JOIN sedge e ON e.source_id = p.last AND e.target_id = p.root""")
+FROM p JOIN ring e ON e.source_id = p.last AND e.target_id = p.root""")
 def find_cycles(spark, sf):
-    """Cycles of at most 12 nodes; the bound is a parameter of the question."""
-    return analytics.find_cycles(graph_s(spark, sf).edges, max_len=12, peel_rounds=1)
+    """All elementary cycles of a graph whose number of cycles grows with its nodes."""
+    return analytics.find_cycles(derived.ring_edges(Tables(spark, sf)), peel_rounds=1)
 
 
 @query("cyclic_symbols", with_(S_EDGES, """reach AS (

@@ -9,18 +9,19 @@ from cartograph.functions.text import language_of
 from cartograph.operators.extract import Extraction, extract
 from cartograph.operators.resolve import dedup_nodes, resolve_edges
 from cartograph.operators.tokens import ALL_LANGUAGES
+from cartograph.schema import SYMBOLS
 from cartograph.session import stage
 from cartograph.sources import discovery, store
 
 
 def newest_sources(versions: DataFrame) -> DataFrame:
-    """One text per path: the latest of ``versions(path, content, modified)``.
+    """One row per path: the latest of ``versions(path, content, modified)``.
 
-    An aggregate, so many versions of one path shrink before the shuffle.
+    An aggregate, so many versions of one path shrink before the shuffle. Of two versions of one
+    time a text wins over a deletion (a null content), and the larger text over the smaller.
     """
-    return versions.groupBy("path").agg(
-        F.max_by("content", F.struct("modified", "content")).alias("content")
-    )
+    latest = F.max(F.struct("modified", "content"))
+    return versions.groupBy("path").agg(latest.alias("v")).select("path", "v.content", "v.modified")
 
 
 def extract_status(sources: DataFrame, quarantine: DataFrame | None = None) -> DataFrame:
@@ -46,8 +47,7 @@ def extract_summary(sources: DataFrame, found: Extraction) -> DataFrame:
     symbols = found.symbols.groupBy(language_of(F.col("file_path")).alias("lang")).agg(
         F.count(F.lit(1)).alias("symbols")
     )
-    path = store.path_of_id(F.col("source"))
-    edges = found.raw_edges.groupBy(language_of(path).alias("lang")).agg(
+    edges = found.raw_edges.groupBy(language_of(F.col("file_path")).alias("lang")).agg(
         F.count(F.lit(1)).alias("raw_edges")
     )
     zero = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
@@ -61,15 +61,15 @@ def index_sources(
     sources: DataFrame,
     out: str,
     project_root: str = "",
-    file_count: int | None = None,
+    files: DataFrame | None = None,
     languages: tuple[str, ...] = ALL_LANGUAGES,
 ) -> store.Index:
-    """Full index of a source table, written to ``out``."""
+    """Full index of a source table, written to ``out``; ``files`` are all that were discovered."""
     found = extract(sources, languages)
     symbols = stage(dedup_nodes(found.symbols), "symbols").df
     raw = stage(found.raw_edges, "raw").df
-    count = sources.count() if file_count is None else file_count
-    return store.write_index(out, symbols, resolve_edges(raw, symbols), raw, count, project_root)
+    listed = sources if files is None else files
+    return store.write_index(out, symbols, resolve_edges(raw, symbols), raw, listed, project_root)
 
 
 def index_directory(
@@ -82,7 +82,8 @@ def index_directory(
         files = discovery.drop_ignored(files, discovery.read_ignore_files(root, walked))
     files = stage(files, "files")
     good, bad = discovery.read_sources(root, files.df)
-    return index_sources(good, out, root, files.rows), bad
+    # The listing has the files' times as timestamps, which are not versions.
+    return index_sources(good, out, root, files.df.select("path")), bad
 
 
 def reindex_scope(
@@ -92,40 +93,38 @@ def reindex_scope(
 
     ``sources`` are the folder's present files; what they no longer hold disappears.
     """
-    inside = lambda path: discovery.in_scope(path, scope)
-    return _replace(index, inside, sources.where(inside(F.col("path"))), out, project_root)
+
+    def outside(rows: DataFrame, path: str) -> DataFrame:
+        return rows.where(~discovery.in_scope(F.col(path), scope))
+
+    inside = sources.where(discovery.in_scope(F.col("path"), scope))
+    return _rebuild(index, outside, inside, inside, out, project_root)
 
 
 def reindex_paths(
     index: store.Index, sources: DataFrame, out: str, project_root: str = ""
 ) -> store.Index:
-    """Replace the rows of exactly the files in ``sources``."""
-    found = extract(sources)
-    paths = sources.select("path").distinct()
-    symbols = index.symbols.join(
-        paths.withColumnRenamed("path", "file_path"), "file_path", "left_anti"
-    )
-    raw = index.raw_edges.withColumn("path", store.path_of_id(F.col("source"))).join(
-        paths, "path", "left_anti"
-    )
-    return _rebuild(symbols, raw, found, out, project_root)
+    """Replace the rows of exactly the files in ``sources``.
 
+    A null content deletes the file. A ``modified`` column is kept in the file table.
+    """
+    files = store.file_rows(sources.withColumn("deleted", F.col("content").isNull()))
+    paths = files.select(F.col("path").alias("changed"))
+
+    def others(rows: DataFrame, path: str) -> DataFrame:
+        return rows.join(paths, rows[path] == paths["changed"], "left_anti")
+
+    return _rebuild(index, others, sources.where("content IS NOT NULL"), files, out, project_root)
 
-def _replace(index, inside, sources, out, project_root) -> store.Index:
+
+def _rebuild(index: store.Index, keep, sources: DataFrame, files: DataFrame, out: str, project_root: str) -> store.Index:
+    """The rows of ``index`` that ``keep(rows, path column)`` leaves, and those of ``sources``.
+
+    Resolution is global, so an edge outside the replaced files may get another target.
+    """
     found = extract(sources)
-    symbols = index.symbols.where(~inside(F.col("file_path")))
-    raw = index.raw_edges.where(~inside(store.path_of_id(F.col("source"))))
-    return _rebuild(symbols, raw, found, out, project_root)
-
-
-def _rebuild(symbols, raw, found: Extraction, out, project_root) -> store.Index:
-    columns = store.SYMBOLS.names
-    merged = stage(
-        symbols.select(*columns).unionByName(dedup_nodes(found.symbols).select(*columns)), "symbols"
-    ).df
-    edges = stage(
-        raw.select(*store.RAW_EDGES.names).unionByName(found.raw_edges.select(*store.RAW_EDGES.names)),
-        "raw",
-    ).df
-    files = merged.select("file_path").distinct().count()
-    return store.write_index(out, merged, resolve_edges(edges, merged), edges, files, project_root)
+    fresh = dedup_nodes(found.symbols).select(*SYMBOLS.names)
+    symbols = stage(keep(index.symbols, "file_path").unionByName(fresh), "symbols").df
+    raw = stage(keep(index.raw_edges, "file_path").unionByName(found.raw_edges), "raw").df
+    listed = keep(index.files, "path").unionByName(store.file_rows(files))
+    return store.write_index(out, symbols, resolve_edges(raw, symbols), raw, listed, project_root)

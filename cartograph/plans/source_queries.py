@@ -5,7 +5,7 @@ The SQL twins compute the expected symbols and edges from the tables, never from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartograph.functions.text import language_of
@@ -16,7 +16,7 @@ from cartograph.plans import corpora, derived, index
 from cartograph.plans.catalog import query
 from cartograph.plans.derived import LISTING_FOLDERS, LISTING_SUFFIXES, Tables
 from cartograph.session import new_path, stage
-from cartograph.sources import discovery, store
+from cartograph.sources import discovery
 from cartograph.streaming import reindex
 
 # ---------------------------------------------------------------- listing
@@ -129,8 +129,8 @@ def _kind(lang: str, kind: str):
 
 def _edges(lang: str, kind: str):
     def run(spark, sf):
-        own = language_of(store.path_of_id(F.col("source"))) == lang
-        return corpus(spark, sf).raw_edges.where(own & (F.col("kind") == kind))
+        own = language_of(F.col("file_path")) == lang
+        return corpus(spark, sf).raw_edges.where(own & (F.col("kind") == kind)).select("source", "target", "kind")
 
     return run
 
@@ -246,11 +246,18 @@ def py_docstrings(spark, sf):
 SELECT {_PY_F} || '::part_' || p_partkey AS source, 'part_' || ((p_partkey * 7 + 3) % {_NPART}) AS target,
   {_PY_F} AS file_path, CAST(4 + 5 * (p_partkey % 40) + 2 AS BIGINT) AS line FROM part
 UNION ALL SELECT {_PY_C} || '::ping_' || s_suppkey, 'part_0', {_PY_C}, CAST(1 + 5 * (s_suppkey % 40) + 3 AS BIGINT)
-FROM supplier""")
+FROM supplier
+UNION ALL SELECT {_TS} || '::make_' || s_suppkey, 'helper_' || ((s_suppkey + 1) % {_NSUP}), {_TS},
+  CAST(4 + 6 * (s_suppkey % 40) AS BIGINT) FROM supplier
+UNION ALL SELECT {_TS} || '::run_' || s_suppkey, 'make_' || s_suppkey, {_TS}, CAST(7 + 6 * (s_suppkey % 40) AS BIGINT)
+FROM supplier
+UNION ALL SELECT {_RS} || '::load_' || o_orderkey, 'check_' || (o_orderkey % 10), {_RS},
+  CAST(3 + 4 * (o_orderkey % 40) AS BIGINT) FROM orders
+UNION ALL SELECT {_GO} || '::Show_' || c_custkey, 'New_' || c_custkey, {_GO}, CAST(5 + 5 * (c_custkey % 40) AS BIGINT)
+FROM customer""")
 def call_sites(spark, sf):
     """Every call with its line: the detail behind the call edges."""
-    sites = corpus(spark, sf).call_sites.where(language_of(F.col("file_path")) == "python")
-    return sites.select("source", "target", "file_path", "line")
+    return corpus(spark, sf).call_sites.select("source", "target", "file_path", "line")
 
 
 @query("token_stats", f"""
@@ -353,28 +360,64 @@ def full_index(spark, sf):
 
 
 def _versions(spark: SparkSession, sf: str) -> DataFrame:
-    """Go files in two versions: in the second, the even files call another function."""
+    """Go files in two arrivals, with the time of each version.
+
+    In the second the even files call another function, of every third file an older version comes
+    late, and every fifth file is deleted; an older version of it comes late too.
+    """
     texts = corpora.c_go(Tables(spark, sf))
-    even = F.regexp_extract("path", r"/m(\d+)\.go$", 1).cast("long") % 2 == 0
-    newer = texts.where(even).select(
-        "path",
-        F.regexp_replace("content", r"\{ New_(\d+)\(w\) \}", "{ New_$1(w); Missing_$1(w); Show_$1(w) }").alias("content"),
-        F.lit(2).cast("long").alias("modified"),
+    m = F.regexp_extract("path", r"/m(\d+)\.go$", 1).cast("long")
+    longer = F.regexp_replace(
+        "content", r"\{ New_(\d+)\[int\]\(w\) \}", "{ New_$1(w); Missing_$1(w); Show_$1(w) }"
+    )
+
+    def arrive(rows: DataFrame, content: Column, modified: int, arrival: int) -> DataFrame:
+        return rows.select(
+            "path", content.alias("content"), F.lit(modified).cast("long").alias("modified"), F.lit(arrival).alias("arrival")
+        )
+
+    old = F.lit("package n\nfunc Old(w int) { Old(w) }\n")
+    return (
+        arrive(texts, F.col("content"), 2, 1)
+        .unionByName(arrive(texts.where(m % 2 == 0), longer, 3, 2))
+        .unionByName(arrive(texts.where(m % 3 == 0), old, 1, 2))
+        .unionByName(arrive(texts.where(m % 5 == 4), F.lit(None).cast("string"), 4, 2))
+        .unionByName(arrive(texts.where(m % 5 == 4), old, 1, 3))
     )
-    return texts.select("path", "content", F.lit(1).cast("long").alias("modified")).unionByName(newer)
 
 
 @query("stream_reindex", f"""
-SELECT {_GO} || '::Show_' || c_custkey AS source_id, {_GO} || '::New_' || c_custkey AS target_id, 'calls' AS kind FROM customer
+SELECT {_GO} || '::Show_' || c_custkey AS source_id, {_GO} || '::New_' || c_custkey AS target_id, 'calls' AS kind
+FROM customer WHERE (c_custkey // 40) % 5 <> 4
 UNION ALL SELECT {_GO} || '::Show_' || c_custkey, {_GO} || '::Show_' || c_custkey, 'calls' FROM customer
-WHERE (c_custkey // 40) % 2 = 0""")
+WHERE (c_custkey // 40) % 2 = 0 AND (c_custkey // 40) % 5 <> 4""")
 def stream_reindex(spark, sf):
-    """Two arrivals of file versions through the stream; the store after the last batch."""
+    """Three arrivals of file versions through the stream; the store after the last batch."""
     versions, base, mark = (new_path(spark, x) for x in ("versions", "stream", "offsets"))
     rows = stage(_versions(spark, sf), "versions").df
-    # One file per arrival, so that the file source sees two of them in order.
-    for arrival in (1, 2):
-        batch = rows.where(F.col("modified") == arrival)
-        batch.repartition(1).write.mode("append").parquet(versions)
+    for arrival in (1, 2, 3):
+        rows.where(F.col("arrival") == arrival).drop("arrival").write.mode("append").parquet(versions)
         reindex.start(spark, versions, base, mark).awaitTermination()
-    return reindex.latest(spark, base, 2).edges
+    return reindex.latest(spark, base).edges
+
+
+@query("scoped_reindex", f"""
+SELECT 'symbol' AS what, {_PY_F} || '::part_' || p_partkey AS a, 'function' AS b FROM part
+UNION ALL SELECT 'symbol', {_PY_C} || '::Sup_' || s_suppkey, 'class' FROM supplier WHERE (s_suppkey // 40) % 2 = 1
+UNION ALL SELECT 'symbol', {_PY_C} || '::pong_' || s_suppkey, 'method' FROM supplier WHERE (s_suppkey // 40) % 2 = 1
+UNION ALL SELECT 'calls', {_PY_F} || '::part_' || p_partkey,
+  'src/py/parts/m' || (((p_partkey * 7 + 3) % {_NPART}) // 40) || '.py::part_' || ((p_partkey * 7 + 3) % {_NPART}) FROM part
+UNION ALL SELECT 'calls', {_PY_C} || '::pong_' || s_suppkey, 'src/py/parts/m0.py::part_0' FROM supplier
+WHERE (s_suppkey // 40) % 2 = 1
+UNION ALL SELECT 'defines', {_PY_C} || '::Sup_' || s_suppkey, {_PY_C} || '::pong_' || s_suppkey FROM supplier
+WHERE (s_suppkey // 40) % 2 = 1""")
+def scoped_reindex(spark, sf):
+    """One folder is indexed again: every second file is gone, and the others' methods renamed."""
+    texts = corpora.c_py(Tables(spark, sf))
+    before = index.index_sources(texts, new_path(spark, "before"))
+    odd = F.regexp_extract("path", r"/m(\d+)\.py$", 1).cast("long") % 2 == 1
+    now = texts.where(odd).withColumn("content", F.replace("content", F.lit("ping_"), F.lit("pong_")))
+    after = index.reindex_scope(before, now, "src/py/sup", new_path(spark, "after"))
+    return after.symbols.select(F.lit("symbol").alias("what"), F.col("id").alias("a"), F.col("kind").alias("b")).unionByName(
+        after.edges.select(F.col("kind").alias("what"), F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    )

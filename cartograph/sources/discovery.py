@@ -64,9 +64,11 @@ def _list_folders(root: str):
         local = isinstance(filesystem, fs.LocalFileSystem)
         for batch in batches:
             for folder in batch["full_path"]:
+                # A folder that has vanished since its parent was listed has no entries.
+                selector = fs.FileSelector(folder, allow_not_found=True)
                 entries = [
                     (e.path, e.type == fs.FileType.Directory, e.size, e.mtime)
-                    for e in filesystem.get_file_info(fs.FileSelector(folder))
+                    for e in filesystem.get_file_info(selector)
                     if not (local and e.type == fs.FileType.Directory and os.path.islink(e.path))
                 ]
                 frame = pd.DataFrame(entries, columns=["full_path", "is_dir", "length", "modified"])
@@ -108,7 +110,9 @@ def walk(
         files.append(found.df.where("NOT is_dir").drop("is_dir"))
         if not found.metrics["dirs"]:
             return reduce(DataFrame.unionByName, files)
-        level = found.df.where("is_dir").select("full_path").repartition("full_path")
+        # By a fixed number: names are few bytes, so adaptive execution would merge them all.
+        tasks = min(found.metrics["dirs"], 4 * spark.sparkContext.defaultParallelism)
+        level = found.df.where("is_dir").select("full_path").repartition(tasks, "full_path")
 
 
 def discover(
@@ -142,35 +146,62 @@ def select_files(
 
 
 def _read_files(root: str):
-    """Task that reads files one at a time; only the file at hand is in memory."""
+    """Task that reads files one at a time; only the file at hand is in memory.
+
+    A file that cannot be read gives a row with the reason; it does not end the job.
+    """
 
     def run(batches):
         filesystem, _ = fs.FileSystem.from_uri(root)
         for batch in batches:
             for path, full in zip(batch["path"], batch["full_path"]):
-                with filesystem.open_input_stream(full) as stream:
-                    yield pd.DataFrame({"path": [path], "content": [stream.read()]})
+                content, reason = None, None
+                try:
+                    with filesystem.open_input_stream(full) as stream:
+                        content = stream.read()
+                except FileNotFoundError:
+                    reason = "vanished"
+                except OSError:
+                    reason = "unreadable"
+                yield pd.DataFrame({"path": [path], "content": [content], "reason": [reason]})
 
     return run
 
 
+# Bytes of files to a reading task.
+READ_BYTES = 128 << 20
+
+
 def read_bytes(root: str, files: DataFrame) -> DataFrame:
-    """(path, content BINARY) of the listed files."""
+    """(path, content BINARY, reason) of the listed files; the reason says why there is no content.
+
+    The tasks are set by the number and the bytes of the files: the shuffle carries names only, so
+    adaptive execution would merge it to one.
+    """
+    size = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes")).first()
+    parallel = 4 * files.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(size["n"], parallel), -(-(size["bytes"] or 0) // READ_BYTES))
     return (
         files.select("path", "full_path")
-        .repartition("path")
-        .mapInPandas(_read_files(root), "path string, content binary")
+        .repartition(tasks, "path")
+        .mapInPandas(_read_files(root), "path string, content binary, reason string")
     )
 
 
 def split_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``files(path, content BINARY)`` to (sources, quarantine); only valid UTF-8 becomes text."""
+    """``files(path, content BINARY)`` to (sources, quarantine); only valid UTF-8 becomes text.
+
+    A column ``reason`` tells why a content is missing.
+    """
+    why = F.col("reason") if "reason" in files.columns else F.lit(None).cast("string")
     text = files.withColumn("text", F.col("content").cast("string")).withColumn(
         "valid", F.is_valid_utf8("text")
     )
     good = text.where("valid").select("path", F.col("text").alias("content"))
-    bad = text.where("NOT valid").select(
-        "path", F.octet_length("text").cast("long").alias("length"), F.lit("not UTF-8").alias("reason")
+    bad = text.where("valid IS NULL OR NOT valid").select(
+        "path",
+        F.octet_length("text").cast("long").alias("length"),
+        F.coalesce(why, F.when(F.col("content").isNull(), "unreadable"), F.lit("not UTF-8")).alias("reason"),
     )
     return good, bad
 
@@ -183,37 +214,85 @@ def read_sources(root: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ---------------------------------------------------------------- ignore rules
 
 
-def parse_ignore_rules(lines: DataFrame) -> DataFrame:
-    """``lines(dir, line_no, line)`` of ignore files to rules (dir, regex, negated, only_dirs, ord).
+# The parts of a glob: an escape, a class, the forms of ``**``, a star, a question mark, plain text.
+_GLOB_PART = (
+    r"\\[\s\S]|\[[!^]?\]?(?:\\[\s\S]|[^\]\\])*\]|^\*\*/|/\*\*/|/\*\*$|\*+|\?|[^\\\[*?/]+|[\s\S]"
+)
 
-    ``dir`` is the folder of the ignore file relative to the root, empty for the root. Deeper files
-    and later lines come later in ``ord`` and win.
-    """
+
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(text, r"([.+^$(){}|\\\[\]*?&\-])", r"\\$1")
+
+
+def _class(part: Column) -> Column:
+    """``[...]`` of a glob; ``!`` negates it and no class takes a slash."""
+    inner = F.regexp_replace(part, r"^\[[!^]?|\]$", "")
+    # An escaped sign stays itself; other signs that the engine would read are quoted.
+    letters = F.regexp_replace(inner, r"\\([A-Za-z0-9])", "$1")
+    quoted = F.regexp_replace(letters, r"\\([\s\S])|([\[\]^&])", r"\\$1$2")
+    negated = part.rlike(r"^\[[!^]")
+    return F.concat(F.lit("(?!/)["), F.when(negated, "^").otherwise(""), quoted, F.lit("]"))
+
+
+def _glob_regex(part: Column) -> Column:
+    return (
+        F.when(part.startswith("\\"), _plain(F.substring(part, 2, 1)))
+        .when(part.startswith("["), _class(part))
+        .when(part == "**/", "(?:.*/)?")
+        .when(part == "/**/", "/(?:.*/)?")
+        .when(part == "/**", "/.+")
+        .when(part.startswith("*"), "[^/]*")
+        .when(part == "?", "[^/]")
+        .otherwise(_plain(part))
+    )
+
+
+def _ignore_lines(lines: DataFrame) -> DataFrame:
+    """(dir, line_no, line, negated, glob, parts, malformed) of the lines that are rules."""
     raw = F.rtrim("line")
     rows = lines.where((raw != "") & ~raw.startswith("#")).select(
         "dir",
         "line_no",
+        "line",
         raw.startswith("!").alias("negated"),
         F.regexp_replace(raw, r"^!|^\\(?=[#!])", "").alias("glob"),
     )
+    body = F.regexp_replace("glob", r"^/|/$", "")
+    parts = F.regexp_extract_all(body, F.lit(_GLOB_PART), F.lit(0))
+    # An open bracket without its pair, a backslash at the end, a range that runs backwards.
+    backwards = F.exists(
+        F.flatten(
+            F.transform(
+                F.filter("parts", lambda p: p.startswith("[")),
+                lambda p: F.regexp_extract_all(p, F.lit(r"[^\[!^\\]-[^\]\\]"), F.lit(0)),
+            )
+        ),
+        lambda r: F.ascii(F.substring(r, 1, 1)) > F.ascii(F.substring(r, 3, 1)),
+    )
+    open_end = F.exists("parts", lambda p: p.isin("[", "\\"))
+    return rows.withColumn("parts", parts).withColumn("malformed", open_end | backwards)
+
+
+def malformed_rules(lines: DataFrame) -> DataFrame:
+    """(dir, line_no, line) of the lines that are no valid pattern; they match nothing."""
+    return _ignore_lines(lines).where("malformed").select("dir", "line_no", "line")
+
+
+def parse_ignore_rules(lines: DataFrame) -> DataFrame:
+    """``lines(dir, line_no, line)`` of ignore files to rules (dir, regex, negated, only_dirs, ord).
+
+    ``dir`` is the folder of the ignore file relative to the root, empty for the root. Deeper files
+    and later lines come later in ``ord`` and win. Malformed lines are left out, see
+    :func:`malformed_rules`.
+    """
+    rows = _ignore_lines(lines).where("NOT malformed")
     glob = F.col("glob")
-    body = F.regexp_replace(glob, r"^/|/$", "")
     anchored = F.regexp_replace(glob, r"/$", "").contains("/")
-    quoted = F.regexp_replace(body, r"([.+^$(){}|\\])", r"\\$1")
-    # ``**`` is set aside first, so that the single star keeps to one component.
-    step = F.regexp_replace(quoted, r"^\*\*/", "\u0001")
-    step = F.regexp_replace(step, r"/\*\*/", "\u0002")
-    step = F.regexp_replace(step, r"/\*\*$", "\u0003")
-    step = F.regexp_replace(step, r"\*+", "[^/]*")
-    step = F.regexp_replace(step, r"\?", "[^/]")
-    step = F.regexp_replace(step, "\u0001", "(?:.*/)?")
-    step = F.regexp_replace(step, "\u0002", "/(?:.*/)?")
-    step = F.regexp_replace(step, "\u0003", "/.+")
     start = F.when(anchored, F.lit("^")).otherwise(F.lit("^(?:.*/)?"))
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
     return rows.select(
         "dir",
-        F.concat(start, step, F.lit("$")).alias("regex"),
+        F.concat(start, F.array_join(F.transform("parts", _glob_regex), ""), F.lit("$")).alias("regex"),
         "negated",
         glob.endswith("/").alias("only_dirs"),
         F.struct(depth.alias("depth"), "line_no").alias("ord"),

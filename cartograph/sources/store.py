@@ -1,20 +1,21 @@
-"""The Parquet store: write, read, replace one scope."""
+"""The Parquet store: write and read."""
 
 from __future__ import annotations
 
+import time
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.operators.resolve import dedup_nodes, resolve_edges
-from cartograph.schema import EDGES, META, RAW_EDGES, SCHEMA_VERSION, SYMBOLS
+from cartograph.schema import EDGES, FILES, META, RAW_EDGES, SCHEMA_VERSION, SYMBOLS
 from cartograph.session import stage
 
 # Second keys split a frequent first key over several files.
 _LAYOUTS = {
     "symbols": (SYMBOLS, ("file_path", "line_start", "id")),
-    "raw_edges": (RAW_EDGES, ("source", "target")),
+    "raw_edges": (RAW_EDGES, ("file_path", "source", "target")),
+    "files": (FILES, ("path",)),
     "edges_by_source": (EDGES, ("source_id", "target_id")),
     "edges_by_target": (EDGES, ("target_id", "source_id")),
 }
@@ -25,24 +26,19 @@ class Index(NamedTuple):
     edges: DataFrame
     edges_by_target: DataFrame
     raw_edges: DataFrame
+    files: DataFrame
     meta: DataFrame
 
 
-def meta_rows(symbols: DataFrame, file_count: int, project_root: str) -> DataFrame:
-    """The five key/value rows; ``file_count`` counts discovered files, failed ones included."""
-    counted = symbols.agg(F.count(F.lit(1)).cast("string").alias("n"))
-    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
-    return counted.select(
-        F.explode(
-            F.array(
-                pair("schema_version", F.lit(SCHEMA_VERSION)),
-                pair("project_root", F.lit(project_root)),
-                pair("indexed_at", F.unix_timestamp().cast("string")),
-                pair("file_count", F.lit(str(file_count))),
-                pair("symbol_count", F.col("n")),
-            )
-        ).alias("row")
-    ).select("row.key", "row.value")
+def meta_rows(symbols: int, files: int, project_root: str) -> list[tuple[str, str]]:
+    """The five key/value rows; files are those discovered, with or without symbols."""
+    return [
+        ("schema_version", SCHEMA_VERSION),
+        ("project_root", project_root),
+        ("indexed_at", str(int(time.time()))),
+        ("file_count", str(files)),
+        ("symbol_count", str(symbols)),
+    ]
 
 
 def _write(frame: DataFrame, path: str, table: str) -> None:
@@ -61,10 +57,10 @@ def write_index(
     symbols: DataFrame,
     edges: DataFrame,
     raw_edges: DataFrame,
-    file_count: int = 0,
+    files: DataFrame,
     project_root: str = "",
 ) -> Index:
-    """Write all tables. Edges are written twice, sorted by either end, so lookups prune both ways."""
+    """Write all tables; of ``files`` a missing ``modified`` or ``deleted`` is filled in. Edges are written twice, sorted by either end, so lookups prune both ways."""
     spark = symbols.sparkSession
     # Range partitioning samples its input first; a staged one is not computed twice for that.
     edges = stage(edges, "edges").df
@@ -72,11 +68,20 @@ def write_index(
     _write(raw_edges, path, "raw_edges")
     _write(edges, path, "edges_by_source")
     _write(spark.read.schema(EDGES).parquet(f"{path}/edges_by_source"), path, "edges_by_target")
-    written = spark.read.schema(SYMBOLS).parquet(f"{path}/symbols")
-    meta_rows(written, file_count, project_root).write.mode("overwrite").parquet(f"{path}/meta")
+    _write(file_rows(files), path, "files")
+    written = spark.read.schema(SYMBOLS).parquet(f"{path}/symbols").count()
+    present = spark.read.schema(FILES).parquet(f"{path}/files").where("NOT deleted").count()
+    meta = spark.createDataFrame(meta_rows(written, present, project_root), META)
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     return load_index(spark, path)
 
 
+def file_rows(files: DataFrame) -> DataFrame:
+    """(path, modified, deleted) of a table that may have the path only."""
+    missing = {"modified": F.lit(None).cast("long"), "deleted": F.lit(False)}
+    return files.select("path", *(F.col(c) if c in files.columns else v.alias(c) for c, v in missing.items()))
+
+
 def load_index(spark: SparkSession, path: str) -> Index:
     read = lambda table, schema: spark.read.schema(schema).parquet(f"{path}/{table}")
     return Index(
@@ -84,25 +89,6 @@ def load_index(spark: SparkSession, path: str) -> Index:
         read("edges_by_source", EDGES),
         read("edges_by_target", EDGES),
         read("raw_edges", RAW_EDGES),
+        read("files", FILES),
         read("meta", META),
     )
-
-
-def path_of_id(symbol_id):
-    """File path part of an id ``path::name``; a raw import source has no name part."""
-    return F.regexp_extract(symbol_id, r"^(.*?)(?:::[^:]*)?$", 1)
-
-
-def replace_files(
-    index: Index, gone_paths, new_symbols: DataFrame, new_raw_edges: DataFrame
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Swap the rows of some files for new ones and resolve again over all raw edges.
-
-    ``gone_paths`` is a predicate on a path column. Resolution is global, so an edge outside the
-    replaced files may get another target.
-    """
-    symbols = dedup_nodes(
-        index.symbols.where(~gone_paths(F.col("file_path"))).unionByName(new_symbols)
-    )
-    raw = index.raw_edges.where(~gone_paths(path_of_id(F.col("source")))).unionByName(new_raw_edges)
-    return symbols, raw, resolve_edges(raw, symbols)

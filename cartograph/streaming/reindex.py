@@ -1,12 +1,15 @@
 """Keep a store up to date from a stream of file versions.
 
-Each micro-batch takes the newest version of every path in it, extracts it and replaces that
-path's rows. A version number per batch makes a replayed batch write the same store again.
+Each micro-batch takes the newest version of every path in it, leaves out those that are not newer
+than the version in the store, and replaces the rows of the others; a null content deletes the
+file. Every batch writes a store of its own from the one before, so a replayed batch writes the same
+again, and a missing predecessor is an error.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartograph.plans.index import index_sources, newest_sources, reindex_paths
@@ -16,23 +19,26 @@ from cartograph.sources import store
 VERSIONS = T.StructType(
     [
         T.StructField("path", T.StringType(), False),
-        T.StructField("content", T.StringType(), False),
+        T.StructField("content", T.StringType(), True),
         T.StructField("modified", T.LongType(), False),
     ]
 )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def _version(base: str, batch: int) -> str:
     return f"{base}/v{batch:09d}"
 
 
-def latest(spark: SparkSession, base: str, batches: int) -> store.Index:
-    return store.load_index(spark, _version(base, batches - 1))
+def latest(spark: SparkSession, base: str) -> store.Index:
+    """The store after the last batch that was written in whole."""
+    done = spark.read.schema("batch long").parquet(f"{base}/done").agg(F.max("batch")).first()[0]
+    return store.load_index(spark, _version(base, done))
+
+
+def _newer(batch: DataFrame, files: DataFrame) -> DataFrame:
+    known = files.select(F.col("path").alias("known"), F.col("modified").alias("before"))
+    joined = batch.join(known, batch["path"] == known["known"], "left")
+    return joined.where("before IS NULL OR modified > before").select("path", "content", "modified")
 
 
 def apply_batch(base: str):
@@ -42,13 +48,16 @@ def apply_batch(base: str):
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        sources = stage(newest_sources(batch), "batch").df
-        before = _version(base, batch_id - 1)
-        if batch_id == 0 or not _exists(spark, before):
-            index_sources(sources, _version(base, batch_id))
+        spark, out = batch.sparkSession, _version(base, batch_id)
+        versions = newest_sources(batch)
+        if batch_id == 0:
+            first = stage(versions, "batch").df
+            files = first.withColumn("deleted", F.col("content").isNull())
+            index_sources(first.where("content IS NOT NULL"), out, files=files)
         else:
-            reindex_paths(store.load_index(spark, before), sources, _version(base, batch_id))
+            before = store.load_index(spark, _version(base, batch_id - 1))
+            reindex_paths(before, stage(_newer(versions, before.files), "batch").df, out)
+        spark.createDataFrame([(batch_id,)], "batch long").write.mode("append").parquet(f"{base}/done")
 
     return run
 

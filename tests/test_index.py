@@ -1,6 +1,7 @@
 """Directories, ignore files, the store, reindexing and the stream, on temporary copies."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from cartograph.plans import index
 from cartograph.session import new_path, shared_dir, stage
@@ -88,14 +89,32 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     for rows in (first, second):
         spark.createDataFrame(rows, reindex.VERSIONS).coalesce(1).write.mode("append").parquet(versions)
         reindex.start(spark, versions, base, mark).awaitTermination()
-    last = reindex.latest(spark, base, 2)
+    last = reindex.latest(spark, base)
     batch = index.index_sources(
         index.newest_sources(spark.createDataFrame(first + second, reindex.VERSIONS)), str(tmp_path / "batch"))
     assert ids(last.symbols) == ids(batch.symbols) == ["a.py::a", "b.py::b"]
     assert sorted(last.edges.collect()) == sorted(batch.edges.collect())
     # A batch that runs again, as after a crash before its commit, writes the same version.
     reindex.apply_batch(base)(spark.createDataFrame(second, reindex.VERSIONS), 1)
-    assert sorted(reindex.latest(spark, base, 2).edges.collect()) == sorted(batch.edges.collect())
+    assert sorted(reindex.latest(spark, base).edges.collect()) == sorted(batch.edges.collect())
+
+
+def test_stream_keeps_the_newest_version_and_deletes(spark, tmp_path):
+    base = str(tmp_path / "base")
+
+    def arrive(batch_id, *rows):
+        reindex.apply_batch(base)(spark.createDataFrame(rows, reindex.VERSIONS), batch_id)
+        return ids(reindex.latest(spark, base).symbols)
+
+    assert arrive(0, ("a.py", "def a(): pass\n", 5), ("b.py", "def b(): pass\n", 5)) == ["a.py::a", "b.py::b"]
+    assert arrive(1, ("a.py", "def old(): pass\n", 1)) == ["a.py::a", "b.py::b"]
+    assert arrive(2, ("b.py", None, 6), ("a.py", "x = 1\n", 6)) == []
+    assert arrive(3, ("b.py", "def late(): pass\n", 5)) == []
+    meta = {r.key: r.value for r in reindex.latest(spark, base).meta.collect()}
+    # A file without declarations counts, a deleted one does not.
+    assert (meta["file_count"], meta["symbol_count"]) == ("1", "0")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        arrive(7, ("c.py", "def c(): pass\n", 1))
 
 
 def test_ignore_rules(spark):
@@ -114,6 +133,36 @@ def test_ignore_rules(spark):
     assert kept == {p for p, keep in paths.items() if keep}
 
 
+def test_ignore_classes_escapes_and_malformed_lines(spark):
+    lines = [("", 0, "[!a]x.py"), ("", 1, r"w\*.py"), ("", 2, "foo[bar"), ("", 3, "r[a-c]z.py"), ("", 4, "s[z-a].py"),
+             ("", 5, "t[]q].py"), ("", 6, r"\#h.py"), ("", 7, r"e[\]b].py"), ("", 8, "end\\"), ("", 9, "u[&&[].py")]
+    frame = spark.createDataFrame(lines, "dir string, line_no int, line string")
+    assert {r.line for r in discovery.malformed_rules(frame).collect()} == {"foo[bar", "s[z-a].py", "end\\"}
+    paths = {
+        "ax.py": True, "bx.py": False, "d/ax.py": True, "w*.py": False, "wz.py": True, "foo[bar": True, "rbz.py": False,
+        "rdz.py": True, "sz.py": True, "t].py": False, "tq.py": False, "#h.py": False, "e].py": False, "eb.py": False,
+        "ec.py": True, "u&.py": False, "u[.py": False, "uz.py": True,
+    }
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    kept = {r.path for r in discovery.drop_ignored(files, discovery.parse_ignore_rules(frame)).collect()}
+    assert kept == {p for p, keep in paths.items() if keep}
+
+
+def test_files_that_cannot_be_read_are_reported(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes(b"def a(): pass\n")
+    (tmp_path / "gone.py").write_bytes(b"x")
+    files = stage(discovery.walk(spark, str(tmp_path)), "files").df
+    (tmp_path / "gone.py").unlink()
+    good, bad = discovery.read_sources(str(tmp_path), files)
+    assert [r.path for r in good.collect()] == ["a.py"]
+    assert [(r.path, r.reason) for r in bad.collect()] == [("gone.py", "vanished")]
+
+
+def test_many_small_files_are_read_by_more_than_one_task(spark):
+    files = spark.range(5000).select(F.format_string("f%d.py", "id").alias("path"), F.lit("/none").alias("full_path"), F.lit(10).alias("length"))
+    assert discovery.read_bytes("/", files).rdd.getNumPartitions() > 8
+
+
 def test_stage_counts_and_uses_the_named_folder(spark):
     staged = stage(spark.range(10).toDF("n"), "t")
     assert staged.rows == 10 and staged.df.count() == 10
