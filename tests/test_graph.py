@@ -211,3 +211,37 @@ def test_hub_node(spark):
     symbols = make_symbols(spark, [(f"s{i:04d}", "s", "function", "f.py", 1) for i in range(n)] + [("hub", "hub", "function", "f.py", 1)])
     assert trace.trace_callers(symbols, edges, "hub").count() == n
     assert analytics.top_symbols_by_calls(symbols, edges, 1).first().callers == n
+
+
+def test_hot_keys_of_resolution_are_split(spark):
+    """With 80% of the rows on one key the final plan splits that partition of the join."""
+    low = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in low}
+    n = 200_000
+    hot = F.when(F.col("id") % 5 == 0, F.concat(F.lit("f"), F.col("id") % 1000)).otherwise(F.lit("len"))
+    symbols = spark.range(1000).select(
+        F.concat(F.lit("m.py::f"), "id").alias("id"), F.concat(F.lit("f"), "id").alias("name"), F.lit("function").alias("kind"),
+        F.lit("m.py").alias("file_path"), F.col("id").alias("line_start"), F.col("id").alias("line_end"),
+        F.lit("").alias("signature"), F.lit(None).cast("string").alias("docstring"), F.lit("").alias("properties"),
+    )
+    symbols = symbols.unionByName(symbols.limit(1).withColumns({"id": F.lit("m.py::len"), "name": F.lit("len")}))
+    source = F.concat(F.lit("m.py::f"), F.col("id") % 1000)
+    raw = spark.range(n).select(
+        source.alias("source"), hot.alias("target"), F.concat(F.lit("k"), "id").alias("kind"), F.lit("m.py").alias("file_path")
+    )
+    edges = raw.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), "kind")
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        for frame in (resolve.resolve_edges(raw, symbols), resolve.in_adjacency(edges)):
+            frame.write.format("noop").mode("overwrite").save()
+            frame.collect()
+            assert "skew=true" in frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
