@@ -51,9 +51,15 @@ def list_files(symbols: DataFrame) -> DataFrame:
 
 
 def find_definition(symbols: DataFrame, sources: DataFrame, symbol_id: str) -> DataFrame:
-    """The symbol with the source lines of its range."""
+    """The symbol with the source lines of its range.
+
+    The symbol is looked up first, so that its path is a literal which the scan of the sources can
+    use; a join key is not pushed into a scan.
+    """
     hit = get_symbol(symbols, symbol_id).withColumnRenamed("file_path", "path")
-    # The symbol side is one row per id, so its path can be pushed to the source scan by AQE.
+    # One row: ids are unique.
+    paths = [r["path"] for r in hit.select("path").collect()]
+    sources = sources.where(F.col("path").isin(paths))
     lines = F.slice(
         F.split("content", "\n"),
         F.col("line_start").cast("int"),

@@ -229,7 +229,7 @@ def meta_rows(spark, sf):
 
 @query("search_exact", _P + f"SELECT {ROW} FROM psym WHERE name = 'blue_ring' ORDER BY name, id LIMIT 50")
 def search_exact(spark, sf):
-    return lookup.search_symbol(graph_p(spark, sf).symbols, "blue_ring")
+    return lookup.search_symbol(graph_p(spark, sf).symbols_by_name, "blue_ring")
 
 
 @query("search_fuzzy", _P + f"""SELECT {ROW} FROM psym

@@ -14,6 +14,7 @@ from cartograph.session import stage
 # Second keys split a frequent first key over several files.
 _LAYOUTS = {
     "symbols": (SYMBOLS, ("file_path", "line_start", "id")),
+    "symbols_by_name": (SYMBOLS, ("name", "id")),
     "raw_edges": (RAW_EDGES, ("file_path", "source", "target")),
     "files": (FILES, ("path",)),
     "edges_by_source": (EDGES, ("source_id", "target_id")),
@@ -23,6 +24,7 @@ _LAYOUTS = {
 
 class Index(NamedTuple):
     symbols: DataFrame
+    symbols_by_name: DataFrame
     edges: DataFrame
     edges_by_target: DataFrame
     raw_edges: DataFrame
@@ -65,6 +67,8 @@ def write_index(
     # Range partitioning samples its input first; a staged one is not computed twice for that.
     edges = stage(edges, "edges").df
     _write(symbols, path, "symbols")
+    # Sorted by name, a lookup by exact name reads the row groups that hold it.
+    _write(spark.read.schema(SYMBOLS).parquet(f"{path}/symbols"), path, "symbols_by_name")
     _write(raw_edges, path, "raw_edges")
     _write(edges, path, "edges_by_source")
     _write(spark.read.schema(EDGES).parquet(f"{path}/edges_by_source"), path, "edges_by_target")
@@ -86,6 +90,7 @@ def load_index(spark: SparkSession, path: str) -> Index:
     read = lambda table, schema: spark.read.schema(schema).parquet(f"{path}/{table}")
     return Index(
         read("symbols", SYMBOLS),
+        read("symbols_by_name", SYMBOLS),
         read("edges_by_source", EDGES),
         read("edges_by_target", EDGES),
         read("raw_edges", RAW_EDGES),
