@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -205,20 +206,95 @@ def _reach_back(graph: DataFrame, colours: DataFrame) -> DataFrame:
     return visited.all()
 
 
-def cyclic_symbols(edges: DataFrame) -> DataFrame:
-    """(id, component): symbols that lie on a cycle, labelled by their strongly connected component.
+def _trimmed(graph: DataFrame) -> Staged:
+    """The edges whose source is entered and whose target is left by some edge."""
+    entered = graph.select(F.col("target_id").alias("source_id"))
+    left = graph.select(F.col("source_id").alias("target_id"))
+    return stage(
+        graph.join(entered, "source_id", "left_semi")
+        .join(left, "target_id", "left_semi")
+        .select("source_id", "target_id"),
+        "trim",
+    )
+
+
+class _Contracted(NamedTuple):
+    """A graph without its chains: ``members`` (id, source_id, target_id) lay on the edge named,
+    ``rings`` (id, component) were cycles of chain nodes alone, ``loops`` (id) now lead to themselves."""
+
+    edges: DataFrame
+    members: DataFrame
+    rings: DataFrame
+    loops: DataFrame
+
 
-    Colouring: the largest id that reaches a node is its colour; the nodes of a colour that lead
-    back to the colour's root form one component. Components found are removed and the rest is
-    peeled again, until nothing is left. The component label is its largest id.
+def _contract(graph: DataFrame) -> _Contracted | None:
+    """Chains, nodes with one way in and one way out, become edges; None if there are none.
+
+    Each chain node learns the end of its chain by pointer doubling: the reach of a pointer doubles
+    with every job. One that is still on the way after as many steps as there are chain nodes goes
+    round in a ring, and has met every node of it.
     """
-    graph = stage(simple_digraph(edges), "digraph").df
-    found = [
-        graph.where(F.col("source_id") == F.col("target_id")).select(
-            F.col("source_id").alias("id"), F.col("source_id").alias("component")
+    one, none = F.lit(1), F.lit(0)
+    ends = graph.select(F.col("source_id").alias("id"), none.alias("i"), one.alias("o")).unionByName(
+        graph.select(F.col("target_id").alias("id"), one.alias("i"), none.alias("o"))
+    )
+    degrees = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    chain = stage(degrees.where("i = 1 AND o = 1").select("id"), "chain")
+    if not chain.rows:
+        return None
+    onward = chain.df.select(F.col("id").alias("next"), F.lit(True).alias("open"))
+    is_open = F.coalesce("open", F.lit(False)).alias("open")
+    first = (
+        graph.withColumnsRenamed({"source_id": "id", "target_id": "next"})
+        .join(chain.df, "id", "left_semi")
+        .join(onward, "next", "left")
+        .select("id", F.col("id").alias("last"), "next", F.col("id").alias("best"), is_open)
+    )
+    count = F.sum(F.col("open").cast("int"))
+    pointers = stage(first, "pointers", open=count)
+    for _ in range(chain.rows.bit_length()):
+        if not pointers.metrics["open"]:
+            break
+        ahead = pointers.df.select(*(F.col(c).alias(f"a_{c}") for c in pointers.df.columns))
+        moved = pointers.df.join(ahead, F.col("open") & (F.col("next") == F.col("a_id")), "left").select(
+            "id",
+            F.coalesce("a_last", "last").alias("last"),
+            F.coalesce("a_next", "next").alias("next"),
+            F.greatest("best", "a_best").alias("best"),
+            F.coalesce("a_open", "open").alias("open"),
         )
-    ]
-    rest = peel(graph.where(F.col("source_id") != F.col("target_id")))
+        pointers = stage(moved, "pointers", open=count)
+    closed = pointers.df.where("NOT open").select("id", "last", F.col("next").alias("end"))
+    others = graph.join(chain.df.withColumnRenamed("id", "source_id"), "source_id", "left_anti")
+    heads = stage(
+        others.join(closed.withColumnRenamed("id", "target_id"), "target_id").select("source_id", "last", "end"),
+        "heads",
+    ).df
+    plain = others.join(chain.df.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
+    edges = stage(
+        plain.select("source_id", "target_id")
+        .unionByName(heads.select("source_id", F.col("end").alias("target_id")))
+        .distinct(),
+        "contracted",
+    ).df
+    members = closed.select("id", "last").join(heads, "last")
+    return _Contracted(
+        edges.where("source_id <> target_id"),
+        stage(members.select("id", "source_id", F.col("end").alias("target_id")), "members").df,
+        pointers.df.where("open").select("id", F.col("best").alias("component")),
+        edges.where("source_id = target_id").select(F.col("source_id").alias("id")),
+    )
+
+
+def _colour(graph: DataFrame) -> list[DataFrame]:
+    """(id, component) of the cycles of a graph, found by colouring.
+
+    The largest id that reaches a node is its colour; the nodes of a colour that lead back to the
+    colour's root form one component. Components found are removed and the rest is peeled again,
+    until nothing is left.
+    """
+    found, rest = [], peel(graph)
     while rest.rows:
         nodes = rest.df.select(F.col("source_id").alias("id")).unionByName(
             rest.df.select(F.col("target_id").alias("id"))
@@ -237,8 +313,52 @@ def cyclic_symbols(edges: DataFrame) -> DataFrame:
             .join(gone.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
             .select("source_id", "target_id")
         )
-    # A self-loop inside a larger component is reported once, under the component.
-    return _union(found).groupBy("id").agg(F.max("component").alias("component"))
+    return found
+
+
+def cyclic_symbols(edges: DataFrame) -> DataFrame:
+    """(id, component): symbols that lie on a cycle, labelled by their strongly connected component.
+
+    Dead ends are trimmed and chains contracted in turn, which takes few rounds however long they
+    are; what is left, where every node branches, is coloured. Then the chains are unfolded, last
+    one first: their nodes lie on a cycle if both ends of the chain are in one component. The
+    component label is its largest id.
+    """
+    graph = stage(simple_digraph(edges), "digraph").df
+    loops = graph.where("source_id = target_id").select(F.col("source_id").alias("id"))
+    levels: list[_Contracted] = []
+    rest, size = graph.where("source_id <> target_id"), -1
+    while True:
+        trimmed = _trimmed(rest)
+        if not trimmed.rows:
+            found = []
+            break
+        contracted = _contract(trimmed.df)
+        if contracted is not None:
+            levels.append(contracted)
+            rest, size = contracted.edges, -1
+        elif trimmed.rows == size:
+            found = _colour(trimmed.df)
+            break
+        else:
+            rest, size = trimmed.df, trimmed.rows
+    known = graph.where(F.lit(False)).select(F.col("source_id").alias("id"), F.col("target_id").alias("component"))
+    known = _union([known, *found])
+    for level in reversed(levels):
+        known = _with_loops(known.unionByName(level.rings), level.loops)
+        a = known.select(F.col("id").alias("source_id"), "component")
+        b = known.select(F.col("id").alias("target_id"), F.col("component").alias("other"))
+        inside = level.members.join(a, "source_id").join(b, "target_id").where("component = other")
+        known = stage(known.unionByName(inside.select("id", "component")), "cyclic").df
+    known = stage(_with_loops(known, loops), "cyclic").df
+    names = known.groupBy("component").agg(F.max("id").alias("name"))
+    return known.join(names, "component").select("id", F.col("name").alias("component"))
+
+
+def _with_loops(known: DataFrame, loops: DataFrame) -> DataFrame:
+    """A node that leads to itself is a component, unless it is in a larger one."""
+    alone = loops.join(known.select("id"), "id", "left_anti")
+    return known.unionByName(alone.select("id", F.col("id").alias("component")))
 
 
 def top_symbols_by_calls(symbols: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:

@@ -245,3 +245,30 @@ def test_hot_keys_of_resolution_are_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_components_of_a_long_ring_and_tail_take_few_jobs(spark, monkeypatch):
+    n = 1000
+    ring = [(f"r{i:04d}", f"r{(i + 1) % n:04d}") for i in range(n)]
+    tail = [(f"t{i:04d}", f"t{i + 1:04d}") for i in range(n)] + [("r0007", "t0000"), ("x", "r0003"), ("x", "x")]
+    lone = [(f"p{i}", f"p{(i + 1) % 7}") for i in range(7)]
+    jobs, real = [], analytics.stage
+    monkeypatch.setattr(analytics, "stage", lambda *a, **k: jobs.append(1) or real(*a, **k))
+    got = pairs(analytics.cyclic_symbols(make_edges(spark, ring + tail + lone)), "id", "component")
+    assert got == sorted([(f"r{i:04d}", "r0999") for i in range(n)] + [(f"p{i}", "p6") for i in range(7)] + [("x", "x")])
+    assert len(jobs) <= 30
+
+
+def test_components_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    for size, links in ((30, 40), (60, 70), (25, 80)):
+        edges = {(f"n{rng.randrange(size)}", f"n{rng.randrange(size)}") for _ in range(links)}
+        reach = {a: {t for s, t in edges if s == a} for a, _ in edges}
+        for _ in range(size):
+            reach = {a: r | {y for x in r for y in reach.get(x, ())} for a, r in reach.items()}
+        want = sorted(
+            (a, max(b for b in r if a in reach.get(b, ()))) for a, r in reach.items() if a in r
+        )
+        assert pairs(analytics.cyclic_symbols(make_edges(spark, sorted(edges))), "id", "component") == want
