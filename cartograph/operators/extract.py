@@ -805,7 +805,7 @@ def extract(
 
     Symbols are as declared, before ids are made unique (see ``resolve.dedup_nodes``).
     """
-    sources, parts = by_language(sources, languages)
+    sources, parts, languages = by_language(sources, languages)
     each = [facts(sources, lang, parts) for lang in languages]
     far = F.sum(F.when(_in("head", _FUNCTIONS) & ~_covered(), 1).otherwise(0))
     found = stage(reduce(DataFrame.unionByName, each), "facts", far=far)

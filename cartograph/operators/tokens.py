@@ -33,8 +33,11 @@ def before_row() -> WindowSpec:
 PART_BYTES = 8 << 20
 
 
-def by_language(sources: DataFrame, languages: tuple[str, ...]) -> tuple[DataFrame, int]:
-    """The supported files, staged once in one folder per language, and the partitions to lex in.
+def by_language(
+    sources: DataFrame, languages: tuple[str, ...]
+) -> tuple[DataFrame, int, tuple[str, ...]]:
+    """The supported files, staged once in one folder per language; the partitions to lex in; and
+    the languages that have files (the first one asked for, if none has).
 
     Each language is then read and lexed by a plan of its own: small generated code, and no file
     is read for a language it is not written in.
@@ -44,14 +47,21 @@ def by_language(sources: DataFrame, languages: tuple[str, ...]) -> tuple[DataFra
     (
         sources.select("path", "content", lang.alias("lang"))
         .where(F.col("lang").isin(*languages))
-        .observe(seen, F.sum(F.octet_length("content")).alias("bytes"))
+        .observe(
+            seen,
+            F.sum(F.octet_length("content")).alias("bytes"),
+            *(F.count(F.when(F.col("lang") == name, 1)).alias(name) for name in languages),
+        )
         .write.partitionBy("lang")
         .parquet(path)
     )
     schema = "path string, content string, lang string"
     spark = sources.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return spark.read.schema(schema).parquet(path), max(least, -(-(seen.get["bytes"] or 0) // PART_BYTES))
+    found = seen.get
+    parts = max(least, -(-(found["bytes"] or 0) // PART_BYTES))
+    present = tuple(name for name in languages if found[name]) or languages[:1]
+    return spark.read.schema(schema).parquet(path), parts, present
 
 
 def prepare(sources: DataFrame, lang: str, parts: int) -> DataFrame:
@@ -71,7 +81,7 @@ def prepare(sources: DataFrame, lang: str, parts: int) -> DataFrame:
 
 def tokens(sources: DataFrame, lang: str) -> DataFrame:
     """(path, pos, tok): every token of the files of one language, trivia included."""
-    staged, parts = by_language(sources, (lang,))
+    staged, parts, _ = by_language(sources, (lang,))
     return _exploded(staged, lang, parts).drop("toks")
 
 
