@@ -43,7 +43,7 @@ from cartograph.session import stage
 WINDOW = 20
 ANCHOR = 7
 #: Occurrences from which an anchor's shard is split window by window.
-HOT = 20_000
+HOT = 1_000
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
