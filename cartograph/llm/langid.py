@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartograph.llm.words import map_slices, plain, raw
+from cartograph.session import stage
 
 BUCKETS = 1 << 15
 LONGEST = 3
@@ -165,7 +166,8 @@ def labelled_sample(docs: DataFrame, text: str, lang: str, doc_id: str) -> tuple
     for key in (["lang", "part"], ["lang"]):
         best = Window.partitionBy(*key).orderBy("h")
         slim = slim.withColumn("k", F.row_number().over(best)).where(F.col("k") <= SAMPLE).drop("k")
-    chosen = slim.select("lang", "h").distinct()
+    # A few rows for each language: staged, their size is known, so the texts are not shuffled.
+    chosen = stage(slim.select("lang", "h").distinct(), "sample").df
     words = F.split(F.col("text"), r"\s+")
     step = F.greatest(F.lit(1), F.ceil(F.size(words) / SAMPLE_WORDS)).cast("int")
     some = F.transform(
