@@ -124,6 +124,32 @@ def test_exchange_raises_the_likelihood():
     assert kind[30] == 3
 
 
+def test_every_training_word_has_the_class_of_its_neighbours(spark):
+    # Words of two kinds in turn, four times as many as the head has; names say nothing about the kind.
+    rng = random.Random(6)
+    names = rng.sample(range(100_000), 4 * brown.CLUSTERED)
+    kinds = names[::2], names[1::2]
+    common = ("aa", "ab", "ac"), ("ba", "bb", "bc")
+    texts = [
+        " ".join(rng.choice(common[k % 2]) if rng.random() < 0.7 else f"x{rng.choice(kinds[k % 2])}" for k in range(400))
+        for _ in range(400)
+    ]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    model, words = brown.fit(docs)
+    classes = {r["word"]: (r["kind"], r["n"]) for r in words.collect()}
+    seen = Counter(w for t in texts for w in t.split())
+    assert {w: n for w, (_, n) in classes.items()} == seen and len(seen) > 3 * brown.CLUSTERED
+    # Words beyond the head share no class with words of the other kind.
+    rest = [{classes[f"x{w}"][0] for w in k if 0 < seen[f"x{w}"] <= 2} for k in kinds]
+    assert rest[0] and rest[1] and not rest[0] & rest[1]
+    table = brown.class_bigrams(docs, model.known, words)
+    want = Counter()
+    for t in texts:
+        kind = [brown.END_CLASS, *(classes[w][0] for w in t.split()), brown.END_CLASS]
+        want.update(zip(kind, kind[1:]))
+    assert {(int(a), int(b)): int(table[a, b]) for a, b in zip(*np.nonzero(table))} == dict(want)
+
+
 def test_licenses(spark, odd, none):
     mit = license.TEMPLATES[4][1]
     texts = [
