@@ -4,7 +4,8 @@ Every rolling hash of ``GRAM`` words of every document is joined to the places w
 templates have it. Each hit votes for a diagonal (word of the document minus word of the template);
 votes are summed by document, template and diagonal, neighbouring diagonals are merged to spans, so
 that a word more or less does no harm, and the words of each span are compared with the template.
-A template is found if ``AGREE`` of its words are there, in order, and none agrees better with the
+A template is found if ``AGREE`` of its words are there, in order, among them all that tell its license
+from others (names and versions), no word of ``OTHERS`` comes between, and none agrees better with the
 same place (licenses differ from each other by few words). The templates are a fixed, short
 list, so their side of the join is broadcast.
 
@@ -87,6 +88,22 @@ TEMPLATES = [
 ]
 
 
+# Words that do not tell a license, words that do in a long statement, and words that
+# make another license of a statement they are put into. Numbers always tell.
+COMMON = frozenset("licensed released under the a license version v".split())
+NAMES = frozenset("apache mit bsd isc gnu lesser affero mozilla".split())
+OTHERS = frozenset("lesser affero sa nc nd".split())
+#: In a template of fewer words all but the common ones tell the license.
+STATEMENT = 12
+
+
+def telling(template: list[str]) -> set[str]:
+    """The words of the template that have to be there."""
+    if len(template) < STATEMENT:
+        return set(template) - COMMON
+    return {w for w in template if w in NAMES or w.isdigit()}
+
+
 def template_words() -> list[list[str]]:
     texts = split_words(pa.array([t for _, t in TEMPLATES]), ALNUM_FOLDED)
     words = [texts.distinct[int(c)].as_py() for c in texts.codes]
@@ -160,8 +177,12 @@ def vote(docs: DataFrame) -> DataFrame:
 
 
 def agreement(words: list[str], template: list[str]) -> float:
-    """Share of the template's words found in ``words``, in order."""
-    blocks = SequenceMatcher(None, words, template, autojunk=False).get_matching_blocks()
+    """Share of the template's words found in ``words``, in order; 0 if the license is another one."""
+    blocks = SequenceMatcher(None, words, template, autojunk=False).get_matching_blocks()[:-1]
+    there = {w for b in blocks for w in template[b.b : b.b + b.size]}
+    between = set(words[blocks[0].a : blocks[-1].a + blocks[-1].size]) if blocks else set()
+    if not telling(template) <= there or between & OTHERS - set(template):
+        return 0.0
     return sum(b.size for b in blocks) / len(template)
 
 

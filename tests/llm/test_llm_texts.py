@@ -171,6 +171,24 @@ def test_licenses(spark, odd, none):
     assert license.scan(none).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("licensed under the bsd license", ""),
+        ("released under the foo license", ""),
+        ("licensed under the mit license", "mit"),
+        ("licensed under the gnu general public license", "gpl"),
+        ("licensed under the gnu general public license version 1", "gpl"),
+        ("licensed under the gnu lesser general public license version 3", "gpl,lgpl"),
+        ("licensed under the apache license version 1.1", ""),
+        ("this source code form is subject to the terms of the mozilla public license v 1.1", ""),
+    ],
+)
+def test_the_words_that_tell_a_license_are_needed(spark, text, labels):
+    docs = spark.createDataFrame([(1, f"x {text} y")], "doc_id long, text string")
+    assert license.scan(docs).first()["labels"] == labels
+
+
 def test_places_of_phrases_against_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = {r["doc_id"]: r for r in license.scan(docs).collect()}
