@@ -1,11 +1,14 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at its block-level tags. The first pass labels each block by where it
-stands (menus, headers, footers, sidebars, notices, adverts, forms and comments are never text; an
-article element is), and elsewhere by its length, the share of its characters inside links and the
-share of its words that are stop words. Short blocks stay undecided. In the second pass these take
-the label of the nearest decided neighbour; where both are equally near and differ, a heading is
-text and any other block is not.
+A page is cut into blocks at its block-level tags. The first pass labels each block: menus, headers,
+footers, sidebars, notices, adverts, forms and comments are never text; the others go by their
+length, the share of their characters inside links and the share of their words that are stop words.
+An article (or main) element that holds at least as much text as passes these rules outside of it
+lowers the bar inside, where short blocks are text, and raises it outside, where they are not; one
+that holds less is a teaser, whose short blocks are no text. Where a page has hardly any of the stop
+words known, punctuation at the ends of sentences stands for them. In the second pass undecided
+blocks take the label of the nearest decided neighbour; where both are equally near and differ, a
+heading or a block of an article is text and any other is not.
 
 Character references are decoded, white space inside a block becomes one space, and the blocks that
 are text are joined, in page order, by an empty line. Nothing is capped.
@@ -31,6 +34,10 @@ from cartograph.llm.words import free_name, map_slices, plain
 SHORT, LONG = 60, 200
 MOST_LINKS = 0.5
 LEAST_STOPS, LEAST_STOPS_LONG = 0.3, 0.2
+#: Inside the article, where a block with fewer that ends a sentence is text as well.
+LEAST_STOPS_INSIDE = 0.1
+#: A page with a smaller share of stop words is in a language they are not known of.
+FOREIGN = 0.05
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -80,6 +87,9 @@ _BAD_NAME = re.compile(
 )
 _HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|topbar)(?:$|[\s_-])", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE_END = re.compile(r"[.!?\u2026;](?=[\s\"'\u00bb\u201d)]|$)|[\u3002\uff01\uff1f\u061f\u06d4\u0964\u104b\u1362\u17d4]")
+#: Letters of scripts in which a character says as much as two or three of others.
+_WIDE = re.compile(r"[\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 class Block(NamedTuple):
@@ -159,30 +169,71 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+def _stops(text: str) -> tuple[int, int]:
+    """How many of the words are stop words, and how many words there are."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def _dense(b: Block) -> bool:
+    return b.linked > MOST_LINKS * len(b.text)
+
+
+def _length(text: str) -> int:
+    return len(text) + len(_WIDE.findall(text))
+
+
+def _prose(b: Block, foreign: bool, inside: bool = False) -> bool | None:
+    """What length and stop words (or punctuation) say of a block that is not full of links."""
+    if b.tag in HEADINGS or _length(b.text) < SHORT:
+        return None
+    if foreign:
+        ended = bool(_SENTENCE_END.search(b.text))
+        return True if ended else None if inside or _length(b.text) >= LONG else False
+    stops, words = _stops(b.text)
+    share = stops / max(words, 1)
+    if share >= (LEAST_STOPS_INSIDE if inside else LEAST_STOPS_LONG if len(b.text) >= LONG else LEAST_STOPS):
+        return True
+    if inside:
+        return True if _SENTENCE_END.search(b.text) else None
+    return None if share >= 0.1 or len(b.text) >= LONG else False
+
+
 def first_pass(found: list[Block]) -> list[bool | None]:
     """True for text, False for none, None for undecided."""
-    article = any(b.article and not b.bad for b in found)
-    main = any(b.main and not b.bad for b in found)
+    usable = [b for b in found if not b.bad and not (b.header and b.tag not in HEADINGS)]
+    article = any(b.article for b in usable)
+    region = [b.article if article else b.main for b in found]
+    counts = [_stops(b.text) for b in usable if not _dense(b)]
+    words = sum(n for _, n in counts)
+    foreign = sum(n for n, _ in counts) < FOREIGN * words
+    # What the element holds, against what passes the rules outside of it.
+    inside = outside = 0
+    for b, within in zip(found, region, strict=True):
+        if b.bad or b.header or _dense(b):
+            continue
+        if within:
+            inside += len(b.text)
+        elif _prose(b, foreign):
+            outside += len(b.text)
+    trusted = inside > 0 and inside >= outside
     labels: list[bool | None] = []
-    for b in found:
-        dense = b.linked > MOST_LINKS * len(b.text)
-        if b.bad or b.header and b.tag not in HEADINGS:
+    for b, within in zip(found, region, strict=True):
+        if b.bad or b.header and (b.tag not in HEADINGS or not within):
             labels.append(False)
-        elif article or main:
-            inside = b.article if article else b.main
-            # Lists of links inside an article are menus.
-            labels.append(inside and not (dense and b.tag in ("li", "td", "div", "ul", "dd")))
-        elif b.header or dense:
-            labels.append(False)
-        elif b.tag in HEADINGS or len(b.text) < SHORT:
-            labels.append(None)
+        elif _dense(b):
+            # Lists of links inside an article are menus; a sentence may be one link.
+            labels.append(None if trusted and within and b.tag not in ("li", "td", "div", "ul", "dd") else False)
         else:
-            words = _WORD.findall(b.text.lower())
-            stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-            if stops >= (LEAST_STOPS_LONG if len(b.text) >= LONG else LEAST_STOPS):
-                labels.append(True)
-            else:
-                labels.append(False if stops < 0.1 and len(b.text) < LONG else None)
+            said = _prose(b, foreign, trusted and within)
+            small = b.tag in HEADINGS or _length(b.text) < SHORT
+            if said is None and small and trusted:
+                said = within
+            elif said is None and small and within:
+                said = False
+            elif trusted and not within:
+                said = bool(said)
+            labels.append(said)
     return labels
 
 
@@ -206,7 +257,7 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
             if not sides:
                 label = True
             elif len(sides) == 2 and sides[0][0] == sides[1][0] and sides[0][1] != sides[1][1]:
-                label = found[i].tag in HEADINGS
+                label = found[i].tag in HEADINGS or found[i].article
             else:
                 label = sides[0][1]
         final.append(label)

@@ -275,6 +275,29 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+def test_an_article_is_not_all_there_is():
+    long = (PROSE * 4).strip()
+    # A teaser beside the main text; its blocks are no text.
+    teaser = f"<div><p>{long}<p>{long}<p>Short.<p>{long}</div><article><h3>Next story</h3><p>Read on</article>"
+    assert html.main_text(teaser) == "\n\n".join([long, long, "Short.", long])
+    # A lead before the article, and text in main beside it.
+    beside = f"<main><p>{PROSE}</p><article><h1>Title</h1><p>{long}</p><p>{long}</p></article><p>{PROSE}</p><p>Top</p></main>"
+    assert html.main_text(beside) == "\n\n".join([PROSE.strip(), "Title", long, long, PROSE.strip()])
+
+
+@pytest.mark.parametrize(
+    "prose",
+    [
+        "Вчера вечером жители города собрались на площади, чтобы обсудить новый мост через реку. Решение примут весной.",
+        "昨天晚上，城里的居民聚集在广场上，讨论河上的新桥应该建在什么地方。市长说，最后的决定将在明年春天作出，届时会公布全部费用。",
+        "Wczoraj wieczorem mieszkańcy miasta zebrali się na rynku, aby omówić budowę nowego mostu. Decyzja zapadnie wiosną.",
+    ],
+)
+def test_pages_in_other_languages_keep_their_text(prose):
+    page = f"<nav><a>A</a></nav><div><p>{prose}</p><p>{prose * 3}</p></div><div><a href=1>{prose}</a></div><footer>{prose}</footer>"
+    assert html.main_text(page) == f"{prose}\n\n{prose * 3}"
+
+
 def test_pages_with_odd_rows(spark):
     schema = "page_id long, html string, main_text int, whole_page int"
     rows = [(1, None, 1, 1), (2, "", 1, 1), (3, "<article><p>" + "x " * 300_000 + "</p></article>", 1, 1), (3, "<article>y", 1, 1)]
