@@ -13,6 +13,9 @@ the rows are dealt to shards of about ``SHARD`` documents, by the hash of a row
 packed by itself: a third of all rows from one source, or of one cluster, spreads over all shards.
 Bins of different shards share nothing, so no conflict can cross them.
 
+The duplicate cluster is a hash of the words, that is exact copies, or with ``near`` the
+near-duplicate group of the row.
+
 Cases: a null or empty text is its end mark; a null source is a source of its own; repeated rows
 are packed each, in different bins, as they are one cluster; an empty table gives no bins; ties in
 size go by id. Names of further columns are free.
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartograph.llm.simhash import MAX_BITS, fingerprints, groups
 from cartograph.llm.words import map_slices, plain
 from cartograph.session import stage
 
@@ -105,26 +109,47 @@ def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pd.DataFrame(made, columns=["row", "piece", "bin", "start", "size"])
 
 
-def sizes(docs: DataFrame, text: str, doc_id: str, source: str) -> DataFrame:
-    """(doc_id, source, size, cluster): cluster is a hash of the words, A-Z lower-cased."""
+def sizes(docs: DataFrame, text: str, doc_id: str, source: str, cluster: str | None = None) -> DataFrame:
+    """(doc_id, source, size, cluster): without a column ``cluster`` a hash of the words, A-Z lower-cased."""
     used = docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), docs[text].alias("text"))
+    if cluster:
+        used = docs.select(
+            docs[doc_id].alias("doc_id"), docs[source].alias("source"), docs[text].alias("text"), docs[cluster].alias("cluster")
+        )
     schema = T.StructType(
         [*used.schema.fields[:2], T.StructField("size", T.LongType()), T.StructField("cluster", T.LongType())]
     )
 
     def work(batch: pa.RecordBatch) -> dict:
         words = [t.as_py().lower().split() for t in plain(batch["text"]).cast(pa.binary())]
-        hashes = [xxhash.xxh64_intdigest(b" ".join(w)) for w in words]
+        hashes = [] if cluster else [xxhash.xxh64_intdigest(b" ".join(w)) for w in words]
         return {
             "doc_id": batch["doc_id"],
             "source": batch["source"],
             "size": [len(w) + 1 for w in words],
-            "cluster": np.array(hashes, np.uint64).view(np.int64),
+            "cluster": batch["cluster"] if cluster else np.array(hashes, np.uint64).view(np.int64),
         }
 
     return map_slices(used, "text", work, schema)
 
 
+def with_near_clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """(doc_id, source, size, cluster): the group of near-duplicates stands for the cluster, row by row.
+
+    Groups are those of :mod:`cartograph.llm.simhash`: shingles of five words, linked fingerprints.
+    """
+    used = docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), docs[text].alias("text"))
+    made, fp = fingerprints(used, "text", None)
+    told = stage(sizes(made, "text", "doc_id", "source", fp), "near-sizes").df
+    # One row per fingerprint: copies are counted out before anything is joined on it.
+    prints = stage(told.select(F.col("cluster").alias("fp")).distinct(), "near-prints").df
+    named = stage(groups(prints, MAX_BITS), "near-groups").df
+    named = named.select("fp", F.col("root").alias("group"))
+    return told.join(named, told["cluster"] == named["fp"]).select(
+        "doc_id", "source", "size", F.col("group").alias("cluster")
+    )
+
+
 def pack(
     docs: DataFrame,
     text: str = "text",
@@ -132,11 +157,16 @@ def pack(
     source: str = "source",
     capacity: int = CAPACITY,
     shard: int = SHARD,
+    near: bool = False,
 ) -> DataFrame:
-    """(bin_id, doc_id, source, piece, start, size): where each part of each document goes."""
+    """(bin_id, doc_id, source, piece, start, size): where each part of each document goes.
+
+    With ``near``, near-duplicates are one cluster, else exact copies only.
+    """
+    sized = with_near_clusters(docs, text, doc_id, source) if near else sizes(docs, text, doc_id, source)
     # The row numbers are staged, so they stay the same if a task has to run again.
     numbered = stage(
-        sizes(docs, text, doc_id, source).withColumn("row", F.monotonically_increasing_id()), "sizes"
+        sized.withColumn("row", F.monotonically_increasing_id()), "sizes"
     )
     shards = max(1, -(-numbered.rows // shard))
     dealt = numbered.df.select(

@@ -159,7 +159,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_best_fit_packing")
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each part of every document goes."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), near=True)
 
 
 @query("op10_html_extraction")

@@ -185,6 +185,29 @@ def test_packing_is_best_fit_without_conflicts(odd, none):
     assert packing.pack(none).collect() == []
 
 
+def test_near_copies_of_different_sources_share_no_bin(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(400)] for _ in range(6)]
+    rows = []
+    for k, words in enumerate(base):
+        copies = [list(words) for _ in range(4)]
+        for i, c in enumerate(copies[1:]):
+            c[-1] = f"changed{i}"
+        rows += [(len(rows) + i, " ".join(c), f"s{(k + i) % 9}-{k}-{i}") for i, c in enumerate(copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    group = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert len(set(group.values())) == 6
+
+    def shared(near: bool) -> int:
+        bins: dict[int, list[int]] = {}
+        for r in packing.pack(docs, near=near).collect():
+            bins.setdefault(r["bin_id"], []).append(group[r["doc_id"]])
+        assert sum(map(len, bins.values())) == len(rows)
+        return sum(len(b) - len(set(b)) for b in bins.values())
+
+    assert shared(True) == 0 and shared(False) > 0
+
+
 def test_packing_in_shards_keeps_all_rows(odd):
     made = packing.pack(odd, capacity=256, shard=10)
     total = made.groupBy("doc_id").agg(F.sum("size").alias("n")).collect()
