@@ -268,7 +268,7 @@ def list_files(spark, sf):
 
 
 @query("index_status", _PE + """
-SELECT '1' AS schema_version, '/project' AS project_root, CAST((SELECT count(*) FROM part) AS VARCHAR) AS file_count,
+SELECT '1' AS schema_version, '/project' AS project_root, CAST(count(DISTINCT file_path) AS VARCHAR) AS file_count,
   count(*) AS symbol_count, count(DISTINCT file_path) AS indexed_file_count,
   (SELECT count(*) FROM pedge) AS edge_count FROM psym""")
 def index_status(spark, sf):
