@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import brown, chat, decontaminate, html, langid, license, packing, quality, simhash, substring
+from cartograph.llm import brown, chat, decontaminate, html, langid, license, packing, quality, simhash, substring, trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -245,3 +245,60 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(_fold(7) == 2, F.lit(True))
     return brown.score(docs, ~held_out)
+
+
+TRIE_SQL = r"""
+WITH own AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+ids AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_concat([4294967295::BIGINT], flatten([
+            [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(conv_id::VARCHAR, '')])),
+        lambda crc, x: xor(xor(crc, x) >> 1, CASE WHEN xor(crc, x) % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END)),
+        4294967295::BIGINT) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM own)
+),
+rebuilt AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d FROM (
+        SELECT ids.conv_id, 0 AS part, pos, role, text FROM ids JOIN own ON own.conv_id = base AND pos <= h
+        UNION ALL
+        SELECT ids.conv_id, 1, pos, role, text FROM ids JOIN own ON own.conv_id = ids.conv_id AND pos > h)
+),
+prefixes AS (
+    SELECT conv_id, d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+        sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY d)) AS node
+    FROM rebuilt
+    UNION ALL SELECT conv_id, 0, 0, '' FROM ids
+),
+nodes AS (
+    SELECT node, d, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words FROM prefixes GROUP BY node, d
+),
+ends AS (
+    SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+    FROM prefixes JOIN (SELECT conv_id, max(d) AS d FROM prefixes GROUP BY conv_id) USING (conv_id, d) GROUP BY node
+),
+above AS (
+    SELECT nodes.node, up.node AS parent, up_node.conv_id AS parent_conv_id
+    FROM nodes JOIN prefixes up ON up.conv_id = nodes.conv_id AND up.d = nodes.d - 1
+    JOIN nodes up_node ON up_node.node = up.node
+),
+children AS (SELECT parent AS node, count(*) AS n_children FROM above GROUP BY parent),
+below AS (
+    SELECT up.node, sum((nodes.n - 1) * nodes.words) AS saved, count(*) FILTER (WHERE n_children IS NULL) AS leaves
+    FROM nodes LEFT JOIN children USING (node) JOIN prefixes up ON up.conv_id = nodes.conv_id AND up.d <= nodes.d
+    GROUP BY up.node
+)
+SELECT nodes.conv_id, d::BIGINT AS depth, parent_conv_id, n AS n_convs, coalesce(n_children, 0) AS n_children,
+    leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes JOIN below USING (node) LEFT JOIN above USING (node) LEFT JOIN children USING (node) LEFT JOIN ends USING (node)
+"""
+
+
+@query("op11_conversation_trie", TRIE_SQL)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    own = trie.paths(table(spark, sf_dir, "conversations"))
+    return trie.trie_nodes(trie.borrow_heads(own))
