@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import brown, chat, decontaminate, html, langid, license, packing, quality, simhash, substring, trie
+from cartograph.llm import brown, chat, decontaminate, html, langid, license, mixing, packing, quality, simhash, substring, trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -302,3 +302,9 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of the rebuilt conversations."""
     own = trie.paths(table(spark, sf_dir, "conversations"))
     return trie.trie_nodes(trie.borrow_heads(own))
+
+
+@query("op12_source_mixing")
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, and the target of its source."""
+    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
