@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import brown, chat, decontaminate, html, langid, license, mixing, packing, quality, simhash, substring, trie
+from cartograph.llm import alignment, brown, chat, decontaminate, html, langid, license, mixing, packing, quality, simhash, substring, trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -308,3 +308,9 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document, and the target of its source."""
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every document under two tokenizers."""
+    return alignment.align_documents(table(spark, sf_dir, "documents"))[0]
