@@ -4,8 +4,8 @@ Every text is tokenised whole by two tokenizers: A, byte-level BPE, on a space a
 pieces with byte fallback, on the text, to which it adds the space. Both give the same bytes, or the
 text has no alignment. An anchor is a byte at which a token of A and a token of B both start, so the
 tokens before them end together, and both are marked by a space. Anchors split a document into
-windows of token ids; the alignment of a window depends on its ids only, so it is found once and
-remembered by them. Inside a window, bytes where tokens of both sides end cut groups, and a token of
+windows of token ids; the alignment of a window depends on its ids only, so a slice of the texts
+remembers its windows by them and aligns each once. Inside a window, bytes where tokens of both sides end cut groups, and a token of
 A is linked to each token of B whose bytes overlap its own.
 
 How often a pair of ids is linked is counted over the corpus. Texts are not tokenised twice for
@@ -24,6 +24,7 @@ than ``MEMO_TOKENS`` tokens are aligned like any other but not remembered.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -41,9 +42,8 @@ from cartograph.session import stage
 
 FOLDER = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Windows a worker remembers, and the longest it does.
-MEMO_WINDOWS = 150_000
-MEMO_TOKENS = 64
+# Fixed value: how byte-level BPE of A cuts a text into words.
+BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text that is given to a tokenizer at a time.
 ENCODE_BYTES = 1 << 19
 _B_BITS = 32
@@ -72,28 +72,30 @@ class Side(NamedTuple):
 
 
 class Tokenizers:
-    """The two tokenizers of a worker, and the windows it has aligned."""
+    """The two tokenizers of a worker."""
 
     def __init__(self, folder: str) -> None:
-        # One task is one core; threads of the library's own would take those of other tasks.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self._a = Tokenizer.from_file(os.path.join(folder, FILE_A))
-        self._a.encode_special_tokens = True
+        with open(os.path.join(folder, FILE_A), encoding="utf-8") as file:
+            given = json.load(file)
+        byte_of, names = _byte_characters(), given["model"]["vocab"]
+        added = {t["content"]: t["id"] for t in given["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in name): i for name, i in names.items() if name not in added}
+        # Ids of this vocabulary are the order of its merges, so they serve as ranks.
+        self._a = tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
         self._b = SentencePieceProcessor(model_file=os.path.join(folder, FILE_B))
-        byte_of, names = _byte_characters(), self._a.get_vocab()
-        added = {t.content for t in self._a.get_added_tokens_decoder().values()}
         a = [b""] * (max(names.values()) + 1)
-        for name, i in names.items():
-            a[i] = name.encode() if name in added else bytes(byte_of[c] for c in name)
+        for piece, i in ranks.items():
+            a[i] = piece
         b = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self.a = Side.of(a)
         self.b = Side.of(
             [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in b]
         )
-        self.memo: dict[tuple[bytes, bytes], Window] = {}
+        #: What each token writes: ids inside a group end with a comma, the last of A with a bar, of B with a semicolon.
+        self.written = [f"{i}{end}" for side, last in ((a, "|"), (b, ";")) for i in range(len(side)) for end in (",", last)]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of both sides for each text, a bounded part of the texts at a time."""
@@ -104,28 +106,14 @@ class Tokenizers:
                 size += len(texts[end])
                 end += 1
             part = texts[at:end]
-            a = self._a.encode_batch_fast([" " + t for t in part], add_special_tokens=False)
-            b = self._b.encode(part, num_threads=1)
-            for x, y in zip(a, b, strict=True):
-                yield x.ids, y
+            for t, b in zip(part, self._b.encode(part, num_threads=1), strict=True):
+                yield self._a.encode_ordinary(" " + t), b
             at = end
 
-    def same_bytes(self, text: str, a: list[int], b: list[int]) -> bool:
-        whole = b" " + text.encode()
+    def same_bytes(self, text: bytes, a: list[int], b: list[int]) -> bool:
+        whole = b" " + text
         return whole == b"".join([self.a.pieces[i] for i in a]) and whole == b"".join([self.b.pieces[i] for i in b])
 
-    def window(self, key: tuple[bytes, bytes]) -> Window:
-        """The alignment of the window with these ids (as 32-bit numbers)."""
-        known = self.memo.get(key)
-        if known is None:
-            a, b = (np.frombuffer(k, np.int32).tolist() for k in key)
-            known = align(a, b, self.a.sizes, self.b.sizes)
-            if len(a) + len(b) <= MEMO_TOKENS:
-                if len(self.memo) >= MEMO_WINDOWS:
-                    self.memo.clear()
-                self.memo[key] = known
-        return known
-
 
 @lru_cache(maxsize=1)
 def tokenizers(folder: str) -> Tokenizers:
@@ -135,32 +123,42 @@ def tokenizers(folder: str) -> Tokenizers:
 # ---------------------------------------------------------------- windows
 
 
-class Window(NamedTuple):
-    """``a1,a2|b1;a3|b2``, the number of groups, and the linked pairs, one for each link."""
-
-    text: str
-    groups: int
-    pairs: list[int]
-
-
-def align(a: list[int], b: list[int], a_sizes: np.ndarray, b_sizes: np.ndarray) -> Window:
-    """Groups and links of token ids that cover the same bytes."""
-    groups, pairs = [], []
-    i = j = i0 = j0 = 0
-    end_a, end_b = int(a_sizes[a[0]]), int(b_sizes[b[0]])
-    while True:
-        pairs.append(a[i] << _B_BITS | b[j])
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        i, j = i + step_a, j + step_b
-        if step_a and step_b:
-            groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-            if i == len(a):
-                return Window(";".join(groups), len(groups), pairs)
-            i0, j0 = i, j
-        if step_a:
-            end_a += int(a_sizes[a[i]])
-        if step_b:
-            end_b += int(b_sizes[b[j]])
+class Aligned(NamedTuple):
+    """Alignments of windows: ``a1,a2|b1;a3|b2;`` and the number of groups of each, and the linked
+    pairs of all, one for each link; window ``w`` has those from ``starts[w]`` to ``starts[w + 1]``."""
+
+    texts: list[str]
+    groups: np.ndarray
+    pairs: np.ndarray
+    starts: np.ndarray
+
+
+def align(keys: list[tuple[bytes, bytes]], known: Tokenizers) -> Aligned:
+    """Groups and links of windows of ids (32-bit numbers); the two sides of a window cover the same bytes."""
+    a, b = (np.frombuffer(b"".join([k[side] for k in keys]), np.int32).astype(np.int64) for side in (0, 1))
+    many_a, many_b = (np.array([len(k[side]) // 4 for k in keys]) for side in (0, 1))
+    end_a, end_b = np.cumsum(known.a.sizes[a]), np.cumsum(known.b.sizes[b])
+    stop = end_a[np.cumsum(many_a) - 1]
+    # Two tokens overlap on the bytes before an end of either; each such stretch is one link.
+    cuts = np.union1d(end_a, end_b)
+    pairs = a[np.searchsorted(end_a, cuts)] << _B_BITS | b[np.searchsorted(end_b, cuts)]
+    shared = np.intersect1d(end_a, end_b, assume_unique=True)
+    group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+    last_a, last_b = shared[group_a] == end_a, shared[group_b] == end_b
+    # Tokens are written group by group, those of A first.
+    before_b = np.concatenate([[0], np.flatnonzero(last_b) + 1])[group_a]
+    before_a = (np.flatnonzero(last_a) + 1)[group_b]
+    codes = np.empty(len(a) + len(b), np.int64)
+    codes[np.arange(len(a)) + before_b] = 2 * a + last_a
+    codes[np.arange(len(b)) + before_a] = 2 * (len(known.a.pieces) + b) + last_b
+    told = [known.written[c] for c in codes.tolist()]
+    at = np.concatenate([[0], np.cumsum(many_a + many_b)]).tolist()
+    return Aligned(
+        ["".join(told[x:y]) for x, y in zip(at, at[1:], strict=False)],
+        np.diff(np.searchsorted(shared, stop, side="right"), prepend=0),
+        pairs,
+        np.concatenate([[0], np.searchsorted(cuts, stop, side="right")]),
+    )
 
 
 def windows(a: np.ndarray, b: np.ndarray, side_a: Side, side_b: Side, bases: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -184,11 +182,12 @@ def align_slice(texts: list[str], times: np.ndarray, known: Tokenizers, groups:
     """Columns of one slice; ``times`` is how many rows have each text."""
     ids_a, ids_b, used, sizes = [], [], [], []
     for k, (a, b) in enumerate(known.encode(texts)):
-        if known.same_bytes(texts[k], a, b):
+        whole = texts[k].encode()
+        if known.same_bytes(whole, a, b):
             ids_a.append(np.array(a, np.int32))
             ids_b.append(np.array(b, np.int32))
             used.append(k)
-            sizes.append(1 + len(texts[k].encode()))
+            sizes.append(1 + len(whole))
     n = len(texts)
     made = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
     told: list[str | None] = [""] * n
@@ -206,30 +205,31 @@ def align_slice(texts: list[str], times: np.ndarray, known: Tokenizers, groups:
         cuts = [*(4 * first).tolist(), len(whole)]
         return [whole[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
 
+    # The memo: windows by their ids, in order of first use.
     number: dict[tuple[bytes, bytes], int] = {}
     which = np.array([number.setdefault(k, len(number)) for k in zip(parts(bytes_a, first_a), parts(bytes_b, first_b), strict=True)])
-    aligned = [known.window(k) for k in number]
+    aligned = align(list(number), known)
 
     # Texts as strings of their windows, and as counts of them.
     cuts = np.append(np.searchsorted(starts, bases), len(starts))
-    strings, order = [w.text for w in aligned], which.tolist()
+    order, ends = which.tolist(), cuts.tolist()
     digests = [""] * n
     for at, k in enumerate(used):
-        whole = ";".join([strings[w] for w in order[cuts[at] : cuts[at + 1]]])
+        whole = "".join([aligned.texts[w] for w in order[ends[at] : ends[at + 1]]])[:-1]
         digests[k] = hashlib.sha256(whole.encode()).hexdigest()
         if groups:
             told[k] = whole
     owner = np.repeat(np.array(used), np.diff(cuts))
-    both, seen = np.unique(owner * len(aligned) + which, return_counts=True)
-    text_of, window_of = both // len(aligned), both % len(aligned)
+    both, seen = np.unique(owner * len(number) + which, return_counts=True)
+    text_of, window_of = both // len(number), both % len(number)
     made["n_a"][used], made["n_b"][used] = [len(x) for x in ids_a], [len(x) for x in ids_b]
-    made["n_groups"][used] = _runs(np.array([w.groups for w in aligned])[which], cuts)
+    made["n_groups"][used] = _runs(aligned.groups[which], cuts)
 
     # Windows as lists of the slice's distinct pairs, and how often each pair is linked in all rows.
-    lengths = np.array([len(w.pairs) for w in aligned])
+    lengths = np.diff(aligned.starts)
     made["n_links"][used] = _runs(lengths[which], cuts)
-    pair, link = np.unique(np.concatenate([np.array(w.pairs, np.int64) for w in aligned]), return_inverse=True)
-    rows = np.zeros(len(aligned), np.int64)
+    pair, link = np.unique(aligned.pairs, return_inverse=True)
+    rows = np.zeros(len(number), np.int64)
     np.add.at(rows, window_of, seen * times[text_of])
     linked = np.zeros(len(pair), np.int64)
     np.add.at(linked, link, np.repeat(rows, lengths))
@@ -240,7 +240,7 @@ def align_slice(texts: list[str], times: np.ndarray, known: Tokenizers, groups:
         "text_starts": np.searchsorted(text_of, np.arange(n + 1)),
         "window": window_of,
         "times": seen,
-        "window_starts": np.concatenate([[0], np.cumsum(lengths)]),
+        "window_starts": aligned.starts,
         "link": link,
         "pair": pair,
         "linked": linked,

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import tokenizers
 
 from cartograph.llm import alignment, queries
 
@@ -89,17 +90,29 @@ def test_documents_in_many_slices(spark, known):
     compare(spark, texts, known, 6)
 
 
-def test_memo_and_slices_do_not_change_results(spark, known, monkeypatch):
+def test_parts_of_a_slice_do_not_change_results(spark, known, monkeypatch):
     texts = [r["text"][:2000] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()[:40]]
     times = np.ones(len(texts), np.int64)
     whole = alignment.align_slice(texts, times, known, True)
-    monkeypatch.setattr(alignment, "MEMO_WINDOWS", 3)
     monkeypatch.setattr(alignment, "ENCODE_BYTES", 10)
-    again = alignment.align_slice(texts, times, alignment.Tokenizers(alignment.FOLDER), True)
+    again = alignment.align_slice(texts, times, known, True)
     assert all(np.array_equal(whole[c], again[c]) for c in whole)
     assert [hashlib.sha256(g.encode()).hexdigest() for g in whole["groups"]] == whole["groups_sha256"]
 
 
+def test_ids_are_those_of_the_tokenizer_file(spark, known):
+    """The fast encoder against the library that the file was written for, on every character."""
+    own = tokenizers.Tokenizer.from_file(os.path.join(alignment.FOLDER, alignment.FILE_A))
+    own.encode_special_tokens = True
+    texts = [t for t in ODD if t] + [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    marks = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for at in range(0, len(marks), 4000):
+        texts.append("".join(f"a{c} {c}{c}1{c}\n" for c in marks[at : at + 4000]))
+    theirs = own.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+    for text, t in zip(texts, theirs, strict=True):
+        assert known._a.encode_ordinary(" " + text) == t.ids, text[:50]
+
+
 def test_windows_split_at_anchors(known):
     text = "the quick brown fox"
     ((a, b),) = known.encode([text])
