@@ -9,7 +9,7 @@ remembers its windows by them and aligns each once. Inside a window, bytes where
 A is linked to each token of B whose bytes overlap its own.
 
 How often a pair of ids is linked is counted over the corpus. Texts are not tokenised twice for
-that: the first pass writes, for each slice of a few megabytes of text, its distinct pairs, its
+that: the first pass writes, for each slice of about a megabyte of text, its distinct pairs, its
 distinct windows as lists of pairs, and its texts as counts of windows. Corpus-wide counts come from
 the slices' pairs, which hold a pair once for each slice, and go back to the slices by joins on the
 pair and on the slice. No table is broadcast by force, and the largest thing a task holds is a slice.
@@ -27,8 +27,10 @@ import hashlib
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -44,6 +46,8 @@ FOLDER = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Fixed value: how byte-level BPE of A cuts a text into words.
 BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Text of a slice: its tokens and windows are in memory at a time.
+SLICE_BYTES = 1 << 20
 #: Text that is given to a tokenizer at a time.
 ENCODE_BYTES = 1 << 19
 _B_BITS = 32
@@ -206,8 +210,8 @@ def align_slice(texts: list[str], times: np.ndarray, known: Tokenizers, groups:
         return [whole[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
 
     # The memo: windows by their ids, in order of first use.
-    number: dict[tuple[bytes, bytes], int] = {}
-    which = np.array([number.setdefault(k, len(number)) for k in zip(parts(bytes_a, first_a), parts(bytes_b, first_b), strict=True)])
+    number: dict[tuple[bytes, bytes], int] = defaultdict(count().__next__)
+    which = np.fromiter((number[k] for k in zip(parts(bytes_a, first_a), parts(bytes_b, first_b), strict=True)), np.int64, len(starts))
     aligned = align(list(number), known)
 
     # Texts as strings of their windows, and as counts of them.
@@ -275,11 +279,11 @@ def aligned_slices(docs: DataFrame, text: str, doc_id: str, folder: str, groups:
         ]
     )
     # Slices of a partition are numbered as they come; the table is written once before it is read.
-    count = {}
+    last: dict[int, int] = {}
 
     def work(batch: pa.RecordBatch) -> dict:
         part = batch["part"][0].as_py()
-        number = count[part] = count.get(part, -1) + 1
+        number = last[part] = last.get(part, -1) + 1
         given = plain(batch["text"]).dictionary_encode()
         names = given.dictionary.to_pylist()
         filled = [k for k, t in enumerate(names) if t]
@@ -291,7 +295,7 @@ def aligned_slices(docs: DataFrame, text: str, doc_id: str, folder: str, groups:
         row = {"slice": (part << 32) + number, "doc_id": batch["doc_id"], "of": of, **made}
         return {c: pa.array([None if row[c] is None else row[c]], type=kind) for c, kind in _arrow(schema)}
 
-    return map_slices(source, "text", work, schema)
+    return map_slices(source, "text", work, schema, SLICE_BYTES)
 
 
 def _arrow(schema: T.StructType) -> list[tuple[str, pa.DataType]]:

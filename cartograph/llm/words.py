@@ -124,7 +124,11 @@ def free_name(taken: list[str], wish: str) -> str:
 
 
 def map_slices(
-    frame: DataFrame, column: str, work: Callable[[pa.RecordBatch], dict | None], schema: T.StructType
+    frame: DataFrame,
+    column: str,
+    work: Callable[[pa.RecordBatch], dict | None],
+    schema: T.StructType,
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """``work`` on every slice; it returns columns in the order of ``schema``, of any length."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -133,7 +137,7 @@ def map_slices(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 made = work(part)
                 if made is not None:
                     yield pa.RecordBatch.from_arrays(

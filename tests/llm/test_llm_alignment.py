@@ -84,9 +84,10 @@ def test_odd_texts(spark, known):
     assert any(r[2] < min(r[0], r[1]) for r in rows)
 
 
-def test_documents_in_many_slices(spark, known):
+def test_documents_in_many_slices(spark, known, monkeypatch):
     texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     texts = [t[:600] for t in texts[:60]] + texts[:5] * 3
+    monkeypatch.setattr(alignment, "SLICE_BYTES", 3000)
     compare(spark, texts, known, 6)
 
 
