@@ -255,27 +255,26 @@ def align_slice(texts: list[str], times: np.ndarray, known: Tokenizers, groups:
 
 
 _LONGS = ("n_a", "n_b", "n_groups", "n_links")
-_INTS = ("text_starts", "window", "times", "window_starts", "link")
+PACKED = {
+    "of": pa.int32(),
+    **dict.fromkeys(_LONGS, pa.int64()),
+    "groups_sha256": pa.string(),
+    "groups": pa.string(),
+    **dict.fromkeys(("text_starts", "window", "times", "window_starts", "link"), pa.int32()),
+}
 
 
 def aligned_slices(docs: DataFrame, text: str, doc_id: str, folder: str, groups: bool) -> DataFrame:
-    """One row per slice: its rows (doc_id, and the text of each by number or -1), texts, windows and pairs."""
+    """One row per slice: the ids of its rows, its distinct pairs and how often each is linked, and
+    the rest packed as bytes, so that Spark moves them without unfolding millions of numbers."""
     source = docs.select(F.spark_partition_id().alias("part"), docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-
-    def many(kind: T.DataType) -> T.ArrayType:
-        return T.ArrayType(kind)
-
     schema = T.StructType(
         [
             T.StructField("slice", T.LongType()),
-            T.StructField("doc_id", many(source.schema["doc_id"].dataType)),
-            T.StructField("of", many(T.IntegerType())),
-            *(T.StructField(c, many(T.LongType())) for c in _LONGS),
-            T.StructField("groups_sha256", many(T.StringType())),
-            T.StructField("groups", many(T.StringType())),
-            *(T.StructField(c, many(T.IntegerType())) for c in _INTS),
-            T.StructField("pair", many(T.LongType())),
-            T.StructField("linked", many(T.LongType())),
+            T.StructField("doc_id", T.ArrayType(source.schema["doc_id"].dataType)),
+            T.StructField("packed", T.BinaryType()),
+            T.StructField("pair", T.ArrayType(T.LongType())),
+            T.StructField("linked", T.ArrayType(T.LongType())),
         ]
     )
     # Slices of a partition are numbered as they come; the table is written once before it is read.
@@ -292,12 +291,26 @@ def aligned_slices(docs: DataFrame, text: str, doc_id: str, folder: str, groups:
         of = place[np.asarray(given.indices)]
         times = np.bincount(of[of >= 0], minlength=len(filled))
         made = align_slice([names[k] for k in filled], times, tokenizers(folder), groups)
-        row = {"slice": (part << 32) + number, "doc_id": batch["doc_id"], "of": of, **made}
-        return {c: pa.array([None if row[c] is None else row[c]], type=kind) for c, kind in _arrow(schema)}
+        row = {"slice": (part << 32) + number, "doc_id": batch["doc_id"], "packed": pack({"of": of, **made}), **made}
+        return {c: pa.array([row[c]], type=kind) for c, kind in _arrow(schema)}
 
     return map_slices(source, "text", work, schema, SLICE_BYTES)
 
 
+def pack(columns: dict) -> bytes:
+    """The columns ``PACKED``, which differ in length, as one compressed Arrow stream."""
+    row = pa.record_batch({c: pa.array([columns[c]], type=pa.list_(kind)) for c, kind in PACKED.items()})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(packed: bytes) -> dict[str, pa.Array]:
+    row = pa.ipc.open_stream(packed).read_next_batch()
+    return {c: row[c].flatten() for c in PACKED}
+
+
 def _arrow(schema: T.StructType) -> list[tuple[str, pa.DataType]]:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -333,8 +346,10 @@ def align_documents(
     kinds = _arrow(out)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = unpack(left["packed"][0].as_py())
+
         def cell(name: str) -> np.ndarray:
-            return np.asarray(left[name].combine_chunks().flatten())
+            return np.asarray(held[name])
 
         at = np.asarray(right["at"])
         n, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
@@ -349,11 +364,11 @@ def align_documents(
         for c, values in row.items():
             made[c] = np.append(values, 0)[of]
         for c in ("groups_sha256", "groups") if groups else ("groups_sha256",):
-            told = [*left[c].combine_chunks().flatten().to_pylist(), ""]
+            told = [*held[c].to_pylist(), ""]
             made[c] = [told[k] for k in of.tolist()]
         return pa.table({c: made[c] if isinstance(made[c], pa.Array) else pa.array(made[c], kind) for c, kind in kinds})
 
-    rows = slices.drop(*([] if groups else ["groups"]), "pair", "linked").groupBy("slice").cogroup(told.groupBy("of_slice"))
+    rows = slices.select("slice", "doc_id", "packed").groupBy("slice").cogroup(told.groupBy("of_slice"))
     pairs = counted.select(
         F.shiftright("pair", _B_BITS).alias("a_id"), F.col("pair").bitwiseAND(F.lit((1 << _B_BITS) - 1)).alias("b_id"), "n", "best"
     )
