@@ -9,7 +9,7 @@ remembers its windows by them and aligns each once. Inside a window, bytes where
 A is linked to each token of B whose bytes overlap its own.
 
 How often a pair of ids is linked is counted over the corpus. Texts are not tokenised twice for
-that: the first pass writes, for each slice of about a megabyte of text, its distinct pairs, its
+that: the first pass writes, for each slice of a few megabytes of text, its distinct pairs, its
 distinct windows as lists of pairs, and its texts as counts of windows. Corpus-wide counts come from
 the slices' pairs, which hold a pair once for each slice, and go back to the slices by joins on the
 pair and on the slice. No table is broadcast by force, and the largest thing a task holds is a slice.
@@ -47,7 +47,7 @@ FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Fixed value: how byte-level BPE of A cuts a text into words.
 BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text of a slice: its tokens and windows are in memory at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 #: Text that is given to a tokenizer at a time.
 ENCODE_BYTES = 1 << 19
 _B_BITS = 32
@@ -116,7 +116,7 @@ class Tokenizers:
 
     def same_bytes(self, text: bytes, a: list[int], b: list[int]) -> bool:
         whole = b" " + text
-        return whole == b"".join([self.a.pieces[i] for i in a]) and whole == b"".join([self.b.pieces[i] for i in b])
+        return whole == self._a.decode_bytes(a) and whole == b"".join(map(self.b.pieces.__getitem__, b))
 
 
 @lru_cache(maxsize=1)
@@ -137,6 +137,12 @@ class Aligned(NamedTuple):
     starts: np.ndarray
 
 
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct numbers of two sorted arrays, in order; a stable sort merges the two runs."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return both[np.append(True, both[1:] != both[:-1])]
+
+
 def align(keys: list[tuple[bytes, bytes]], known: Tokenizers) -> Aligned:
     """Groups and links of windows of ids (32-bit numbers); the two sides of a window cover the same bytes."""
     a, b = (np.frombuffer(b"".join([k[side] for k in keys]), np.int32).astype(np.int64) for side in (0, 1))
@@ -144,7 +150,7 @@ def align(keys: list[tuple[bytes, bytes]], known: Tokenizers) -> Aligned:
     end_a, end_b = np.cumsum(known.a.sizes[a]), np.cumsum(known.b.sizes[b])
     stop = end_a[np.cumsum(many_a) - 1]
     # Two tokens overlap on the bytes before an end of either; each such stretch is one link.
-    cuts = np.union1d(end_a, end_b)
+    cuts = _merged(end_a, end_b)
     pairs = a[np.searchsorted(end_a, cuts)] << _B_BITS | b[np.searchsorted(end_b, cuts)]
     shared = np.intersect1d(end_a, end_b, assume_unique=True)
     group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
@@ -172,7 +178,7 @@ def windows(a: np.ndarray, b: np.ndarray, side_a: Side, side_b: Side, bases: np.
     """
     from_a, from_b = np.cumsum(side_a.sizes[a]) - side_a.sizes[a], np.cumsum(side_b.sizes[b]) - side_b.sizes[b]
     anchors = np.intersect1d(from_a[side_a.marked[a]], from_b[side_b.marked[b]], assume_unique=True)
-    starts = np.union1d(anchors, bases)
+    starts = _merged(anchors, bases)
     return starts, np.searchsorted(from_a, starts), np.searchsorted(from_b, starts)
 
 
