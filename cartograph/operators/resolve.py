@@ -44,19 +44,24 @@ def name_index(symbols: DataFrame) -> DataFrame:
 _RAW = ("source", "target", "kind")
 
 
-def _lookup(symbols: DataFrame) -> DataFrame:
+def key_lookup(ids: DataFrame, names: DataFrame) -> DataFrame:
     """(key, exact_id, named_id): what each id and each name stands for, one row per key; staged.
 
-    Spark splits a skewed join only between two plain shuffles. An aggregate on one side would be
-    reused for the join and rule that out, so it is written first.
+    ``ids``: column ``id``; ``names``: name, id, one row per name. Spark splits a skewed join only
+    between two plain shuffles. An aggregate on one side would be reused for the join and rule that
+    out, so it is written first.
     """
     none = F.lit(None).cast("string")
-    ids = symbols.select(F.col("id").alias("key"), F.col("id").alias("exact"), none.alias("named"))
-    names = name_index(symbols).select(F.col("name").alias("key"), none.alias("exact"), F.col("id").alias("named"))
-    keys = ids.unionByName(names).groupBy("key")
+    exact = ids.select(F.col("id").alias("key"), F.col("id").alias("exact"), none.alias("named"))
+    named = names.select(F.col("name").alias("key"), none.alias("exact"), F.col("id").alias("named"))
+    keys = exact.unionByName(named).groupBy("key")
     return stage(keys.agg(F.max("exact").alias("exact_id"), F.max("named").alias("named_id")), "lookup").df
 
 
+def _lookup(symbols: DataFrame) -> DataFrame:
+    return key_lookup(symbols, name_index(symbols))
+
+
 def _resolved(raw_edges: DataFrame, lookup: DataFrame) -> DataFrame:
     """Distinct raw edges with a known source, and their target id or null.
 
@@ -70,6 +75,15 @@ def _resolved(raw_edges: DataFrame, lookup: DataFrame) -> DataFrame:
     )
 
 
+def resolved_rows(raw_edges: DataFrame, lookup: DataFrame) -> DataFrame:
+    """All rows of ``raw_edges`` with ``target_id``: null if the source or the target is unknown."""
+    sources = lookup.where("exact_id IS NOT NULL").select(F.col("key").alias("source"), F.lit(True).alias("known"))
+    told = raw_edges.join(sources, "source", "left").join(lookup.withColumnRenamed("key", "target"), "target", "left")
+    return told.select(
+        *raw_edges.columns, F.when(F.col("known"), F.coalesce("exact_id", "named_id")).alias("target_id")
+    )
+
+
 def resolve_edges(raw_edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges between known ids: exact id first, then name; unresolved ones are left out."""
     return (

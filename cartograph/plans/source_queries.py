@@ -12,7 +12,7 @@ from cartograph.functions.text import language_of
 from cartograph.operators import lookup
 from cartograph.operators.extract import Extraction, extract
 from cartograph.operators.tokens import tokens
-from cartograph.plans import corpora, derived, index
+from cartograph.plans import corpora, derived, incremental, index
 from cartograph.plans.catalog import query
 from cartograph.plans.derived import LISTING_FOLDERS, LISTING_SUFFIXES, Tables
 from cartograph.session import new_path, stage
@@ -414,10 +414,10 @@ WHERE (s_suppkey // 40) % 2 = 1""")
 def scoped_reindex(spark, sf):
     """One folder is indexed again: every second file is gone, and the others' methods renamed."""
     texts = corpora.c_py(Tables(spark, sf))
-    before = index.index_sources(texts, new_path(spark, "before"))
+    before = incremental.create(spark, texts, new_path(spark, "versions"))
     odd = F.regexp_extract("path", r"/m(\d+)\.py$", 1).cast("long") % 2 == 1
     now = texts.where(odd).withColumn("content", F.replace("content", F.lit("ping_"), F.lit("pong_")))
-    after = index.reindex_scope(before, now, "src/py/sup", new_path(spark, "after"))
+    after = incremental.as_index(incremental.replace_scope(before, now, "src/py/sup"))
     return after.symbols.select(F.lit("symbol").alias("what"), F.col("id").alias("a"), F.col("kind").alias("b")).unionByName(
         after.edges.select(F.col("kind").alias("what"), F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     )

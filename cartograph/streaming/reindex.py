@@ -2,8 +2,9 @@
 
 Each micro-batch takes the newest version of every path in it, leaves out those that are not newer
 than the version in the store, and replaces the rows of the others; a null content deletes the
-file. Every batch writes a store of its own from the one before, so a replayed batch writes the same
-again, and a missing predecessor is an error.
+file. Every batch is a version of one bucketed store: it writes the buckets that its files change and
+shares the rest with the version before. A replayed batch writes the same again, and a missing
+predecessor is an error.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartograph.plans.index import index_sources, newest_sources, reindex_paths
+from cartograph.plans import incremental
+from cartograph.plans.index import newest_sources
 from cartograph.session import stage
-from cartograph.sources import store
+from cartograph.sources import buckets, store
 
 VERSIONS = T.StructType(
     [
@@ -25,14 +27,10 @@ VERSIONS = T.StructType(
 )
 
 
-def _version(base: str, batch: int) -> str:
-    return f"{base}/v{batch:09d}"
-
-
 def latest(spark: SparkSession, base: str) -> store.Index:
     """The store after the last batch that was written in whole."""
     done = spark.read.schema("batch long").parquet(f"{base}/done").agg(F.max("batch")).first()[0]
-    return store.load_index(spark, _version(base, done))
+    return incremental.as_index(buckets.load(spark, base, done))
 
 
 def _newer(batch: DataFrame, files: DataFrame) -> DataFrame:
@@ -42,21 +40,20 @@ def _newer(batch: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def apply_batch(base: str):
-    """``foreachBatch`` function: store ``v(n)`` is store ``v(n-1)`` with the batch's files replaced.
+    """``foreachBatch`` function: version n is version n - 1 with the batch's files replaced.
 
     It reads only the version before, so running a batch twice gives the same result.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark, out = batch.sparkSession, _version(base, batch_id)
+        spark = batch.sparkSession
         versions = newest_sources(batch)
         if batch_id == 0:
-            first = stage(versions, "batch").df
-            files = first.withColumn("deleted", F.col("content").isNull())
-            index_sources(first.where("content IS NOT NULL"), out, files=files)
+            incremental.replace_paths(buckets.empty(spark, base), stage(versions, "batch").df)
         else:
-            before = store.load_index(spark, _version(base, batch_id - 1))
-            reindex_paths(before, stage(_newer(versions, before.files), "batch").df, out)
+            before = buckets.load(spark, base, batch_id - 1)
+            known = before.read("files", before.dirty("files", batch.select("path")))
+            incremental.replace_paths(before, stage(_newer(versions, known), "batch").df)
         spark.createDataFrame([(batch_id,)], "batch long").write.mode("append").parquet(f"{base}/done")
 
     return run
