@@ -1,8 +1,9 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at its block-level tags. The first pass labels each block: menus, headers,
-footers, sidebars, notices, adverts, forms and comments are never text; the others go by their
-length, the share of their characters inside links and the share of their words that are stop words.
+footers, sidebars, notices, adverts, forms and comments are never text. Their tags and roles tell
+them, or a class or id that is their name; a name with such a word among its parts is a hint, which
+an article or most of the page's text inside overrules. The others go by their length, the share of their characters inside links and the share of their words that are stop words.
 An article (or main) element that holds at least as much text as passes these rules outside of it
 lowers the bar inside, where short blocks are text, and raises it outside, where they are not; one
 that holds less is a teaser, whose short blocks are no text. Where a page has hardly any of the stop
@@ -13,8 +14,8 @@ heading or a block of an article is text and any other is not.
 Character references are decoded, white space inside a block becomes one space, and the blocks that
 are text are joined, in page order, by an empty line. Nothing is capped.
 
-Cases: null or empty html, and pages without text, give an empty text; unclosed tags, comments and
-quotes end with the page; repeated rows are extracted each; an empty table gives an empty table;
+Cases: null or empty html, and pages without text, give an empty text; unclosed tags and comments end
+with the page, an unclosed quote with its tag, an unclosed button, select or object at the next block; repeated rows are extracted each; an empty table gives an empty table;
 names of further columns are free.
 """
 
@@ -70,22 +71,31 @@ BAD_ROLES = frozenset(
 #: Elements whose ends are looked for; others only end blocks.
 SCOPES = BAD_TAGS | frozenset(["article", "main", "header", "div", "section", "ul", "ol", "table", "details"])
 
+# A quoted value follows "=" and its closing quote ends the attribute; any other quote is a plain
+# character, so one that is never closed does not reach beyond the ">" of its tag.
+_QUOTED = r"""=\s*+(?:"[^"]*+"(?=[\s/>]|\Z)|'[^']*+'(?=[\s/>]|\Z))"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|textarea|noscript|template|svg|iframe|select|button|object)\b[^>]*+(?:>|\Z)"
+    r"|<(?P<raw>script|style|title|textarea|noscript|template|svg|iframe)\b[^>]*+(?:>|\Z)"
     r".*?(?:</(?P=raw)\b[^>]*+(?:>|\Z)|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)"
+    # Controls that are not closed end at the next block.
+    rf"|<(?P<control>button|select|object)\b[^>]*+(?:>|\Z)(?:(?!</(?P=control)\b|</?(?:{'|'.join(sorted(BLOCK_TAGS))})\b).)*+"
+    r"(?:</(?P=control)\b[^>]*+(?:>|\Z))?+"
+    rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:{_QUOTED}|[^>])*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|comments?|commentlist|disqus|cookies?"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|comments?|commentlist|disqus|cookies?"
     r"|consent|notices?|alert|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|share|sharing|social"
-    r"|related|popup|modal|newsletter|subscribe|login|pagination)(?:$|[\s_-])",
-    re.I,
+    r"|related|popup|modal|newsletter|subscribe|login|pagination"
 )
-_HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|topbar)(?:$|[\s_-])", re.I)
+_REMARKS = re.compile(r"comments?|commentlist|disqus")
+#: Parts of a name that tell a state or a topic of what it stands on: ``has-sidebar``, ``ad-free``, ``comments-open``.
+_STATE_FIRST = frozenset("has no not without with is category tag type format topic".split())
+_STATE_LAST = frozenset("open opened closed off on free less hidden active enabled disabled visible".split())
+_PARTS = re.compile(r"[-_]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE_END = re.compile(r"[.!?\u2026;](?=[\s\"'\u00bb\u201d)]|$)|[\u3002\uff01\uff1f\u061f\u06d4\u0964\u104b\u1362\u17d4]")
 #: Letters of scripts in which a character says as much as two or three of others.
@@ -102,24 +112,58 @@ class Block(NamedTuple):
     main: bool
 
 
-def _kind(tag: str, attrs: str) -> str:
-    """What a scope is: ``bad``, ``header``, ``article``, ``main`` or nothing of these."""
+def _named(value: str) -> int:
+    """What a class or id says: 2 for a name of something that is no text, 1 for a hint, 0 for nothing.
+
+    A name counts as a whole, and one of comments by any of its parts; a part of another name is a hint.
+    """
+    told = 0
+    for name in value.split():
+        parts = [p for p in _PARTS.split(name) if p]
+        if not parts or len(parts) > 1 and (parts[0] in _STATE_FIRST or parts[-1] in _STATE_LAST):
+            continue
+        if len(parts) == 1 and _BAD_NAME.fullmatch(parts[0]) or any(_REMARKS.fullmatch(p) for p in parts):
+            return 2
+        told = max(told, any(_BAD_NAME.fullmatch(p) for p in parts))
+    return told
+
+
+def _kind(tag: str, attrs: str) -> tuple[str, int]:
+    """What a scope is (``bad``, ``header``, ``article``, ``main`` or nothing of these), and what its names say."""
     if tag in BAD_TAGS:
-        return "bad"
-    header = tag == "header"
+        return "bad", 0
+    header, named = tag == "header", 0
     for name, value in _ATTRIBUTE.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return "bad"
-        if name == "role" and value in BAD_ROLES or name in ("class", "id") and _BAD_NAME.search(value):
-            return "bad"
-        header |= name in ("class", "id") and bool(_HEADER_NAME.search(value))
-    return "header" if header else tag if tag in ("article", "main") else ""
+            return "bad", 0
+        if name == "role" and value in BAD_ROLES:
+            return "bad", 0
+        if name in ("class", "id"):
+            named = max(named, _named(value))
+            header |= any(p in ("header", "topbar") for n in value.split() for p in _PARTS.split(n)[-1:])
+    if tag == "main" or tag == "article" and named < 2:
+        return tag, 0
+    return "header" if header else "article" if tag == "article" else "", named
+
+
+class _Suspect:
+    """A scope whose name says that it is no text, and what it was found to hold."""
+
+    __slots__ = ("article", "main", "named", "size")
+
+    def __init__(self, named: int) -> None:
+        self.named, self.size, self.article, self.main = named, 0, False, False
+
+    def guilty(self, total: int) -> bool:
+        """A name is overruled by a main element inside; a hint also by an article, or most of the page's text."""
+        return not self.main and (self.named == 2 or not self.article and 2 * self.size <= total)
 
 
 def blocks(page: str) -> list[Block]:
-    found: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    found: list[tuple[Block, tuple[_Suspect, ...]]] = []
+    stack: list[tuple[str, str, _Suspect | None]] = []
+    suspects: list[_Suspect] = []
     opened: dict[str, int] = {}
     within = {"bad": 0, "header": 0, "article": 0, "main": 0, "": 0}
     parts: list[str] = []
@@ -129,9 +173,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            found.append(
-                Block(text, tag_now, linked, *(within[k] > 0 for k in ("bad", "header", "article", "main")))
-            )
+            made = Block(text, tag_now, linked, *(within[k] > 0 for k in ("bad", "header", "article", "main")))
+            found.append((made, tuple(suspects)))
         parts.clear()
         linked = 0
 
@@ -153,20 +196,35 @@ def blocks(page: str) -> list[Block]:
             close()
             in_link, tag_now = False, "" if m["end"] else tag
             if tag in SCOPES and not m["end"]:
-                kind = _kind(tag, m["attrs"])
-                stack.append((tag, kind))
+                kind, named = _kind(tag, m["attrs"])
+                for s in suspects:
+                    s.article |= kind == "article" and not named
+                    s.main |= kind == "main"
+                suspect = _Suspect(named) if named else None
+                if suspect:
+                    suspects.append(suspect)
+                stack.append((tag, kind, suspect))
                 opened[tag] = opened.get(tag, 0) + 1
                 within[kind] += 1
             elif m["end"] and opened.get(tag):
                 while True:
-                    last, kind = stack.pop()
+                    last, kind, suspect = stack.pop()
                     opened[last] -= 1
                     within[kind] -= 1
+                    if suspect:
+                        suspects.remove(suspect)
                     if last == tag:
                         break
     put(page[at:])
     close()
-    return found
+    # Names are judged when all is known that they stand on.
+    total = 0
+    for block, named in found:
+        if not block.bad and not _dense(block):
+            total += len(block.text)
+            for s in named:
+                s.size += len(block.text)
+    return [b._replace(bad=b.bad or any(s.guilty(total) for s in named)) for b, named in found]
 
 
 def _stops(text: str) -> tuple[int, int]:
@@ -223,7 +281,8 @@ def first_pass(found: list[Block]) -> list[bool | None]:
             labels.append(False)
         elif _dense(b):
             # Lists of links inside an article are menus; a sentence may be one link.
-            labels.append(None if trusted and within and b.tag not in ("li", "td", "div", "ul", "dd") else False)
+            told = b.tag not in ("li", "td", "div", "ul", "dd") or _length(b.text) >= SHORT and _SENTENCE_END.search(b.text)
+            labels.append(None if trusted and within and told else False)
         else:
             said = _prose(b, foreign, trusted and within)
             small = b.tag in HEADINGS or _length(b.text) < SHORT
