@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import brute
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -140,11 +142,47 @@ def test_tiling_against_its_definition():
         doc = [rng.choice("abcdefgh") * 2 for _ in range(20)] + item[cut:] + ["zz"] + item[:cut]
         items = decontaminate.TestItems([1], [" ".join(item)], 3)
         words = decontaminate.folded_words(pa.array([" ".join(doc)]))
-        met = items.matches(words)
-        got = sum(n for n, _, _ in decontaminate.tiles(met[:, 2], met[:, 3], 3)) if len(met) else 0
-        want = brute.tiling(doc, item, 3)
-        # Ties between equally long tiles may be taken in another order.
-        assert abs(got - want) <= max(3, want // 4)
+        parts = decontaminate.tiles(items.matches(words)[:, 2:], len(item), 3)
+        assert sum(n for n, _, _ in parts) == brute.tiling(doc, item, 3)
+
+
+def test_matches_are_the_longest_equal_runs():
+    rng = random.Random(6)
+    for _ in range(100):
+        docs, tests = ([[rng.choice("ab") for _ in range(rng.randrange(0, 14))] for _ in range(3)] for _ in range(2))
+        items = decontaminate.TestItems([0, 1, 2], [" ".join(t) for t in tests], 3)
+        met = items.matches(decontaminate.folded_words(pa.array([" ".join(d) for d in docs])))
+        starts = np.cumsum([0] + [len(d) for d in docs])
+        got = sorted((d, i, p - starts[d], q - items.starts[i], n) for d, i, p, q, n in met.tolist())
+        want = []
+        for d, doc in enumerate(docs):
+            for i, test in enumerate(tests):
+                for p in range(len(doc)):
+                    for q in range(len(test)):
+                        n = 0
+                        while p + n < len(doc) and q + n < len(test) and doc[p + n] == test[q + n]:
+                            n += 1
+                        inner = p and q and doc[p - 1] == test[q - 1]
+                        if not inner and n >= min(3, len(test)):
+                            want.append((d, i, p, q, n))
+        whole = [w for w in want if len(tests[w[1]]) >= 3 or w[4] == len(tests[w[1]])]
+        short = {w for w in got if len(tests[w[1]]) < 3}
+        assert sorted(w for w in whole if len(tests[w[1]]) >= 3) == [g for g in got if g not in short]
+        # An item shorter than a tile is found wherever it stands as a whole.
+        assert short == {
+            (d, i, p, 0, len(t)) for d, doc in enumerate(docs) for i, t in enumerate(tests)
+            for p in range(len(doc)) if 0 < len(t) < 3 and doc[p : p + len(t)] == t
+        }
+
+
+def test_repeated_words_do_not_make_all_pairs():
+    items = decontaminate.TestItems([1], ["w " * 1000], 5)
+    words = decontaminate.folded_words(pa.array(["w " * 100_000]))
+    assert len(items.matches(words)) == 100_000 - 4 + 1000 - 4 - 1
+    tracemalloc.start()
+    assert decontaminate.findings(words, items, 0.5) == [(0, 0, 1, 1000, 1000)]
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
 
 
 def test_decontamination_catches_reordered_passages(spark, odd, none):
@@ -157,8 +195,11 @@ def test_decontamination_catches_reordered_passages(spark, odd, none):
     )
     tests = spark.createDataFrame([(7, item), (8, None), (9, "t1 t2"), (10, "")], "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"], r["covered_words"]) for r in decontaminate.contaminated(docs, tests).collect())
-    assert got == [(1, 7, 30), (1, 7, 30), (2, 7, 30)]
-    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, tests).collect()) == [3, 4, 5]
+    # "t1 t2" is shorter than a tile and counts where it stands as a whole; null and empty items never do.
+    assert got == [(1, 7, 30), (1, 7, 30), (1, 9, 2), (1, 9, 2), (2, 7, 30), (2, 9, 2), (3, 9, 2)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, tests).collect()) == [4, 5]
+    long = tests.where("item_id <> 9")
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, long).collect()) == [3, 4, 5]
     assert decontaminate.drop_contaminated(odd, tests).columns == odd.columns
     assert decontaminate.contaminated(none, tests).collect() == []
     assert decontaminate.contaminated(docs, tests.where("item_id < 0")).collect() == []
@@ -167,15 +208,14 @@ def test_decontamination_catches_reordered_passages(spark, odd, none):
 def test_test_items_in_several_blocks_give_the_same(spark):
     docs, tests = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(decontaminate.contaminated(docs, tests).collect())
-    blocks = list(decontaminate.test_blocks(tests, "item_id", "text", 5, limit=2000))
-    assert len(blocks) > 3 and sum(len(b.ids) for b in blocks) == tests.count()
-    found = [
-        (r["doc_id"], b.ids[f[1]])
-        for r in docs.collect()
-        for b in blocks
-        for f in decontaminate.findings(decontaminate.folded_words(pa.array([r["text"]])), b, 0.5)
-    ]
-    assert sorted(found) == [(r["doc_id"], r["item_id"]) for r in whole]
+    assert sum(1 for _ in decontaminate.test_blocks(tests, "item_id", "text", 5, 2000)) > 3
+    assert sorted(decontaminate.contaminated(docs, tests, limit=2000).collect()) == whole
+    dirty = {r["doc_id"] for r in whole}
+    odd_rows = docs.unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string")))
+    for limit in (2000, decontaminate.BLOCK_BYTES):
+        kept = decontaminate.drop_contaminated(odd_rows, tests, limit=limit)
+        assert kept.columns == docs.columns and kept.count() == docs.count() - len(dirty) + 3
+        assert not dirty & {r["doc_id"] for r in kept.where("text IS NOT NULL").collect()}
 
 
 def test_packing_is_best_fit_without_conflicts(odd, none):
