@@ -7,8 +7,9 @@ numpy. Mean and layer are linear, so for prediction the table of embeddings is m
 layer once, and a text of any length is one pass over a table of a few numbers a row.
 
 The labelled rows are bounded: at most ``SAMPLE`` of each language, those with the smallest hash of
-their id, and of these at most ``SAMPLE_WORDS`` words, from the whole text by a stride. A part of
-them is held back to calibrate: a temperature is fitted to it, and ``reject`` is the score below
+their id and text. Each teaches with its whole text, counted by the tasks: the driver gets how often
+each bucket occurs, at most ``BUCKETS`` numbers a row however long the text is. A part of the rows
+is held back to calibrate: a temperature is fitted to it, and ``reject`` is the score below
 which a prediction is less sure than ``PRECISION`` asks for.
 
 Cases: a null text and one without letters are ``und``, with score 0; rows without a language are
@@ -34,7 +35,8 @@ BUCKETS = 1 << 15
 LONGEST = 3
 DIMENSIONS = 16
 SAMPLE = 400
-SAMPLE_WORDS = 400
+#: Rows a language that are ranked for its sample, as a multiple of it.
+SPARE = 4
 EPOCHS = 6
 RATE = 0.5
 #: Part of the sample that calibrates, and the precision that accepted predictions should have.
@@ -67,11 +69,29 @@ def subwords(data: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+class Bag(NamedTuple):
+    """How often each bucket occurs in a text of ``size`` bytes of letters."""
+
+    buckets: np.ndarray
+    times: np.ndarray
+    size: int
+
+
 def _features(text: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     data, offsets = raw(letters_only(text))
     return subwords(data), offsets.astype(np.int64)
 
 
+def bags(text: pa.Array) -> list[Bag]:
+    buckets, offsets = _features(text)
+    out = []
+    for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
+        times = sum(np.bincount(b[lo + k : hi], minlength=BUCKETS) for k, b in enumerate(buckets))
+        used = np.flatnonzero(times)
+        out.append(Bag(used, times[used], int(hi - lo)))
+    return out
+
+
 def logits(text: pa.Array, model: Model) -> np.ndarray:
     """Per text and language; the mean over a text's subwords. Runs across two texts don't count."""
     buckets, offsets = _features(text)
@@ -93,17 +113,14 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
+def train(known: list[Bag], labels: list[str], seed: int = 7) -> Model:
     """Embeddings and layer by SGD on single texts; temperature and rejection on the rest."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
     target = np.array([languages.index(x) for x in labels])
-    buckets, offsets = _features(pa.array(texts, pa.string()))
-    spans = zip(offsets, offsets[1:], strict=False)
-    bags = [np.concatenate([b[lo + k : hi] for k, b in enumerate(buckets)]) for lo, hi in spans]
-    order = rng.permutation(len(bags))
+    order = rng.permutation(len(known))
     learn = order[len(order) // HELD_BACK :] if len(order) >= 2 * HELD_BACK else order
     check = order[: len(order) // HELD_BACK] if len(order) >= 2 * HELD_BACK else order
     embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
@@ -112,22 +129,22 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     steps, done = EPOCHS * len(learn), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(learn):
-            rate, bag = RATE * (1 - done / steps), bags[i]
+            rate, (used, times, _) = RATE * (1 - done / steps), known[i]
             done += 1
-            if not len(bag):
+            if not len(used):
                 continue
-            mean = embed[bag].mean(axis=0)
+            share = times / times.sum()
+            mean = share @ embed[used]
             wrong = softmax((mean @ layer + bias)[None])[0]
             wrong[target[i]] -= 1
             back = layer @ wrong
             layer -= rate * np.outer(mean, wrong)
             bias -= rate * 0.1 * wrong
             # The gradient of a subword is its share of the mean; repeated ones add up.
-            used, times = np.unique(bag, return_counts=True)
-            embed[used] -= rate * (times / len(bag) * min(len(used), 200))[:, None] * back
+            embed[used] -= rate * (share * min(len(used), 200))[:, None] * back
     model = Model(languages, (embed @ layer).astype(np.float32), bias, 1.0, 0.0)
-    known = logits(pa.array([texts[i] for i in check], pa.string()), model)
-    return _calibrated(model, known, target[check])
+    score = [known[i].times @ model.table[known[i].buckets] / max(known[i].size * LONGEST, 1) + bias for i in check]
+    return _calibrated(model, np.array(score), target[check])
 
 
 def _calibrated(model: Model, known: np.ndarray, target: np.ndarray) -> Model:
@@ -151,37 +168,46 @@ def _calibrated(model: Model, known: np.ndarray, target: np.ndarray) -> Model:
     return model._replace(temperature=float(temperature), reject=reject)
 
 
-def labelled_sample(docs: DataFrame, text: str, lang: str, doc_id: str) -> tuple[list[str], list[str]]:
-    """At most ``SAMPLE`` texts of each language, and at most ``SAMPLE_WORDS`` words of each.
+def labelled_sample(docs: DataFrame, text: str, lang: str, doc_id: str) -> tuple[list[Bag], list[str]]:
+    """The bags of at most ``SAMPLE`` different rows of each language.
 
-    The rows are those with the smallest hash of id and text. A third of all rows may have one
-    language: each task first keeps its own best rows, so no task gets all rows of a language.
+    They are those with the smallest hash of id and text. A third of all rows may have one language:
+    from the number of its hashes follows below which value some ``SPARE`` times the sample lie, and
+    only these are ranked, so a language costs its task the same however many rows and partitions
+    it has.
     """
     rows = docs.where(docs[lang].isNotNull() & docs[text].isNotNull()).select(
         docs[lang].alias("lang"),
         F.xxhash64(docs[doc_id], docs[text]).alias("h"),
         docs[text].alias("text"),
     )
-    slim = rows.select("lang", "h").withColumn("part", F.spark_partition_id())
-    for key in (["lang", "part"], ["lang"]):
-        best = Window.partitionBy(*key).orderBy("h")
-        slim = slim.withColumn("k", F.row_number().over(best)).where(F.col("k") <= SAMPLE).drop("k")
+    slim = stage(rows.select("lang", "h"), "hashes").df
+    sizes = stage(slim.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "languages").df
+    place = F.col("h").cast("double") / float(1 << 64) + 0.5
+    low = slim.join(sizes, "lang").where(place * F.col("n") <= SPARE * SAMPLE).select("lang", "h").distinct()
+    best = Window.partitionBy("lang").orderBy("h")
+    ranked = low.withColumn("k", F.row_number().over(best)).where(F.col("k") <= SAMPLE)
     # A few rows for each language: staged, their size is known, so the texts are not shuffled.
-    chosen = stage(slim.select("lang", "h").distinct(), "sample").df
-    words = F.split(F.col("text"), r"\s+")
-    step = F.greatest(F.lit(1), F.ceil(F.size(words) / SAMPLE_WORDS)).cast("int")
-    some = F.transform(
-        F.sequence(F.lit(0), F.size("w") - 1, F.col("step")), lambda i: F.get(F.col("w"), i)
-    )
-    taken = (
-        rows.join(chosen, ["lang", "h"])
-        .select("lang", "h", words.alias("w"), step.alias("step"))
-        .select("lang", "h", F.array_join(some, " ").alias("text"))
-        .distinct()
-        .orderBy("lang", "h", "text")
-        .collect()
+    chosen = stage(ranked.select("lang", "h"), "sample").df
+    numbers = T.ArrayType(T.IntegerType())
+    schema = T.StructType(
+        [
+            *slim.schema.fields,
+            T.StructField("buckets", numbers),
+            T.StructField("times", T.ArrayType(T.LongType())),
+            T.StructField("size", T.LongType()),
+        ]
     )
-    return [r["text"] for r in taken], [r["lang"] for r in taken]
+
+    def work(batch: pa.RecordBatch) -> dict:
+        buckets, times, size = zip(*bags(plain(batch["text"])), strict=True)
+        return {"lang": batch["lang"], "h": batch["h"], "buckets": buckets, "times": times, "size": size}
+
+    counted = map_slices(rows.join(chosen, ["lang", "h"]).select("lang", "h", "text"), "text", work, schema)
+    one = counted.groupBy("lang", "h").agg(F.min(F.struct("buckets", "times", "size")).alias("bag"))
+    taken = one.orderBy("lang", "h").collect()
+    known = [Bag(np.array(r["bag"]["buckets"], np.int64), np.array(r["bag"]["times"]), r["bag"]["size"]) for r in taken]
+    return known, [r["lang"] for r in taken]
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def test_language_of_odd_texts(odd, none):
 
 def test_prediction_reads_whole_texts(spark):
     texts = ["the of and that with " * 20, "der die das und nicht " * 20]
-    model = langid.train(texts * 20, ["en", "de"] * 20)
+    model = langid.train(langid.bags(pa.array(texts * 20)), ["en", "de"] * 20)
     docs = spark.createDataFrame([(1, texts[0] + texts[1] * 60)], "doc_id long, text string")
     assert langid.predict(docs, model).first()["lang_pred"] == "de"
 
@@ -64,10 +65,15 @@ def test_sample_of_a_language_is_bounded(spark):
     docs = spark.range(3 * langid.SAMPLE).select(
         F.col("id").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"), F.lit("en").alias("lang")
     )
-    texts, labels = langid.labelled_sample(docs, "text", "lang", "doc_id")
-    assert len(texts) == langid.SAMPLE == len(labels)
-    long = spark.createDataFrame([(1, "w " * 10_000, "en")], "doc_id long, text string, lang string")
-    assert len(langid.labelled_sample(long, "text", "lang", "doc_id")[0][0].split()) <= langid.SAMPLE_WORDS
+    known, labels = langid.labelled_sample(docs.union(docs.limit(500)), "text", "lang", "doc_id")
+    assert len(known) == langid.SAMPLE == len(labels)
+    hashes = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").orderBy("h").limit(langid.SAMPLE)
+    want = langid.bags(pa.array([r["text"] for r in hashes.collect()]))
+    assert all((a.buckets == b.buckets).all() and (a.times == b.times).all() for a, b in zip(known, want, strict=True))
+    # Whole texts teach, and what the driver gets of one is bounded.
+    long = spark.createDataFrame([(1, "w " * 100_000, "en")], "doc_id long, text string, lang string")
+    ((one,), _) = langid.labelled_sample(long, "text", "lang", "doc_id")
+    assert one.size == 200_001 and len(one.buckets) < 10
 
 
 def test_base_score_against_brute_force(spark):
