@@ -20,66 +20,96 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _bfs(
-    symbols: DataFrame, edges: DataFrame, start: str, max_depth: int | None, goal: str | None = None
-) -> list[Staged]:
-    """Levels of a breadth-first search, each (id, depth, prev), the start at depth 0.
+class _Front:
+    """Levels of a breadth-first search over hops (prev, id), each (id, depth, prev).
 
-    ``prev`` is the smallest predecessor on the level before. An unknown start gives one empty
-    level. With ``goal`` the search ends at the level that reaches it.
+    ``prev`` is the smallest predecessor on the level before.
     """
-    hops = edges.select(F.col("source_id").alias("prev"), F.col("target_id").alias("id"))
-    first = symbols.where(F.col("id") == F.lit(start)).select(
-        "id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("prev")
-    )
-    is_goal = F.max(F.when(F.col("id") == F.lit(goal), 1).otherwise(0))
-    levels = [stage(first, "bfs", goal=is_goal)]
-    visited = Visited()
-    depth = 0
-    while levels[-1].rows and not levels[-1].metrics["goal"] and depth != max_depth:
-        depth += 1
-        visited.add(levels[-1].df.select("id"))
+
+    def __init__(self, first: DataFrame, hops: DataFrame) -> None:
+        start = first.select("id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("prev"))
+        self.hops, self.visited, self.levels = hops, Visited(), [stage(start, "bfs")]
+
+    @property
+    def last(self) -> Staged:
+        return self.levels[-1]
+
+    def grow(self) -> None:
+        depth = len(self.levels)
+        self.visited.add(self.last.df.select("id"))
         fresh = (
-            levels[-1]
-            .df.select(F.col("id").alias("prev"))
-            .join(hops, "prev")
+            self.last.df.select(F.col("id").alias("prev"))
+            .join(self.hops, "prev")
             .groupBy("id")
             .agg(F.min("prev").alias("prev"))
-            .join(visited.all(), "id", "left_anti")
+            .join(self.visited.all(), "id", "left_anti")
             .select("id", F.lit(depth).cast("long").alias("depth"), "prev")
         )
-        levels.append(stage(fresh, "bfs", goal=is_goal))
-    return levels
+        self.levels.append(stage(fresh, "bfs"))
+
+
+def _hops(edges: DataFrame, near: str, far: str) -> DataFrame:
+    return edges.select(F.col(near).alias("prev"), F.col(far).alias("id"))
 
 
 def call_chain_depth(
-    symbols: DataFrame, edges: DataFrame, start: str, max_depth: int = 10
+    symbols: DataFrame, edges: DataFrame, start: str, max_depth: int | None = 10
 ) -> DataFrame:
     """(id, depth) of everything reachable from ``start``, itself at 0; empty when unknown."""
-    levels = _bfs(symbols, edges, start, max_depth)
-    return _union([level.df for level in levels]).select("id", "depth")
+    front = _Front(symbols.where(F.col("id") == F.lit(start)), _hops(edges, "source_id", "target_id"))
+    while front.last.rows and (max_depth is None or len(front.levels) <= max_depth):
+        front.grow()
+    return _union([level.df for level in front.levels]).select("id", "depth")
 
 
 def shortest_call_path(
-    symbols: DataFrame, edges: DataFrame, start: str, goal: str
+    symbols: DataFrame,
+    edges: DataFrame,
+    start: str,
+    goal: str,
+    edges_by_target: DataFrame | None = None,
 ) -> DataFrame:
     """(step, id) of a path with the fewest edges; no rows when there is none.
 
-    Ties take the smallest predecessor, so the result is deterministic.
+    Two searches run, one from either end, and the smaller frontier grows, so a hub far from both is
+    not reached. From the level where they meet on, the nodes between it and the goal get their
+    predecessors level by level. The way back is read one row a step: no plan grows with the path.
+    Ties take the smallest predecessor, so the result is deterministic. ``edges_by_target`` may hold
+    the same edges in a layout for the search from the goal.
     """
-    levels = _bfs(symbols, edges, start, None, goal)
-    last = len(levels) - 1
-    row = levels[last].df.where(F.col("id") == F.lit(goal)).select(
-        F.col("id").alias(f"n{last}"), F.col("prev").alias("back")
-    )
-    for k in range(last - 1, -1, -1):
-        step = levels[k].df.select(F.col("id").alias("back"), F.col("prev").alias("further"))
-        row = row.join(step, "back").withColumnRenamed("back", f"n{k}").withColumnRenamed(
-            "further", "back"
+    spark = symbols.sparkSession
+    forth = _Front(symbols.where(F.col("id") == F.lit(start)).limit(1), _hops(edges, "source_id", "target_id"))
+    into = edges if edges_by_target is None else edges_by_target
+    back = _Front(spark.range(1).select(F.lit(goal).alias("id")), _hops(into, "target_id", "source_id"))
+    nothing = spark.createDataFrame([], "step long, id string")
+    while True:
+        if not forth.last.rows or not back.last.rows:
+            return nothing
+        # Both levels are the newest of their side: they meet when the depths add up to the distance.
+        meeting = stage(forth.last.df.select("id").join(back.last.df, "id", "left_semi"), "meeting")
+        if meeting.rows:
+            break
+        min(forth, back, key=lambda side: side.last.rows).grow()
+    before = []
+    on_path = meeting.df
+    for level in reversed(back.levels[:-1]):
+        found = (
+            on_path.select(F.col("id").alias("prev"))
+            .join(forth.hops, "prev")
+            .join(level.df, "id", "left_semi")
+            .groupBy("id")
+            .agg(F.min("prev").alias("prev"))
         )
-    return row.select(F.posexplode(F.array(*[f"n{k}" for k in range(last + 1)]))).select(
-        F.col("pos").cast("long").alias("step"), F.col("col").alias("id")
-    )
+        on_path = stage(found, "on_path").df
+        before.append(on_path)
+    path = [goal]
+    for step in [*reversed(before), *(level.df for level in reversed(forth.levels[1:]))]:
+        path.append(step.where(F.col("id") == F.lit(path[-1])).first()["prev"])
+    return spark.createDataFrame(list(enumerate(reversed(path))), "step long, id string")
+
+
+class TooManyPaths(RuntimeError):
+    """A search for cycles passed the number of open paths it was given."""
 
 
 def peel(graph: DataFrame, rounds: int | None = None) -> Staged:
@@ -107,13 +137,18 @@ def peel(graph: DataFrame, rounds: int | None = None) -> Staged:
 
 
 def find_cycles(
-    edges: DataFrame, max_len: int | None = None, peel_rounds: int | None = None
+    edges: DataFrame,
+    max_len: int | None = None,
+    peel_rounds: int | None = None,
+    max_paths: int | None = None,
 ) -> DataFrame:
     """(length, cycle): each elementary cycle once, written from its smallest id, joined by ``>``.
 
     Paths grow from a root over larger ids only and close on the root. ``max_len`` bounds the
     number of nodes in a cycle; without it the search runs until no path can grow. The number of
-    elementary cycles can be exponential, which is a property of the question.
+    elementary cycles can be exponential, which is a property of the question: ``max_paths`` is a
+    guard that raises :class:`TooManyPaths` when more paths than that are open at one length, instead
+    of returning a part of the cycles.
     """
     graph = stage(simple_digraph(edges), "digraph").df
     loops = graph.where(F.col("source_id") == F.col("target_id")).select(
@@ -134,6 +169,8 @@ def find_cycles(
         grown = stage(paths, "paths")
         if not grown.rows:
             break
+        if max_paths is not None and grown.rows > max_paths:
+            raise TooManyPaths(f"{grown.rows} open paths of {length} nodes, {max_paths} allowed")
         closing = core.df.select(
             F.col("source_id").alias("last"), F.col("target_id").alias("root")
         )

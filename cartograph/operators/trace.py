@@ -2,7 +2,7 @@
 
 Each level is one staged job: frontier join edges, then ``distinct``. A recursive CTE would make
 one row per walk; the distinct frontier makes one row per (seed, symbol, level), which is the same
-result set.
+result set. Over a bucketed :class:`Adjacency` a level shuffles its frontier only.
 """
 
 from __future__ import annotations
@@ -14,12 +14,31 @@ from pyspark.sql import functions as F
 
 from cartograph.operators.lookup import symbol_rows
 from cartograph.session import Visited, stage
+from cartograph.sources.adjacency import Adjacency
 
 CALLERS, CALLEES = "callers", "callees"
 
 
+class _Plain:
+    """Hops of an edge table in any layout."""
+
+    def __init__(self, hops: DataFrame) -> None:
+        self.hops = hops
+
+    def step(self, frontier: DataFrame) -> DataFrame:
+        return frontier.join(self.hops, "id")
+
+    def of(self, node: str) -> DataFrame:
+        return self.hops.where(F.col("id") == F.lit(node))
+
+
+def ends(direction: str) -> tuple[str, str]:
+    """The near and the far end of an edge in the direction of a traversal."""
+    return ("target_id", "source_id") if direction == CALLERS else ("source_id", "target_id")
+
+
 def _hops(edges: DataFrame, direction: str) -> DataFrame:
-    near, far = ("target_id", "source_id") if direction == CALLERS else ("source_id", "target_id")
+    near, far = ends(direction)
     calls = edges.where(F.col("kind") == "calls")
     return calls.select(F.col(near).alias("id"), F.col(far).alias("next"))
 
@@ -30,7 +49,7 @@ def _with_symbols(reached: DataFrame, symbols: DataFrame, *extra: str) -> DataFr
 
 
 def walk_levels(
-    edges: DataFrame,
+    edges: DataFrame | Adjacency,
     seeds: str | DataFrame,
     direction: str,
     depth: int,
@@ -40,21 +59,15 @@ def walk_levels(
 
     ``seeds`` is one id or a frame with a ``seed_id`` column. With ``first_visit_only`` each id
     is kept at its smallest depth; the seed itself is not marked as visited, so a seed on a cycle
-    appears in its own result.
+    appears in its own result. ``edges`` may be an :class:`Adjacency` of that direction.
     """
-    hops = _hops(edges, direction)
+    hops = edges if isinstance(edges, Adjacency) else _Plain(_hops(edges, direction))
     if isinstance(seeds, str):
         # A literal filter reaches the scan; no join is needed for the first level.
-        start = hops.where(F.col("id") == F.lit(seeds)).select(
-            F.lit(seeds).alias("seed_id"), F.col("next").alias("id")
-        )
+        start = hops.of(seeds).select(F.lit(seeds).alias("seed_id"), F.col("next").alias("id"))
     else:
-        start = (
-            seeds.select("seed_id", F.col("seed_id").alias("id"))
-            .distinct()
-            .join(hops, "id")
-            .select("seed_id", F.col("next").alias("id"))
-        )
+        first = seeds.select("seed_id", F.col("seed_id").alias("id")).distinct()
+        start = hops.step(first).select("seed_id", F.col("next").alias("id"))
     levels: list[DataFrame] = []
     visited = Visited()
     reached = start
@@ -68,7 +81,7 @@ def walk_levels(
             break
         if first_visit_only:
             visited.add(level.df.select("seed_id", "id"))
-        reached = level.df.join(hops, "id").select("seed_id", F.col("next").alias("id"))
+        reached = hops.step(level.df).select("seed_id", F.col("next").alias("id"))
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -107,9 +120,12 @@ def trace_min_depth(
 
 
 def trace_batch(
-    symbols: DataFrame, edges: DataFrame, seeds: DataFrame, direction: str, depth: int
+    symbols: DataFrame, edges: DataFrame | Adjacency, seeds: DataFrame, direction: str, depth: int
 ) -> DataFrame:
-    """The traversal for a whole table of seeds at once; rows carry their ``seed_id``."""
+    """The traversal for a whole table of seeds at once; rows carry their ``seed_id``.
+
+    With an :class:`Adjacency` and symbols in buckets by id neither table is shuffled.
+    """
     reached = walk_levels(edges, seeds, direction, depth)
     return _with_symbols(reached, symbols, "depth", "seed_id")
 

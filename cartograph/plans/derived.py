@@ -153,10 +153,10 @@ def graph_s_edges(t: Tables) -> DataFrame:
 
 
 def ring_edges(t: Tables) -> DataFrame:
-    """Rings of five suppliers each, with two chords: a few cycles to each ring."""
+    """Rings of fifteen suppliers each, with three chords: cycles of 12 to 15, eight to each ring."""
     k, m = F.col("s_suppkey"), t.rows("supplier")
-    following = F.when((k % 5 == 4) | (k + 1 == m), k - k % 5).otherwise(k + 1)
-    chord = F.when((k % 5 < 2) & (k + 2 < m), k + 2)
+    following = F.when((k % 15 == 14) | (k + 1 == m), k - k % 15).otherwise(k + 1)
+    chord = F.when((k % 5 == 0) & (k + 2 < m), k + 2)
     return (
         t.supplier.select(k, F.explode(F.array_compact(F.array(following, chord))).alias("next"))
         .select(

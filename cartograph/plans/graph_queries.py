@@ -10,7 +10,7 @@ from cartograph.plans import derived
 from cartograph.plans.catalog import query
 from cartograph.plans.derived import Tables
 from cartograph.session import new_path
-from cartograph.sources import store
+from cartograph.sources import adjacency, store
 
 # ---------------------------------------------------------------- stored graphs
 
@@ -45,6 +45,20 @@ def graph_s(spark: SparkSession, sf_dir: str) -> store.Index:
     return _index(spark, sf_dir, "S")
 
 
+_buckets: dict[tuple[str, str], tuple[DataFrame, adjacency.Adjacency]] = {}
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, adjacency.Adjacency]:
+    """Symbols and callers of graph P in buckets, written once per application and scale."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _buckets:
+        p, path = graph_p(spark, sf_dir), new_path(spark, "buckets-P")
+        near, far = trace.ends(trace.CALLERS)
+        callers = adjacency.write_adjacency(p.edges_by_target, near, far, f"{path}/callers")
+        _buckets[key] = adjacency.write_symbols(p.symbols, f"{path}/symbols"), callers
+    return _buckets[key]
+
+
 # ---------------------------------------------------------------- SQL of the same graphs
 
 def _sym(table: str, kind: str, prefix: str, key: str, name: str, path: str) -> str:
@@ -97,10 +111,10 @@ S_EDGES = """sedge AS (
 
 RING_EDGES = """ring AS (
   SELECT 'supplier::' || k AS source_id, 'supplier::' || t AS target_id, 'calls' AS kind FROM (
-    SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 4 OR s_suppkey + 1 = (SELECT count(*) FROM supplier)
-      THEN s_suppkey - s_suppkey % 5 ELSE s_suppkey + 1 END AS t FROM supplier
+    SELECT s_suppkey AS k, CASE WHEN s_suppkey % 15 = 14 OR s_suppkey + 1 = (SELECT count(*) FROM supplier)
+      THEN s_suppkey - s_suppkey % 15 ELSE s_suppkey + 1 END AS t FROM supplier
     UNION SELECT s_suppkey, s_suppkey + 2 FROM supplier
-    WHERE s_suppkey % 5 < 2 AND s_suppkey + 2 < (SELECT count(*) FROM supplier)))"""
+    WHERE s_suppkey % 5 = 0 AND s_suppkey + 2 < (SELECT count(*) FROM supplier)))"""
 
 COPIES = """copies AS (
   SELECT 'part::' || l_partkey AS id, 'f_' || l_partkey AS name,
@@ -419,7 +433,8 @@ def callers_batch(spark, sf):
     """Callers to depth 2 of every symbol of one name."""
     p = graph_p(spark, sf)
     seeds = p.symbols.where("name = 'blue_ring'").select(F.col("id").alias("seed_id"))
-    return trace.trace_batch(p.symbols, p.edges_by_target, seeds, trace.CALLERS, 2)
+    symbols, callers = _bucketed(spark, sf)
+    return trace.trace_batch(symbols, callers, seeds, trace.CALLERS, 2)
 
 
 # ---------------------------------------------------------------- analytics
@@ -468,7 +483,7 @@ back AS (SELECT id, depth FROM dist WHERE id = '{_TO}'
 SELECT CAST(depth AS BIGINT) AS step, id FROM back""")
 def shortest_path_steps(spark, sf):
     p = graph_p(spark, sf)
-    return analytics.shortest_call_path(p.symbols, p.edges, _FROM, _TO)
+    return analytics.shortest_call_path(p.symbols, p.edges, _FROM, _TO, p.edges_by_target)
 
 
 @query("find_cycles", with_(RING_EDGES, """p AS (

@@ -1,10 +1,14 @@
 """Lookups, traversals and analytics on small graphs with known answers, and general properties."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from cartograph.operators import analytics, lookup, resolve, trace
 from cartograph.schema import SYMBOLS
+from cartograph.sources import adjacency
 
 
 def make_symbols(spark, rows):
@@ -68,6 +72,58 @@ def test_batch_equals_single_traversals(graph, spark):
     assert pairs(batch, "seed_id", "id", "depth") == sorted(single)
 
 
+@pytest.mark.parametrize("direction", [trace.CALLERS, trace.CALLEES])
+@pytest.mark.parametrize("hub", [1, adjacency.HUB])
+def test_buckets_give_the_same_traversal(graph, spark, tmp_path, direction, hub):
+    symbols, edges = graph
+    seeds = spark.createDataFrame([("a",), ("d",), ("e",), ("nobody",)], "seed_id string")
+    hops = adjacency.write_adjacency(edges, *trace.ends(direction), f"{tmp_path}/hops", hub=hub)
+    # Where a bucket takes one edge a node, those with more are hubs.
+    count = Counter(r[trace.ends(direction)[0]] for r in edges.where("kind = 'calls'").collect())
+    assert {r["id"] for r in hops.hubs.collect()} == {n for n, k in count.items() if k > hub}
+    by_id = adjacency.write_symbols(symbols, f"{tmp_path}/symbols")
+    want = pairs(trace.trace_batch(symbols, edges, seeds, direction, 4), "seed_id", "id", "depth", "name")
+    assert pairs(trace.trace_batch(by_id, hops, seeds, direction, 4), "seed_id", "id", "depth", "name") == want
+    again = adjacency.open_adjacency(spark, f"{tmp_path}/hops", 8)
+    assert pairs(trace.walk_levels(again, "a", direction, 3), "id", "depth") == pairs(
+        trace.walk_levels(edges, "a", direction, 3), "id", "depth")
+
+
+def exchanges_above(plan: str, table: str) -> list[str]:
+    """The operators over the scan of ``table``, up to the join it feeds, that move rows."""
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "Scan" in line and table in line)
+    column, found = len(lines[at]) - len(lines[at].lstrip(" :+-*(0123456789)")), []
+    for line in reversed(lines[:at]):
+        depth = len(line) - len(line.lstrip(" :+-*(0123456789)"))
+        if depth < column:
+            column = depth
+            if "Join" in line:
+                break
+            found.append(line)
+    return [line for line in found if "Exchange" in line]
+
+
+def test_a_level_shuffles_the_frontier_only(graph, spark, tmp_path):
+    symbols, edges = graph
+    hops = adjacency.write_adjacency(edges, *trace.ends(trace.CALLERS), f"{tmp_path}/hops")
+    by_id = adjacency.write_symbols(symbols, f"{tmp_path}/symbols")
+    frontier = spark.createDataFrame([("a", "a"), ("b", "a")], "id string, seed_id string")
+    name = lambda frame: frame._jdf.queryExecution().analyzed().toString().split("spark_catalog.default.")[1][:43]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for table, joined in ((hops.plain, hops.step(frontier)), (by_id, trace._with_symbols(frontier, by_id))):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+            assert "Exchange hashpartitioning" in plan
+            assert exchanges_above(plan, name(table)) == [], plan
+        # The same question to a table without buckets moves its edges.
+        flat = trace._Plain(trace._hops(edges, trace.CALLERS)).step(frontier)
+        assert flat._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_loop_equals_recursive_sql(graph, spark):
     symbols, edges = graph
     edges.createOrReplaceTempView("edges_v")
@@ -89,6 +145,34 @@ def test_shortest_path(graph):
     assert path("nobody", "a") == path("a", "nobody") == []
 
 
+def test_paths_from_both_ends_against_brute_force(spark):
+    rng = random.Random(8)
+    for size in (6, 9):
+        nodes = [chr(97 + i) for i in range(size)]
+        links = sorted({(rng.choice(nodes), rng.choice(nodes)) for _ in range(2 * size)})
+        symbols = make_symbols(spark, [(n, n, "function", "m.py", 1) for n in nodes])
+        edges = make_edges(spark, links)
+        start, depth = nodes[0], {nodes[0]: 0}
+        for k in range(size):
+            for a, b in links:
+                if depth.get(a) == k:
+                    depth.setdefault(b, k + 1)
+        for goal in nodes[1:4]:
+            want = [goal] if goal in depth else []
+            while want and want[0] != start:
+                want.insert(0, min(a for a, b in links if b == want[0] and depth.get(a) == depth[b] - 1))
+            got = analytics.shortest_call_path(symbols, edges, start, goal)
+            assert pairs(got, "step", "id") == list(enumerate(want))
+
+
+def test_a_long_path_does_not_make_a_long_plan(spark):
+    nodes = [f"n{i:02}" for i in range(25)]
+    symbols = make_symbols(spark, [(n, n, "function", "m.py", 1) for n in nodes])
+    path = analytics.shortest_call_path(symbols, make_edges(spark, list(zip(nodes, nodes[1:]))), nodes[0], nodes[-1])
+    assert pairs(path, "step", "id") == list(enumerate(nodes))
+    assert "Join" not in path._jdf.queryExecution().executedPlan().toString()
+
+
 def test_path_length_is_bfs_depth(graph):
     symbols, edges = graph
     depths = dict(pairs(analytics.call_chain_depth(symbols, edges, "x"), "id", "depth"))
@@ -111,6 +195,9 @@ def test_cycles(graph, spark):
         assert c[0] == min(c) and len(set(c)) == len(c)
         assert all((x, y) in edge_set for x, y in zip(c, c[1:] + c[:1]))
     assert analytics.find_cycles(dense, max_len=2).count() == 6
+    assert analytics.find_cycles(dense, max_paths=100).count() == 20
+    with pytest.raises(analytics.TooManyPaths):
+        analytics.find_cycles(dense, max_paths=5)
     assert analytics.find_cycles(dense, max_len=3, peel_rounds=0).count() == 14
 
 
