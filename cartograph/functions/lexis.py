@@ -143,6 +143,12 @@ def is_comment(tok: Column, lang: str) -> Column:
     return tok.startswith("//") | tok.startswith("/*")
 
 
+def is_trivia(tok: Column, lang: str) -> Column:
+    """Blanks, comments and, in Python, a line break that a backslash hides."""
+    trivia = is_blank(tok) | is_comment(tok, lang)
+    return trivia | tok.rlike(r"^\\\r?\n") if lang == "python" else trivia
+
+
 def is_name(tok: Column) -> Column:
     """An identifier or keyword, not a string with a letter prefix."""
     return tok.rlike(r"^(?:r#)?[\p{L}_$][\p{L}\p{N}_$]*$")
@@ -150,3 +156,10 @@ def is_name(tok: Column) -> Column:
 
 def is_string(tok: Column) -> Column:
     return tok.rlike("^[A-Za-z]{0,2}[\"'`]")
+
+
+def opens_string(tok: Column, lang: str) -> Column:
+    """A literal in quotes of any kind, or of an interpolated one the text before its first expression."""
+    quoted = tok.rlike("^[A-Za-z]{0,2}#*[\"'`]")
+    # A lifetime has an opening quote only.
+    return quoted & ~tok.rlike(r"^'[\p{L}_]\w*$") if lang == "rust" else quoted

@@ -7,10 +7,21 @@ is one cell of the source table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cartograph.functions.lexis import interpolation, is_blank, is_comment, is_name, lex, newlines
+from cartograph.functions.lexis import (
+    interpolation,
+    is_blank,
+    is_comment,
+    is_name,
+    is_trivia,
+    lex,
+    newlines,
+    opens_string,
+)
 from cartograph.functions.text import LANGUAGES, language_of
 from cartograph.session import new_path
 
@@ -98,6 +109,37 @@ def _exploded(sources: DataFrame, lang: str, parts: int) -> DataFrame:
     )
 
 
+def token_stats(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES) -> DataFrame:
+    """(path, lang, significant_tokens, strings, comments, chars, lines) of every file with a token.
+
+    ``strings`` counts literals, an interpolated one once however many expressions it holds; ``chars``
+    and ``lines`` are those of the whole file, which its tokens cover. The tokens are counted where
+    they were lexed: the texts are shuffled by path, the counts are not shuffled again.
+    """
+    staged, parts, present = by_language(sources, languages)
+    return reduce(DataFrame.unionByName, (_stats(staged, lang, parts) for lang in present))
+
+
+def _stats(staged: DataFrame, lang: str, parts: int) -> DataFrame:
+    tok = F.col("tok")
+
+    def number(test: Column) -> Column:
+        return F.count(F.when(test, 1))
+
+    return (
+        _exploded(staged, lang, parts)
+        .groupBy("path")
+        .agg(
+            F.lit(lang).alias("lang"),
+            number(~is_trivia(tok, lang)).alias("significant_tokens"),
+            number(opens_string(tok, lang)).alias("strings"),
+            number(is_comment(tok, lang)).alias("comments"),
+            F.sum(F.length(tok).cast("long")).alias("chars"),
+            (F.sum(newlines(tok).cast("long")) + 1).alias("lines"),
+        )
+    )
+
+
 def _at(offset: int) -> Column:
     return F.get(F.col("toks"), F.col("pos") + offset)
 
@@ -154,9 +196,7 @@ def significant(sources: DataFrame, lang: str, parts: int) -> DataFrame:
     ``ahead`` the raw text that follows a possible declaration.
     """
     tok, python = F.col("tok"), lang == "python"
-    trivia = is_blank(tok) | is_comment(tok, lang)
-    if python:
-        trivia = trivia | tok.rlike(r"^\\\r?\n")
+    trivia = is_trivia(tok, lang)
     rows = _exploded(sources, lang, parts).select(
         "path",
         "pos",

@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartograph.functions.text import language_of
-from cartograph.operators import lookup
+from cartograph.operators import lookup, tokens
 from cartograph.operators.extract import Extraction, extract
-from cartograph.operators.tokens import tokens
 from cartograph.plans import corpora, derived, incremental, index
 from cartograph.plans.catalog import query
 from cartograph.plans.derived import LISTING_FOLDERS, LISTING_SUFFIXES, Tables
@@ -260,31 +259,49 @@ def call_sites(spark, sf):
     return corpus(spark, sf).call_sites.select("source", "target", "file_path", "line")
 
 
-@query("token_stats", f"""
-SELECT {_PY_F} AS path, CAST(8 + 19 * count(*) AS BIGINT) AS significant_tokens, count(*) AS strings,
-  count(*) AS comments,
-  CAST(37 + sum(3 * length(CAST(p_partkey AS VARCHAR)) + length(CAST((p_partkey * 7 + 3) % {_NPART} AS VARCHAR))
-    - length(CAST(p_partkey AS VARCHAR)) + length(p_name) + {{fixed}}) - 1 AS BIGINT) AS chars,
-  CAST(3 + 5 * count(*) AS BIGINT) AS lines
-FROM part GROUP BY ALL""".replace(
-    "{fixed}",
-    str(len('def part_(size, price):\n    """"""\n    part_(size)\n    obj.skip_(price)  # gone(1)\n\n')),
-).replace("37", str(len("import os.path\nfrom pkg import item\n\n"))))
-def token_stats(spark, sf):
-    """Per file: tokens that carry meaning, strings, comments, and the totals of all tokens."""
-    tok = F.col("tok")
-    blank = F.trim(F.translate(tok, "\n\t\r", "")) == ""
-    return (
-        tokens(corpora.python_functions(Tables(spark, sf)), "python")
-        .groupBy("path")
-        .agg(
-            F.count(F.when(~blank & ~tok.startswith("#"), 1)).alias("significant_tokens"),
-            F.count(F.when(tok.startswith('"'), 1)).alias("strings"),
-            F.count(F.when(tok.startswith("#"), 1)).alias("comments"),
-            F.sum(F.length("tok").cast("long")).alias("chars"),
-            (F.sum((F.length("tok") - F.length(F.translate("tok", "\n", ""))).cast("long")) + 1).alias("lines"),
-        )
+# Per corpus: language, table, key, path, header, text of a row, and the significant tokens, strings
+# and comments of a row and of the header. The texts are written out once more in SQL.
+_LONG_TYPES = ", ".join(f"T{i}" for i in range(300))
+_PY_ROW = f"""'def part_' || p_partkey || '(size, price):' || chr(10) || '    \"\"\"' || p_name || '\"\"\"' || chr(10)
+  || '    part_' || ((p_partkey * 7 + 3) % {_NPART}) || '(size)' || chr(10)
+  || '    obj.skip_' || p_partkey || '(price)  # gone(1)' || chr(10)"""
+_PY_CLASS_ROW = """'class Sup_' || s_suppkey || ':' || chr(10) || '    \"\"\"doc\"\"\"' || chr(10)
+  || '    def ping_' || s_suppkey || '(self, x):' || chr(10) || '        f\"it''s {part_0(x)}\"' || chr(10)"""
+_TS_ROW = f"""'function make_' || s_suppkey || '(x) {{' || chr(10)
+  || '  `it''s ${{helper_' || ((s_suppkey + 1) % {_NSUP}) || '(x)}} }} (`; new Box(x); const p = /{"a" * 600}\\{{/;' || chr(10)
+  || '}}' || chr(10) || 'class Sup_' || s_suppkey || ' {{' || chr(10) || '  run_' || s_suppkey || '(a, b) {{ make_'
+  || s_suppkey || '<A<B<C<D<E>>>>, {_LONG_TYPES}>(a); }}' || chr(10) || '}}'"""
+_RS_ROW = """'struct Ord_' || o_orderkey || ' { id: i64 }' || chr(10) || 'fn load_' || o_orderkey || '(id: i64) -> i64 {'
+  || chr(10) || '    check_' || (o_orderkey % 10) || '(id); /* a /* b */ gone( */ std::mem::drop(id); println!(\"load_'
+  || o_orderkey || '(0)\")' || chr(10) || '}'"""
+_GO_ROW = """'type Cust_' || c_custkey || ' struct { ID int }' || chr(10) || 'func (c Cust_' || c_custkey || ') Show_'
+  || c_custkey || '(w int) { New_' || c_custkey || '[int](w) }' || chr(10) || 'func New_' || c_custkey
+  || '(v int) { fmt.Println(v) }' || chr(10) || 'type Shower_' || c_custkey || ' interface { Show(w int) }' || chr(10)"""
+_STATS = " UNION ALL ".join(
+    f"""
+SELECT path, '{lang}' AS lang, CAST({tokens_head} + {tokens_row} * count(*) AS BIGINT) AS significant_tokens,
+  CAST({strings_head} + {strings_row} * count(*) AS BIGINT) AS strings,
+  CAST({comments_row} * count(*) AS BIGINT) AS comments,
+  CAST(any_value(length(head)) + sum(length(body)) + count(*) - 1 AS BIGINT) AS chars,
+  CAST(any_value(length(head) - length(replace(head, chr(10), '')))
+    + sum(length(body) - length(replace(body, chr(10), ''))) + count(*) AS BIGINT) AS lines
+FROM (SELECT {path} AS path, {head} AS head, {body} AS body FROM {table}) GROUP BY path"""
+    for lang, table, path, head, body, tokens_head, tokens_row, strings_head, strings_row, comments_row in (
+        ("python", "part", _PY_F, "'import os.path' || chr(10) || 'from pkg import item' || chr(10) || chr(10)",
+         _PY_ROW, 8, 19, 0, 1, 1),
+        ("python", "supplier", _PY_C, "''", _PY_CLASS_ROW, 0, 18, 0, 2, 0),
+        ("typescript", "supplier", _TS,
+         "'import { ping } from \"./lib_' || (s_suppkey // 40) || '\";' || chr(10) || chr(10)", _TS_ROW, 7, 657, 1, 1, 0),
+        ("rust", "orders", _RS, "''", _RS_ROW, 0, 37, 0, 1, 1),
+        ("go", "customer", _GO, "'package n' || chr(10) || 'import \"fmt\"' || chr(10) || chr(10)", _GO_ROW, 4, 50, 1, 0, 0),
     )
+)
+
+
+@query("token_stats", _STATS)
+def token_stats(spark, sf):
+    """Per file of all four languages: tokens that carry meaning, strings, comments, and the totals of all tokens."""
+    return tokens.token_stats(corpora.everything(Tables(spark, sf)))
 
 
 _SUMMARY = " UNION ALL ".join(

@@ -3,6 +3,7 @@
 import pytest
 
 from cartograph.operators.extract import extract
+from cartograph.operators.tokens import token_stats
 
 DEEP = "A<" * 12 + "B" + ">" * 12
 WIDE = "F<" + ", ".join(f"T{i}" for i in range(300)) + ">"
@@ -109,3 +110,26 @@ def test_go_type_arguments(found):
     symbols, calls = found("go")
     assert calls == {("A", "B"), ("A", "C"), ("A", "e"), ("H", "k")}
     assert {n for n, _ in symbols} == {"A", "G", "H"}
+
+
+def test_token_stats_of_all_languages(spark):
+    files = {
+        "a.py": 'x = f"a{y}b{z}" \\\n  # c\n',
+        "b.ts": "const p = `q${r}s`; // t\n",
+        "c.rs": "fn f<'a>(s: &'a str) { r#\"x\"#; 'y'; /* z */ }",
+        "d.go": "var r = `x`\n",
+        "e.txt": "not a language",
+        "f.go": "",
+    }
+    sources = spark.createDataFrame(list(files.items()), "path string, content string")
+    rows = {r.path: r for r in token_stats(sources).collect()}
+    # A file without a token has no row.
+    assert set(rows) == {"a.py", "b.ts", "c.rs", "d.go"}
+    assert {p: r.lang for p, r in rows.items()} == {
+        "a.py": "python", "b.ts": "typescript", "c.rs": "rust", "d.go": "go"}
+    assert {p: (r.strings, r.comments) for p, r in rows.items()} == {
+        "a.py": (1, 1), "b.ts": (1, 1), "c.rs": (2, 1), "d.go": (1, 0)}
+    # x = f"a{ y }b{ z }"
+    assert rows["a.py"].significant_tokens == 7
+    assert all(rows[p].chars == len(files[p]) for p in rows)
+    assert all(rows[p].lines == files[p].count("\n") + 1 for p in rows)
