@@ -16,9 +16,14 @@ def ascii_fold(col: Column) -> Column:
     return F.translate(col, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def folded(text: str) -> str:
+    """:func:`ascii_fold` of a literal."""
+    return text.translate(_FOLD)
+
+
 def like_ascii(col: Column, pattern: str) -> Column:
     """``LIKE`` that ignores ASCII case, keeps ``%`` and ``_`` live and has no escape character."""
-    return ascii_fold(col).like(pattern.translate(_FOLD).replace("\\", "\\\\"))
+    return ascii_fold(col).like(folded(pattern).replace("\\", "\\\\"))
 
 
 def prefix_like(col: Column, prefix: str) -> Column:
@@ -35,6 +40,27 @@ def prefix_like(col: Column, prefix: str) -> Column:
     return (col >= F.lit(low)) & (col <= F.lit(high)) & matches
 
 
+def next_prefix(prefix: str) -> str | None:
+    """The smallest text behind all that start with ``prefix``, by code points; none if there is none."""
+    while prefix:
+        last = ord(prefix[-1])
+        if last < 0x10FFFF:
+            # Surrogates are no characters of a text.
+            return prefix[:-1] + chr(0xE000 if last == 0xD7FF else last + 1)
+        prefix = prefix[:-1]
+    return None
+
+
+def folded_prefix_like(col: Column, prefix: str) -> Column:
+    """:func:`prefix_like` of a column that is folded already: the range is exact up to a wildcard."""
+    prefix = folded(prefix)
+    head = prefix.split("%")[0].split("_")[0]
+    test = col >= F.lit(head)
+    if (end := next_prefix(head)) is not None:
+        test = test & (col < F.lit(end))
+    return test if head == prefix else test & like_ascii(col, prefix + "%")
+
+
 def last_suffix(path: Column) -> Column:
     """Extension after the last dot of the file name; empty when there is none.
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartograph.functions.text import like_ascii, prefix_like
+from cartograph.functions.text import folded_prefix_like, like_ascii, prefix_like
 from cartograph.schema import ROW_COLUMNS, SYMBOLS
+from cartograph.sources.search import Lookups, plain_grams
+
+#: Up to so many names are literals of a scan; more are joined.
+NAMES = 1000
 
 
 def symbol_rows(symbols: DataFrame) -> DataFrame:
@@ -28,6 +32,32 @@ def search_symbol(
     return symbol_rows(hits).orderBy("name", "id").limit(limit)
 
 
+def search_fuzzy(lookups: Lookups, query: str, kind: str | None = None, limit: int = 50) -> DataFrame:
+    """:func:`search_symbol` with a contained pattern, over the postings of the pattern's rarest gram.
+
+    A pattern without three plain characters in a row scans the symbols. Otherwise the first ``limit``
+    names that match hold the first ``limit`` symbols, as every name in the postings has one of its
+    kind; their rows are read by name.
+    """
+    grams = plain_grams(query)
+    if not grams:
+        return search_symbol(lookups.by_name, query, kind, fuzzy=True, limit=limit)
+    # At most one row for each character of the pattern.
+    counts = {r["gram"]: r["n"] for r in lookups.grams.where(F.col("gram").isin(grams)).collect()}
+    rarest = min(grams, key=lambda gram: (counts.get(gram, 0), gram))
+    found = lookups.postings.where(F.col("gram") == rarest).where(like_ascii(F.col("name"), f"%{query}%"))
+    hits = lookups.by_name
+    if kind:
+        found = found.where(F.col("kind") == F.lit(kind))
+        hits = hits.where(F.col("kind") == F.lit(kind))
+    names = found.select("name").distinct().orderBy("name").limit(limit)
+    if limit <= NAMES:
+        hits = hits.where(F.col("name").isin([r["name"] for r in names.collect()]))
+    else:
+        hits = hits.join(names, "name", "left_semi")
+    return symbol_rows(hits).orderBy("name", "id").limit(limit)
+
+
 def get_symbol(symbols: DataFrame, symbol_id: str) -> DataFrame:
     return symbols.where(F.col("id") == F.lit(symbol_id)).select(*SYMBOLS.names)
 
@@ -77,8 +107,14 @@ def find_definition(symbols: DataFrame, sources: DataFrame, symbol_id: str) -> D
 
 
 def under_path(symbols: DataFrame, path: str) -> DataFrame:
-    """Symbols whose file path starts with ``path`` (as text: ``src`` also takes ``src2/``)."""
-    return symbols.where(prefix_like(F.col("file_path"), path.rstrip("/")))
+    """Symbols whose file path starts with ``path`` (as text: ``src`` also takes ``src2/``).
+
+    With a ``folded_path``, as in ``Lookups.by_path``, the prefix is one range of the scan.
+    """
+    path = path.rstrip("/")
+    if "folded_path" in symbols.columns:
+        return symbols.where(folded_prefix_like(F.col("folded_path"), path))
+    return symbols.where(prefix_like(F.col("file_path"), path))
 
 
 def architecture_rows(symbols: DataFrame, path: str) -> DataFrame:

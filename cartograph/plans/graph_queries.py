@@ -10,7 +10,7 @@ from cartograph.plans import derived
 from cartograph.plans.catalog import query
 from cartograph.plans.derived import Tables
 from cartograph.session import new_path
-from cartograph.sources import adjacency, store
+from cartograph.sources import adjacency, search, store
 
 # ---------------------------------------------------------------- stored graphs
 
@@ -59,6 +59,19 @@ def _bucketed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, adjacency.Ad
     return _buckets[key]
 
 
+_searches: dict[tuple[str, str], str] = {}
+
+
+def lookups_p(spark: SparkSession, sf_dir: str) -> search.Lookups:
+    """Lookup layouts of graph P, written once per application and scale."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _searches:
+        path = new_path(spark, "lookups-P")
+        search.write_lookups(graph_p(spark, sf_dir).symbols, path)
+        _searches[key] = path
+    return search.openlookups_p(spark, _searches[key])
+
+
 # ---------------------------------------------------------------- SQL of the same graphs
 
 def _sym(table: str, kind: str, prefix: str, key: str, name: str, path: str) -> str:
@@ -249,18 +262,18 @@ def search_exact(spark, sf):
 @query("search_fuzzy", _P + f"""SELECT {ROW} FROM psym
 WHERE translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%blue_r%ng%' ORDER BY name, id LIMIT 50""")
 def search_fuzzy(spark, sf):
-    return lookup.search_symbol(graph_p(spark, sf).symbols, "BLUE_r%ng", fuzzy=True)
+    return lookup.search_fuzzy(lookups_p(spark, sf), "BLUE_r%ng")
 
 
 @query("search_kind", _P + f"""SELECT {ROW} FROM psym
 WHERE lower(name) LIKE '%00%' AND kind = 'class' ORDER BY name, id LIMIT 20""")
 def search_kind(spark, sf):
-    return lookup.search_symbol(graph_p(spark, sf).symbols, "00", kind="class", fuzzy=True, limit=20)
+    return lookup.search_fuzzy(lookups_p(spark, sf), "00", kind="class", limit=20)
 
 
 @query("get_symbol", _P + "SELECT * FROM psym WHERE id = 'part::7'")
 def get_symbol(spark, sf):
-    return lookup.get_symbol(graph_p(spark, sf).symbols, "part::7")
+    return lookup.get_symbol(lookups_p(spark, sf).by_id, "part::7")
 
 
 @query("symbols_in_file", _P + f"SELECT {ROW} FROM psym WHERE file_path = 'src/nation/region_1.go'")
@@ -298,19 +311,18 @@ _INSIDE = ", inside AS (SELECT * FROM psym WHERE lower(file_path) LIKE 'src/part
 SELECT '{_ARCH}/' AS path, (SELECT count(*) FROM inside) AS total_symbols, count(*) AS internal_edges FROM pedge
 WHERE source_id IN (SELECT id FROM inside) AND target_id IN (SELECT id FROM inside)""")
 def architecture(spark, sf):
-    p = graph_p(spark, sf)
-    return lookup.architecture(p.symbols, p.edges, _ARCH + "/")
+    return lookup.architecture(lookups_p(spark, sf).by_path, graph_p(spark, sf).edges, _ARCH + "/")
 
 
 @query("architecture_by_kind", _P + """
 SELECT kind, count(*) AS n FROM psym WHERE lower(file_path) LIKE 'src/%' GROUP BY kind""")
 def architecture_by_kind(spark, sf):
-    return lookup.architecture_by_kind(graph_p(spark, sf).symbols, "src")
+    return lookup.architecture_by_kind(lookups_p(spark, sf).by_path, "src")
 
 
 @query("architecture_rows", _P + _INSIDE + f"SELECT {ROW} FROM inside")
 def architecture_rows(spark, sf):
-    return lookup.architecture_rows(graph_p(spark, sf).symbols, _ARCH)
+    return lookup.architecture_rows(lookups_p(spark, sf).by_path, _ARCH)
 
 
 _SMALL = ", small AS (SELECT id FROM psym WHERE line_start % 30 = 1)\n"
