@@ -69,7 +69,7 @@ def lookups_p(spark: SparkSession, sf_dir: str) -> search.Lookups:
         path = new_path(spark, "lookups-P")
         search.write_lookups(graph_p(spark, sf_dir).symbols, path)
         _searches[key] = path
-    return search.openlookups_p(spark, _searches[key])
+    return search.open_lookups(spark, _searches[key])
 
 
 # ---------------------------------------------------------------- SQL of the same graphs
