@@ -157,7 +157,7 @@ def test_every_training_word_has_the_class_of_its_neighbours(spark):
 
 
 def test_licenses(spark, odd, none):
-    mit = license.TEMPLATES[4][1]
+    mit = license.TEMPLATES[4].text
     texts = [
         "Licensed under CC BY-NC 4.0.", "This is under the GNU General Public License, version 3.",
         "x " + mit.replace("copy of this", "copy of any of this") + " y", "all rights. reserved all rights are reserved",
@@ -188,6 +188,38 @@ def test_licenses(spark, odd, none):
         ("licensed under the gnu lesser general public license version 3", "gpl,lgpl"),
         ("licensed under the apache license version 1.1", ""),
         ("this source code form is subject to the terms of the mozilla public license v 1.1", ""),
+        (
+            "Subject to the terms of the Common Development and Distribution License (the License). You may not use "
+            "this file except in compliance with the License. You can obtain a copy of the license at",
+            "cddl",
+        ),
+        (
+            "Licensed under the Educational Community License, Version 2.0; you may not use this file except in "
+            "compliance with the License. You may obtain a copy of the License at",
+            "ecl-2.0",
+        ),
+        (
+            "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with "
+            "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+            "apache-2.0",
+        ),
+        (
+            "Permission to use, copy, modify, and distribute this software and its documentation for any purpose and "
+            "without fee is hereby granted, provided that",
+            "hpnd",
+        ),
+        (
+            "ISC License\n\nCopyright (c) 2004\n\nPermission to use, copy, modify, and/or distribute this software for "
+            "any purpose with or without fee is hereby granted",
+            "isc",
+        ),
+        ("Available under CC BY 3.0.", "cc-by,cc-by-3.0"),
+        ("CC BY-NC-SA", "cc-by,cc-by-nc-sa"),
+        ("CC BY-NC-SA 2.5 or so", "cc-by,cc-by-nc-sa-2.5"),
+        ("Distributed under the Boost Software License, Version 1.0.", "bsl-1.0"),
+        ("// SPDX-License-Identifier: BSL-1.0", "bsl-1.0"),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"),
+        ("you may not use this file except in compliance with the license you may obtain a copy of the license at", ""),
     ],
 )
 def test_the_words_that_tell_a_license_are_needed(spark, text, labels):
@@ -206,6 +238,52 @@ def test_places_of_phrases_against_brute_force(spark):
         assert (g["first_word"], g["last_word"]) == ((at[0], at[-1]) if at else (None, None))
 
 
+def _licenses_by_hand(words: list[str]) -> set[str]:
+    """Labels by the definition: every template at every run of places, no hashes and no join."""
+    shares = []
+    for i, own in enumerate(license.template_words()):
+        votes: dict[int, list[int]] = {}
+        for at in range(len(words) - license.GRAM + 1):
+            for place in range(len(own) - license.GRAM + 1):
+                if words[at : at + license.GRAM] == own[place : place + license.GRAM]:
+                    votes.setdefault(at - place, []).append(at)
+        runs: list[list[int]] = []
+        for diagonal in sorted(votes):
+            if not runs or diagonal - runs[-1][0] > license.NEIGHBOUR:
+                runs.append([diagonal])
+            runs[-1][0] = diagonal
+            runs[-1] += votes[diagonal]
+        size = len(own)
+        least = max(1, size - license.GRAM + 1 - license.GRAM * math.ceil((1 - license.AGREE) * size))
+        for _, *at in runs:
+            if len(at) >= least:
+                span = {"template": i, "first": min(at), "last": max(at)}
+                share = license.compare(words, span, license.TEMPLATES[i], own)
+                if share >= license.AGREE:
+                    shares.append((share, size, license.TEMPLATES[i].label, span))
+    return {label for label, _ in license.best_of_place(shares)}
+
+
+def test_labels_against_brute_force(spark):
+    """Votes, spans and labels, on texts stitched from templates, their pieces and other words."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(150):
+        words: list[str] = []
+        for _ in range(rng.randint(1, 4)):
+            piece = rng.choice(license.TEMPLATES).text.split()
+            if rng.random() < 0.5:
+                piece[rng.randrange(len(piece))] = rng.choice(["sa", "x", "the", "2.0", "of the"])
+            if rng.random() < 0.3:
+                piece = piece[: rng.randint(1, len(piece))]
+            words += piece + rng.choices(["foo", "bar", "apache", "license", "2"], k=rng.randint(0, 70))
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in license.scan(docs).collect():
+        words = brute.ALNUM.findall(brute.fold(texts[r["doc_id"]]))
+        assert r["labels"] == ",".join(sorted(_licenses_by_hand(words) | (set(r["base_labels"].split(",")) - {""})))
+
+
 TURNS = "conv_id long, turn long, role string, text string, score string, node int"
 
 
