@@ -186,7 +186,11 @@ def exchange(bigrams: np.ndarray, clustered: int, sweeps: int = SWEEPS, classes:
 
 def contexts(docs: DataFrame, head: Vocabulary) -> DataFrame:
     """(word, codes, times) of every word beyond the head: the classes before it (``OTHER`` for words
-    beyond the head), and after it plus ``TOTAL``, with how often they are there."""
+    beyond the head), and after it plus ``TOTAL``, with how often they are there.
+
+    A word has one row for each slice of text with it; its rows stand one behind the other in one
+    partition, so they are summed as they pass and no list grows with the corpus.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(head)
     numbers = T.ArrayType(T.IntegerType())
     schema = T.StructType(
@@ -209,8 +213,7 @@ def contexts(docs: DataFrame, head: Vocabulary) -> DataFrame:
             "times": pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32())),
         }
 
-    found = map_slices(docs.select("text"), "text", work, schema).groupBy("word")
-    return found.agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("codes", "times")))
+    return map_slices(docs.select("text"), "text", work, schema).repartition("word").sortWithinPartitions("word")
 
 
 def gains(table: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -235,19 +238,33 @@ def assign(found: DataFrame, table: np.ndarray) -> DataFrame:
     """(word, n, kind): the class of best gain of every word of :func:`contexts`."""
     shared = found.sparkSession.sparkContext.broadcast(table)
 
+    def judged(words: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+        kind = gains(shared.value, counts[:, 0], counts[:, 1]).argmax(1)
+        n = counts[:, 1].sum(1).astype(np.int64)
+        return pa.RecordBatch.from_arrays([words, pa.array(n), pa.array(kind, pa.int32())], names=["word", "n", "kind"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last word may go on in the next rows.
+        word, sums = None, None
         for whole in batches:
             for start in range(0, whole.num_rows, _CHUNK):
                 batch = whole.slice(start, _CHUNK)
-                owner = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch["codes"])))
+                coded = batch["word"].dictionary_encode()
+                words = coded.dictionary
+                owner = np.repeat(np.asarray(coded.indices), np.asarray(pc.list_value_length(batch["codes"])))
                 codes, times = (np.asarray(batch[c].flatten()) for c in ("codes", "times"))
-                size = batch.num_rows * 2 * TOTAL
-                counts = np.bincount(owner * (2 * TOTAL) + codes, times, size).reshape(-1, 2, TOTAL)
-                kind = gains(shared.value, counts[:, 0], counts[:, 1]).argmax(1)
-                n = counts[:, 1].sum(1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["word"], pa.array(n), pa.array(kind, pa.int32())], names=["word", "n", "kind"]
-                )
+                size = len(words) * 2 * TOTAL
+                counts = np.bincount(owner.astype(np.int64) * (2 * TOTAL) + codes, times, size).reshape(-1, 2, TOTAL)
+                if sums is not None:
+                    if words[0].as_py() == word:
+                        counts[0] += sums
+                    else:
+                        yield judged(pa.array([word]), sums[None])
+                word, sums = words[-1].as_py(), counts[-1].copy()
+                if len(words) > 1:
+                    yield judged(words[:-1], counts[:-1])
+        if sums is not None:
+            yield judged(pa.array([word]), sums[None])
 
     return found.mapInArrow(run, "word string, n long, kind int")
 

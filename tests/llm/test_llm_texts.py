@@ -156,6 +156,31 @@ def test_every_training_word_has_the_class_of_its_neighbours(spark):
     assert {(int(a), int(b)): int(table[a, b]) for a, b in zip(*np.nonzero(table))} == dict(want)
 
 
+@pytest.mark.parametrize("rows", [1, 2, 10_000])
+def test_counts_of_a_word_are_summed_across_batches(spark, rows):
+    rng = np.random.default_rng(3)
+    width = 2 * brown.TOTAL
+    entries, sums = [], {}
+    for i in range(120):
+        codes = np.sort(rng.choice(width, rng.integers(1, 9), replace=False))
+        times = rng.integers(1, 5, len(codes))
+        word = f"w{rng.integers(0, 12)}"
+        entries.append((word, codes.tolist(), times.tolist()))
+        np.add.at(sums.setdefault(word, np.zeros(width)), codes, times)
+    table = rng.poisson(3, (brown.TOTAL, brown.TOTAL)).astype(float)
+    found = spark.createDataFrame(entries, "word string, codes array<int>, times array<int>")
+    found = found.repartition(3, "word").sortWithinPartitions("word")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = {r["word"]: (r["n"], r["kind"]) for r in brown.assign(found, table).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    words = sorted(sums)
+    both = np.stack([sums[w].reshape(2, -1) for w in words])
+    kind = brown.gains(table, both[:, 0], both[:, 1]).argmax(1)
+    assert got == {w: (int(b[1].sum()), int(k)) for w, b, k in zip(words, both, kind, strict=True)}
+
+
 def test_licenses(spark, odd, none):
     mit = license.TEMPLATES[4].text
     texts = [
