@@ -148,6 +148,25 @@ def test_ignore_classes_escapes_and_malformed_lines(spark):
     assert kept == {p for p, keep in paths.items() if keep}
 
 
+def test_entries_of_the_listing_are_not_broadcast_to_meet_the_rules(spark, tmp_path, monkeypatch):
+    lines = spark.createDataFrame([("", 0, "x*.py"), ("a", 0, "!b/x1.py"), ("a/b", 0, "y.py")], "dir string, line_no int, line string")
+    paths = [f"a/b/x{i}.py" for i in range(20)] + ["a/y.py", "a/b/y.py"]
+    spark.createDataFrame([(p,) for p in paths], "path string").write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+
+    def joins(kept):
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "Join" in line and "[dir#" in line]
+
+    few = discovery.drop_ignored(files, discovery.parse_ignore_rules(lines))
+    assert all("BroadcastHashJoin" in j and "BuildRight" in j for j in joins(few)) and joins(few)
+    monkeypatch.setattr(discovery, "FEW_RULES", 2)
+    many = discovery.drop_ignored(files, discovery.parse_ignore_rules(lines))
+    assert all("SortMergeJoin" in j for j in joins(many)) and joins(many)
+    for kept in (few, many):
+        assert sorted(r.path for r in kept.collect()) == ["a/b/x1.py", "a/y.py"]
+
+
 def test_files_that_cannot_be_read_are_reported(spark, tmp_path):
     (tmp_path / "a.py").write_bytes(b"def a(): pass\n")
     (tmp_path / "gone.py").write_bytes(b"x")
