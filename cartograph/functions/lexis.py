@@ -134,7 +134,8 @@ def newlines(tok: Column) -> Column:
 
 
 def is_blank(tok: Column) -> Column:
-    return F.translate(tok, " \t\r\n\f﻿", "") == ""
+    # Ends at the first other character.
+    return F.ltrim(tok, F.lit(" \t\r\n\f﻿")) == ""
 
 
 def is_comment(tok: Column, lang: str) -> Column:

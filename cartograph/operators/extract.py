@@ -17,6 +17,7 @@ from cartograph.functions.lexis import is_string, lex
 from cartograph.operators.tokens import (
     AHEAD,
     ALL_LANGUAGES,
+    RUST_WORDS,
     before_row,
     by_language,
     in_order,
@@ -296,7 +297,7 @@ def _classified(rows: DataFrame, lang: str) -> DataFrame:
             "python": _c("fresh") | n1.isNull() | _in("mark.tok", ("import", "from")),
             "typescript": _in("tok", ("function", "class")) | _is("n1", "<") | _is("n1", "?.")
             | _in("p1", ("from", "import")),
-            "rust": _in("tok", ("fn", "struct", "let", "for", "in", "=")),
+            "rust": _in("tok", RUST_WORDS),
             "go": _in("tok", ("func", "struct", "interface")) | _is("p1", "import") | _is("p2", "import")
             | (_is("n1", "[") & _c("named")),
         },
@@ -602,7 +603,7 @@ def _cut(toks: Column, first: Column, last: Column) -> Column:
 
 
 def _parameters(
-    heads: DataFrame, sources: DataFrame, languages: tuple[str, ...], uncovered: int, parts: int
+    heads: DataFrame, sources: DataFrame, languages: tuple[str, ...], uncovered: int, parts: dict[str, int]
 ) -> DataFrame:
     """Adds ``params``, the raw text of the parameter list.
 
@@ -620,7 +621,7 @@ def _parameters(
         return near
     far = heads.where(~_covered())
     for lang in languages:
-        cut = far.where(_c("lang") == lang).join(prepare(sources, lang, parts), "path")
+        cut = far.where(_c("lang") == lang).join(prepare(sources, lang, parts[lang]), "path")
         near = near.unionByName(
             cut.withColumn(
                 "params", _cut(_c("toks"), _c("open_pos") + 1, _c("close_pos") + 1)
@@ -675,7 +676,7 @@ def _symbols(
     sources: DataFrame,
     languages: tuple[str, ...],
     uncovered: int,
-    parts: int,
+    parts: dict[str, int],
     class_docstrings: bool,
     clean_signature: bool,
 ) -> DataFrame:
@@ -806,7 +807,7 @@ def extract(
     Symbols are as declared, before ids are made unique (see ``resolve.dedup_nodes``).
     """
     sources, parts, languages = by_language(sources, languages)
-    each = [facts(sources, lang, parts) for lang in languages]
+    each = [facts(sources, lang, parts[lang]) for lang in languages]
     far = F.sum(F.when(_in("head", _FUNCTIONS) & ~_covered(), 1).otherwise(0))
     found = stage(reduce(DataFrame.unionByName, each), "facts", far=far)
     heads = found.df.where(_c("head").isNotNull())

@@ -40,15 +40,16 @@ def before_row() -> WindowSpec:
     return in_order().rowsBetween(Window.unboundedPreceding, -1)
 
 
-# Bytes of text to a partition of the token table, which takes about twenty times as much.
-PART_BYTES = 8 << 20
+# Bytes of text to a partition of the token table, which takes some hundred times as much in the
+# sorts of a task; they shall fit in a core's share of the memory.
+PART_BYTES = 2 << 20
 
 
 def by_language(
     sources: DataFrame, languages: tuple[str, ...]
-) -> tuple[DataFrame, int, tuple[str, ...]]:
-    """The supported files, staged once in one folder per language; the partitions to lex in; and
-    the languages that have files (the first one asked for, if none has).
+) -> tuple[DataFrame, dict[str, int], tuple[str, ...]]:
+    """The supported files, staged once in one folder per language; the partitions to lex each
+    language in; and the languages that have files (the first one asked for, if none has).
 
     Each language is then read and lexed by a plan of its own: small generated code, and no file
     is read for a language it is not written in.
@@ -60,8 +61,11 @@ def by_language(
         .where(F.col("lang").isin(*languages))
         .observe(
             seen,
-            F.sum(F.octet_length("content")).alias("bytes"),
             *(F.count(F.when(F.col("lang") == name, 1)).alias(name) for name in languages),
+            *(
+                F.sum(F.when(F.col("lang") == name, F.octet_length("content").cast("long"))).alias(f"{name}_bytes")
+                for name in languages
+            ),
         )
         .write.partitionBy("lang")
         .parquet(path)
@@ -70,7 +74,7 @@ def by_language(
     spark = sources.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = seen.get
-    parts = max(least, -(-(found["bytes"] or 0) // PART_BYTES))
+    parts = {name: max(least, -(-(found[f"{name}_bytes"] or 0) // PART_BYTES)) for name in languages}
     present = tuple(name for name in languages if found[name]) or languages[:1]
     return spark.read.schema(schema).parquet(path), parts, present
 
@@ -93,7 +97,7 @@ def prepare(sources: DataFrame, lang: str, parts: int) -> DataFrame:
 def tokens(sources: DataFrame, lang: str) -> DataFrame:
     """(path, pos, tok): every token of the files of one language, trivia included."""
     staged, parts, _ = by_language(sources, (lang,))
-    return _exploded(staged, lang, parts).drop("toks")
+    return _exploded(staged, lang, parts[lang]).drop("toks")
 
 
 def _exploded(sources: DataFrame, lang: str, parts: int) -> DataFrame:
@@ -117,7 +121,7 @@ def token_stats(sources: DataFrame, languages: tuple[str, ...] = ALL_LANGUAGES)
     they were lexed: the texts are shuffled by path, the counts are not shuffled again.
     """
     staged, parts, present = by_language(sources, languages)
-    return reduce(DataFrame.unionByName, (_stats(staged, lang, parts) for lang in present))
+    return reduce(DataFrame.unionByName, (_stats(staged, lang, parts[lang]) for lang in present))
 
 
 def _stats(staged: DataFrame, lang: str, parts: int) -> DataFrame:
@@ -186,6 +190,74 @@ def _generic_calls(rows: DataFrame) -> DataFrame:
     )
 
 
+# The words of Rust that a rule looks for.
+RUST_WORDS = ("fn", "struct", "let", "for", "in", "=")
+
+
+def _telling(sources: DataFrame, parts: int) -> DataFrame:
+    """The columns of :func:`significant` that Rust needs, for the tokens that a rule reads.
+
+    The neighbours come from the array of the file's tokens, so that only brackets, words, called
+    names, and tokens that move a line, a depth or an angle are sorted.
+    """
+    places = F.sequence(F.lit(0), F.size("toks") - 1)
+    files = prepare(sources, "rust", parts).select(
+        "path", "toks", F.filter(places, lambda n: ~is_trivia(F.get("toks", n), "rust")).alias("own")
+    )
+    rows = files.select("path", "toks", "own", F.posexplode_outer("own").alias("nth", "pos")).where(
+        F.col("pos").isNotNull()
+    )
+
+    def place(offset: int) -> Column:
+        return F.get("own", F.col("nth") + offset)
+
+    rows = rows.select(
+        "path",
+        "toks",
+        "pos",
+        F.get("toks", F.col("pos")).alias("tok"),
+        (F.coalesce(place(-1), F.lit(-1)) + 1).alias("since"),
+        *(F.get("toks", place(k)).alias(n) for n, k in {"p1": -1, "p2": -2, "p3": -3, "n1": 1}.items()),
+    )
+    pos, tok, n1 = F.col("pos"), F.col("tok"), F.col("n1")
+    # Line breaks of the blanks and comments before the token.
+    passed = F.array_join(F.slice("toks", F.col("since") + 1, pos - F.col("since")), "")
+    rows = rows.select(
+        "*",
+        F.when(F.col("since") < pos, newlines(passed)).otherwise(0).alias("skipped"),
+        F.when(tok.contains("\n"), newlines(tok)).otherwise(0).alias("nl"),
+    ).where(
+        tok.isin("(", ")", "[", "]", "{", "}", ";", "<", ">", *RUST_WORDS)
+        | n1.eqNullSafe("(")
+        | F.col("p1").eqNullSafe("fn")
+        | (F.col("nl") + F.col("skipped") > 0)
+    )
+    rows = rows.select(
+        "path",
+        "pos",
+        "tok",
+        F.when(_may_declare("rust", tok), F.array_join(F.slice("toks", pos + 1, AHEAD), "")).alias("ahead"),
+        "skipped",
+        "nl",
+        *("p1", "p2", "p3", "n1"),
+        F.when(n1 == "(", is_name(tok)).alias("named"),
+        F.when(tok.isin(*RUST_WORDS), is_name(n1)).alias("n1_named"),
+        F.when(F.col("p1") == "!", is_name(F.col("p2"))).alias("p2_named"),
+    )
+    opens, closes = tok.isin("(", "[", "{"), tok.isin(")", "]", "}")
+
+    def running(value: Column) -> Column:
+        return F.coalesce(F.sum(value).over(before_row()), F.lit(0)).cast("int")
+
+    placed = rows.select(
+        "*",
+        (running(F.col("nl") + F.col("skipped")) + F.col("skipped") + 1).alias("line"),
+        (running(F.when(opens, 1).when(closes, -1).otherwise(0)) - closes.cast("int")).alias("depth"),
+        running(F.when(tok == "<", 1).when(tok == ">", -1).otherwise(0)).alias("angle"),
+    )
+    return placed.withColumn("end_line", F.col("line") + F.col("nl")).drop("nl", "skipped")
+
+
 def significant(sources: DataFrame, lang: str, parts: int) -> DataFrame:
     """The tokens of one language that carry meaning, each with its place and its neighbours.
 
@@ -193,8 +265,10 @@ def significant(sources: DataFrame, lang: str, parts: int) -> DataFrame:
     has the depth of its pair); ``angle`` (running ``<`` minus ``>``); ``named`` (identifier or
     keyword); ``p1 p2`` and ``n1 n2`` the neighbours (further ones where a language needs them);
     ``breaks`` a line break before; ``fresh`` and ``margin`` for tokens that start a logical line;
-    ``ahead`` the raw text that follows a possible declaration.
+    ``ahead`` the raw text that follows a possible declaration. Of Rust see :func:`_telling`.
     """
+    if lang == "rust":
+        return _telling(sources, parts)
     tok, python = F.col("tok"), lang == "python"
     trivia = is_trivia(tok, lang)
     rows = _exploded(sources, lang, parts).select(
@@ -255,8 +329,6 @@ def significant(sources: DataFrame, lang: str, parts: int) -> DataFrame:
     }
     if python:
         near |= {"n1_fresh": F.lead("fresh", 1)}
-    if lang == "rust":
-        near |= {"p2_named": F.lag("named", 2), "p3": F.lag("tok", 3)}
     if lang == "go":
         near |= {
             "n3": F.lead("tok", 3),
