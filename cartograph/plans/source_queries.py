@@ -5,10 +5,11 @@ The SQL twins compute the expected symbols and edges from the tables, never from
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.functions.text import language_of
 from cartograph.operators import lookup, tokens
 from cartograph.operators.extract import Extraction, extract
 from cartograph.plans import corpora, derived, incremental, index
@@ -100,14 +101,14 @@ def utf8_quarantine(spark, sf):
 
 # ---------------------------------------------------------------- corpora
 
-_found: dict[tuple[str, str], Extraction] = {}
+_found: dict[tuple[str, str, str], Extraction] = {}
 
 
-def corpus(spark: SparkSession, sf: str) -> Extraction:
-    """Extraction of all corpora in one pass, staged once per application and scale, as an index is."""
-    key = (spark.sparkContext.applicationId, sf)
+def corpus(spark: SparkSession, sf: str, lang: str) -> Extraction:
+    """Extraction of one language's files of all corpora, staged once per application and scale, as an index is."""
+    key = (spark.sparkContext.applicationId, sf, lang)
     if key not in _found:
-        found = extract(corpora.everything(Tables(spark, sf)))
+        found = extract(corpora.everything(Tables(spark, sf)), (lang,))
         _found[key] = found._replace(
             symbols=stage(found.symbols, "symbols").df,
             raw_edges=stage(found.raw_edges, "raw").df,
@@ -115,21 +116,25 @@ def corpus(spark: SparkSession, sf: str) -> Extraction:
     return _found[key]
 
 
+def all_corpora(spark: SparkSession, sf: str) -> Extraction:
+    """The extractions of all languages, one below the other."""
+    each = [corpus(spark, sf, lang) for lang in tokens.ALL_LANGUAGES]
+    return Extraction(*(reduce(DataFrame.unionByName, frames) for frames in zip(*each)))
+
+
 _COLUMNS = ("id", "name", "kind", "file_path", "line_start", "line_end", "signature", "docstring")
 
 
 def _kind(lang: str, kind: str):
     def run(spark, sf):
-        own = language_of(F.col("file_path")) == lang
-        return corpus(spark, sf).symbols.where(own & (F.col("kind") == kind)).select(*_COLUMNS)
+        return corpus(spark, sf, lang).symbols.where(F.col("kind") == kind).select(*_COLUMNS)
 
     return run
 
 
 def _edges(lang: str, kind: str):
     def run(spark, sf):
-        own = language_of(F.col("file_path")) == lang
-        return corpus(spark, sf).raw_edges.where(own & (F.col("kind") == kind)).select("source", "target", "kind")
+        return corpus(spark, sf, lang).raw_edges.where(F.col("kind") == kind).select("source", "target", "kind")
 
     return run
 
@@ -238,7 +243,8 @@ for _name, _sql, _fn in (
 
 @query("py_docstrings", f"SELECT {_PY_F} || '::part_' || p_partkey AS id, '\"\"\"' || p_name || '\"\"\"' AS docstring FROM part")
 def py_docstrings(spark, sf):
-    return corpus(spark, sf).symbols.where("docstring IS NOT NULL").select("id", "docstring")
+    # Only declarations of Python have one.
+    return corpus(spark, sf, "python").symbols.where("docstring IS NOT NULL").select("id", "docstring")
 
 
 @query("call_sites", f"""
@@ -256,7 +262,7 @@ UNION ALL SELECT {_GO} || '::Show_' || c_custkey, 'New_' || c_custkey, {_GO}, CA
 FROM customer""")
 def call_sites(spark, sf):
     """Every call with its line: the detail behind the call edges."""
-    return corpus(spark, sf).call_sites.select("source", "target", "file_path", "line")
+    return all_corpora(spark, sf).call_sites.select("source", "target", "file_path", "line")
 
 
 # Per corpus: language, table, key, path, header, text of a row, and the significant tokens, strings
@@ -322,7 +328,7 @@ _SUMMARY = " UNION ALL ".join(
 
 @query("extract_summary", _SUMMARY)
 def extract_summary(spark, sf):
-    return index.extract_summary(corpora.everything(Tables(spark, sf)), corpus(spark, sf))
+    return index.extract_summary(corpora.everything(Tables(spark, sf)), all_corpora(spark, sf))
 
 
 @query("find_definition", f"""
@@ -335,7 +341,7 @@ FROM part WHERE p_partkey = 57""")
 def find_definition(spark, sf):
     sources = corpora.c_py(Tables(spark, sf))
     return lookup.find_definition(
-        corpus(spark, sf).symbols, sources, "src/py/parts/m1.py::part_57"
+        corpus(spark, sf, "python").symbols, sources, "src/py/parts/m1.py::part_57"
     )
 
 

@@ -2,6 +2,38 @@
 
 from cartograph.operators import tokens
 from cartograph.operators.extract import extract
+from cartograph.plans import source_queries
+
+
+def _tables(spark, folder) -> str:
+    for name, key, extra, n in (
+        ("part", "p_partkey", "p_name string", 50), ("supplier", "s_suppkey", "s_name string", 10),
+        ("orders", "o_orderkey", "o_orderstatus string", 90), ("customer", "c_custkey", "c_name string", 45),
+    ):
+        rows = spark.createDataFrame([(k, f"name {k}") for k in range(n)], f"{key} long, {extra}")
+        rows.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_a_query_of_one_language_lexes_the_files_of_that_language(spark, tmp_path, monkeypatch):
+    sf, asked = _tables(spark, tmp_path), []
+
+    def seen(sources, languages=tokens.ALL_LANGUAGES, **options):
+        asked.append(languages)
+        return extract(sources, languages, **options)
+
+    monkeypatch.setattr(source_queries, "extract", seen)
+    assert source_queries._edges("go", "calls")(spark, sf).count() == 45
+    assert source_queries._kind("go", "struct")(spark, sf).count() == 45
+    # Extracted once, and for this language only.
+    assert asked == [("go",)]
+    docs = source_queries.py_docstrings(spark, sf).collect()
+    assert len(docs) == 50 and asked == [("go",), ("python",)]
+    summary = {r.lang: (r.files, r.symbols, r.raw_edges) for r in source_queries.extract_summary(spark, sf).collect()}
+    assert summary == {"python": (3, 70, 50 + 10 + 10 + 4), "typescript": (1, 30, 31), "rust": (3, 180, 90), "go": (2, 180, 47)}
+    assert sorted(asked) == sorted((name,) for name in tokens.ALL_LANGUAGES)
+    # Every call site has one edge, in all languages.
+    assert source_queries.call_sites(spark, sf).count() == 50 + 10 + 2 * 10 + 90 + 45
 
 
 def test_partitions_follow_the_bytes_of_the_language(spark, monkeypatch):
