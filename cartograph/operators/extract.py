@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cartograph.functions.lexis import is_string, lex
+from cartograph.functions.lexis import is_string
 from cartograph.operators.tokens import (
     AHEAD,
     ALL_LANGUAGES,
@@ -607,15 +607,12 @@ def _parameters(
 ) -> DataFrame:
     """Adds ``params``, the raw text of the parameter list.
 
-    Nearly all lists end within the text kept next to the head. The others are cut from the file,
+    Nearly all lists end within the tokens kept next to the head. The others are cut from the file,
     which is joined only when there are such heads.
     """
-    near_text = F.lit(None).cast("array<string>")
-    for lang in languages:
-        near_text = F.when(_c("lang") == lang, lex(_c("ahead"), lang)).otherwise(near_text)
     near = heads.where(_covered()).withColumn(
         "params",
-        _cut(near_text, _c("open_pos") - _c("pos") + 1, _c("close_pos") - _c("pos") + 1),
+        _cut(_c("ahead"), _c("open_pos") - _c("pos") + 1, _c("close_pos") - _c("pos") + 1),
     )
     if not uncovered:
         return near

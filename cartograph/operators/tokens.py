@@ -153,7 +153,7 @@ _DECLARING = {"python": ("def", "async"), "rust": ("fn",), "go": ("func",), "typ
 
 
 def _may_declare(lang: str, tok: Column) -> Column:
-    """Tokens a parameter list may follow; only decides which rows carry their ``ahead`` text."""
+    """Tokens a parameter list may follow; only decides which rows carry their ``ahead`` tokens."""
     keyword = tok.isin(*_DECLARING[lang])
     if lang == "typescript":
         opens = _at(1).isin("(", "<") | (_at(2) == "(")
@@ -236,7 +236,7 @@ def _telling(sources: DataFrame, parts: int) -> DataFrame:
         "path",
         "pos",
         "tok",
-        F.when(_may_declare("rust", tok), F.array_join(F.slice("toks", pos + 1, AHEAD), "")).alias("ahead"),
+        F.when(_may_declare("rust", tok), F.slice("toks", pos + 1, AHEAD)).alias("ahead"),
         "skipped",
         "nl",
         *("p1", "p2", "p3", "n1"),
@@ -265,7 +265,7 @@ def significant(sources: DataFrame, lang: str, parts: int) -> DataFrame:
     has the depth of its pair); ``angle`` (running ``<`` minus ``>``); ``named`` (identifier or
     keyword); ``p1 p2`` and ``n1 n2`` the neighbours (further ones where a language needs them);
     ``breaks`` a line break before; ``fresh`` and ``margin`` for tokens that start a logical line;
-    ``ahead`` the raw text that follows a possible declaration. Of Rust see :func:`_telling`.
+    ``ahead`` the tokens from a possible declaration on. Of Rust see :func:`_telling`.
     """
     if lang == "rust":
         return _telling(sources, parts)
@@ -277,7 +277,7 @@ def significant(sources: DataFrame, lang: str, parts: int) -> DataFrame:
         "tok",
         F.when(
             _may_declare(lang, tok),
-            F.array_join(F.slice("toks", F.col("pos") + 1, AHEAD), ""),
+            F.slice("toks", F.col("pos") + 1, AHEAD),
         ).alias("ahead"),
         F.when(tok.contains("\n"), newlines(tok)).otherwise(0).alias("nl"),
         is_name(tok).alias("named"),
