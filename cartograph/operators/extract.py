@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from cartograph.functions.lexis import is_string
 from cartograph.operators.tokens import (
-    AHEAD,
     ALL_LANGUAGES,
     RUST_WORDS,
     before_row,
@@ -570,7 +569,7 @@ def _enclosed(rows: DataFrame, lang: str) -> DataFrame:
         F.coalesce("end_pos", _c("next_head.pos") - 1, F.lit(2**31 - 1)).alias("end_pos"),
         "open_pos",
         "close_pos",
-        "ahead",
+        F.when(_in("head", _FUNCTIONS), _c("ahead")).alias("ahead"),
         "doc",
         in_class.alias("in_class"),
         "top",
@@ -594,7 +593,7 @@ def facts(sources: DataFrame, lang: str, parts: int) -> DataFrame:
 
 def _covered() -> Column:
     return F.coalesce(
-        _c("ahead").isNotNull() & (_c("close_pos") - _c("pos") < AHEAD), F.lit(False)
+        _c("ahead").isNotNull() & (_c("close_pos") - _c("pos") < F.size("ahead")), F.lit(False)
     )
 
 

@@ -27,8 +27,8 @@ from cartograph.session import new_path
 
 ALL_LANGUAGES = tuple(dict.fromkeys(LANGUAGES.values()))
 
-# Tokens kept behind a possible declaration, so that its parameter list can be cut out without
-# the file. Longer ones are cut from the file itself (see ``extract._parameters``).
+# Tokens kept behind a possible declaration at most, so that its parameter list can be cut out
+# without the file. Longer ones are cut from the file itself (see ``extract._parameters``).
 AHEAD = 64
 
 
@@ -159,10 +159,23 @@ def _may_declare(lang: str, tok: Column) -> Column:
         opens = _at(1).isin("(", "<") | (_at(2) == "(")
         return keyword | ((_at(-1) != ".") & opens & is_name(tok))
     if lang == "go":
-        return keyword | ((_at(1) == "(") & ((_at(-1) == ")") | (_at(-2) == ")")) & is_name(tok))
+        # Behind a receiver it is the name that carries them.
+        named = keyword & ~F.coalesce((_at(1) == "(") | (_at(2) == "("), F.lit(False))
+        return named | ((_at(1) == "(") & ((_at(-1) == ")") | (_at(-2) == ")")) & is_name(tok))
     return keyword
 
 
+def _ahead(lang: str, tok: Column) -> Column:
+    """The tokens from a possible declaration on: ``AHEAD`` of them, or up to the first closing
+    parenthesis, where one list without angle brackets ends. Every sort carries them along.
+    """
+    toks = F.slice("toks", F.col("pos") + 1, AHEAD)
+    close = F.array_position(toks, ")").cast("int")
+    first = F.slice(toks, 1, close)
+    single = (F.size(F.array_remove(first, "(")) == close - 1) & ~F.array_contains(first, "<")
+    return F.when(_may_declare(lang, tok), F.when((close > 0) & single, first).otherwise(toks))
+
+
 def _generic_calls(rows: DataFrame) -> DataFrame:
     """Adds ``generic``: a name before type arguments that a parenthesis follows, as in ``f<A<B>>(``.
 
@@ -236,7 +249,7 @@ def _telling(sources: DataFrame, parts: int) -> DataFrame:
         "path",
         "pos",
         "tok",
-        F.when(_may_declare("rust", tok), F.slice("toks", pos + 1, AHEAD)).alias("ahead"),
+        _ahead("rust", tok).alias("ahead"),
         "skipped",
         "nl",
         *("p1", "p2", "p3", "n1"),
@@ -258,6 +271,23 @@ def _telling(sources: DataFrame, parts: int) -> DataFrame:
     return placed.withColumn("end_line", F.col("line") + F.col("nl")).drop("nl", "skipped")
 
 
+# The words that a rule looks for, of the languages whose other tokens are left out.
+_WORDS = {
+    "typescript": ("class", "function", "import", "export", "@", "<", ">"),
+    "go": ("func", "type", "var", "const", "import", "struct", "interface"),
+}
+
+
+def _read_later(lang: str) -> Column:
+    """Whether a rule reads a token itself, not only as a neighbour of another one."""
+    tok, p1, n1 = F.col("tok"), F.col("p1"), F.col("n1")
+    read = tok.isin("(", ")", "[", "]", "{", "}", ";", *_WORDS[lang]) | n1.eqNullSafe("(")
+    if lang == "typescript":
+        # Those with an equals sign bound type arguments.
+        return read | n1.isin("<", "?.") | p1.isin("from", "import") | tok.contains("=")
+    return read | (p1 == "import") | (F.col("p2") == "import") | ((n1 == "[") & F.col("named"))
+
+
 def significant(sources: DataFrame, lang: str, parts: int) -> DataFrame:
     """The tokens of one language that carry meaning, each with its place and its neighbours.
 
@@ -265,7 +295,8 @@ def significant(sources: DataFrame, lang: str, parts: int) -> DataFrame:
     has the depth of its pair); ``angle`` (running ``<`` minus ``>``); ``named`` (identifier or
     keyword); ``p1 p2`` and ``n1 n2`` the neighbours (further ones where a language needs them);
     ``breaks`` a line break before; ``fresh`` and ``margin`` for tokens that start a logical line;
-    ``ahead`` the tokens from a possible declaration on. Of Rust see :func:`_telling`.
+    ``ahead`` the tokens from a possible declaration on. Of TypeScript and Go only the tokens that a
+    rule reads are returned, of Rust see :func:`_telling`.
     """
     if lang == "rust":
         return _telling(sources, parts)
@@ -275,10 +306,7 @@ def significant(sources: DataFrame, lang: str, parts: int) -> DataFrame:
         "path",
         "pos",
         "tok",
-        F.when(
-            _may_declare(lang, tok),
-            F.slice("toks", F.col("pos") + 1, AHEAD),
-        ).alias("ahead"),
+        _ahead(lang, tok).alias("ahead"),
         F.when(tok.contains("\n"), newlines(tok)).otherwise(0).alias("nl"),
         is_name(tok).alias("named"),
         trivia.alias("trivia"),
@@ -337,4 +365,6 @@ def significant(sources: DataFrame, lang: str, parts: int) -> DataFrame:
             "p1_breaks": F.lag("breaks", 1),
         }
     rows = placed.select("*", *[c.over(here).alias(n) for n, c in near.items()])
+    if lang in _WORDS:
+        rows = rows.where(_read_later(lang))
     return _generic_calls(rows) if lang == "typescript" else rows.withColumn("generic", F.lit(False))

@@ -77,3 +77,66 @@ def test_rust_symbols_and_calls_keep_their_lines(spark):
         ("function", "f", 4, 10, "fn f((x: i64,\n    y: &str))"), ("struct", "S", 3, 3, "struct S"),
     ]
     assert [(r.source, r.target, r.line) for r in found.call_sites.collect()] == [("a.rs::f", "call", 8)]
+
+
+TYPESCRIPT = '''import { a, b } from "./lib";
+@Mark(c) export class Box<T> extends Base {
+  first(x = (d, e), y = 1) { call<A<B, C>, D>(f.g); of<E; x = F >(h); }
+}
+function second<U extends (u: V) => W>(x: U, y: X) { return p?.q?.(r); }
+'''
+
+GO = '''package n
+import "fmt"
+type ( One struct { ID int } )
+func (c One) Show(w int, f func(int) int) { New[int](w); xs[i] = c.d.e }
+func New(v int) { fmt.Println(v) }
+'''
+
+
+def _placed(spark, lang, name, text):
+    sources = spark.createDataFrame([(name, text)], "path string, content string")
+    return tokens.significant(sources, lang, 2).orderBy("pos").collect(), extract(sources, (lang,))
+
+
+def test_typescript_sorts_telling_tokens_only(spark):
+    rows, found = _placed(spark, "typescript", "a.ts", TYPESCRIPT)
+    assert not {r.tok for r in rows} & {"a", "b", "c", ",", "Base", "f", ".", "g", "C", "r", "x", "y"}
+    # An equals sign bounds the arguments of the others.
+    assert [r.tok for r in rows if r.generic] == ["call"]
+    assert sorted((r.kind, r.name, r.line_start, r.line_end, r.signature) for r in found.symbols.collect()) == [
+        ("class", "Box", 2, 4, "class Box"), ("function", "second", 5, 5, "function second((x: U, y: X))"),
+        ("method", "first", 3, 3, "first((x = (d, e), y = 1))"),
+    ]
+    assert sorted((r.source, r.target, r.kind) for r in found.raw_edges.collect()) == [
+        ("a.ts", "./lib", "imports"), ("a.ts::Box", "a.ts::first", "defines"), ("a.ts::first", "call", "calls"),
+    ]
+
+
+def test_go_sorts_telling_tokens_and_carries_lists_of_names_only(spark):
+    rows, found = _placed(spark, "go", "a.go", GO)
+    assert not {r.tok for r in rows} & {"n", "c", "ID", "int", "w", "f", "v", ".", ",", "fmt", "="}
+    ahead = [(r.tok, "".join(r.ahead)) for r in rows if r.ahead is not None]
+    # Behind a receiver the name carries the tokens; a list that holds others is not cut short.
+    assert [tok for tok, _ in ahead] == ["Show", "func"]
+    assert ahead[0][1].startswith("Show(w int, f func(int) int) {") and ahead[1][1] == "func New(v int)"
+    assert sorted((r.kind, r.name, r.line_start, r.signature) for r in found.symbols.collect()) == [
+        ("function", "New", 5, "func New((v int))"), ("method", "Show", 4, "func (r) Show((w int, f func(int) int))"),
+        ("struct", "One", 3, "type One struct{...}"),
+    ]
+    assert [(r.target, r.kind) for r in found.raw_edges.orderBy("kind").collect()] == [("New", "calls"), ("fmt", "imports")]
+
+
+def test_plain_parameter_lists_end_what_is_carried(spark):
+    long = ", ".join(f"x{i}" for i in range(200))
+    texts = {
+        "plain": "(a, b)", "nested": "(a, b=(1, 2), c=f(3))", "angle": "(a=1 < 2, b=3)", "long": f"({long})",
+        "string": '(a=")", b=2)', "wrong": "(a, b=[1)])",
+    }
+    content = "\n".join(f"def {name}{text}:\n    pass\n" + "pass\n" * 40 for name, text in texts.items())
+    rows, found = _placed(spark, "python", "a.py", content)
+    ahead = {r.n1: r.ahead for r in rows if r.tok == "def"}
+    assert "".join(ahead["plain"]) == "def plain(a, b)" and "".join(ahead["string"]) == 'def string(a=")", b=2)'
+    assert {len(ahead[name]) for name in ("nested", "angle", "long")} == {tokens.AHEAD}
+    signatures = {r.name: r.signature for r in found.symbols.collect()}
+    assert {n: signatures[n] for n in list(texts)[:5]} == {n: f"def {n}({t})" for n, t in list(texts.items())[:5]}
