@@ -1,7 +1,9 @@
 """Forms that real code has: calls inside strings, nesting without bound, unclosed brackets."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from cartograph.functions.text import language_of
 from cartograph.operators.extract import extract
 from cartograph.operators.tokens import token_stats
 
@@ -133,3 +135,11 @@ def test_token_stats_of_all_languages(spark):
     assert rows["a.py"].significant_tokens == 7
     assert all(rows[p].chars == len(files[p]) for p in rows)
     assert all(rows[p].lines == files[p].count("\n") + 1 for p in rows)
+
+
+def test_language_of_cuts_the_extension_once(spark):
+    # The filter on the language runs over every row of every corpus.
+    paths = ["a/b.py", "c.tsx", "d.jsx", "e.rs", "f.go", "g.md", ".py", "h", None]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select("path", language_of(F.col("path")).alias("lang"))
+    assert [r[1] for r in rows.collect()] == ["python", "typescript", "typescript", "rust", "go", None, None, None, None]
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_extract(") == 1
