@@ -23,13 +23,13 @@ _SLASH_COMMENT = r"//[^\r\n]*+"
 _BLOCK_COMMENT = r"/\*[\s\S]*?(?:\*/|\z)"
 
 #: Depth to which block comments of Rust may hold each other.
-_COMMENT_DEPTH = 12
+COMMENT_DEPTH = 12
 
 
 def _nested_comment() -> str:
     plain = r"[^*/]|\*(?!/)|/(?!\*)"
     inner = rf"/\*(?:{plain})*+(?:\*/|\z)"
-    for _ in range(_COMMENT_DEPTH - 1):
+    for _ in range(COMMENT_DEPTH - 1):
         inner = rf"/\*(?:{plain}|{inner})*+(?:\*/|\z)"
     return inner
 

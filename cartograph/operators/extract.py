@@ -1,8 +1,9 @@
 """Token table to symbols and raw edges.
 
 The steps are windows over the token table: mark declarations, pair brackets (or indentation
-levels) to blocks, and keep one compact row per declaration, call and import, the *facts*. The
-facts are staged once; symbols and edges are cheap selections and one containment join over them.
+levels) to blocks, and keep one compact row per declaration, call and import, the *facts*. Those of
+Rust are read file by file (see ``rust``). The facts are staged once; symbols and edges are cheap
+selections and one containment join over them.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cartograph.functions.lexis import is_string
+from cartograph.operators import rust
 from cartograph.operators.tokens import (
     ALL_LANGUAGES,
-    RUST_WORDS,
     before_row,
     by_language,
+    dealt,
     in_order,
     prepare,
     significant,
@@ -37,11 +39,6 @@ KEYWORDS = {
         "if for while switch catch return typeof instanceof in new delete void throw case do "
         "else function class extends super import await yield this with const let var"
     ).split(),
-    "rust": (
-        "as break const continue crate else enum extern fn for if impl in let loop match mod move "
-        "mut pub ref return self static struct super trait type unsafe use where while async await "
-        "dyn box yield"
-    ).split(),
     "go": (
         "break case chan const continue default defer else fallthrough for func go goto if import "
         "interface map package range return select struct switch type var"
@@ -106,7 +103,6 @@ def _marks(rows: DataFrame, lang: str) -> DataFrame:
             | (_is("p1", ":") & _in("tok", ("import", "from"))),
             "typescript": (_in("tok", ("import", "export")) & ~_is("p1", "."))
             | (_is("n1", "<") & _c("named")),
-            "rust": _is("p1", "fn") & _is("n1", "<"),
             "go": _in("tok", ("func", "type", "var", "const", "import")),
         },
         F.lit(False),
@@ -166,10 +162,6 @@ def _head(lang: str) -> Column:
                 "ts_method",
             )
         )
-    if lang == "rust":
-        cases["rust"] = F.when((tok == "fn") & named, "rs_fn").when(
-            (tok == "struct") & named, "rs_struct"
-        )
     if lang == "go":
         generic_type = (
             _is("p1", "]")
@@ -220,8 +212,6 @@ def _name_and_line(lang: str) -> tuple[Column, Column]:
             .when(decorated & ~_in("p1", ("export", "default", "declare")), _c("decorator.line"))
             .otherwise(_c("line"))
         )
-    if lang == "rust":
-        names["rust"], lines["rust"] = n1, _c("line")
     if lang == "go":
         mark, bracket = _c("mark"), _is("p1", "]")
         grouped = _is("mark.n1", "(")
@@ -264,8 +254,6 @@ def _call_and_import(lang: str) -> tuple[Column, Column]:
         imports["typescript"] = ~_c("named") & (
             (_is("p1", "from") & _is("mark.tok", "import")) | _is("p1", "import")
         ) & is_string(tok)
-    if lang == "rust":
-        calls["rust"] = called & ~_in("p1", (".", "::", "fn", "!")) & free["rust"]
     if lang == "go":
         # With type arguments it depends on what follows their bracket, which is known later.
         typed = _c("named") & _is("n1", "[") & (_c("n2").rlike(r"^[\p{L}_*\[]")) & ~_is("p1", "type")
@@ -296,7 +284,6 @@ def _classified(rows: DataFrame, lang: str) -> DataFrame:
             "python": _c("fresh") | n1.isNull() | _in("mark.tok", ("import", "from")),
             "typescript": _in("tok", ("function", "class")) | _is("n1", "<") | _is("n1", "?.")
             | _in("p1", ("from", "import")),
-            "rust": _in("tok", RUST_WORDS),
             "go": _in("tok", ("func", "struct", "interface")) | _is("p1", "import") | _is("p2", "import")
             | (_is("n1", "[") & _c("named")),
         },
@@ -315,13 +302,6 @@ def _classified(rows: DataFrame, lang: str) -> DataFrame:
     in_generics = F.coalesce(
         (_c("mark.depth") == _c("depth")) & (_c("angle") > _c("mark.angle")), no
     )
-    macro = (
-        (_is("p1", "!") & _c("p2_named") & ~_in("p2", KEYWORDS["rust"]))
-        | (_is("p2", "!") & _is("p3", "macro_rules"))
-        | ((tok == "[") & (_is("p1", "#") | (_is("p1", "!") & _is("p2", "#"))))
-        if lang == "rust"
-        else no
-    )
     columns = {
         "head": _head(lang),
         "name": name,
@@ -329,12 +309,9 @@ def _classified(rows: DataFrame, lang: str) -> DataFrame:
         "call": call,
         "imported": imported,
         "body": (tok == "{") & ~type_brace,
-        "list": (tok == "(")
-        & ~_pick(lang, {"typescript": in_generics, "rust": in_generics}, no),
+        "list": (tok == "(") & ~_pick(lang, {"typescript": in_generics}, no),
         "then": F.when(_in("tok", (")", "]")), n1),
         "indexed": _is("n1", "["),
-        "macro": _pick(lang, {"rust": _in("tok", ("(", "[", "{")) & macro}, no),
-        "arm": _pick(lang, {"rust": _in("p1", ",{}|")}, no),
         "group_line": _pick(
             lang,
             {"go": F.when((tok == "(") & _is("p1", "type"), _c("p1_line"))},
@@ -385,14 +362,7 @@ def _brackets(rows: DataFrame, lang: str) -> DataFrame:
     tok, head = _c("tok"), _c("head")
     after = _following("depth", "pos")
     pair = F.struct("pos", _c("end_line").alias("line"), "then")
-    columns = {"pair": _last(_in("tok", (")", "]", "}")), pair, after)}
-    if lang == "rust":
-        end = F.struct("pos", "tok")
-        columns |= {
-            "let_end": _last(_in("tok", ("=", ";")), end, after),
-            "for_end": _last(_in("tok", ("in", ";", "{")), end, after),
-        }
-    paired = rows.select("*", *[c.alias(n) for n, c in columns.items()])
+    paired = rows.select("*", _last(_in("tok", (")", "]", "}")), pair, after).alias("pair"))
     stop = F.struct(
         F.when(head.isNotNull(), "head").otherwise(tok).alias("what"),
         "pos",
@@ -416,11 +386,10 @@ def _brace_ranges(rows: DataFrame, lang: str) -> DataFrame:
     tok, head, params, stop, pair = (_c(x) for x in ("tok", "head", "params", "stop", "pair"))
     then = params["pair"]["then"]
     has_body = _is("stop.what", "{")
-    brace_function = _in("head", ("ts_func", "ts_method", "rs_fn", "go_func", "go_method"))
+    brace_function = _in("head", ("ts_func", "ts_method", "go_func", "go_method"))
     valid = (
         F.when(head == "ts_method", (_is("params.pair.then", "{") | _is("params.pair.then", ":")) & has_body)
         .when(brace_function | (head == "ts_class"), has_body)
-        .when(head == "rs_struct", _in("stop.what", "{;"))
         .otherwise(head.isNotNull())
     )
     own_pair = _in("head", ("go_struct", "go_iface"))
@@ -443,20 +412,9 @@ def _brace_ranges(rows: DataFrame, lang: str) -> DataFrame:
         .otherwise(_c("pos")),
         "open_pos": params["pos"],
         "close_pos": params["pair"]["pos"],
-        "opaque": F.lit(None).cast("int"),
         "group": F.when(_c("group_line").isNotNull(), F.struct(_c("group_line").alias("line"), pair["line"].alias("end_line"))),
     }
-    if lang == "rust":
-        pattern = (_c("arm") & _c("call") & _in("params.pair.then", ("=>", "if")))
-        columns["opaque"] = (
-            F.when(_c("macro"), pair["pos"])
-            .when((tok == "let") & _is("let_end.tok", "="), _c("let_end.pos"))
-            .when((tok == "for") & _is("for_end.tok", "in"), _c("for_end.pos"))
-            .when(pattern, params["pair"]["pos"])
-        )
-        columns["call"] = columns["call"] & ~F.coalesce(pattern, F.lit(False))
-    serves = head.isNotNull() | _c("call") | _c("imported") | _c("macro") | _c("group_line").isNotNull()
-    serves = serves | _pick(lang, {"rust": _in("tok", ("let", "for"))}, F.lit(False))
+    serves = head.isNotNull() | _c("call") | _c("imported") | _c("group_line").isNotNull()
     kept = ["path", "pos", "tok", "line", "end_line", "depth", "ahead", "name", "start_line",
             "imported", "stmt", "top"]
     if lang == "python":
@@ -520,8 +478,12 @@ def _indents(rows: DataFrame) -> DataFrame:
     return documented.withColumn("doc", F.when(inside, _c("doc.tok")))
 
 
+def _cut(toks: Column, first: Column, last: Column) -> Column:
+    return F.array_join(F.slice(toks, first.cast("int"), (last - first + 1).cast("int")), "")
+
+
 def _enclosed(rows: DataFrame, lang: str) -> DataFrame:
-    """What encloses a row: a class, a macro or pattern (whose calls are not calls), a type group.
+    """What encloses a row: a class, a type group.
 
     A position lies in one of several ranges that start before it exactly when the largest end of
     those ranges reaches it, so a running maximum is enough.
@@ -536,10 +498,8 @@ def _enclosed(rows: DataFrame, lang: str) -> DataFrame:
         .alias("next_head"),
         F.max(F.when(is_class, _c("end_pos"))).over(before).alias("class_end"),
         _last(is_class, F.struct("depth", "end_pos"), before).alias("near_class"),
-        F.max("opaque").over(before).alias("opaque_end"),
         F.last("group", ignorenulls=True).over(before).alias("in_group"),
     )
-    hidden = F.coalesce(_c("opaque_end") >= _c("pos"), no)
     in_class = F.coalesce(_c("class_end") >= _c("pos"), no)
     direct = F.coalesce(
         (_c("near_class.end_pos") >= _c("pos")) & (_c("near_class.depth") + 1 == _c("depth")), no
@@ -552,9 +512,9 @@ def _enclosed(rows: DataFrame, lang: str) -> DataFrame:
         F.lit(lang).alias("lang"),
         "pos",
         "tok",
-        F.when(~hidden & (~_is("head", "ts_method") | member), head).alias("head"),
+        F.when(~_is("head", "ts_method") | member, head).alias("head"),
         "name",
-        (_c("call") & ~hidden).alias("call"),
+        "call",
         "imported",
         "stmt",
         "line",
@@ -569,15 +529,28 @@ def _enclosed(rows: DataFrame, lang: str) -> DataFrame:
         F.coalesce("end_pos", _c("next_head.pos") - 1, F.lit(2**31 - 1)).alias("end_pos"),
         "open_pos",
         "close_pos",
-        F.when(_in("head", _FUNCTIONS), _c("ahead")).alias("ahead"),
+        F.when(
+            _in("head", _FUNCTIONS) & (_c("close_pos") - _c("pos") < F.size("ahead")),
+            _cut(_c("ahead"), _c("open_pos") - _c("pos") + 1, _c("close_pos") - _c("pos") + 1),
+        ).alias("params"),
         "doc",
         in_class.alias("in_class"),
         "top",
     )
 
 
+# Partitions of text that no window sorts hold so many times as much.
+_WIDER = 4
+
+
 def facts(sources: DataFrame, lang: str, parts: int) -> DataFrame:
-    """One row per declaration, call and import token of the files of one language."""
+    """One row per declaration, call and import token of the files of one language.
+
+    ``params`` is the raw text of a function's parameter list, where the tokens kept next to its head
+    hold it; that of Rust is always there.
+    """
+    if lang == "rust":
+        return dealt(sources, lang, -(-parts // _WIDER)).mapInArrow(rust.fact_batches, rust.FACTS)
     rows = _classified(_marks(significant(sources, lang, parts), lang), lang)
     rows = _brace_ranges(_brackets(rows, lang), lang)
     if lang == "python":
@@ -591,31 +564,21 @@ def facts(sources: DataFrame, lang: str, parts: int) -> DataFrame:
 # ------------------------------------------------------------------ symbols
 
 
-def _covered() -> Column:
-    return F.coalesce(
-        _c("ahead").isNotNull() & (_c("close_pos") - _c("pos") < F.size("ahead")), F.lit(False)
-    )
+def _uncovered() -> Column:
+    """Functions whose parameter list did not end within the tokens kept next to the head."""
+    return _in("head", _FUNCTIONS) & _c("close_pos").isNotNull() & _c("params").isNull()
 
 
-def _cut(toks: Column, first: Column, last: Column) -> Column:
-    return F.array_join(F.slice(toks, first.cast("int"), (last - first + 1).cast("int")), "")
-
-
-def _parameters(
+def _with_parameters(
     heads: DataFrame, sources: DataFrame, languages: tuple[str, ...], uncovered: int, parts: dict[str, int]
 ) -> DataFrame:
-    """Adds ``params``, the raw text of the parameter list.
+    """Fills in ``params``, the raw text of the parameter list, where it is not known yet.
 
-    Nearly all lists end within the tokens kept next to the head. The others are cut from the file,
-    which is joined only when there are such heads.
+    It is cut from the file, which is joined only when there are such heads.
     """
-    near = heads.where(_covered()).withColumn(
-        "params",
-        _cut(_c("ahead"), _c("open_pos") - _c("pos") + 1, _c("close_pos") - _c("pos") + 1),
-    )
     if not uncovered:
-        return near
-    far = heads.where(~_covered())
+        return heads
+    near, far = heads.where(~_uncovered()), heads.where(_uncovered()).drop("params")
     for lang in languages:
         cut = far.where(_c("lang") == lang).join(prepare(sources, lang, parts[lang]), "path")
         near = near.unionByName(
@@ -677,11 +640,7 @@ def _symbols(
     clean_signature: bool,
 ) -> DataFrame:
     head = _c("head")
-    with_params = _parameters(
-        heads.where(_in("head", _FUNCTIONS)), sources, languages, uncovered, parts
-    )
-    plain = heads.where(~_in("head", _FUNCTIONS)).withColumn("params", F.lit(None).cast("string"))
-    rows = with_params.unionByName(plain)
+    rows = _with_parameters(heads, sources, languages, uncovered, parts)
     prefix = F.lit(None).cast("string")
     for sort, text in SIGNATURES.items():
         before, after = text.split("%")
@@ -804,7 +763,7 @@ def extract(
     """
     sources, parts, languages = by_language(sources, languages)
     each = [facts(sources, lang, parts[lang]) for lang in languages]
-    far = F.sum(F.when(_in("head", _FUNCTIONS) & ~_covered(), 1).otherwise(0))
+    far = F.sum(F.when(_uncovered(), 1).otherwise(0))
     found = stage(reduce(DataFrame.unionByName, each), "facts", far=far)
     heads = found.df.where(_c("head").isNotNull())
     symbols = _symbols(

@@ -28,7 +28,7 @@ from cartograph.session import new_path
 ALL_LANGUAGES = tuple(dict.fromkeys(LANGUAGES.values()))
 
 # Tokens kept behind a possible declaration at most, so that its parameter list can be cut out
-# without the file. Longer ones are cut from the file itself (see ``extract._parameters``).
+# without the file. Longer ones are cut from the file itself (see ``extract._with_parameters``).
 AHEAD = 64
 
 
@@ -79,19 +79,19 @@ def by_language(
     return spark.read.schema(schema).parquet(path), parts, present
 
 
-def prepare(sources: DataFrame, lang: str, parts: int) -> DataFrame:
-    """(path, toks): one row per file of the language, hash partitioned by path.
+def dealt(sources: DataFrame, lang: str, parts: int) -> DataFrame:
+    """(path, content): the files of the language, hash partitioned by path.
 
     Tokens take far more room than text, so the partitions are set by the bytes of text, not left
     to be merged by the size of this shuffle.
     """
     own = F.col("lang") if "lang" in sources.columns else language_of(F.col("path"))
-    return (
-        sources.where(own == lang)
-        .select("path", "content")
-        .repartition(parts, "path")
-        .select("path", lex(F.col("content"), lang).alias("toks"))
-    )
+    return sources.where(own == lang).select("path", "content").repartition(parts, "path")
+
+
+def prepare(sources: DataFrame, lang: str, parts: int) -> DataFrame:
+    """(path, toks): one row per file of the language, hash partitioned by path."""
+    return dealt(sources, lang, parts).select("path", lex(F.col("content"), lang).alias("toks"))
 
 
 def tokens(sources: DataFrame, lang: str) -> DataFrame:
@@ -296,7 +296,7 @@ def significant(sources: DataFrame, lang: str, parts: int) -> DataFrame:
     keyword); ``p1 p2`` and ``n1 n2`` the neighbours (further ones where a language needs them);
     ``breaks`` a line break before; ``fresh`` and ``margin`` for tokens that start a logical line;
     ``ahead`` the tokens from a possible declaration on. Of TypeScript and Go only the tokens that a
-    rule reads are returned, of Rust see :func:`_telling`.
+    rule reads are returned, of Rust see :func:`_telling`; its facts are read by ``rust``, file by file.
     """
     if lang == "rust":
         return _telling(sources, parts)

@@ -102,23 +102,31 @@ def utf8_quarantine(spark, sf):
 # ---------------------------------------------------------------- corpora
 
 _found: dict[tuple[str, str, str], Extraction] = {}
+_staged: dict[tuple[str, str, str, str], DataFrame] = {}
 
 
-def corpus(spark: SparkSession, sf: str, lang: str) -> Extraction:
-    """Extraction of one language's files of all corpora, staged once per application and scale, as an index is."""
+def _extracted(spark: SparkSession, sf: str, lang: str) -> Extraction:
+    """Extraction of one language's files of all corpora; its facts are staged once per application and scale."""
     key = (spark.sparkContext.applicationId, sf, lang)
     if key not in _found:
-        found = extract(corpora.everything(Tables(spark, sf)), (lang,))
-        _found[key] = found._replace(
-            symbols=stage(found.symbols, "symbols").df,
-            raw_edges=stage(found.raw_edges, "raw").df,
-        )
+        _found[key] = extract(corpora.everything(Tables(spark, sf)), (lang,))
     return _found[key]
 
 
+def corpus(spark: SparkSession, sf: str, lang: str, part: str) -> DataFrame:
+    """The symbols or raw edges of one language, staged by the first query that reads them, as an index is."""
+    key = (spark.sparkContext.applicationId, sf, lang, part)
+    if key not in _staged:
+        _staged[key] = stage(getattr(_extracted(spark, sf, lang), part), part).df
+    return _staged[key]
+
+
 def all_corpora(spark: SparkSession, sf: str) -> Extraction:
     """The extractions of all languages, one below the other."""
-    each = [corpus(spark, sf, lang) for lang in tokens.ALL_LANGUAGES]
+    each = [
+        _extracted(spark, sf, lang)._replace(**{part: corpus(spark, sf, lang, part) for part in ("symbols", "raw_edges")})
+        for lang in tokens.ALL_LANGUAGES
+    ]
     return Extraction(*(reduce(DataFrame.unionByName, frames) for frames in zip(*each)))
 
 
@@ -127,14 +135,14 @@ _COLUMNS = ("id", "name", "kind", "file_path", "line_start", "line_end", "signat
 
 def _kind(lang: str, kind: str):
     def run(spark, sf):
-        return corpus(spark, sf, lang).symbols.where(F.col("kind") == kind).select(*_COLUMNS)
+        return corpus(spark, sf, lang, "symbols").where(F.col("kind") == kind).select(*_COLUMNS)
 
     return run
 
 
 def _edges(lang: str, kind: str):
     def run(spark, sf):
-        return corpus(spark, sf, lang).raw_edges.where(F.col("kind") == kind).select("source", "target", "kind")
+        return corpus(spark, sf, lang, "raw_edges").where(F.col("kind") == kind).select("source", "target", "kind")
 
     return run
 
@@ -244,7 +252,7 @@ for _name, _sql, _fn in (
 @query("py_docstrings", f"SELECT {_PY_F} || '::part_' || p_partkey AS id, '\"\"\"' || p_name || '\"\"\"' AS docstring FROM part")
 def py_docstrings(spark, sf):
     # Only declarations of Python have one.
-    return corpus(spark, sf, "python").symbols.where("docstring IS NOT NULL").select("id", "docstring")
+    return corpus(spark, sf, "python", "symbols").where("docstring IS NOT NULL").select("id", "docstring")
 
 
 @query("call_sites", f"""
@@ -262,7 +270,9 @@ UNION ALL SELECT {_GO} || '::Show_' || c_custkey, 'New_' || c_custkey, {_GO}, CA
 FROM customer""")
 def call_sites(spark, sf):
     """Every call with its line: the detail behind the call edges."""
-    return all_corpora(spark, sf).call_sites.select("source", "target", "file_path", "line")
+    # Neither the symbols nor the edges without lines are needed for it.
+    sites = (_extracted(spark, sf, lang).call_sites for lang in tokens.ALL_LANGUAGES)
+    return reduce(DataFrame.unionByName, sites).select("source", "target", "file_path", "line")
 
 
 # Per corpus: language, table, key, path, header, text of a row, and the significant tokens, strings
@@ -341,7 +351,7 @@ FROM part WHERE p_partkey = 57""")
 def find_definition(spark, sf):
     sources = corpora.c_py(Tables(spark, sf))
     return lookup.find_definition(
-        corpus(spark, sf, "python").symbols, sources, "src/py/parts/m1.py::part_57"
+        corpus(spark, sf, "python", "symbols"), sources, "src/py/parts/m1.py::part_57"
     )
 
 
