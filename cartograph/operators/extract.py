@@ -1,9 +1,9 @@
 """Token table to symbols and raw edges.
 
-The steps are windows over the token table: mark declarations, pair brackets (or indentation
-levels) to blocks, and keep one compact row per declaration, call and import, the *facts*. Those of
-Rust are read file by file (see ``rust``). The facts are staged once; symbols and edges are cheap
-selections and one containment join over them.
+Of each declaration, call and import one compact row is kept, the *facts*. Those of Python, Rust and
+Go are read file by file (see ``files``); those of TypeScript by windows over the token table: mark
+declarations, pair brackets to blocks, and find what encloses them. The facts are staged once; symbols
+and edges are cheap selections and one containment join over them.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cartograph.functions.lexis import is_string
-from cartograph.operators import rust
+from cartograph.operators import golang, python, rust
+from cartograph.operators.files import FAR, read_facts
 from cartograph.operators.tokens import (
     ALL_LANGUAGES,
     before_row,
@@ -28,22 +29,11 @@ from cartograph.operators.tokens import (
 from cartograph.schema import RAW_EDGES, SYMBOLS
 from cartograph.session import stage
 
-# Words that are never the name of a called function, per language.
-KEYWORDS = {
-    "python": (
-        "and as assert async await break class continue def del elif else except finally for from "
-        "global if import in is lambda nonlocal not or pass raise return try while with yield "
-        "True False None"
-    ).split(),
-    "typescript": (
-        "if for while switch catch return typeof instanceof in new delete void throw case do "
-        "else function class extends super import await yield this with const let var"
-    ).split(),
-    "go": (
-        "break case chan const continue default defer else fallthrough for func go goto if import "
-        "interface map package range return select struct switch type var"
-    ).split(),
-}
+# Words that are never the name of a called function of TypeScript.
+KEYWORDS = (
+    "if for while switch catch return typeof instanceof in new delete void throw case do "
+    "else function class extends super import await yield this with const let var"
+).split()
 
 # A token after which an operand follows, so ``function`` or ``class`` is an expression.
 OPERAND_FOLLOWS = (
@@ -81,10 +71,6 @@ def _is(col: str, value: str) -> Column:
     return F.expr(f"{col} <=> '{value}'")
 
 
-def _pick(lang: str, cases: dict[str, Column], default: Column) -> Column:
-    return cases.get(lang, default)
-
-
 def _last(condition: Column, value: Column, over: WindowSpec) -> Column:
     return F.last(F.when(condition, value), ignorenulls=True).over(over)
 
@@ -92,252 +78,104 @@ def _last(condition: Column, value: Column, over: WindowSpec) -> Column:
 # ------------------------------------------------------------------ marks and heads
 
 
-def _marks(rows: DataFrame, lang: str) -> DataFrame:
-    """The latest keyword that decides how later tokens read, and the logical lines around."""
-    tok, p1 = _c("tok"), _c("p1")
-    marked = _pick(
-        lang,
-        {
-            "python": _c("fresh")
-            | (_is("p1", ";") & (_c("depth") == 0))
-            | (_is("p1", ":") & _in("tok", ("import", "from"))),
-            "typescript": (_in("tok", ("import", "export")) & ~_is("p1", "."))
-            | (_is("n1", "<") & _c("named")),
-            "go": _in("tok", ("func", "type", "var", "const", "import")),
-        },
-        F.lit(False),
-    )
-    further = ["n1", "n2", "n3_named", "n4"] if lang == "go" else []
+def _marks(rows: DataFrame) -> DataFrame:
+    """The latest keyword that decides how later tokens read, and the decorators before a class."""
+    tok = _c("tok")
+    marked = (_in("tok", ("import", "export")) & ~_is("p1", ".")) | (_is("n1", "<") & _c("named"))
     so_far = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mark = F.struct("pos", "line", "tok", "depth", "angle", *further)
-    columns = {"mark": _last(marked, mark, so_far)}
-    if lang == "typescript":
-        # The first decorator since the last statement or member ended, at the same depth.
-        level = Window.partitionBy("path", "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        bounds = _in("tok", ("@", ";", "{", "}", "class"))
-        rows = rows.withColumn("since", _last(bounds, tok, level))
-        first = _in("tok", (";", "{", "}", "class")) | ((tok == "@") & ~_is("since", "@"))
-        columns["decorator"] = _last(first, F.struct("tok", "line"), level)
-    if lang == "python":
-        line_start = F.struct("tok", _c("margin").alias("indent"))
-        columns |= {
-            "cur": _last(_c("fresh"), line_start, so_far),
-            "prev": _last(_c("fresh"), line_start, before_row()),
-            "next_indent": F.expr(
-                "lead(if(fresh, margin, null), 1) IGNORE NULLS OVER (PARTITION BY path ORDER BY pos)"
-            ),
-        }
-    return rows.select("*", *[c.alias(n) for n, c in columns.items()])
-
-
-def _head(lang: str) -> Column:
+    # The first decorator since the last statement or member ended, at the same depth.
+    level = Window.partitionBy("path", "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = _in("tok", ("@", ";", "{", "}", "class"))
+    first = _in("tok", (";", "{", "}", "class")) | ((tok == "@") & ~_is("since", "@"))
+    return rows.withColumn("since", _last(bounds, tok, level)).select(
+        "*",
+        _last(marked, F.struct("pos", "line", "tok", "depth", "angle"), so_far).alias("mark"),
+        _last(first, F.struct("tok", "line"), level).alias("decorator"),
+    )
+
+
+def _head() -> Column:
     """The sort of declaration that starts at a token."""
-    tok, p1, p2, n1, n2 = (_c(x) for x in ("tok", "p1", "p2", "n1", "n2"))
-    mark, depth, named = _c("mark"), _c("depth"), _c("n1_named")
-    cases: dict[str, Column] = {}
-    if lang == "python":
-        cases["python"] = F.when(
-            _c("fresh")
-            & (((tok == "def") & named & _in("n2", "([")) | ((tok == "async") & _is("n1", "def"))),
-            "py_def",
-        ).when(_c("fresh") & (tok == "class") & named, "py_class")
-    if lang == "typescript":
-        before = F.when(_is("p1", "async"), p2).otherwise(p1)
-        statement = ~_in(before, OPERAND_FOLLOWS)
-        first_on_line = F.coalesce(_c("line") > _c("p1_end_line"), F.lit(False))
-        cases["typescript"] = (
-            F.when((tok == "function") & named & statement, "ts_func")
-            .when(
-                (tok == "class")
-                & named
-                & ~_in("n1", ("extends", "implements"))
-                & statement
-                & ~_is("p1", "abstract"),
-                "ts_class",
-            )
-            .when(
-                _in("n1", "(<")
-                & _c("named")
-                & (_in("p1", BEFORE_METHOD) | (first_on_line & ~_in("p1", OPERAND_FOLLOWS))),
-                "ts_method",
-            )
-        )
-    if lang == "go":
-        generic_type = (
-            _is("p1", "]")
-            & (mark["depth"] == depth)
-            & _is("mark.n2", "[")
-            & mark["n3_named"]
-            & ~_is("mark.n4", "]")
-        )
-        grouped_type = (
-            _is("mark.n1", "(")
-            & (depth == mark["depth"] + 1)
-            & _c("p1_named")
-            & (_c("p1_breaks") | _in("p2", "(;"))
-        )
-        typed = (
-            _is("n1", "{") & _is("mark.tok", "type") & (_is("p2", "type") | generic_type | grouped_type)
+    tok, named = _c("tok"), _c("n1_named")
+    before = F.when(_is("p1", "async"), _c("p2")).otherwise(_c("p1"))
+    statement = ~_in(before, OPERAND_FOLLOWS)
+    first_on_line = F.coalesce(_c("line") > _c("p1_end_line"), F.lit(False))
+    return (
+        F.when((tok == "function") & named & statement, "ts_func")
+        .when(
+            (tok == "class")
+            & named
+            & ~_in("n1", ("extends", "implements"))
+            & statement
+            & ~_is("p1", "abstract"),
+            "ts_class",
         )
-        cases["go"] = (
-            F.when((tok == "func") & named, "go_func")
-            .when(
-                _c("named")
-                & _is("n1", "(")
-                & _is("p1", ")")
-                & (_c("line") == _c("p1_end_line"))
-                & _is("mark.tok", "func")
-                & _is("mark.n1", "(")
-                & (mark["depth"] == depth),
-                "go_method",
-            )
-            .when((tok == "struct") & typed, "go_struct")
-            .when((tok == "interface") & typed, "go_iface")
+        .when(
+            _in("n1", "(<")
+            & _c("named")
+            & (_in("p1", BEFORE_METHOD) | (first_on_line & ~_in("p1", OPERAND_FOLLOWS))),
+            "ts_method",
         )
-    return _pick(lang, cases, F.lit(None).cast("string"))
+    )
 
 
-def _name_and_line(lang: str) -> tuple[Column, Column]:
+def _name_and_line() -> tuple[Column, Column]:
     """Name and first line of the declaration that starts here, if one does."""
-    tok, p1, n1 = _c("tok"), _c("p1"), _c("n1")
-    names, lines = {}, {}
-    if lang == "python":
-        names["python"] = F.when(tok == "async", _c("n2")).otherwise(n1)
-        lines["python"] = _c("line")
-    if lang == "typescript":
-        names["typescript"] = F.when(_in("tok", ("function", "class")) & _c("n1_named"), n1).otherwise(tok)
-        decorated = (tok == "class") & _is("decorator.tok", "@") & (_is("p1", ")") | _c("p1_named"))
-        lines["typescript"] = (
-            F.when(_is("p1", "async"), _c("p1_line"))
-            .when(decorated & ~_in("p1", ("export", "default", "declare")), _c("decorator.line"))
-            .otherwise(_c("line"))
-        )
-    if lang == "go":
-        mark, bracket = _c("mark"), _is("p1", "]")
-        grouped = _is("mark.n1", "(")
-        names["go"] = (
-            F.when(tok == "func", n1)
-            .when(_in("tok", ("struct", "interface")), F.when(bracket, mark["n1"]).otherwise(p1))
-            .otherwise(tok)
-        )
-        # A struct in a type group takes the group's lines, which are known later.
-        lines["go"] = (
-            F.when((tok == "struct") & grouped, F.lit(None).cast("int"))
-            .when((tok == "interface") & ~bracket, _c("p1_line"))
-            .otherwise(mark["line"])
-        )
-    none = F.lit(None)
-    return (
-        _pick(lang, names, none.cast("string")),
-        _pick(lang, lines, none.cast("int")),
+    tok = _c("tok")
+    name = F.when(_in("tok", ("function", "class")) & _c("n1_named"), _c("n1")).otherwise(tok)
+    decorated = (tok == "class") & _is("decorator.tok", "@") & (_is("p1", ")") | _c("p1_named"))
+    line = (
+        F.when(_is("p1", "async"), _c("p1_line"))
+        .when(decorated & ~_in("p1", ("export", "default", "declare")), _c("decorator.line"))
+        .otherwise(_c("line"))
     )
+    return name, line
 
 
-def _call_and_import(lang: str) -> tuple[Column, Column]:
+def _call_and_import() -> tuple[Column, Column]:
     """Whether a token is a plain name that is called, and whether it is part of an import."""
-    tok, p1, p2, n1 = (_c(x) for x in ("tok", "p1", "p2", "n1"))
+    tok, no = _c("tok"), F.lit(False)
     called = _is("n1", "(") & _c("named")
-    free = {name: ~_in("tok", words) for name, words in KEYWORDS.items()}
-    calls, imports = {}, {}
-    if lang == "python":
-        calls["python"] = called & ~_in("p1", (".", "def", "class")) & ~_c("n1_fresh") & free["python"]
-        imports["python"] = _in("mark.tok", ("import", "from"))
-    if lang == "typescript":
-        calls["typescript"] = (
-            (called | _c("generic") | (_c("named") & _is("n1", "?.") & _is("n2", "(")))
-            & ~_in("p1", (".", "?.", "new", "function"))
-            & ~(_is("p1", "*") & _is("p2", "function"))
-            # Between an operand and another ``of`` is a keyword.
-            & ~((tok == "of") & (F.coalesce(_c("p1_named"), F.lit(False)) | _in("p1", ("]", "}"))))
-            & free["typescript"]
-        )
-        imports["typescript"] = ~_c("named") & (
-            (_is("p1", "from") & _is("mark.tok", "import")) | _is("p1", "import")
-        ) & is_string(tok)
-    if lang == "go":
-        # With type arguments it depends on what follows their bracket, which is known later.
-        typed = _c("named") & _is("n1", "[") & (_c("n2").rlike(r"^[\p{L}_*\[]")) & ~_is("p1", "type")
-        calls["go"] = (
-            (called | typed)
-            & ~_in("p1", (".", "func"))
-            & (_c("n1_line") == _c("end_line"))
-            & free["go"]
-        )
-        imports["go"] = (
-            _is("p1", "import") | (_is("p2", "import") & ~_is("p1", "("))
-        ) & tok.startswith('"')
-    no = F.lit(False)
-    return (
-        F.coalesce(_pick(lang, calls, no), no),
-        F.coalesce(_pick(lang, imports, no), no),
+    call = (
+        (called | _c("generic") | (_c("named") & _is("n1", "?.") & _is("n2", "(")))
+        & ~_in("p1", (".", "?.", "new", "function"))
+        & ~(_is("p1", "*") & _is("p2", "function"))
+        # Between an operand and another ``of`` is a keyword.
+        & ~((tok == "of") & (F.coalesce(_c("p1_named"), no) | _in("p1", ("]", "}"))))
+        & ~_in("tok", KEYWORDS)
     )
+    imports = ~_c("named") & (
+        (_is("p1", "from") & _is("mark.tok", "import")) | _is("p1", "import")
+    ) & is_string(tok)
+    return F.coalesce(call, no), F.coalesce(imports, no)
 
 
-def _classified(rows: DataFrame, lang: str) -> DataFrame:
-    """The rows that blocks, calls, imports and docstrings are made of, neighbours reduced to flags."""
-    tok, p1, p2, n1 = (_c(x) for x in ("tok", "p1", "p2", "n1"))
+def _classified(rows: DataFrame) -> DataFrame:
+    """The rows that blocks, calls and imports are made of, neighbours reduced to flags."""
+    tok, n1 = _c("tok"), _c("n1")
     no = F.lit(False)
     # A cheap test on the token itself; the exact conditions are evaluated for these rows only.
-    words = _pick(
-        lang,
-        {
-            "python": _c("fresh") | n1.isNull() | _in("mark.tok", ("import", "from")),
-            "typescript": _in("tok", ("function", "class")) | _is("n1", "<") | _is("n1", "?.")
-            | _in("p1", ("from", "import")),
-            "go": _in("tok", ("func", "struct", "interface")) | _is("p1", "import") | _is("p2", "import")
-            | (_is("n1", "[") & _c("named")),
-        },
-        no,
+    words = (
+        _in("tok", ("function", "class")) | _is("n1", "<") | _is("n1", "?.") | _in("p1", ("from", "import"))
     )
-    if lang == "python":
-        words = words | (_is("p1", ":") & is_string(tok))
     rows = rows.where(_in("tok", ("(", ")", "[", "]", "{", "}", ";")) | _is("n1", "(") | words)
-    name, start_line = _name_and_line(lang)
-    call, imported = _call_and_import(lang)
-    type_brace = _pick(
-        lang,
-        {"typescript": _in("p1", BEFORE_TYPE_BRACE), "go": _in("p1", ("interface", "struct"))},
-        no,
-    )
+    name, start_line = _name_and_line()
+    call, imported = _call_and_import()
     in_generics = F.coalesce(
         (_c("mark.depth") == _c("depth")) & (_c("angle") > _c("mark.angle")), no
     )
     columns = {
-        "head": _head(lang),
+        "head": _head(),
         "name": name,
         "start_line": start_line,
         "call": call,
         "imported": imported,
-        "body": (tok == "{") & ~type_brace,
-        "list": (tok == "(") & ~_pick(lang, {"typescript": in_generics}, no),
+        "body": (tok == "{") & ~_in("p1", BEFORE_TYPE_BRACE),
+        "list": (tok == "(") & ~in_generics,
         "then": F.when(_in("tok", (")", "]")), n1),
-        "indexed": _is("n1", "["),
-        "group_line": _pick(
-            lang,
-            {"go": F.when((tok == "(") & _is("p1", "type"), _c("p1_line"))},
-            F.lit(None).cast("int"),
-        ),
         "stmt": _c("mark.pos"),
     }
-    if lang == "python":
-        ends = n1.isNull() | _c("n1_fresh")
-        columns |= {
-            "last_token": n1.isNull(),
-            # Alone on its line, or behind the colon of a declaration.
-            "lone_string": (
-                _c("fresh")
-                | (_is("p1", ":") & (_c("depth") == 0) & _in("cur.tok", ("def", "class", "async")))
-            )
-            & (ends | _in("n1", ";,"))
-            & is_string(tok),
-            "top": (_c("margin") == 0)
-            | F.coalesce((_c("prev.tok") == "@") & (_c("prev.indent") == _c("margin")), no),
-        }
-        extra = ["margin", "fresh", "cur", "prev", "next_indent", "p1_end_line"]
-    else:
-        columns |= {"top": F.lit(True)}
-        extra = []
-    kept = ["path", "pos", "tok", "line", "end_line", "depth", "ahead", *extra]
+    kept = ["path", "pos", "tok", "line", "end_line", "depth", "ahead"]
     return rows.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
@@ -353,7 +191,7 @@ def _following(*keys: str) -> WindowSpec:
     )
 
 
-def _brackets(rows: DataFrame, lang: str) -> DataFrame:
+def _brackets(rows: DataFrame) -> DataFrame:
     """Parameter lists and bodies by bracket depth.
 
     Both windows share one partitioning and order, so they cost one sort. A bracket's pair is the
@@ -369,126 +207,56 @@ def _brackets(rows: DataFrame, lang: str) -> DataFrame:
         F.when(tok == "{", _c("pair.pos")).otherwise(_c("pos")).alias("end_pos"),
         F.when(tok == "{", _c("pair.line")).otherwise(_c("end_line")).alias("end_line"),
     )
-    square = [_last(tok == "[", _c("pair"), after).alias("square")] if lang == "go" else []
     return paired.select(
         "*",
-        *square,
         _last(_c("body") | (tok == ";") | head.isNotNull(), stop, after).alias("stop"),
         _last(_c("list"), F.struct("pos", "pair"), after).alias("params"),
     )
 
 
-def _brace_ranges(rows: DataFrame, lang: str) -> DataFrame:
-    """Range and last line of declarations in brace languages; invalid heads lose their mark.
+def _brace_ranges(rows: DataFrame) -> DataFrame:
+    """Range and last line of declarations; invalid heads lose their mark.
 
     Brackets and separators have served their purpose here and are left out.
     """
-    tok, head, params, stop, pair = (_c(x) for x in ("tok", "head", "params", "stop", "pair"))
-    then = params["pair"]["then"]
+    tok, head, params, stop = (_c(x) for x in ("tok", "head", "params", "stop"))
     has_body = _is("stop.what", "{")
-    brace_function = _in("head", ("ts_func", "ts_method", "go_func", "go_method"))
     valid = (
         F.when(head == "ts_method", (_is("params.pair.then", "{") | _is("params.pair.then", ":")) & has_body)
-        .when(brace_function | (head == "ts_class"), has_body)
-        .otherwise(head.isNotNull())
+        .when(head.isNotNull(), has_body)
+        .otherwise(F.lit(False))
     )
-    own_pair = _in("head", ("go_struct", "go_iface"))
     # A name with ``(...) :`` where a method may stand is a signature without a body: no call.
-    no_call = F.when(head == "ts_method", valid | _is("params.pair.then", ":")).otherwise(head == "go_method")
-    if lang == "typescript":
-        # The parameters of an arrow function.
-        no_call = F.coalesce(no_call, F.lit(False)) | ((tok == "async") & _is("params.pair.then", "=>"))
-    if lang == "go":
-        no_call = F.coalesce(no_call, F.lit(False)) | (_c("indexed") & ~_is("square.then", "("))
+    no_call = F.when(head == "ts_method", valid | _is("params.pair.then", ":"))
+    # The parameters of an arrow function.
+    no_call = F.coalesce(no_call, F.lit(False)) | ((tok == "async") & _is("params.pair.then", "=>"))
     columns = {
         "head": F.when(valid, head),
         "call": _c("call") & ~F.coalesce(no_call, F.lit(False)),
-        "end_pos": F.when(own_pair, pair["pos"]).when(head.isNotNull(), stop["end_pos"]),
-        "end_line_of": F.when(head == "go_iface", _c("start_line"))
-        .when(own_pair, pair["line"])
-        .when(head.isNotNull(), stop["end_line"]),
+        "end_pos": F.when(head.isNotNull(), stop["end_pos"]),
+        "end_line_of": F.when(head.isNotNull(), stop["end_line"]),
         "start_pos": F.when(_in("head", _FUNCTIONS), params["pair"]["pos"])
         .when(head == "ts_class", stop["pos"])
         .otherwise(_c("pos")),
         "open_pos": params["pos"],
         "close_pos": params["pair"]["pos"],
-        "group": F.when(_c("group_line").isNotNull(), F.struct(_c("group_line").alias("line"), pair["line"].alias("end_line"))),
     }
-    serves = head.isNotNull() | _c("call") | _c("imported") | _c("group_line").isNotNull()
-    kept = ["path", "pos", "tok", "line", "end_line", "depth", "ahead", "name", "start_line",
-            "imported", "stmt", "top"]
-    if lang == "python":
-        serves = serves | _c("fresh") | _c("last_token") | _c("lone_string")
-        kept += ["margin", "fresh", "cur", "prev", "next_indent", "p1_end_line", "last_token", "lone_string"]
+    serves = head.isNotNull() | _c("call") | _c("imported")
+    kept = ["path", "pos", "tok", "line", "end_line", "depth", "ahead", "name", "start_line", "imported", "stmt"]
     return rows.where(serves).select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
-def _indents(rows: DataFrame) -> DataFrame:
-    """Range, last line and docstring of Python declarations, by indentation level.
-
-    A logical line closes every level from its own indent up to the one before; it adds one row
-    per level, and a declaration's block ends at the nearest such row of its level.
-    """
-    head, margin, prev = _c("head"), _c("margin"), _c("prev")
-    closer = lambda lvl, line, pos: F.struct(
-        lvl.cast("int").alias("lvl"), line.cast("int").alias("line"), pos.cast("int").alias("pos")
-    )
-    none = F.array().cast("array<struct<lvl:int,line:int,pos:int>>")
-    python_head = _in("head", ("py_def", "py_class"))
-    top = F.when(prev["tok"].isin("def", "class", "async"), prev["indent"]).otherwise(prev["indent"] - 1)
-    by_line = F.when(
-        _c("fresh") & (top >= margin),
-        F.transform(F.sequence(margin, top), lambda lvl: closer(lvl, _c("p1_end_line"), _c("pos"))),
-    )
-    by_end = F.when(
-        _c("last_token"),
-        F.transform(
-            F.sequence(F.lit(0), _c("cur.indent")),
-            lambda lvl: closer(lvl, _c("end_line"), _c("pos") + 1),
-        ),
-    )
-    own = F.array(closer(F.when(python_head, margin), F.lit(None), F.lit(None)))
-    spread = rows.withColumn(
-        "lvl_row", F.explode_outer(F.concat(own, F.coalesce(by_line, none), F.coalesce(by_end, none)))
-    ).select(
-        "*",
-        _c("lvl_row.lvl").alias("lvl"),
-        F.coalesce(_c("lvl_row.pos") * 2 - 1, _c("pos") * 2).alias("ord"),
-    )
-    is_closer = _c("lvl_row.pos").isNotNull()
-    ended = spread.withColumn(
-        "ended", _last(is_closer, _c("lvl_row"), _following("lvl", "ord"))
-    ).where(~is_closer)
-    # The body of a one-line declaration has no indent; it shares the statement's mark.
-    own_line = -1 - _c("stmt")
-    block = (
-        F.when(python_head & (_c("next_indent") > margin), _c("next_indent"))
-        .when(python_head, own_line)
-        .when(_c("lone_string") & ~_c("fresh"), own_line)
-        .when(_c("lone_string"), margin)
-    )
-    documented = ended.withColumns(
-        {
-            "end_pos": F.when(python_head, _c("ended.pos") - 1).otherwise(_c("end_pos")),
-            "end_line_of": F.when(python_head, _c("ended.line")).otherwise(_c("end_line_of")),
-            "block": block,
-        }
-    ).withColumn("doc", _last(_c("lone_string"), F.struct("pos", "tok"), _following("block", "pos")))
-    inside = python_head & _c("block").isNotNull() & (_c("doc.pos") <= _c("end_pos"))
-    return documented.withColumn("doc", F.when(inside, _c("doc.tok")))
-
-
 def _cut(toks: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(toks, first.cast("int"), (last - first + 1).cast("int")), "")
 
 
-def _enclosed(rows: DataFrame, lang: str) -> DataFrame:
-    """What encloses a row: a class, a type group.
+def _enclosed(rows: DataFrame) -> DataFrame:
+    """What encloses a row: a class, whose direct members may be methods.
 
     A position lies in one of several ranges that start before it exactly when the largest end of
     those ranges reaches it, so a running maximum is enough.
     """
-    head, tok, before, no = _c("head"), _c("tok"), before_row(), F.lit(False)
+    head, before, no = _c("head"), before_row(), F.lit(False)
     is_class = _in("head", _CLASSES)
     out = rows.select(
         "*",
@@ -498,18 +266,16 @@ def _enclosed(rows: DataFrame, lang: str) -> DataFrame:
         .alias("next_head"),
         F.max(F.when(is_class, _c("end_pos"))).over(before).alias("class_end"),
         _last(is_class, F.struct("depth", "end_pos"), before).alias("near_class"),
-        F.last("group", ignorenulls=True).over(before).alias("in_group"),
     )
     in_class = F.coalesce(_c("class_end") >= _c("pos"), no)
     direct = F.coalesce(
         (_c("near_class.end_pos") >= _c("pos")) & (_c("near_class.depth") + 1 == _c("depth")), no
     )
-    grouped = _is("head", "go_struct") & _c("start_line").isNull()
     member = in_class & (direct | ~_in("tok", _CONTROL))
     unclosed = head.isNotNull() & _c("end_pos").isNull()
     return out.select(
         "path",
-        F.lit(lang).alias("lang"),
+        F.lit("typescript").alias("lang"),
         "pos",
         "tok",
         F.when(~_is("head", "ts_method") | member, head).alias("head"),
@@ -518,46 +284,41 @@ def _enclosed(rows: DataFrame, lang: str) -> DataFrame:
         "imported",
         "stmt",
         "line",
-        F.when(grouped, _c("in_group.line")).otherwise(_c("start_line")).alias("start_line"),
+        "start_line",
         F.coalesce(
-            F.when(grouped, _c("in_group.end_line")),
             _c("end_line_of"),
             F.when(unclosed, F.greatest(_c("line"), _c("next_head.line") - 1)),
             _c("end_line"),
         ).alias("end_line"),
         "start_pos",
-        F.coalesce("end_pos", _c("next_head.pos") - 1, F.lit(2**31 - 1)).alias("end_pos"),
+        F.coalesce("end_pos", _c("next_head.pos") - 1, F.lit(FAR)).alias("end_pos"),
         "open_pos",
         "close_pos",
         F.when(
             _in("head", _FUNCTIONS) & (_c("close_pos") - _c("pos") < F.size("ahead")),
             _cut(_c("ahead"), _c("open_pos") - _c("pos") + 1, _c("close_pos") - _c("pos") + 1),
         ).alias("params"),
-        "doc",
+        F.lit(None).cast("string").alias("doc"),
         in_class.alias("in_class"),
-        "top",
+        F.lit(True).alias("top"),
     )
 
 
 # Partitions of text that no window sorts hold so many times as much.
 _WIDER = 4
+_READERS = {"python": python.file_facts, "rust": rust.file_facts, "go": golang.file_facts}
 
 
 def facts(sources: DataFrame, lang: str, parts: int) -> DataFrame:
     """One row per declaration, call and import token of the files of one language.
 
-    ``params`` is the raw text of a function's parameter list, where the tokens kept next to its head
-    hold it; that of Rust is always there.
+    ``params`` is the raw text of a function's parameter list; of TypeScript, where the tokens kept
+    next to its head hold it.
     """
-    if lang == "rust":
-        return dealt(sources, lang, -(-parts // _WIDER)).mapInArrow(rust.fact_batches, rust.FACTS)
-    rows = _classified(_marks(significant(sources, lang, parts), lang), lang)
-    rows = _brace_ranges(_brackets(rows, lang), lang)
-    if lang == "python":
-        rows = _indents(rows)
-    else:
-        rows = rows.withColumn("doc", F.lit(None).cast("string"))
-    rows = _enclosed(rows, lang)
+    if lang in _READERS:
+        return read_facts(dealt(sources, lang, -(-parts // _WIDER)), _READERS[lang], lang)
+    rows = _classified(_marks(significant(sources, lang, parts)))
+    rows = _enclosed(_brace_ranges(_brackets(rows)))
     return rows.where(_c("head").isNotNull() | _c("call") | _c("imported"))
 
 

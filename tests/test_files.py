@@ -2,34 +2,43 @@
 
 import random
 
+import pytest
 from cartograph.functions.lexis import lex
-from cartograph.operators import rust
+from cartograph.operators import files, golang, python, rust
 from cartograph.operators.extract import extract, facts
 from cartograph.plans import source_queries
 from pyspark.sql import functions as F
 
-ODD = (
-    "fn|f|g(|(|)|{|}|[|]|<|>|;|!|#|let |=|for |in |=>|::|..|r#x|r#\"a(\"#|\"b\\\" (\"|'c'|'d|b'e'|/* /* */ */|/*|*/|// z\n|\n|"
-    " |\x0b|﻿|é|中(|²|1.5e3|$v|\\|\"|'|br\"y\"|_"
-).split("|")
+# Pieces that tokens begin, end or are broken with.
+PIECES = [
+    "fn ", "f", "g(", "(", ")", "{", "}", "[", "]", "<", ">", ";", "!", "#", "let ", "=", ":=", "->", "=>", "::", "..",
+    "r#x", 'r#"a("#', '"b\\" ("', "'c'", "'d", "b'e'", "/* /* */ */", "/*", "*/", "// z\n", "`r`", "`", '"""', "'''",
+    'f"{a(1)} {{', "f'{", "}}", "{b!r}", 'rb"', "\\\n", "\r\n", "\n", " ", "\t", "\x0b", "\ufeff", "é", "中(", "²",
+    "1.5e3", "$v", "\\", '"', "'", 'br"y"', "_", "def ", "class ", "func ", "type ", "import ",
+]
+READERS = {"rust": rust, "go": golang, "python": python}
 
 
 def _odd_texts(n: int) -> list[str]:
     rng = random.Random(5)
-    return ["".join(rng.choices(ODD, k=rng.choice((3, 20, 80)))) for _ in range(n)]
+    return ["".join(rng.choices(PIECES, k=rng.choice((3, 20, 80)))) for _ in range(n)]
 
 
-def test_rust_is_lexed_as_by_the_engine(spark):
-    texts = _odd_texts(400) + ["fn a() { " + "/*" * d + " x " + "*/" * d + " }" for d in (11, 12, 13)]
-    texts += ["r" + "#" * n + '"a"' + "#" * n + " b" for n in (0, 255, 256)]
-    frame = spark.createDataFrame(enumerate(texts), "n int, text string").select("n", lex(F.col("text"), "rust").alias("toks"))
+@pytest.mark.parametrize("lang", READERS)
+def test_texts_are_lexed_as_by_the_engine(spark, lang):
+    texts = _odd_texts(400)
+    if lang == "rust":
+        texts += ["fn a() { " + "/*" * d + " x " + "*/" * d + " }" for d in (11, 12, 13)]
+        texts += ["r" + "#" * n + '"a"' + "#" * n + " b" for n in (0, 255, 256)]
+    frame = spark.createDataFrame(enumerate(texts), "n int, text string").select("n", lex(F.col("text"), lang).alias("toks"))
     for row in frame.collect():
-        assert rust.lexed(texts[row.n])[0] == row.toks
+        assert READERS[lang].lexed(texts[row.n])[0] == row.toks
 
 
-def test_rust_facts_have_no_window_and_no_sort(spark):
-    sources = spark.createDataFrame([("a.rs", "fn f() {}")], "path string, content string")
-    plan = facts(sources, "rust", 2)._jdf.queryExecution().optimizedPlan().toString()
+@pytest.mark.parametrize("lang", READERS)
+def test_facts_of_a_file_have_no_window_and_no_sort(spark, lang):
+    sources = spark.createDataFrame([("a", "f(1)", lang)], "path string, content string, lang string")
+    plan = facts(sources, lang, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Sort" not in plan
 
 
@@ -51,7 +60,7 @@ fn open(a: i64) {
 
 def test_rust_declarations_and_calls_of_one_file():
     found = rust.file_facts("a.rs", RUST)
-    own = [dict(zip(rust._OWN, row)) for row in found]
+    own = [dict(zip(files.OWN, row)) for row in found]
     heads = [(r["head"], r["name"], r["line"], r["end_line"], r["params"]) for r in own if r["head"]]
     assert heads == [
         ("rs_fn", "f", 1, 7, "(\n    x: F, y: i64)"), ("rs_struct", "W", 8, 8, None), ("rs_struct", "X", 10, 10, None),
@@ -62,6 +71,59 @@ def test_rust_declarations_and_calls_of_one_file():
     ]
 
 
+GO = '''package n
+import "fmt"
+type (
+    One struct { x int }
+    Two[T any] interface { M(y int) }
+)
+type Box[T any] struct { v T }
+func (b Box[T]) Put(w int,
+    z func(int) int) { New[int](w); xs[i] = c.d(e); fmt.Println(w); make(1) }
+func New(v int) { if (v > 1) { put(v) }
+func open() { lost(2)
+'''
+
+
+def test_go_declarations_calls_and_imports_of_one_file():
+    own = [dict(zip(files.OWN, row)) for row in golang.file_facts("a.go", GO)]
+    assert [(r["head"], r["name"], r["start_line"], r["end_line"], r["params"]) for r in own if r["head"]] == [
+        ("go_struct", "One", 3, 6, None), ("go_struct", "Box", 7, 7, None),
+        ("go_method", "Put", 8, 9, "(w int,\n    z func(int) int)"), ("go_func", "New", 10, 10, "(v int)"),
+        ("go_func", "open", 11, 11, "()"),
+    ]
+    assert [(r["tok"], r["line"]) for r in own if r["imported"]] == [('"fmt"', 2)]
+    assert [(r["tok"], r["line"]) for r in own if r["call"]] == [
+        ("M", 5), ("New", 9), ("make", 9), ("put", 10), ("lost", 11),
+    ]
+
+
+PYTHON = '''import a.b, c
+class D(E):
+    """one"""
+    @dec
+    def m(self, x=(1, 2)):
+        "two"
+        return f"{g(x)} {h}"
+async def n(
+        y): k(1); l.o(2)
+def p(): pass
+'''
+
+
+def test_python_declarations_calls_and_imports_of_one_file():
+    own = [dict(zip((*files.OWN, "doc", "in_class", "top"), row)) for row in python.file_facts("a.py", PYTHON)]
+    assert [
+        (r["head"], r["name"], r["line"], r["end_line"], r["params"], r["doc"], r["in_class"], r["top"]) for r in own if r["head"]
+    ] == [
+        ("py_class", "D", 2, 7, None, '"""one"""', False, True),
+        ("py_def", "m", 5, 7, "(self, x=(1, 2))", '"two"', True, True),
+        ("py_def", "n", 8, 9, "(\n        y)", None, False, True), ("py_def", "p", 10, 10, "()", None, False, True),
+    ]
+    assert [r["tok"] for r in own if r["imported"]] == ["import", "a", ".", "b", ",", "c"]
+    assert [(r["tok"], r["line"]) for r in own if r["call"]] == [("g", 7), ("k", 9)]
+
+
 def test_rust_files_of_no_text_and_long_lists(spark):
     long = ", ".join(f"x{i}: i64" for i in range(300))
     rows = [("a.rs", f"fn a({long}) {{ b(1) }}"), ("none.rs", None), ("empty.rs", ""), ("blank.rs", " \n// c\n"), ("é.rs", "fn ñ() { ü(1) }")]
